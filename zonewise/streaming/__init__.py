@@ -1,0 +1 @@
+"""Empty on purpose: the capability set covered by this package is batch only (see README)."""
