@@ -69,3 +69,30 @@ SELECT 'S010'||lpad(CAST(c_custkey AS VARCHAR),8,'0') AS area, c_nationkey AS na
  abs(floor(c_acctbal)::BIGINT)%10<2 AS hid,
  CASE WHEN c_custkey%503=7 THEN NULL ELSE (c_custkey%40)::DOUBLE END AS uni, (3+c_custkey%25)::DOUBLE AS gp
 FROM customer"""
+
+FLOWS = """
+SELECT src, dst, spend/sum(spend) OVER (PARTITION BY src)*100 AS share FROM (
+ SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_extendedprice) AS spend FROM lineitem JOIN supplier ON l_suppkey=s_suppkey
+ JOIN orders ON o_orderkey=l_orderkey JOIN customer ON c_custkey=o_custkey GROUP BY ALL)"""
+
+TRIPS = """
+SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst FROM orders a JOIN orders b ON b.o_orderkey=a.o_orderkey+1
+WHERE a.o_orderpriority='1-URGENT' AND b.o_orderpriority='1-URGENT' AND a.o_custkey<>b.o_custkey"""
+
+ROADS = """
+SELECT seg_id, (i*100)::DOUBLE AS x1, (j*100)::DOUBLE AS y1,
+ ((i+CASE WHEN dx=0 AND dy=0 THEN reach*2 ELSE dx END)*100)::DOUBLE AS x2, ((j+dy)*100)::DOUBLE AS y2, fclass, oneway, layer, bridge, tunnel FROM (
+ SELECT o_orderkey AS seg_id, o_custkey%40 AS i, o_custkey//40 AS j, (o_orderkey%3-1)*reach AS dx, ((o_orderkey//3)%3-1)*reach AS dy, reach,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'primary' WHEN '2-HIGH' THEN 'cycleway' WHEN '3-MEDIUM' THEN 'residential'
+   WHEN '4-NOT SPECIFIED' THEN 'footway' ELSE 'motorway' END AS fclass,
+  CASE o_orderstatus WHEN 'F' THEN 'F' WHEN 'O' THEN 'T' ELSE 'B' END AS oneway,
+  CASE WHEN o_orderkey%11=0 THEN '1' WHEN o_orderkey%17<>0 THEN '0' END AS layer,
+  CASE WHEN o_orderkey%11=0 THEN 'T' ELSE 'F' END AS bridge, CASE WHEN o_orderkey%13<>0 THEN 'F' END AS tunnel
+ FROM (SELECT *, CASE WHEN o_orderpriority IN ('1-URGENT','5-LOW') THEN 6 ELSE 1 END AS reach FROM orders))"""
+
+DEPOTS = """
+SELECT 'SITE_'||lpad(CAST(s_suppkey AS VARCHAR),6,'0') AS site_id, s_suppkey*13%4000+7.3::DOUBLE AS x, s_suppkey*29%3700+4.1::DOUBLE AS y,
+ (['gp','pharmacy','mobile_stop'])[s_suppkey%3+1] AS site_type, s_nationkey AS nationkey, s_acctbal AS balance FROM supplier"""
+
+CENTROIDS = """
+SELECT n_name AS zone, n_nationkey AS node_index, n_nationkey%5*700+351.5::DOUBLE AS x, (n_nationkey//5)*650+402.25::DOUBLE AS y FROM nation"""

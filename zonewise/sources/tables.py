@@ -1,12 +1,16 @@
 """The driver tables, and the views of them that stand in for panels, sites, flows, points and messages.
 
-Every view reads its whole table; only columns it needs are scanned.
+Every view reads its whole table; only columns it needs are scanned. Aggregated panels are
+written once (``pin``), so that operators which look at a panel several times do not
+scan the fact table again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from zonewise.session import pin
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -71,12 +75,14 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("l_quantity").alias("cases")
     )
     pop = (F.lit(1000) + F.col("l_suppkey") % 500 * 10).cast("double")
-    return daily.select(
-        "date",
-        supplier_zone().alias("zone"),
-        "cases",
-        pop.alias("population"),
-        F.when(F.col("cases") % 11 != 0, F.col("cases") / pop * 100000).alias("rate"),
+    return pin(
+        daily.select(
+            "date",
+            supplier_zone().alias("zone"),
+            "cases",
+            pop.alias("population"),
+            F.when(F.col("cases") % 11 != 0, F.col("cases") / pop * 100000).alias("rate"),
+        )
     )
 
 
@@ -86,19 +92,25 @@ def panel_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("cases")
     )
     pop = (F.lit(5000) + 250 * F.length("zone")).cast("double")
-    return daily.select("date", "zone", "cases", pop.alias("population"), (F.col("cases") / pop * 100000).alias("rate"))
+    return pin(
+        daily.select("date", "zone", "cases", pop.alias("population"), (F.col("cases") / pop * 100000).alias("rate"))
+    )
 
 
 def panel_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day x user group; absent cells and null rates occur."""
-    daily = table(spark, sf_dir, "events").groupBy(
-        day("ts").alias("date"), F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("zone"), F.lit(0).alias("_z")
-    ).agg(F.count(F.lit(1)).alias("cases"), F.sum("value").alias("total"))
-    return daily.select(
-        "date",
-        "zone",
-        F.when(~((F.dayofmonth("date") % 13 == 0) & (F.col("zone") == "u3")), F.col("cases") / 20000.0 * 100000).alias("rate"),
-    ).filter(~((F.dayofmonth("date") == 9) | ((F.dayofmonth("date") == 20) & (F.col("zone") == "u7"))))
+    zone = F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string"))
+    daily = table(spark, sf_dir, "events").groupBy(day("ts").alias("date"), zone.alias("zone")).agg(
+        F.count(F.lit(1)).alias("cases")
+    )
+    dom = F.dayofmonth("date")
+    absent = (dom == 9) | ((dom == 20) & (F.col("zone") == "u7"))
+    null_rate = (dom % 13 == 0) & (F.col("zone") == "u3")
+    return pin(
+        daily.filter(~absent).select(
+            "date", "zone", F.when(~null_rate, F.col("cases") / 20000.0 * 100000).alias("rate")
+        )
+    )
 
 
 def panel_region(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +132,7 @@ def panel_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     bounds = span.select(F.struct("lo", "hi").alias("v")).scalar()
     pop = F.lit(20000.0)
-    return (
+    return pin(
         week.withColumn("_b", bounds)
         .filter((F.col("date") >= F.date_add("_b.lo", 6)) & (F.col("date") <= F.col("_b.hi")))
         .select("date", "zone", "cases", pop.alias("population"), (F.col("cases") / pop * 100000).alias("rate"))
@@ -148,3 +160,88 @@ def small_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 503 == 7, "<null>").otherwise((key % 40).cast("string")).alias("University"),
         (F.lit(3) + key % 25).cast("string").alias("PT_GP"),
     )
+
+
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Origin-destination shares: customer nation to supplier nation, share of the origin's spend in percent."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    per = (
+        li.join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(cust, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"))
+        .agg(F.sum("l_extendedprice").alias("spend"))
+    )
+    per = pin(per)
+    total = per.groupBy("src").agg(F.sum("spend").alias("total"))
+    return pin(per.join(total, "src").select("src", "dst", (F.col("spend") / F.col("total") * 100).alias("share")))
+
+
+def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undirected links between the customers of consecutive urgent-order keys (a sparse graph that grows)."""
+    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
+    a = urgent.select("o_orderkey", F.col("o_custkey").alias("src"))
+    b = urgent.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("dst"))
+    return a.join(b, "o_orderkey").filter("src <> dst").select("src", "dst").distinct()
+
+
+GRID, STEP = 40, 100
+
+
+def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Street segments between grid positions of customers, one per order, raw text attributes."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    reach = F.when(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"), 6).otherwise(1)
+    dx, dy = (k % 3 - 1) * reach, (F.floor(k / 3) % 3 - 1) * reach
+    dx = F.when((dx == 0) & (dy == 0), reach * 2).otherwise(dx)
+    i, j = F.col("o_custkey") % GRID, F.floor(F.col("o_custkey") / GRID)
+    kinds = {
+        "1-URGENT": "Primary",
+        "2-HIGH": "cycleway",
+        "3-MEDIUM": "residential",
+        "4-NOT SPECIFIED": "footway",
+        "5-LOW": "motorway",
+    }
+    fclass = F.coalesce(*[F.when(F.col("o_orderpriority") == p, F.lit(c)) for p, c in kinds.items()])
+    return o.select(
+        k.alias("seg_id"),
+        (i * STEP).cast("double").alias("x1"),
+        (j * STEP).cast("double").alias("y1"),
+        ((i + dx) * STEP).cast("double").alias("x2"),
+        ((j + dy) * STEP).cast("double").alias("y2"),
+        fclass.alias("fclass"),
+        F.when(F.col("o_orderstatus") == "F", "f").when(F.col("o_orderstatus") == "O", "T").alias("oneway"),
+        F.when(k % 11 == 0, "1").when(k % 17 != 0, "0").alias("layer"),
+        F.when(k % 11 == 0, "T").otherwise("F").alias("bridge"),
+        F.when(k % 13 != 0, "F").alias("tunnel"),
+    )
+
+
+def depots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as points on the same plane as the street grid."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    return s.select(
+        F.concat(F.lit("SITE_"), F.lpad(k.cast("string"), 6, "0")).alias("site_id"),
+        F.col("s_name").alias("site_name"),
+        (k * 13 % 4000 + 7.3).alias("x"),
+        (k * 29 % 3700 + 4.1).alias("y"),
+        F.element_at(F.array(F.lit("gp"), F.lit("pharmacy"), F.lit("mobile_stop")), (k % 3 + 1).cast("int")).alias("site_type"),
+        F.col("s_nationkey").alias("nationkey"),
+        F.col("s_acctbal").alias("balance"),
+    )
+
+
+def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as zone centroids on the street grid."""
+    n = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("zone"),
+        n.alias("node_index"),
+        (n % 5 * 700 + 351.5).alias("x"),
+        (F.floor(n / 5) * 650 + 402.25).cast("double").alias("y"),
+    )
