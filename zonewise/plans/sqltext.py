@@ -96,3 +96,12 @@ SELECT 'SITE_'||lpad(CAST(s_suppkey AS VARCHAR),6,'0') AS site_id, s_suppkey*13%
 
 CENTROIDS = """
 SELECT n_name AS zone, n_nationkey AS node_index, n_nationkey%5*700+351.5::DOUBLE AS x, (n_nationkey//5)*650+402.25::DOUBLE AS y FROM nation"""
+
+PLANNING_ZONES = """
+SELECT n_name AS zone, count(*)*100.0::DOUBLE AS population, avg(abs(c_acctbal))/10000 AS income_rate, avg(c_custkey%25)+3 AS pt_gp_min,
+ avg(c_acctbal)/10 AS predicted_rate, stddev_pop(c_acctbal)/100 AS predicted_sigma FROM customer JOIN nation ON n_nationkey=c_nationkey GROUP BY 1"""
+
+TRAVEL = """
+SELECT n_name AS zone, 'SITE_'||lpad(CAST(l_suppkey AS VARCHAR),6,'0') AS site_id, CASE WHEN l_linestatus='O' THEN 'drive' ELSE 'walk' END AS mode,
+ CASE WHEN min(l_quantity)<=30 THEN min(l_quantity) END AS minutes FROM lineitem JOIN orders ON o_orderkey=l_orderkey JOIN customer ON c_custkey=o_custkey
+ JOIN nation ON n_nationkey=c_nationkey GROUP BY n_name, l_suppkey, l_linestatus"""

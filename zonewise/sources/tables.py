@@ -245,3 +245,38 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n % 5 * 700 + 351.5).alias("x"),
         (F.floor(n / 5) * 650 + 402.25).cast("double").alias("y"),
     )
+
+
+def planning_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as planning zones with demand drivers derived from their customers."""
+    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(
+        (F.count(F.lit(1)) * 100.0).alias("population"),
+        (F.avg(F.abs("c_acctbal")) / 10000).alias("income_rate"),
+        (F.avg(F.col("c_custkey") % 25) + 3).alias("pt_gp_min"),
+        (F.avg("c_acctbal") / 10).alias("predicted_rate"),
+        (F.stddev_pop("c_acctbal") / 100).alias("predicted_sigma"),
+    )
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("zone"))
+    return pin(n.join(c, "c_nationkey").drop("c_nationkey"))
+
+
+def travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long zone x site x mode minutes: the smallest quantity a nation ever ordered from a supplier."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_linestatus")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    least = (
+        li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(cust, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_nationkey", "l_suppkey", "l_linestatus")
+        .agg(F.min("l_quantity").alias("q"))
+    )
+    return pin(
+        least.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+            F.col("n_name").alias("zone"),
+            F.concat(F.lit("SITE_"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("site_id"),
+            F.when(F.col("l_linestatus") == "O", "drive").otherwise("walk").alias("mode"),
+            F.when(F.col("q") <= 30, F.col("q")).alias("minutes"),
+        )
+    )
