@@ -26,11 +26,37 @@ SCENARIO_WORDS = {
     "balanced": ("balanced", "balance", "均衡", "平衡", "折中"),
 }
 INTENT_WORDS = {
-    "compare": ("compare", "comparison", "versus", " vs ", "对比", "比较"),
-    "notes": ("notes", "limitations", "caveats", "说明"),
-    "forecast": ("forecast", "predict", "projection", "uncertainty", "result", "预测", "预报", "感染率"),
-    "allocation": ("allocation", "selected sites", "show the site", "vaccination site", "site map", "选址图", "已选"),
-    "plan": ("plan 6", "plan six", "allocate", "siting", "choose sites", "choose 6", "pick 6", "pick six", "place sites", "规划", "选址", "计划"),
+    "compare": (
+        "compare", "comparison", "contrast", "versus", " vs ", "four polic", "four scenario", "four policies",
+        "which policy", "which policies", "better policy", "policy difference",
+        "比较", "对比", "四种", "四个政策", "哪个政策", "哪种政策", "政策差别", "政策差异",
+    ),
+    "notes": (
+        "glossary", "what does", "what do the labels", "alpha weight", "audit log", "tool log", "术语", "标签含义", "名词解释",
+    ),
+    "forecast": (
+        "forecast", "prediction", "predict", "projected", "projection", "uncertainty", "geoshapley", "shapley",
+        "infection rate", "infection-rate", "case rate", "incidence", "predicted rate", "rate map", "risk map",
+        "choropleth", "how bad", "how many cases", "outbreak", "epidemic", "covid map", "covid forecast",
+        "预测", "预报", "预估", "推演", "感染率", "发病率", "疫情", "不确定性", "结果", "results", "result",
+        "看图", "预报图", "预测图", "热力图",
+    ),
+    "allocation": (
+        "allocation", "show the sites", "show the site", "selected sites", "where did you", "where are the site",
+        "where the site", "where are sites", "where is the site", "vaccination site", "vaccination sites",
+        "vaccine site", "vaccine sites", "jab site", "clinic location", "clinic map", "site map", "site locations",
+        "site location", "site distribution", "spatial distribution", "distribution of", "layout of site",
+        "placed the site", "placed sites", "the six sites", "the 6 sites", "those six sites", "those 6 sites",
+        "the six points", "red points", "get vaccinated", "get a vaccine", "where to vaccinate",
+        "where can i vaccinate", "pharmacy site", "gp site",
+        "选中点", "已选", "候选点", "选址图", "接种点分布", "点位分布", "接种点在哪", "接种点在", "疫苗点", "疫苗接种点",
+        "接种地点", "接种位置", "放在哪", "点位图", "六个点", "6 个点", "6个点", "红点",
+    ),
+    "plan": (
+        "plan 6", "plan six", "place 6", "place six", "allocate", "siting", "run the agent", "task brief",
+        "choose sites", "choose 6", "pick 6", "pick six", "find 6", "find six", "place sites", "place the site", "sitings",
+        "规划", "选址", "计划", "跑一遍", "布置", "设点", "放点", "放 6", "放6", "六个接种", "6个接种", "6 个接种",
+    ),
 }
 SCENARIO_ALIASES = {
     "coverage": "coverage",
@@ -173,7 +199,7 @@ def intent(text: Column) -> Column:
     planning = _has(low, INTENT_WORDS["plan"]) | low.rlike(r"\bplan\b")
     scenario = scenario_mentioned(text).isNotNull()
     return (
-        F.when(low.rlike(r"\b(?:gp|ph|ms)_\w+"), "explain_site")
+        F.when(low.rlike(r"\b(?:gp|ph|ms)_\d+\b"), "explain_site")
         .when(low.rlike(ZONE_CODE), "explain_zone")
         .when(_has(low, INTENT_WORDS["compare"]), "compare")
         .when(_has(low, INTENT_WORDS["notes"]), "notes")
