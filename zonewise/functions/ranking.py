@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from zonewise.functions.scalars import any_of, one_row
+from zonewise.functions.scalars import one_row
 from zonewise.session import pin
 
-SKETCH_ACCURACY = 100_000
+SKETCH_ACCURACY = 10_000
 DIRECT_GROUP_ROWS = 200_000
 
 
@@ -91,13 +91,17 @@ def order_statistics(df: DataFrame, value: str, wanted: dict[str, Rank], keys: S
         F.first("n").alias("n"),
         *[F.count_if(F.col("_v") < lo).alias(f"_below{i}") for i, lo in enumerate(low)],
     )
-    flags = F.array(*inside)
+    # Which bands a row lies in, as the bits of one integer: a cheap grouping key.
+    bits = sum((F.when(hit, 1 << i).otherwise(0) for i, hit in enumerate(inside)), F.lit(0))
+    each = F.array(*[F.lit(i) for i in range(len(names))])
     band = (
-        row.filter(any_of(inside))
-        .groupBy(*keys, "_v", flags.alias("_in"))
+        row.select(*keys, "_v", bits.alias("_in"))
+        .filter("_in > 0")
+        .groupBy(*keys, "_v", "_in")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .select(*keys, "_v", "_c", F.posexplode("_in").alias("_i", "_hit"))
-        .filter("_hit")
+        .select(*keys, "_v", "_c", "_in", F.explode(each).alias("_i"))
+        .filter(F.col("_in").bitwiseAND(F.expr("shiftleft(1, _i)")) != 0)
+        .drop("_in")
     )
     upto = W.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = band.withColumn("_hi", F.sum("_c").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_c"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Tokens that mean "no value" in the indicator and rate columns.
@@ -56,10 +54,6 @@ def joined_reasons(pairs: list[tuple[str, Column]], sep: str = "|") -> Column:
     return F.concat_ws(sep, *[F.when(cond, F.lit(name)) for name, cond in pairs])
 
 
-def any_of(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conds)
-
-
 def one_row(df: DataFrame) -> Column:
     """All columns of a one-row table as a struct, usable inside another query without a join."""
     return df.select(F.struct(*[F.col(c) for c in df.columns]).alias("v")).scalar()

@@ -187,13 +187,13 @@ def greedy_select(pairs: DataFrame, demand: DataFrame, threshold: float, n_sites
     """
     m = F.col("minutes")
     pairs = pin(pairs.select("zone", "site_id", cover_score(m, threshold, kind).alias("score"), F.when(m <= threshold, m).alias("minutes")))
-    state = pin(demand.select("scenario", "zone", "demand", F.col("demand").alias("remaining"), F.lit(UNREACHED).alias("current")))
+    start = pin(demand.select("scenario", "zone", "demand"))
     cover_first = F.col("scenario").isin(*COVER_FIRST)
     first = F.when(cover_first, F.col("cover_gain")).otherwise(F.col("access_gain"))
     second = F.when(cover_first, F.col("access_gain")).otherwise(F.col("cover_gain"))
     chosen: DataFrame | None = None
     for step in range(1, n_sites + 1):
-        gains = site_gains(pairs, state)
+        gains = site_gains(pairs, greedy_state(pairs, start, chosen))
         if chosen is not None:
             gains = gains.join(chosen.select("scenario", "site_id"), ["scenario", "site_id"], "left_anti")
         best = pin(
@@ -202,20 +202,27 @@ def greedy_select(pairs: DataFrame, demand: DataFrame, threshold: float, n_sites
             .select("scenario", F.lit(step).alias("step"), "w.site_id", "w.cover_gain", "w.access_gain")
         )
         chosen = best if chosen is None else chosen.unionByName(best)
-        if step < n_sites:
-            won = best.join(pairs, "site_id").select("scenario", "zone", "score", "minutes")
-            state = pin(
-                state.join(won, ["scenario", "zone"], "left").select(
-                    "scenario",
-                    "zone",
-                    "demand",
-                    (F.col("remaining") * (1 - F.least(F.coalesce("score", F.lit(0.0)), F.lit(1.0)))).alias("remaining"),
-                    F.least("current", F.coalesce("minutes", F.lit(UNREACHED))).alias("current"),
-                )
-            )
     return chosen
 
 
+def greedy_state(pairs: DataFrame, demand: DataFrame, chosen: DataFrame | None) -> DataFrame:
+    """Remaining demand and best time so far per (scenario, zone), derived from the sites chosen."""
+    if chosen is None:
+        return demand.withColumns({"remaining": F.col("demand"), "current": F.lit(UNREACHED)})
+    won = (
+        pairs.join(chosen.select("scenario", "site_id"), "site_id")
+        .groupBy("scenario", "zone")
+        .agg(F.product(1 - F.least("score", F.lit(1.0))).alias("_left"), F.min("minutes").alias("_best"))
+    )
+    return demand.join(won, ["scenario", "zone"], "left").select(
+        "scenario",
+        "zone",
+        "demand",
+        (F.col("demand") * F.coalesce("_left", F.lit(1.0))).alias("remaining"),
+        F.least(F.lit(UNREACHED), F.coalesce("_best", F.lit(UNREACHED))).alias("current"),
+    )
+
+
 def assign_zones(pairs: DataFrame, zones: DataFrame, chosen: DataFrame, threshold: float) -> DataFrame:
     """Nearest selected site per (scenario, zone); ties to the earlier selected; unserved beyond the threshold."""
     near = (

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from zonewise.functions.ranking import dense_position, order_statistics, Rank
 from zonewise.functions.scalars import INDICATOR_NULLS, RATE_NULLS, finite_or_null, one_row, report_date, token
+from zonewise.session import pin
 
 # Fixed values of the raw panel contract.
 RAW_COLUMNS = (
@@ -286,6 +287,9 @@ def panel_quality(panel: DataFrame, zones: DataFrame, rate: str = "rate") -> Dat
 
 def scenario_statistics(scenarios: DataFrame) -> DataFrame:
     """Per fill: counts, moments (population sd), range and interpolated quantiles of the rate."""
+    # Read several times below: written once, narrow, so that parsing is not repeated.
+    flags = ("suppression_flag", "missing_flag", "invalid_value_flag")
+    scenarios = pin(scenarios.select("suppression_scenario", "infection_rate", *flags))
     rate = F.col("infection_rate")
     hidden = F.when(F.col("suppression_flag") == 1, rate)
     base = scenarios.groupBy("suppression_scenario").agg(

@@ -107,29 +107,28 @@ def number_nodes(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def crossings(segments: DataFrame, size: float) -> DataFrame:
     """Pairs of segments that cross in their interiors or overlap along a line.
 
-    Segments meet in grid cells they pass through; a pair found in several common cells is
-    reported in the first of them only. Touching at an end point of either is no crossing.
+    Segments meet in the grid cells of their bounding boxes. A pair is tested only in the cell
+    that holds the lower-left corner of the boxes' intersection, so it is seen exactly once and
+    no distinct is needed. Touching at an end point of either is no crossing.
     """
-    lo = lambda a, b: cell(F.least(a, b), size)
-    hi = lambda a, b: cell(F.greatest(a, b), size)
-    length = F.greatest(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), F.lit(1e-9))
-
-    def passes(c):
-        mx, my = (c["cx"] + 0.5) * size, (c["cy"] + 0.5) * size
-        off = F.abs((F.col("x2") - F.col("x1")) * (my - F.col("y1")) - (F.col("y2") - F.col("y1")) * (mx - F.col("x1"))) / length
-        return off <= size * 0.7072
-
-    box = F.flatten(
-        F.transform(
-            F.sequence(lo("x1", "x2"), hi("x1", "x2")),
-            lambda i: F.transform(F.sequence(lo("y1", "y2"), hi("y1", "y2")), lambda j: F.struct(i.alias("cx"), j.alias("cy"))),
-        )
+    own = ("seg_id", "x1", "y1", "x2", "y2", "grade", "grade_complete")
+    box = {
+        "x0": F.least("x1", "x2"), "x9": F.greatest("x1", "x2"), "y0": F.least("y1", "y2"), "y9": F.greatest("y1", "y2"),
+    }
+    s = segments.select(*own).withColumns(box)
+    s = s.withColumn("cx", F.explode(F.sequence(cell(F.col("x0"), size), cell(F.col("x9"), size))))
+    s = s.withColumn("cy", F.explode(F.sequence(cell(F.col("y0"), size), cell(F.col("y9"), size))))
+    keep = (*own, "x0", "x9", "y0", "y9")
+    a = s.select("cx", "cy", *[F.col(n).alias(f"a_{n}") for n in keep])
+    b = s.select("cx", "cy", *[F.col(n).alias(f"b_{n}") for n in keep])
+    x0, y0 = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
+    met = (
+        (F.col("a_seg_id") < F.col("b_seg_id"))
+        & (x0 <= F.least("a_x9", "b_x9"))
+        & (y0 <= F.least("a_y9", "b_y9"))
+        & (cell(x0, size) == F.col("cx"))
+        & (cell(y0, size) == F.col("cy"))
     )
-    s = segments.withColumn("cells", F.filter(box, passes))
-    a = s.select(F.explode("cells").alias("c"), *[F.col(n).alias(f"a_{n}") for n in ("seg_id", "x1", "y1", "x2", "y2", "grade", "grade_complete", "cells")])
-    b = s.select(F.explode("cells").alias("c"), *[F.col(n).alias(f"b_{n}") for n in ("seg_id", "x1", "y1", "x2", "y2", "grade", "grade_complete", "cells")])
-    pair = a.join(b, "c").filter("a_seg_id < b_seg_id")
-    first_shared = F.array_min(F.array_intersect("a_cells", "b_cells"))
 
     def side(p, q, r):
         (px, py), (qx, qy), (rx, ry) = p, q, r
@@ -139,11 +138,9 @@ def crossings(segments: DataFrame, size: float) -> DataFrame:
     C, D = (F.col("b_x1"), F.col("b_y1")), (F.col("b_x2"), F.col("b_y2"))
     s1, s2, s3, s4 = side(A, B, C), side(A, B, D), side(C, D, A), side(C, D, B)
     proper = (s1 * s2 < 0) & (s3 * s4 < 0)
-    span = lambda a1, a2, b1, b2: F.least(F.greatest(a1, a2), F.greatest(b1, b2)) - F.greatest(F.least(a1, a2), F.least(b1, b2))
-    along = F.greatest(span(A[0], B[0], C[0], D[0]), span(A[1], B[1], C[1], D[1]))
-    lined = (s1 == 0) & (s2 == 0) & (along > 1e-6) & (span(A[0], B[0], C[0], D[0]) >= 0) & (span(A[1], B[1], C[1], D[1]) >= 0)
-    # The cheap arithmetic test runs first; the few pairs that pass are then kept in one cell only.
-    return pair.filter(F.when(proper | lined, F.col("c") == first_shared).otherwise(False)).select(
+    along = F.greatest(F.least("a_x9", "b_x9") - x0, F.least("a_y9", "b_y9") - y0)
+    lined = (s1 == 0) & (s2 == 0) & (along > 1e-6)
+    return a.join(b, ["cx", "cy"]).filter(met & (proper | lined)).select(
         "a_seg_id", "b_seg_id", (F.col("a_grade") == F.col("b_grade")).alias("same_grade"), (F.col("a_grade_complete") & F.col("b_grade_complete")).alias("both_complete")
     )
 

@@ -177,7 +177,7 @@ def full_precision_travel(spark, sf):
  SELECT count(*) FILTER (WHERE both_ok AND NOT same) AS n_separated, count(*) FILTER (WHERE NOT both_ok) AS n_ambiguous, count(*) FILTER (WHERE both_ok AND same) AS n_at_grade FROM h""")
 def crossing_report(spark, sf):
     seg = paths.grade_key(paths.normalise_segments(roads(spark, sf)))
-    return paths.crossing_report(paths.crossings(seg, 3.0 * STEP))
+    return paths.crossing_report(paths.crossings(seg, 2.0 * STEP))
 
 
 # Parts as unit squares on a grid: a polygon layer that grows with the part table.
