@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from zonewise.functions.scalars import one_row
+
 # The words and layouts requests are recognised by.
 SOURCE_WORDS = {
     "api": ("api", "ckan", "接口", "在线", "网络"),
@@ -159,8 +161,10 @@ def match_zone_names(messages: DataFrame, zones: DataFrame, key: str = "message_
     """(message, code): exact code or name, then a code inside the text, else the longest mutual
     containment of at least four characters with all ties.
 
-    Containment is an equi-join on four-character grams, checked afterwards, so messages are
-    never compared with every zone.
+    Containment is found by equi-joins only. A position of a message is looked up by its first
+    four characters, which yields the possible label lengths and so the exact candidate labels;
+    rows carry a window of label length, never the whole text again. For the reverse direction
+    the few zone labels are expanded to their parts and matched with the whole message.
     """
     m = messages.select(key, F.lower(F.trim(text)).alias("t")).filter("t <> ''")
     z = zones.select("code", F.lower(F.trim("name")).alias("label"), F.lower("code").alias("lc"))
@@ -170,24 +174,38 @@ def match_zone_names(messages: DataFrame, zones: DataFrame, key: str = "message_
     coded = (
         rest.withColumn("lc", F.lower(_group(F.col("t"), ZONE_CODE, 0))).join(z.select("code", "lc"), "lc").select(key, "code")
     )
-    loose = rest.join(coded.select(key), key, "left_anti")
-
-    def grams(c: str) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda i: F.substr(F.col(c), i, F.lit(GRAM))))
-
-    long_m, long_z = loose.filter(F.length("t") >= GRAM), z.filter(F.length("label") >= GRAM)
+    loose = rest.join(coded.select(key), key, "left_anti").filter(F.length("t") >= GRAM)
+    labels = z.filter(F.length("label") >= GRAM).select("code", "label")
+    heads = labels.groupBy(F.substring("label", 1, GRAM).alias("g")).agg(F.collect_set(F.length("label")).alias("lens"))
+    longest = one_row(labels.agg(F.coalesce(F.max(F.length("label")), F.lit(GRAM)).alias("n")))["n"]
+    starts = F.sequence(F.lit(1), F.length("t") - (GRAM - 1))
     inside = (
-        long_m.select(key, "t", F.explode(grams("t")).alias("g"))
-        .join(long_z.select("code", "label", F.substring("label", 1, GRAM).alias("g")), "g")
-        .filter(F.contains("t", "label"))
-        .select(key, "code", F.length("label").alias("n"))
+        loose.withColumn("n", longest)
+        .select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("t"), i, F.col("n"))))).alias("w"))
+        .withColumn("g", F.substring("w", 1, GRAM))
+        .join(heads, "g")
+        .select(key, "w", F.explode("lens").alias("n"))
+        .filter(F.length("w") >= F.col("n"))
+        .select(key, "n", F.substr(F.col("w"), F.lit(1), F.col("n")).alias("label"))
+        .distinct()
+        .join(labels, "label")
+        .select(key, "code", "n")
     )
-    around = (
-        long_m.select(key, "t", F.substring("t", 1, GRAM).alias("g"))
-        .join(long_z.select("code", "label", F.explode(grams("label")).alias("g")), "g")
-        .filter(F.contains("label", "t"))
-        .select(key, "code", F.length("t").alias("n"))
+    size = F.length("label")
+    parts = labels.select(
+        "code",
+        F.explode(
+            F.array_distinct(
+                F.flatten(
+                    F.transform(
+                        F.sequence(F.lit(1), size - (GRAM - 1)),
+                        lambda i: F.transform(F.sequence(F.lit(GRAM), size - i + 1), lambda n: F.substr(F.col("label"), i, n)),
+                    )
+                )
+            )
+        ).alias("t"),
     )
+    around = loose.join(parts, "t").select(key, "code", F.length("t").alias("n"))
     found = inside.unionByName(around).groupBy(key, "code").agg(F.max("n").alias("n"))
     best = found.groupBy(key).agg(F.max("n").alias("n"))
     return exact.unionByName(coded).unionByName(found.join(best, [key, "n"]).select(key, "code"))

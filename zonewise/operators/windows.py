@@ -193,7 +193,7 @@ def horizon_interpretation(windows: DataFrame, horizon: int, span: int = 7) -> D
     )
 
 
-def fraction_split(windows: DataFrame, train: float = 0.7, validation: float = 0.1) -> DataFrame:
+def fraction_split(windows: DataFrame, train: float = 0.70, validation: float = 0.15) -> DataFrame:
     """Chronological floor/floor/remainder cut by (target, origin, id) over the windows of a calendar."""
     n = windows.agg(F.count(F.lit(1)).alias("n"))
     pos = F.row_number().over(W.orderBy("target", "origin", "sample_id"))
