@@ -22,9 +22,9 @@ def token(col: Column) -> Column:
 def report_date(col: Column) -> Column:
     """``YYYYMMDD`` first, then ``YYYY-MM-DD``; a trailing ``.0`` is dropped; other layouts give null."""
     text = F.regexp_replace(token(col), r"\.0$", "")
-    compact = F.when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
-    return F.coalesce(compact, iso).cast("date")
+    dashed = F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))
+    iso = F.when(text.rlike(r"^\d{8}$"), dashed).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text)
+    return iso.try_cast("date")
 
 
 def r6(col: Column) -> Column:
