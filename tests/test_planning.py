@@ -139,3 +139,18 @@ def test_metrics_edge_cases(spark):
     assert flat.select(evaluate.skill(F.lit(1.0), F.lit(0.0)).alias("s")).first()["s"] is None
     nll = flat.limit(1).agg(evaluate.gaussian_nll(F.col("y"), F.col("mu"), F.lit(4.0)).alias("v")).first()["v"]
     assert nll == pytest.approx(0.5 * (math.log(2 * math.pi) + math.log(4.0) + 0.25))
+
+
+def test_blocks_are_disjoint_and_short_history_is_reported(spark):
+    pool = spark.sql(
+        "select row_number() over (order by origin) - 1 sample_id, origin, date_add(origin, 7) target "
+        "from (select explode(sequence(date'2022-01-01', date'2022-06-30', interval 1 day)) origin)"
+    )
+    test = pool.filter("origin >= date'2022-03-20'")
+    ups = rolling.update_dates(test)
+    blocks = rolling.assign_blocks(pool, test, ups, 60)
+    assert rolling.leakage_audit(blocks).filter("not passed").count() == 0
+    first = {r["block"]: r["n"] for r in rolling.plan(pool, test, ups, (60,)).filter("update = date'2022-03-20'").collect()}
+    assert first == {"fitting": 16, "selection": 28, "calibration": 28, "predict": 28}
+    late = {str(r["update"]): r["missing"] for r in rolling.short_history(ups, rolling.assign_blocks(pool, test, ups, 60, 60, 40)).collect()}
+    assert late == {"2022-03-20": ["fitting"], "2022-04-17": ["fitting"]}

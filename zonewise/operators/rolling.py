@@ -76,6 +76,14 @@ def assign_blocks(
     return labelled.drop("_last").unionByName(ahead)
 
 
+def short_history(updates: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Updates that cannot be run: a labelled block or the predict block has no samples."""
+    seen = blocks.groupBy("update").agg(F.collect_set("block").alias("have"))
+    need = F.array(*[F.lit(b) for b in (FIT, SELECT, CALIBRATE, PREDICT)])
+    out = updates.join(seen, "update", "left").withColumn("have", F.coalesce("have", F.array().cast("array<string>")))
+    return out.select("update", F.array_except(need, "have").alias("missing")).filter(F.size("missing") > 0)
+
+
 def window_label(days: int | None) -> str:
     return "Wall" if days is None else f"W{days}"
 

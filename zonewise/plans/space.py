@@ -307,3 +307,28 @@ def tagged_points(spark, sf):
     return pts.groupBy(F.when(F.col("type") == "node", F.lit(0)).otherwise(F.lit(1)).cast("long").alias("kind")).agg(
         F.count(F.lit(1)).alias("n"), F.count("name").alias("n_named"), F.sum(F.col("k").cast("int")).alias("k_total")
     )
+
+
+@query("candidate_site_table", "J5 J6 J7 J9 PF9 S1 A25", f"""WITH c AS ({CARS}), cz AS ({CENTROIDS}), f AS (SELECT * FROM c WHERE lower(coalesce(access,'')) NOT IN ('private','no') AND parking<>'underground' AND coalesce(name,'') NOT LIKE '%irport%'
+ AND lower(coalesce(operator,'')) NOT LIKE '%airport%' AND (coalesce(TRY_CAST(capacity AS DOUBLE),0)>=20 OR lower(coalesce(park_and_ride,''))='yes' OR (name IS NOT NULL AND name<>'Public Car Park'))),
+ pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY round_even(x/100,0), round_even(y/100,0) ORDER BY site_id) AS r FROM f) WHERE r=1),
+ mb AS (SELECT 'MS_'||row_number() OVER (ORDER BY site_id) AS site_id, coalesce(name,'Public Car Park') AS site_name, 'mobile_stop' AS site_type, x, y,
+  (SELECT arg_min(zone, (sqrt((cz.x-pk.x)**2+(cz.y-pk.y)**2), zone)) FROM cz) AS zone, 'provisional' AS suitability FROM pk),
+ gp AS (SELECT 'GP_'||c_custkey AS site_id, c_name AS site_name, 'gp' AS site_type, (s_suppkey*10)::DOUBLE AS x, s_acctbal AS y, n_name AS zone, 'confirmed' AS suitability
+  FROM customer JOIN nation ON n_nationkey=c_nationkey LEFT JOIN supplier ON s_suppkey=c_custkey%120 WHERE n_regionkey=1),
+ al AS (SELECT * FROM mb UNION ALL SELECT * FROM gp)
+ SELECT site_id, site_name, site_type, {r6('al.x')} AS x, {r6('al.y')} AS y, zone, {r6('round_even(cz.x,2)')} AS zone_x, suitability FROM al LEFT JOIN cz USING (zone)""")
+def candidate_site_table(spark, sf):
+    from zonewise.operators import sites
+
+    k = F.col("c_custkey")
+    register = table(spark, sf, "customer").select(
+        k.alias("id"), F.col("c_name").alias("name"), F.concat(F.lit("eh "), (k % 120).cast("string"), F.lit(" x")).alias("postcode"), F.col("c_nationkey").alias("area")
+    )
+    lookup = table(spark, sf, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("area"), F.col("n_name").alias("zone"))
+    codes = table(spark, sf, "supplier").select(
+        F.concat(F.lit("EH"), F.col("s_suppkey").cast("string"), F.lit("X")).alias("postcode"), (F.col("s_suppkey") * 10).cast("double").alias("x"), F.col("s_acctbal").alias("y")
+    )
+    z = centroids(spark, sf)
+    merged = sites.merge_sites(sites.mobile_sites(parking(spark, sf), z), sites.clinic_sites(register, lookup, z, codes, "GP_", "gp"))
+    return rounded(merged.select("site_id", "site_name", "site_type", "x", "y", "zone", "zone_x", "suitability"))
