@@ -25,7 +25,7 @@ def _model(path: str):
 
 
 @lru_cache(maxsize=2)
-def _isolated_newline(path: str) -> bool:
+def _blank_opens_piece(path: str) -> bool:
     """Whether the vocabulary proves that no piece reaches over the start of a run of blanks.
 
     A boundary before a blank that follows another character is stable if a piece holds the blank
@@ -44,7 +44,7 @@ def _stable(text: str, begins: np.ndarray) -> np.ndarray:
 
 
 def _starts(model, text: str) -> np.ndarray:
-    return np.array([p.begin for p in model.encode(text, out_type="immutable_proto").pieces], np.int64)
+    return np.array([begin for begin, _ in model.encode(text, out_type="offset_mapping")["offsets"]], np.int64)
 
 
 def encode_chunk(path: str, text: str, overlap: int, first: bool, last: bool) -> tuple[int, list[int], list[int], list[int], list[int]]:
@@ -55,7 +55,7 @@ def encode_chunk(path: str, text: str, overlap: int, first: bool, last: bool) ->
     """
     model = _model(path)
     begins = _starts(model, text)
-    proven = _isolated_newline(path)
+    proven = _blank_opens_piece(path)
     marks = _stable(text, begins) if proven else np.array([], np.int64)
     before = np.searchsorted(begins, marks, "left")
     left = marks <= overlap if not first else np.zeros(len(marks), bool)
