@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from zonewise.llm import chat, mixing, sharding, tokens, warc
+from zonewise.llm import chat, jaccard, mixing, sharding, tokens, toxicity, warc
 from zonewise.session import checkpoint_root, pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,15 @@ def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path).drop("url")
 
 
+@_query("op9_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document by a machine that has seen no held-out label."""
+    docs, held = _table(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"))
+    machine = toxicity.train(docs, _table(spark, sf_dir, "labels").filter(~held))
+    scored = toxicity.score(docs, machine)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 _OP10_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
@@ -131,3 +140,29 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+_SHINGLES_SQL = r"""
+w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] END) AS s FROM w)"""
+
+_OP6_SQL = (
+    "WITH RECURSIVE"
+    + _SHINGLES_SQL
+    + """,
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
+h AS MATERIALIZED (SELECT doc_id, n, hash(x) AS x FROM e),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS total, count(*) AS common
+      FROM h a JOIN h b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * common >= 85 * (total - common)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM g UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT g.doc_id, len(g.s)::BIGINT AS n_shingles, min(r.b) AS component_id FROM g JOIN r ON g.doc_id = r.a GROUP BY g.doc_id, g.s
+"""
+)
+
+
+@_query("op6_jaccard_components", _OP6_SQL)
+def jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under a Jaccard similarity of 0.85 of their 4-word shingles."""
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), 4, 85)
