@@ -1,6 +1,11 @@
+import os
+import sys
+
 import pytest
 from pyspark.sql import types as T
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 DOCS = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("text", T.StringType()),
@@ -23,6 +28,3 @@ def documents(spark):
 
     return make
 
-
-def words(rng, n, vocabulary=5000):
-    return " ".join(f"w{rng.randrange(vocabulary)}x" for _ in range(n))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from zonewise.llm import chat, jaccard, mixing, sharding, tokens, toxicity, warc
+from zonewise.llm import chat, jaccard, mixing, sharding, spots, tokens, toxicity, warc
 from zonewise.session import checkpoint_root, pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,27 @@ SELECT g.doc_id, len(g.s)::BIGINT AS n_shingles, min(r.b) AS component_id FROM g
 def jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under a Jaccard similarity of 0.85 of their 4-word shingles."""
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), 4, 85)
+
+
+@_query("op2_spot_signatures")
+def spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of the document whose last half its successor overwrites."""
+    met = spots.with_next(_table(spark, sf_dir, "documents"))
+    edited = met.withColumn("edited", spots.half_edited(F.col("text"), F.col("next_text")))
+    marked = edited.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "spots",
+        "next_spots",
+        F.explode(F.array(spots.signatures(F.col("edited")))).alias("edited_spots"),
+    )
+    return marked.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        spots.fingerprint(F.col("spots")).alias("fingerprint"),
+        spots.fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
+        spots.likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
+        spots.likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
+    )
