@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from zonewise.llm import chat, jaccard, mixing, sharding, spots, tokens, toxicity, warc
+from zonewise.llm import chat, decontaminate, jaccard, licences, mixing, sharding, spots, tokens, toxicity, warc
 from zonewise.session import checkpoint_root, pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,18 @@ def hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op3_benchmark_leaks")
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a stretch within the edit bound of a benchmark item."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op4_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate block of every document with the license its wording confirms."""
+    return licences.license_scan(_table(spark, sf_dir, "documents"))
+
+
 _OP5_SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
