@@ -203,8 +203,8 @@ def held_out(key):
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score stays under ``threshold``."""
-    machine = train(docs, labels.filter(~held_out(F.col("doc_id"))))
+    """The rows of ``docs`` whose score stays under ``threshold``, by a machine that learns from all labels."""
+    machine = train(docs, labels)
     inner = docs.select(*[F.col(c).alias(f"_z_c{i}") for i, c in enumerate(docs.columns)])
     kept = score(inner, machine, f"_z_c{docs.columns.index('text')}", tuple(inner.columns)).filter(F.col("score") < threshold)
     return kept.select(*[F.col(f"_z_c{i}").alias(c) for i, c in enumerate(docs.columns)])
