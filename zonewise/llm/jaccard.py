@@ -230,11 +230,12 @@ def _cut(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     sized = sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     share = F.pmod(F.xxhash64("region", "doc_id"), F.lit(1 << 20)) * F.col("homes") < F.lit(PIVOTS << 20)
     pivots = sized.filter(F.col("home") & share)
-    spread = pivots.select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("doc_id").alias("pivot"), F.col("keys"))
+    block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p_block")
+    spread = pivots.select(F.col("region").alias("p_region"), block, F.col("doc_id").alias("pivot"), F.col("keys").alias("p_keys"))
 
     def assign(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         order = right.sort_values("pivot")
-        names, sets = order["pivot"].tolist(), [_unsigned(k) for k in order["keys"]]
+        names, sets = order["pivot"].tolist(), [_unsigned(k) for k in order["p_keys"]]
         out = []
         for doc, keys, home in zip(left["doc_id"], left["keys"], left["home"]):
             if not names:
@@ -245,7 +246,7 @@ def _cut(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
                 out.append((int(key[0]), names[j], doc, bool(home and j == near)))
         return pd.DataFrame(out, columns=["region", "pivot", "doc_id", "home"])
 
-    put = sized.select("region", "block", "doc_id", "keys", "home").groupBy("region", "block").cogroup(spread.groupBy("region", "block"))
+    put = sized.select("region", "block", "doc_id", "keys", "home").groupBy("region", "block").cogroup(spread.groupBy("p_region", "p_block"))
     placed = pin(put.applyInPandas(assign, "region long, pivot long, doc_id long, home boolean"))
     cells = placed.groupBy("region", "pivot").agg(F.count(F.lit(1)).alias("cell"))
     totals = cells.groupBy("region").agg(F.sum("cell").alias("copies"), F.max("cell").alias("most"))
@@ -323,14 +324,14 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     links = _links(ready, members, n, percent)
     roots = components(links)
     # A doc_id that stands for several texts ties them together.
-    alike = known.join(names, ["h1", "h2", "n_shingles"]).select("doc_id", "rep").distinct()
-    tied = alike.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
+    tied = pin(known.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("doc_id"))
     if tied.limit(1).count():
-        extra = alike.join(tied.select("doc_id"), "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-        roots = components(links.unionByName(extra))
+        alike = known.join(tied, "doc_id").join(names, ["h1", "h2", "n_shingles"])
+        roots = components(links.unionByName(alike.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     found = digests.join(names, ["h1", "h2", "n_shingles"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", F.coalesce(own, "root", "rep", "doc_id").alias("component_id"))
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    component = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("root", "rep", "doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def _links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
