@@ -9,7 +9,7 @@ from check_oracle import compare, duck
 SF = "/root/testdata/sf0.01"
 FAST = (
     "persistence_week_ahead_by_zone suppression_scenario_totals scenario_statistics duplicate_report_keys zone_indicator_rollup "
-    "excluded_windows mobility_graph diffused_features rook_contiguity public_car_parks demand_weights message_zones raw_text_round_trip"
+    "excluded_windows mobility_graph diffused_features rook_contiguity public_car_parks demand_weights message_zones raw_text_round_trip output_manifest forecast_intervals retrospective_table zone_risk_table"
 ).split()
 
 

@@ -5,9 +5,7 @@ from pyspark.sql import functions as F
 from zonewise.functions import ranking
 
 
-@pytest.mark.parametrize("limit", [200_000, 10])
-def test_order_statistics_match_numpy_on_both_routes(spark, monkeypatch, limit):
-    monkeypatch.setattr(ranking, "DIRECT_GROUP_ROWS", limit)
+def test_order_statistics_match_numpy(spark):
     rng = np.random.default_rng(0)
     data = [("hot", float(v)) for v in np.round(rng.lognormal(3, 2, 9000), 2)] + [("ties", 7.0)] * 500 + [("few", 1.0), ("few", 2.0), ("few", None)]
     df = spark.createDataFrame(data, "g string, v double")
@@ -21,6 +19,19 @@ def test_order_statistics_match_numpy_on_both_routes(spark, monkeypatch, limit):
     assert whole == pytest.approx(np.median([v for _, v in data if v is not None]))
 
 
+def test_equal_neighbours_and_small_groups_are_exact(spark):
+    rng = np.random.default_rng(1)
+    groups = {n: np.round(rng.lognormal(0, 1, n), 1) for n in (1, 2, 3, 5, 7, 11, 40, 140, 1000)}
+    groups[141] = np.repeat(0.1 + 0.2, 140)
+    df = spark.createDataFrame([(n, float(v)) for n, vs in groups.items() for v in vs], "g int, v double")
+    wanted = {f"p{p}": ranking.Rank.linear(p / 100) for p in (0, 5, 30, 50, 90, 100)}
+    got = {r["g"]: r for r in ranking.order_statistics(df, "v", wanted, ["g"]).collect()}
+    for n, vs in groups.items():
+        for p in (0, 5, 30, 50, 90, 100):
+            assert got[n][f"p{p}"] == pytest.approx(np.quantile(vs, p / 100), rel=1e-12)
+    assert got[141]["p90"] == 0.1 + 0.2
+
+
 def test_positions_and_ranks(spark):
     df = spark.createDataFrame([("a", 3), ("b", 1), ("a", 1), ("a", 2)], "g string, v int")
     pos = {(r["g"], r["v"]): r["position"] for r in ranking.dense_position(df, [F.col("g"), F.col("v")]).collect()}

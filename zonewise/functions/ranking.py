@@ -10,7 +10,6 @@ from zonewise.functions.scalars import one_row
 from zonewise.session import pin
 
 SKETCH_ACCURACY = 10_000
-DIRECT_GROUP_ROWS = 200_000
 
 
 def dense_position(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
@@ -61,9 +60,10 @@ class Rank:
 def order_statistics(df: DataFrame, value: str, wanted: dict[str, Rank], keys: Sequence[str] = ()) -> DataFrame:
     """Exact order statistics, one row per key with ``n`` and a column per wanted name.
 
-    A bounded sketch finds a narrow value band around every wanted rank. Rows below the
-    band are only counted, rows inside it are collapsed to distinct values before they
-    are ranked. Groups small enough to rank directly skip the band.
+    A bounded sketch finds a narrow value band around every wanted rank. Rows outside the band
+    are only counted, with the nearest value on either side kept, since the rank may lie one past
+    the sketch. Rows inside are collapsed to distinct values, range-partitioned and numbered by
+    running counts, so a band is never sorted in one task. A rank that is not found stops the query.
     """
     keys = list(keys)
     src = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
@@ -83,14 +83,18 @@ def order_statistics(df: DataFrame, value: str, wanted: dict[str, Rank], keys: S
         row = src.join(bounds, keys)
     else:
         row = src.withColumn("_b", one_row(bounds)).select("_v", "_b.n", "_b._e")
-    wide = F.col("n") > DIRECT_GROUP_ROWS
-    low = [F.when(wide & F.lit(edges[2 * i] > 0), F.col("_e")[2 * i]).otherwise(float("-inf")) for i in range(len(names))]
-    high = [F.when(wide & F.lit(edges[2 * i + 1] < 1), F.col("_e")[2 * i + 1]).otherwise(float("inf")) for i in range(len(names))]
+    low = [F.col("_e")[2 * i] if edges[2 * i] > 0 else F.lit(float("-inf")) for i in range(len(names))]
+    high = [F.col("_e")[2 * i + 1] if edges[2 * i + 1] < 1 else F.lit(float("inf")) for i in range(len(names))]
     inside = [(F.col("_v") >= lo) & (F.col("_v") <= hi) for lo, hi in zip(low, high)]
-    below = row.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        *[F.count_if(F.col("_v") < lo).alias(f"_below{i}") for i, lo in enumerate(low)],
-    )
+    outside = []
+    for i, (lo, hi) in enumerate(zip(low, high)):
+        outside += [
+            F.count_if(F.col("_v") < lo).alias(f"_below{i}"),
+            F.count_if(inside[i]).alias(f"_inside{i}"),
+            F.max(F.when(F.col("_v") < lo, F.col("_v"))).alias(f"_before{i}"),
+            F.min(F.when(F.col("_v") > hi, F.col("_v"))).alias(f"_after{i}"),
+        ]
+    below = row.groupBy(*keys).agg(F.first("n").alias("n"), *outside)
     # Which bands a row lies in, as the bits of one integer: a cheap grouping key.
     bits = sum((F.when(hit, 1 << i).otherwise(0) for i, hit in enumerate(inside)), F.lit(0))
     each = F.array(*[F.lit(i) for i in range(len(names))])
@@ -103,25 +107,47 @@ def order_statistics(df: DataFrame, value: str, wanted: dict[str, Rank], keys: S
         .filter(F.col("_in").bitwiseAND(F.expr("shiftleft(1, _i)")) != 0)
         .drop("_in")
     )
-    upto = W.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = band.withColumn("_hi", F.sum("_c").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    ranked = running_count(band, keys + ["_i"], "_v", "_c").withColumn("_lo", F.col("_hi") - F.col("_c"))
     if keys:
         ranked = ranked.join(below, keys)
     else:
         ranked = ranked.withColumn("_b", one_row(below)).select("_v", "_i", "_hi", "_lo", "_b.*")
     aggs = []
     for i, name in enumerate(names):
-        r, base = wanted[name], F.col(f"_below{i}")
+        r, base, last = wanted[name], F.col(f"_below{i}"), F.col(f"_below{i}") + F.col(f"_inside{i}")
         mine = F.col("_i") == i
 
         def at(rank: Column) -> Column:
-            return F.max(F.when(mine & (rank > base + F.col("_lo")) & (rank <= base + F.col("_hi")), F.col("_v")))
-
-        aggs.append(
-            (at(r.low) * (1 - F.max(r.weight)) + F.coalesce(at(r.high), F.lit(0.0)) * F.max(r.weight)).alias(name)
-        )
+            here = F.when(mine & (rank > base + F.col("_lo")) & (rank <= base + F.col("_hi")), F.col("_v"))
+            beside = F.when(rank == base, F.col(f"_before{i}")).when(rank == last + 1, F.col(f"_after{i}"))
+            found = F.coalesce(F.max(F.coalesce(here, beside)), F.raise_error(F.lit(f"rank of {name} lies outside its band")))
+            return F.when(F.max(rank) <= F.max("n"), found)  # a rank past the last row has no value
+
+        lowest, highest = at(r.low), at(r.high)
+        # Written so that two equal neighbours give back that very value.
+        aggs.append((lowest + (highest - lowest) * F.max(r.weight)).alias(name))
     return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
 
 
+def running_count(df: DataFrame, groups: Sequence[str], order: str, count: str) -> DataFrame:
+    """``df`` with ``_hi``, the sum of ``count`` up to and with each row of its group.
+
+    Ranges are summed on their own; a table with a row per range and group shifts them.
+    """
+    ranged = pin(df.repartitionByRange(*groups, order).withColumn("_range", F.spark_partition_id()))
+    before = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranged.groupBy("_range", *groups).agg(F.sum(count).alias("_n")).select(
+        "_range", *groups, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    upto = W.partitionBy("_range", *groups).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    on = ["_range", *groups]
+    start_of = starts.select(*[F.col(g).alias(f"_s{j}") for j, g in enumerate(on)], "_start")
+    met = F.lit(True)
+    for j, g in enumerate(on):
+        met = met & F.col(g).eqNullSafe(F.col(f"_s{j}"))
+    shifted = ranged.withColumn("_within", F.sum(count).over(upto)).join(start_of, met)
+    return shifted.select(*df.columns, (F.col("_within") + F.col("_start")).alias("_hi"))
+
+
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
     return order_statistics(df, value, {k: Rank.linear(p) for k, p in probs.items()}, keys)

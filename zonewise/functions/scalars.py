@@ -19,6 +19,12 @@ def token(col: Column) -> Column:
     return F.trim(F.coalesce(col.cast("string"), F.lit("")))
 
 
+def required_code(col: Column, name: str) -> Column:
+    """The trimmed code; a missing or blank one stops the query."""
+    code = F.trim(col.cast("string"))
+    return F.when(F.coalesce(code, F.lit("")) != "", code).otherwise(F.raise_error(F.lit(f"{name} is missing")))
+
+
 def report_date(col: Column) -> Column:
     """``YYYYMMDD`` first, then ``YYYY-MM-DD``; a trailing ``.0`` is dropped; other layouts give null."""
     text = F.regexp_replace(token(col), r"\.0$", "")

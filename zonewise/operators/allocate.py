@@ -6,12 +6,13 @@ Scenarios are rows, so all of them are solved together. The zone x site matrix s
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from zonewise.functions.ranking import quantiles
-from zonewise.functions.scalars import one_row, relative_to_mean, unit_share
-from zonewise.operators.checks import as_check
+from zonewise.functions.scalars import one_row, relative_to_mean, required_code, unit_share
+from zonewise.operators.checks import as_check, unique_key
 from zonewise.session import pin
 
 UNREACHED = 1.0e6
@@ -24,7 +25,7 @@ GAIN_TYPE = "decimal(28,9)"
 
 
 def load_sites(df: DataFrame, aliases: dict[str, Sequence[str]]) -> DataFrame:
-    """Resolve id / easting / northing by the first alias present; trims ids, drops rows without one."""
+    """Resolve id / easting / northing by the first alias present; trims ids. A row without an id stops the query."""
     def pick(names):
         found = [n for n in names if n in df.columns]
         if not found:
@@ -34,7 +35,13 @@ def load_sites(df: DataFrame, aliases: dict[str, Sequence[str]]) -> DataFrame:
     used = {n for names in aliases.values() for n in names}
     rest = [c for c in df.columns if c not in used]
     out = df.select(*[pick(names).alias(k) for k, names in aliases.items()], *rest)
-    return out.withColumn("site_id", F.trim(F.col("site_id").cast("string"))).filter("site_id <> ''")
+    return out.withColumn("site_id", required_code(F.col("site_id"), "site_id"))
+
+
+def site_checks(sites: DataFrame, types: Sequence[str]) -> DataFrame:
+    """Repeated ids, and whether any site is eligible at all."""
+    none = sites.agg(F.count_if(F.lower("site_type").isin(*[t.lower() for t in types])).alias("n")).filter("n = 0")
+    return unique_key(sites, ["site_id"], "site_id_repeated").unionByName(as_check(none, "no_eligible_site", "error", F.col("n")))
 
 
 def eligible_sites(sites: DataFrame, types: Sequence[str]) -> DataFrame:
@@ -178,9 +185,13 @@ def site_gains(pairs: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def greedy_select(pairs: DataFrame, demand: DataFrame, threshold: float, n_sites: int = 6, kind: str = "binary") -> DataFrame:
+def greedy_select(
+    pairs: DataFrame, demand: DataFrame, threshold: float, n_sites: int = 6, kind: str = "binary", sites: DataFrame | None = None
+) -> DataFrame:
     """(scenario, step, site_id, cover_gain, access_gain) for ``n_sites`` rounds.
 
+    ``sites`` names all eligible sites; those that no zone reaches stay in the race with no gain.
+
     A round is one join and one aggregate over the pairs whatever the number of candidates.
     Ties go to the smaller site id. Gains are exact decimal sums, so the order in which
     partial sums arrive cannot change the choice.
@@ -192,8 +203,14 @@ def greedy_select(pairs: DataFrame, demand: DataFrame, threshold: float, n_sites
     first = F.when(cover_first, F.col("cover_gain")).otherwise(F.col("access_gain"))
     second = F.when(cover_first, F.col("access_gain")).otherwise(F.col("cover_gain"))
     chosen: DataFrame | None = None
+    every = None
+    if sites is not None:
+        names = start.agg(F.collect_set("scenario").alias("s"))
+        every = pin(sites.select("site_id").distinct().withColumn("scenario", F.explode(one_row(names)["s"])))
     for step in range(1, n_sites + 1):
         gains = site_gains(pairs, greedy_state(pairs, start, chosen))
+        if every is not None:
+            gains = every.join(gains, ["scenario", "site_id"], "left").fillna({"access_gain": 0, "cover_gain": 0})
         if chosen is not None:
             gains = gains.join(chosen.select("scenario", "site_id"), ["scenario", "site_id"], "left_anti")
         best = pin(
@@ -268,7 +285,7 @@ def run_scenarios(
     zones = pin(zones)
     pairs = pin(prepare_pairs(zones, sites, travel, mode))
     demand = pin(demand_weights(zones))
-    chosen = (solver or greedy_select)(pairs, demand, threshold, n_sites)
+    chosen = (solver or partial(greedy_select, sites=sites))(pairs, demand, threshold, n_sites)
     assigned = pin(assign_zones(pairs, zones.select("zone", "population"), chosen, threshold))
     return {"pairs": pairs, "demand": demand, "selected": chosen, "assigned": assigned, "metrics": allocation_metrics(assigned)}
 

@@ -1,33 +1,37 @@
-"""Identity of a node order: SHA-256 over the codes joined in index order."""
+"""Identity of a node order: a SHA-256 tree over the codes in index order."""
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, functions as F
 
-IN_ROW_NODES = 100_000
+BLOCK = 1_000
 
 
 def order_hash(nodes: DataFrame, code: str = "zone", index: str = "node_index") -> DataFrame:
     """One row: node count, hash of the newline join, and of the older pipe join.
 
-    The hash is sequential by definition. Up to ``IN_ROW_NODES`` codes are joined in one row;
-    larger node sets are streamed in order through a running digest of constant size.
+    Codes are joined and hashed in blocks of ``BLOCK`` by index, the block hashes are joined and
+    hashed in the same way, and so on until one is left. Up to ``BLOCK`` nodes that is the plain hash
+    of the joined codes; beyond, the value is the root of the tree and differs from a hash of one
+    long string. Indices count from 0.
     """
     n = nodes.count()
-    if n <= IN_ROW_NODES:
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct(index, code))), lambda s: s[code])
-        return nodes.agg(
-            F.count(F.lit(1)).alias("n_nodes"),
-            F.sha2(F.array_join(ordered, "\n"), 256).alias("order_hash"),
-            F.sha2(F.array_join(ordered, "|"), 256).alias("legacy_hash"),
+    level = nodes.select(F.col(index).cast("long").alias("i"), F.col(code).alias("canonical"), F.col(code).alias("legacy"))
+    left = n
+    while True:
+        rows = F.sort_array(F.collect_list(F.struct("i", "canonical", "legacy")))
+        blocks = level.groupBy(F.floor(F.col("i") / BLOCK).alias("b")).agg(rows.alias("r"))
+        level = blocks.select(
+            F.col("b").alias("i"),
+            F.sha2(F.array_join(F.transform("r", lambda x: x["canonical"]), "\n"), 256).alias("canonical"),
+            F.sha2(F.array_join(F.transform("r", lambda x: x["legacy"]), "|"), 256).alias("legacy"),
         )
-    canonical, legacy = hashlib.sha256(), hashlib.sha256()
-    for i, row in enumerate(nodes.select(code).orderBy(index).toLocalIterator()):
-        text = row[0].encode()
-        canonical.update(text if i == 0 else b"\n" + text)
-        legacy.update(text if i == 0 else b"|" + text)
-    return nodes.sparkSession.createDataFrame(
-        [(n, canonical.hexdigest(), legacy.hexdigest())], "n_nodes long, order_hash string, legacy_hash string"
+        left = -(-left // BLOCK)
+        if left <= 1:
+            break
+    nothing = F.sha2(F.lit(""), 256)
+    return level.agg(
+        F.lit(n).cast("long").alias("n_nodes"),
+        F.coalesce(F.min("canonical"), nothing).alias("order_hash"),
+        F.coalesce(F.min("legacy"), nothing).alias("legacy_hash"),
     )

@@ -250,7 +250,7 @@ def travel_time_matrix(arcs: DataFrame, zones: DataFrame, sites: DataFrame, digi
     )
     # The contract is a row for every pair. Pairs are built by an equi-join on a hash bucket of the
     # site, so the product is spread over all buckets instead of being nested in one task.
-    buckets = 64
+    buckets = int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per_zone = (
         zones.select(F.col("id").alias("zone"))
         .withColumn("_m", F.explode(_collected(modes, ["mode"])))

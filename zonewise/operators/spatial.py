@@ -13,6 +13,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from zonewise.functions.scalars import required_code
 from zonewise.session import pin
 
 # Parking that is not open to the public.
@@ -243,6 +244,6 @@ def poi_layers(layers: Sequence[DataFrame], classes: Sequence[str]) -> DataFrame
 
 
 def zone_origins(points: DataFrame, code_aliases: Sequence[str] = ("iz_code", "IntZone", "InterZone", "IZ_CODE", "zone")) -> DataFrame:
-    """One point per zone under the first code alias present."""
+    """One point per zone under the first code alias present; a row without a code stops the query."""
     code = next(c for c in code_aliases if c in points.columns)
-    return points.select(F.trim(code).alias("zone"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("zone <> ''")
+    return points.select(required_code(F.col(code), code).alias("zone"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))

@@ -77,7 +77,7 @@ SELECT src, dst, spend/sum(spend) OVER (PARTITION BY src)*100 AS share FROM (
 
 TRIPS = """
 SELECT DISTINCT a.o_custkey AS src, b.o_custkey AS dst FROM orders a JOIN orders b ON b.o_orderkey=a.o_orderkey+1
-WHERE a.o_orderpriority='1-URGENT' AND b.o_orderpriority='1-URGENT' AND a.o_custkey<>b.o_custkey"""
+WHERE a.o_custkey<>b.o_custkey"""
 
 ROADS = """
 SELECT seg_id, (i*100)::DOUBLE AS x1, (j*100)::DOUBLE AS y1,

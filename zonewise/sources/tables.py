@@ -181,10 +181,10 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected links between the customers of consecutive urgent-order keys (a sparse graph that grows)."""
-    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
-    a = urgent.select("o_orderkey", F.col("o_custkey").alias("src"))
-    b = urgent.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("dst"))
+    """Links between the customers of consecutive orders (a graph that grows)."""
+    orders = table(spark, sf_dir, "orders")
+    a = orders.select("o_orderkey", F.col("o_custkey").alias("src"))
+    b = orders.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("dst"))
     return a.join(b, "o_orderkey").filter("src <> dst").select("src", "dst").distinct()
 
 
