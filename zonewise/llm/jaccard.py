@@ -8,6 +8,9 @@ the shingle universe, k being the largest symmetric difference. Connected agreem
 first regions. Regions that are still large get pivots: texts go home to their nearest pivot (Voronoi)
 and are replicated as guests to every pivot within the triangle window, again and again until regions
 are small or the windows show that they cannot be cut, in which case they are joined in blocks.
+A region may also be a chain of unrelated texts that chance agreements tie together, as texts with a
+common passage have them; other divisions of the universe, each of which every pair within the bound
+passes as well, take such chains apart before pivots are drawn.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from zonewise.llm.components import components
 from zonewise.llm.words import mix, shingle_sets
@@ -26,6 +29,7 @@ from zonewise.session import pin
 REGION_ROWS = 512
 REGION_SHINGLES = 400_000
 PIVOTS = 16
+DIVISIONS = 4  # divisions of the universe that a large region must hold together under
 MOST_COPIES = 3.0  # a region is cut only if windows copy its rows fewer times than this
 _U = np.uint64
 
@@ -60,7 +64,7 @@ def set_digest(keys: np.ndarray) -> tuple[int, int]:
     return int(pair[0]), int(pair[1])
 
 
-def signatures(sets: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], scheme: Scheme, division: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(set, signature) rows: two sets within the bound share one signature at least."""
     sizes = np.array([len(s) for s in sets], np.int64)
     own, above = scheme.homes(sizes)
@@ -69,7 +73,7 @@ def signatures(sets: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, np.n
     parts = scheme.parts[level]
     flat = np.concatenate([sets[i] for i in member])
     entry = np.repeat(np.arange(len(member)), sizes[member])
-    spread = mix(flat ^ mix(level[entry].astype(_U) + _U(77)))
+    spread = mix(flat ^ mix(level[entry].astype(_U) + _U(77 + (division << 32))))
     base = np.concatenate(([0], np.cumsum(parts)))
     slot = base[entry] + ((spread >> _U(20)) % parts[entry].astype(_U)).astype(np.int64)
     total = np.zeros(base[-1], _U)
@@ -127,14 +131,32 @@ def _postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def _agreeing(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``h1`` and ``region`` of the sets that agree with another set on some part."""
-    from pyspark.sql import Window as W
-
     post = _postings(docs, n, percent)
     heads = post.withColumn("head", F.min("h1").over(W.partitionBy("sig"))).filter("h1 <> head")
     edges = pin(heads.select(F.col("h1").alias("a"), F.col("head").alias("b")).distinct())
     return components(edges).select(F.col("node").alias("h1"), F.col("root").alias("region"))
 
 
+def _divided(rows: DataFrame, percent: int, division: int) -> DataFrame:
+    """Large regions cut once more by another division; texts that agree with none are left out."""
+    scheme = Scheme(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = batch.column(2).values.to_numpy().view(_U), batch.column(2).offsets.to_numpy()
+            for lo in range(0, batch.num_rows, 256):
+                some = range(lo, min(lo + 256, batch.num_rows))
+                at, sig = signatures([flat[ends[i] : ends[i + 1]] for i in some], scheme, division)
+                take = pa.array(at + lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(sig)], ["region", "doc_id", "sig"])
+
+    post = rows.select("region", "doc_id", "keys").mapInArrow(run, "region long, doc_id long, sig long")
+    heads = post.withColumn("head", F.min("doc_id").over(W.partitionBy("region", "sig"))).filter("doc_id <> head")
+    found = components(pin(heads.select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()))
+    parts = found.select(F.col("node").alias("doc_id"), F.xxhash64(F.lit(division), "root").alias("part"))
+    return rows.join(parts, "doc_id").select(F.col("part").alias("region"), "doc_id", "keys", "home")
+
+
 def joined_roots(sets: list[np.ndarray], home: np.ndarray, percent: int) -> np.ndarray:
     """Smallest index linked with each set of a region, exactly; two guests are left to their homes."""
     n = len(sets)
@@ -337,14 +359,17 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 def _links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     rows = pin(_sets(docs, members, n).withColumn("home", F.lit(True)))
     parts = []
-    for _ in range(8):
+    for step in range(DIVISIONS + 8):
         sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("keys")).alias("s"))
         large = pin(sizes.filter((F.col("n") > REGION_ROWS) | (F.col("n") > 1) & (F.col("s") > REGION_SHINGLES)).select("region"))
         parts.append(_region_links(rows.join(large, "region", "left_anti"), percent))
-        big = rows.join(large, "region", "left_semi")
         if not large.limit(1).count():
             break
-        cut, rest = _cut(pin(big), percent)
+        big = pin(rows.join(large, "region", "left_semi"))
+        if step < DIVISIONS:
+            rows = pin(_divided(big, percent, step + 1))
+            continue
+        cut, rest = _cut(big, percent)
         parts.append(_region_links(_in_blocks(rest), percent))
         rows = pin(cut)
     else:
