@@ -105,25 +105,35 @@ def number_nodes(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def crossings(segments: DataFrame, size: float) -> DataFrame:
-    """Pairs of segments that cross in their interiors or overlap along a line.
-
-    Segments meet in the grid cells of their bounding boxes. A pair is tested only in the cell
-    that holds the lower-left corner of the boxes' intersection, so it is seen exactly once and
-    no distinct is needed. Touching at an end point of either is no crossing.
+    """Lines that cross in their interiors or overlap, with how many segment pairs do so and how.
+
+    Segments of one course are one line that carries their number and, by grade, the number of
+    those whose grade is fully known; pairs of segments are products of these numbers. Lines meet in
+    the grid cells of their bounding boxes. A pair is tested only in the cell that holds the
+    lower-left corner of the boxes' intersection, so it is seen exactly once and no distinct is
+    needed. Touching at an end point of either is no crossing. A line overlaps itself where it
+    stands for several segments. ``n_pairs`` is the sum of the last three columns.
     """
-    own = ("seg_id", "x1", "y1", "x2", "y2", "grade", "grade_complete")
-    box = {
-        "x0": F.least("x1", "x2"), "x9": F.greatest("x1", "x2"), "y0": F.least("y1", "y2"), "y9": F.greatest("y1", "y2"),
-    }
-    s = segments.select(*own).withColumns(box)
-    s = s.withColumn("cx", F.explode(F.sequence(cell(F.col("x0"), size), cell(F.col("x9"), size))))
-    s = s.withColumn("cy", F.explode(F.sequence(cell(F.col("y0"), size), cell(F.col("y9"), size))))
-    keep = (*own, "x0", "x9", "y0", "y9")
-    a = s.select("cx", "cy", *[F.col(n).alias(f"a_{n}") for n in keep])
-    b = s.select("cx", "cy", *[F.col(n).alias(f"b_{n}") for n in keep])
+    ends = F.sort_array(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))
+    graded = (
+        segments.withColumn("e", ends)
+        .groupBy("e", F.when(F.col("grade_complete"), F.col("grade")).alias("grade"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    known = F.map_from_entries(F.collect_list(F.when(F.col("grade").isNotNull(), F.struct("grade", "n"))))
+    lines = graded.groupBy("e").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("grade").isNotNull(), F.col("n"))), F.lit(0)).alias("c"), known.alias("g"))
+    x, y = [F.col("e")[i]["x"] for i in (0, 1)], [F.col("e")[i]["y"] for i in (0, 1)]
+    s = pin(lines.select(x[0].alias("x1"), y[0].alias("y1"), x[1].alias("x2"), y[1].alias("y2"), "n", "c", "g"))
+    own = ("x1", "y1", "x2", "y2", "n", "c", "g", "x0", "x9", "y0", "y9")
+    s = s.withColumns({"x0": F.least("x1", "x2"), "x9": F.greatest("x1", "x2"), "y0": F.least("y1", "y2"), "y9": F.greatest("y1", "y2")})
+    cells = s.withColumn("cx", F.explode(F.sequence(cell(F.col("x0"), size), cell(F.col("x9"), size))))
+    cells = cells.withColumn("cy", F.explode(F.sequence(cell(F.col("y0"), size), cell(F.col("y9"), size))))
+    a = cells.select("cx", "cy", *[F.col(n).alias(f"a_{n}") for n in own])
+    b = cells.select("cx", "cy", *[F.col(n).alias(f"b_{n}") for n in own])
     x0, y0 = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
+    first = F.struct("a_x1", "a_y1", "a_x2", "a_y2") < F.struct("b_x1", "b_y1", "b_x2", "b_y2")
     met = (
-        (F.col("a_seg_id") < F.col("b_seg_id"))
+        first
         & (x0 <= F.least("a_x9", "b_x9"))
         & (y0 <= F.least("a_y9", "b_y9"))
         & (cell(x0, size) == F.col("cx"))
@@ -140,18 +150,45 @@ def crossings(segments: DataFrame, size: float) -> DataFrame:
     proper = (s1 * s2 < 0) & (s3 * s4 < 0)
     along = F.greatest(F.least("a_x9", "b_x9") - x0, F.least("a_y9", "b_y9") - y0)
     lined = (s1 == 0) & (s2 == 0) & (along > 1e-6)
-    return a.join(b, ["cx", "cy"]).filter(met & (proper | lined)).select(
-        "a_seg_id", "b_seg_id", (F.col("a_grade") == F.col("b_grade")).alias("same_grade"), (F.col("a_grade_complete") & F.col("b_grade_complete")).alias("both_complete")
+    zero = F.lit(0).cast("long")
+    same = F.aggregate(F.map_entries("a_g"), zero, lambda t, g: t + g["value"] * F.coalesce(F.try_element_at("b_g", g["key"]), zero))
+    corners = [f"{side}_{c}" for side in "ab" for c in ("x1", "y1", "x2", "y2")]
+    apart = a.join(b, ["cx", "cy"]).filter(met & (proper | lined)).select(
+        *corners, (F.col("a_n") * F.col("b_n")).alias("n_pairs"), (F.col("a_c") * F.col("b_c")).alias("n_known"), same.alias("n_at_grade")
+    )
+    pairs_of = lambda n: (n * (n - 1) / 2).cast("long")
+    long_enough = F.greatest(F.col("x9") - F.col("x0"), F.col("y9") - F.col("y0")) > 1e-6
+    with_itself = s.filter(long_enough & (F.col("n") > 1)).select(
+        *[F.col(c[2:]).alias(c) for c in corners],
+        pairs_of(F.col("n")).alias("n_pairs"),
+        pairs_of(F.col("c")).alias("n_known"),
+        F.aggregate(F.map_values("g"), zero, lambda t, n: t + pairs_of(n)).alias("n_at_grade"),
+    )
+    return apart.unionByName(with_itself).select(
+        *corners, "n_pairs", (F.col("n_known") - F.col("n_at_grade")).alias("n_separated"), (F.col("n_pairs") - F.col("n_known")).alias("n_ambiguous"), "n_at_grade"
+    )
+
+
+def ambiguous_crossings(pairs: DataFrame) -> DataFrame:
+    """Every crossing where the grade of a segment is not fully known."""
+    return pairs.filter("n_ambiguous > 0")
+
+
+def grade_sources(segments: DataFrame) -> DataFrame:
+    """How many segments supply each grade field, and all three."""
+    layer = F.col("layer").try_cast("int").isNotNull()
+    return segments.agg(
+        F.count(F.lit(1)).alias("n_segments"),
+        F.count_if(F.col("has_layer") & layer).alias("n_layer"),
+        F.count_if(F.col("has_bridge") & F.col("bridge").isin("T", "F")).alias("n_bridge"),
+        F.count_if(F.col("has_tunnel") & F.col("tunnel").isin("T", "F")).alias("n_tunnel"),
+        F.count_if("grade_complete").alias("n_complete"),
     )
 
 
 def crossing_report(pairs: DataFrame) -> DataFrame:
     """Grade-separated crossings (ignored when noding), ambiguous ones, and those at the same known grade."""
-    return pairs.agg(
-        F.count_if(F.col("both_complete") & ~F.col("same_grade")).alias("n_separated"),
-        F.count_if(~F.col("both_complete")).alias("n_ambiguous"),
-        F.count_if(F.col("both_complete") & F.col("same_grade")).alias("n_at_grade"),
-    )
+    return pairs.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_separated", "n_ambiguous", "n_at_grade")])
 
 
 def shortest_paths(arcs: DataFrame, seeds: DataFrame, keys: Sequence[str] = ("source",), arc_keys: Sequence[str] = ()) -> DataFrame:

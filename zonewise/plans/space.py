@@ -165,19 +165,37 @@ def full_precision_travel(spark, sf):
     return paths.travel_time_matrix(*travel_inputs(spark, sf), digits=None)
 
 
-@query("crossing_report", "G5 PF13", f"""WITH rd AS ({ROADS}), g AS (SELECT seg_id, x1, y1, x2, y2, coalesce(CAST(layer AS INT),0) AS l, bridge AS b, coalesce(tunnel,'F') AS t, layer IS NOT NULL AND tunnel IS NOT NULL AS ok FROM rd),
+CROSSED = f"""WITH rd AS ({ROADS}), g AS (SELECT seg_id, x1, y1, x2, y2, coalesce(CAST(layer AS INT),0) AS l, bridge AS b, coalesce(tunnel,'F') AS t, layer IS NOT NULL AND tunnel IS NOT NULL AS ok FROM rd),
  cl AS (SELECT seg_id, cx, unnest(generate_series(floor(least(y1,y2)/600)::INT, floor(greatest(y1,y2)/600)::INT)) AS cy FROM (SELECT *, unnest(generate_series(floor(least(x1,x2)/600)::INT, floor(greatest(x1,x2)/600)::INT)) AS cx FROM g)),
  pr AS (SELECT DISTINCT a.seg_id AS i, b.seg_id AS j FROM cl a JOIN cl b ON a.cx=b.cx AND a.cy=b.cy AND a.seg_id<b.seg_id),
- q AS (SELECT a.l=b.l AND a.b=b.b AND a.t=b.t AS same, a.ok AND b.ok AS both_ok,
+ q AS (SELECT least(a.y1,a.y2) AS a_low, least(b.y1,b.y2) AS b_low, a.l=b.l AND a.b=b.b AND a.t=b.t AS same, a.ok AND b.ok AS both_ok,
    (a.x2-a.x1)*(b.y1-a.y1)-(a.y2-a.y1)*(b.x1-a.x1) AS s1, (a.x2-a.x1)*(b.y2-a.y1)-(a.y2-a.y1)*(b.x2-a.x1) AS s2,
    (b.x2-b.x1)*(a.y1-b.y1)-(b.y2-b.y1)*(a.x1-b.x1) AS s3, (b.x2-b.x1)*(a.y2-b.y1)-(b.y2-b.y1)*(a.x2-b.x1) AS s4,
    least(greatest(a.x1,a.x2),greatest(b.x1,b.x2))-greatest(least(a.x1,a.x2),least(b.x1,b.x2)) AS ox, least(greatest(a.y1,a.y2),greatest(b.y1,b.y2))-greatest(least(a.y1,a.y2),least(b.y1,b.y2)) AS oy
    FROM pr JOIN g a ON a.seg_id=i JOIN g b ON b.seg_id=j),
  h AS (SELECT * FROM q WHERE (s1*s2<0 AND s3*s4<0) OR (s1=0 AND s2=0 AND ox>=0 AND oy>=0 AND greatest(ox,oy)>1e-6))
- SELECT count(*) FILTER (WHERE both_ok AND NOT same) AS n_separated, count(*) FILTER (WHERE NOT both_ok) AS n_ambiguous, count(*) FILTER (WHERE both_ok AND same) AS n_at_grade FROM h""")
+"""
+
+
+@query("crossing_report", "G5 PF13", f"""{CROSSED} SELECT count(*) FILTER (WHERE both_ok AND NOT same) AS n_separated, count(*) FILTER (WHERE NOT both_ok) AS n_ambiguous, count(*) FILTER (WHERE both_ok AND same) AS n_at_grade FROM h""")
 def crossing_report(spark, sf):
-    seg = paths.grade_key(paths.normalise_segments(roads(spark, sf)))
-    return paths.crossing_report(paths.crossings(seg, 2.0 * STEP))
+    return paths.crossing_report(paths.crossings(graded_roads(spark, sf), 2.0 * STEP))
+
+
+def graded_roads(spark, sf):
+    return paths.grade_key(paths.normalise_segments(roads(spark, sf)))
+
+
+@query("ambiguous_crossings", "G5", f"""{CROSSED} SELECT least(a_low, b_low) AS lower_y, count(*) FILTER (WHERE NOT both_ok) AS n_ambiguous FROM h GROUP BY 1 HAVING n_ambiguous > 0""")
+def ambiguous_crossings(spark, sf):
+    found = paths.ambiguous_crossings(paths.crossings(graded_roads(spark, sf), 2.0 * STEP))
+    return found.groupBy(F.least("a_y1", "a_y2", "b_y1", "b_y2").alias("lower_y")).agg(F.sum("n_ambiguous").alias("n_ambiguous"))
+
+
+@query("grade_sources", "G5", f"""WITH rd AS ({ROADS}) SELECT count(*) AS n_segments, count(TRY_CAST(layer AS INT)) AS n_layer, count(bridge) AS n_bridge,
+ count(tunnel) AS n_tunnel, count(*) FILTER (WHERE layer IS NOT NULL AND bridge IS NOT NULL AND tunnel IS NOT NULL) AS n_complete FROM rd""")
+def grade_sources(spark, sf):
+    return paths.grade_sources(graded_roads(spark, sf))
 
 
 # Parts as unit squares on a grid: a polygon layer that grows with the part table.
