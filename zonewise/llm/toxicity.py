@@ -83,7 +83,7 @@ def term_weights(sample: DataFrame, most: int = MAX_TERMS) -> tuple[np.ndarray,
     a, n = F.col("bad").cast("double"), F.col("n").cast("double")
     share = bad_total / total
     gain = 2 * (part(a, n * share) + part(n - a, n * (1 - share)) + part(bad_total - a, (total - n) * share) + part(total - bad_total - n + a, (total - n) * (1 - share)))
-    best = counted.filter("n >= 3").withColumn("gain", gain).filter("gain > 18").orderBy(F.desc("gain"), "term").limit(most)
+    best = counted.filter("n >= 3").withColumn("gain", gain).filter("gain > 16").orderBy(F.desc("gain"), "term").limit(most)
     return np.sort(np.array([r.term for r in best.select("term").collect()], np.int64)), total, bad_total
 
 
@@ -114,7 +114,7 @@ class Machine:
             out += 0.5 * (np.bincount(doc, x, minlength=n) ** 2 - np.bincount(doc, x * x, minlength=n))
         return out
 
-    def fit(self, rows: list[np.ndarray], toxic: np.ndarray, epochs: int = 40, rate: float = 0.1, batch: int = 512, decay: float = 1e-5, seed: int = 5):
+    def fit(self, rows: list[np.ndarray], toxic: np.ndarray, steps: int = 2_000, rate: float = 0.1, batch: int = 512, decay: float = 1e-5, seed: int = 5):
         """Logistic loss by adaptive gradient steps; toxic rows weigh as much as the rest together."""
         rng, n = np.random.default_rng(seed), len(rows)
         cost = np.where(toxic == 1, 0.5 * n / max(toxic.sum(), 1), 0.5 * n / max(n - toxic.sum(), 1))
@@ -122,7 +122,7 @@ class Machine:
         start = np.concatenate(([0], np.cumsum(size)))
         flat = np.concatenate(rows) if n else np.zeros(0, np.int64)
         gw, gv, gb = np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6), 1e-6
-        for _ in range(epochs):
+        for _ in range(-(-steps // max(1, -(-n // batch)))):  # as many steps for a small sample as for a large one
             order = rng.permutation(n)
             for lo in range(0, n, batch):
                 mine = order[lo : lo + batch]
