@@ -98,8 +98,10 @@ def test_signatures_meet_for_every_linked_pair():
                 b = np.unique(np.concatenate((a[rng.permutation(len(a))[gone // 2 :]], rng.integers(0, 1 << 60, gone - gone // 2, dtype=np.uint64))))
                 both = len(np.intersect1d(a, b))
                 if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
-                    at, sig = signatures([a, b], scheme)
-                    assert set(sig[at == 0]) & set(sig[at == 1])
+                    at, sig, need = signatures([a, b], scheme)
+                    shared = np.isin(sig, np.intersect1d(sig[at == 0], sig[at == 1]))
+                    for i in (0, 1):
+                        assert any((shared & (at == i) & (need == x)).sum() >= x % 65536 for x in set(need[at == i]))
 
 
 def test_guests_are_not_linked_with_each_other():

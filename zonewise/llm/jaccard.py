@@ -3,9 +3,9 @@
 Between unrelated texts the Jaccard distance is 1 whatever pivot one looks from, so triangle windows
 over the whole space would hand every text to every region. The space is therefore first cut where
 the metric allows it: the size window around the empty set gives size classes with a replicated
-margin, and inside a class a pair within the bound must agree exactly on one of k + 1 or more parts of
-the shingle universe, k being the largest symmetric difference. Connected agreement classes are the
-first regions. Regions that are still large get pivots: texts go home to their nearest pivot (Voronoi)
+margin, and inside a class a pair within the bound must agree exactly on e of k + e parts of the
+shingle universe, k being the largest symmetric difference. A text that does not agree with others on
+e parts has no partner; those that do are connected by their agreements to the first regions. Regions that are still large get pivots: texts go home to their nearest pivot (Voronoi)
 and are replicated as guests to every pivot within the triangle window, again and again until regions
 are small or the windows show that they cannot be cut, in which case they are joined in blocks.
 A region may also be a chain of unrelated texts that chance agreements tie together, as texts with a
@@ -29,7 +29,7 @@ from zonewise.session import pin
 REGION_ROWS = 512
 REGION_SHINGLES = 400_000
 PIVOTS = 16
-DIVISIONS = 4  # divisions of the universe that a large region must hold together under
+DIVISIONS = 2  # divisions of the universe that a large region must hold together under
 MOST_COPIES = 3.0  # a region is cut only if windows copy its rows fewer times than this
 _U = np.uint64
 
@@ -46,7 +46,7 @@ class Scheme:
         self.percent, self.bounds = percent, np.array(bounds, np.int64)
         most = self.bounds[1:] - 1
         self.differ = (100 - percent) * 2 * most // (100 + percent)
-        self.spare = np.where(self.differ == 0, 1, 2 + self.differ // 16)
+        self.spare = np.where(self.differ == 0, 1, 2 + self.differ // 8)
         self.parts = self.differ + self.spare
 
     def homes(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +64,12 @@ def set_digest(keys: np.ndarray) -> tuple[int, int]:
     return int(pair[0]), int(pair[1])
 
 
-def signatures(sets: list[np.ndarray], scheme: Scheme, division: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) rows: two sets within the bound share one signature at least."""
+def signatures(sets: list[np.ndarray], scheme: Scheme, division: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature, class and need) rows; two sets within the bound share as many as needed.
+
+    The third column holds the class and, in its last 16 bits, how many signatures of that class a set
+    must share with others before it can have a partner.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     own, above = scheme.homes(sizes)
     member = np.concatenate((np.arange(len(sets)), np.flatnonzero(above)))
@@ -85,7 +89,8 @@ def signatures(sets: list[np.ndarray], scheme: Scheme, division: int = 0) -> tup
     keep = filled | (empties >= scheme.spare[level])[of]
     part = (np.arange(base[-1]) - base[of]).astype(_U)
     sig = mix(total + mix(part * _U(0x10001) + (level[of].astype(_U) << _U(44)) + _U(9)))
-    return member[of[keep]], sig[keep].view(np.int64)
+    need = np.where(empties >= scheme.spare[level], scheme.spare[level], scheme.spare[level] - empties)
+    return member[of[keep]], sig[keep].view(np.int64), ((level << 16) + np.minimum(need, 65_535)).astype(np.int32)[of[keep]]
 
 
 def _digests(docs: DataFrame, n: int) -> DataFrame:
@@ -109,8 +114,8 @@ def _postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
         seen: set[int] = set()  # sets of this task: copies are dropped before the shuffle
 
         def rows(names, sets):
-            at, sig = signatures(sets, scheme)
-            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.array(names, np.int64)[at])], ["sig", "h1"])
+            at, sig, need = signatures(sets, scheme)
+            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.array(names, np.int64)[at]), pa.array(need)], ["sig", "node", "need"])
 
         for batch in batches:
             names, sets, held = [], [], 0
@@ -126,15 +131,24 @@ def _postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
             if sets:
                 yield rows(names, sets)
 
-    return docs.select("text").mapInArrow(run, "sig long, h1 long")
+    return docs.select("text").mapInArrow(run, "sig long, node long, need int")
+
+
+def _connected(post: DataFrame, by: list[str]) -> DataFrame:
+    """Components of nodes that share signatures, of those alone that share as many as they need."""
+    w = W.partitionBy(*by)
+    shared = post.withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w)).filter("low <> high")
+    shared = pin(shared.select(*by, "node", "need"))
+    enough = shared.groupBy("node", "need").agg(F.count_distinct(*by).alias("n")).filter("n >= need % 65536").select("node", "need")
+    kept = shared.join(enough, ["node", "need"]).select(*by, "node")
+    edges = kept.withColumn("head", F.min("node").over(w)).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return components(edges.distinct())
 
 
 def _agreeing(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``h1`` and ``region`` of the sets that agree with another set on some part."""
-    post = _postings(docs, n, percent)
-    heads = post.withColumn("head", F.min("h1").over(W.partitionBy("sig"))).filter("h1 <> head")
-    edges = pin(heads.select(F.col("h1").alias("a"), F.col("head").alias("b")).distinct())
-    return components(edges).select(F.col("node").alias("h1"), F.col("root").alias("region"))
+    found = _connected(_postings(docs, n, percent), ["sig"])
+    return found.select(F.col("node").alias("h1"), F.col("root").alias("region"))
 
 
 def _divided(rows: DataFrame, percent: int, division: int) -> DataFrame:
@@ -146,13 +160,13 @@ def _divided(rows: DataFrame, percent: int, division: int) -> DataFrame:
             flat, ends = batch.column(2).values.to_numpy().view(_U), batch.column(2).offsets.to_numpy()
             for lo in range(0, batch.num_rows, 256):
                 some = range(lo, min(lo + 256, batch.num_rows))
-                at, sig = signatures([flat[ends[i] : ends[i + 1]] for i in some], scheme, division)
+                at, sig, need = signatures([flat[ends[i] : ends[i + 1]] for i in some], scheme, division)
                 take = pa.array(at + lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(sig)], ["region", "doc_id", "sig"])
+                arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(sig), pa.array(need)]
+                yield pa.RecordBatch.from_arrays(arrays, ["region", "node", "sig", "need"])
 
-    post = rows.select("region", "doc_id", "keys").mapInArrow(run, "region long, doc_id long, sig long")
-    heads = post.withColumn("head", F.min("doc_id").over(W.partitionBy("region", "sig"))).filter("doc_id <> head")
-    found = components(pin(heads.select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()))
+    post = rows.select("region", "doc_id", "keys").mapInArrow(run, "region long, node long, sig long, need int")
+    found = _connected(post, ["region", "sig"])
     parts = found.select(F.col("node").alias("doc_id"), F.xxhash64(F.lit(division), "root").alias("part"))
     return rows.join(parts, "doc_id").select(F.col("part").alias("region"), "doc_id", "keys", "home")
 
