@@ -97,8 +97,17 @@ def test_guarded_sink_and_text_reader(spark, tmp_path):
     assert files.read_raw(spark, str(tmp_path / "e"), "parquet").columns == ["a", "b"]
 
 
-def test_order_hash_routes_agree(spark, monkeypatch):
-    n = spark.createDataFrame([("b", 1), ("a", 0), ("c", 2)], "zone string, node_index int")
-    whole = order.order_hash(n).first()
-    monkeypatch.setattr(order, "IN_ROW_NODES", 1)
-    assert order.order_hash(n).first() == whole
+def test_order_hash_is_a_tree_of_blocks(spark, monkeypatch):
+    import hashlib
+
+    def sha(parts, sep):
+        return hashlib.sha256(sep.join(parts).encode()).hexdigest()
+
+    codes = [f"z{i:02d}" for i in range(7)]
+    n = spark.createDataFrame([(c, i) for i, c in enumerate(codes)][::-1], "zone string, node_index int")
+    r = order.order_hash(n).first()
+    assert (r["n_nodes"], r["order_hash"], r["legacy_hash"]) == (7, sha(codes, "\n"), sha(codes, "|"))
+    monkeypatch.setattr(order, "BLOCK", 3)
+    first = [sha(codes[i : i + 3], "\n") for i in (0, 3, 6)]
+    assert order.order_hash(n).first()["order_hash"] == sha(first, "\n")
+    assert order.order_hash(n.filter("false")).first()["order_hash"] == hashlib.sha256(b"").hexdigest()

@@ -280,9 +280,18 @@ def postcode_geocodes(spark, sf):
     return spatial.geocode_lookup(rows, "pc", look).select("k", "x", "y")
 
 
-@query("name_matched_buildings", "J8 F2")
+def _cleaned(name):
+    return f"trim(replace(replace(lower(regexp_replace({name},'[^\\w\\s]','','g')),'pharmacy',''),'mobilestop',''))"
+
+
+@query("name_matched_buildings", "J8 F2", f"""WITH p AS (SELECT site_id AS point_id, x AS px, y AS py, {_cleaned('name')} AS pname FROM ({CARS}) WHERE name IS NOT NULL),
+ s AS (SELECT site_id, x, y, 'Castle St '||site_type AS site_name, {_cleaned("'Castle St '||site_type")} AS sname FROM ({DEPOTS})),
+ m AS (SELECT site_id, px, py, row_number() OVER (PARTITION BY site_id ORDER BY levenshtein(sname,pname)/greatest(length(sname),length(pname)), point_id) AS r FROM s JOIN p
+  ON abs(x-px)<=500 AND abs(y-py)<=500 AND sqrt((x-px)*(x-px)+(y-py)*(y-py))<=500 WHERE pname<>'' AND 1-levenshtein(sname,pname)/greatest(length(sname),length(pname))>=0.5)
+ SELECT s.site_id, site_name, coalesce(round_even(px,2), x) AS x, coalesce(round_even(py,2), y) AS y, CASE WHEN px IS NULL THEN 'postcode_centroid' ELSE 'exact_building' END AS coord_source
+ FROM s LEFT JOIN m ON s.site_id=m.site_id AND r=1""")
 def name_matched_buildings(spark, sf):
-    """Suppliers matched to named car parks within 500 m; no SQL twin for the similarity ratio (see tests)."""
+    """Suppliers matched to named car parks within 500 m."""
     pts = parking(spark, sf).filter("name is not null").select(F.col("site_id").alias("point_id"), "x", "y", "name")
     sites = depots(spark, sf).withColumn("site_name", F.concat(F.lit("Castle St "), F.col("site_type")))
     return spatial.match_by_name(sites.select("site_id", "site_name", "x", "y"), pts, ["pharmacy", "mobilestop"])
