@@ -26,7 +26,6 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         sym = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _stars(sym).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = pin(large)
         small = _stars(large)
         now = pin(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))

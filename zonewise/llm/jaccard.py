@@ -216,7 +216,8 @@ def joined_roots(sets: list[np.ndarray], home: np.ndarray, percent: int) -> np.n
 
 def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """The shingle sets of the members only."""
-    rows = docs.select("doc_id", "text").join(members, "doc_id").select("region", "doc_id", "text")
+    # A sort-merge join at every size: members grow with the documents, and text is moved once.
+    rows = docs.select("doc_id", "text").hint("merge").join(members, "doc_id").select("region", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
