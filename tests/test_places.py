@@ -87,6 +87,23 @@ def test_zone_names_keep_ties_and_prefer_longest(spark):
     assert got == {1: {"S02000002"}, 2: {"S02000001"}, 3: {"S02000004"}, 4: {"S02000004"}}
 
 
+def test_dates_without_a_year_and_newest_words(spark):
+    from datetime import date
+
+    known, latest = [date(2021, 5, 3), date(2022, 5, 3), date(2022, 6, 1)], date(2023, 6, 1)
+    cases = {"6月1日": latest, "5月3日 预测": known[0], "7月9日": None, "the latest map": latest, "最新": latest, "5 May 2022": date(2022, 5, 5), "none": None}
+    days = F.array(*[F.lit(d) for d in known])
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    got = {r["t"]: r["d"] for r in df.select("t", text.extract_date(F.col("t"), days, F.lit(latest)).alias("d")).collect()}
+    assert got == cases
+
+
+def test_language_of_bare_lines(spark):
+    cases = {"Edinburgh": None, " glasgow city\n": None, "Edinburgh north": "en", "㐀": None, "中": "zh", "2022-01-02": None, "\tshow the forecast ": None}
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    assert {r["t"]: r["l"] for r in df.select("t", text.language(F.col("t")).alias("l")).collect()} == cases
+
+
 def test_guarded_sink_and_text_reader(spark, tmp_path):
     df = spark.createDataFrame([("", "c"), ("*", "NA")], "a string, b string")
     path = files.write_table(df, str(tmp_path / "t"), "csv")

@@ -87,7 +87,10 @@ YEAR_RANGE = r"(?i)(?<!\d)(20[2-3]\d)\s*(?:-|to|至|到)\s*(20[2-3]\d)(?!\d)"
 PAIR = r"(?i)(?<!\d)(\d+)\s*天?\s*(?:预测|预报|forecast(?:ing)?|predict(?:ing)?|→|->|to|到)\s*(\d+)\s*天?"
 SINGLE = r"(?i)(?<!\d)(\d+)\s*(?:天(?:窗口|滑窗|预测)?|[- ]?day(?:s)?(?:\s+window)?)"
 ZONE_CODE = r"(?i)\bS0200\d{4}\b"
-CJK = r"[㐀-鿿]"
+CJK = r"[\u4e00-\u9fff]"
+CN_MONTH_DAY = r"(?<!\d)(\d{1,2})\s*月\s*(\d{1,2})\s*日?"
+LATEST = ("latest", "newest", "extrapolation", "最新")
+AREA_ONLY = r"(?i)^(city of edinburgh|edinburgh|glasgow city|glasgow|s12000036|s12000049)$"
 GRAM = 4
 
 
@@ -148,13 +151,31 @@ def _month_number(name: Column) -> Column:
     return F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), F.substring(F.lower(name), 1, 3))
 
 
-def extract_date(text: Column) -> Column:
-    """Year-first, day-month-year and month-day-year English, and Chinese forms, in that order of trust."""
+def trimmed(text: Column) -> Column:
+    """Without blanks, tabs and line ends on either side."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def extract_date(text: Column, known: Column | None = None, latest: Column | None = None) -> Column:
+    """Chinese, year-first, and English day-month-year and month-day-year forms, in that order of trust.
+
+    ``known`` (an array of dates) and ``latest`` settle a month and day without a year: the latest
+    date if it falls on that day, else the first known one that does. Words for the newest date give
+    ``latest``.
+    """
     cn = _date(*[_group(text, CN, i) for i in (1, 2, 3)])
     iso = _date(*[_group(text, ISO, i) for i in (1, 2, 3)])
     dmy = _date(_group(text, DMY, 3), _month_number(_group(text, DMY, 2)), _group(text, DMY, 1))
     mdy = _date(_group(text, MDY, 3), _month_number(_group(text, MDY, 1)), _group(text, MDY, 2))
-    return F.coalesce(cn, iso, dmy, mdy)
+    full = F.coalesce(cn, iso, dmy, mdy)
+    if known is None and latest is None:
+        return full
+    newest = F.lit(None).cast("date") if latest is None else latest
+    month, day = [_group(text, CN_MONTH_DAY, i).try_cast("int") for i in (1, 2)]
+    falls = lambda d: (F.month(d) == month) & (F.dayofmonth(d) == day)
+    options = F.array().cast("array<date>") if known is None else known
+    of_day = F.when(falls(newest), newest).otherwise(F.get(F.filter(options, falls), F.lit(0)))
+    return F.coalesce(full, of_day, F.when(_has(F.lower(text), LATEST), newest))
 
 
 def match_zone_names(messages: DataFrame, zones: DataFrame, key: str = "message_id", text: str = "text") -> DataFrame:
@@ -166,7 +187,7 @@ def match_zone_names(messages: DataFrame, zones: DataFrame, key: str = "message_
     rows carry a window of label length, never the whole text again. For the reverse direction
     the few zone labels are expanded to their parts and matched with the whole message.
     """
-    m = messages.select(key, F.lower(F.trim(text)).alias("t")).filter("t <> ''")
+    m = messages.select(key, F.lower(trimmed(F.col(text))).alias("t")).filter("t <> ''")
     z = zones.select("code", F.lower(F.trim("name")).alias("label"), F.lower("code").alias("lc"))
     names = z.select("code", F.explode(F.array_distinct(F.array("label", "lc"))).alias("t"))
     exact = m.join(names, "t").select(key, "code").distinct()
@@ -252,7 +273,8 @@ def area_code(label: Column, areas: dict[str, str]) -> Column:
 
 
 def language(text: Column) -> Column:
-    """zh with any CJK character, en with two Latin letters in a row, null for bare dates and fixed commands."""
-    raw = F.trim(text)
-    bare = raw.rlike(r"^20\d{2}-\d{2}-\d{2}(?:\s+\(.*\))?$") | F.lower(raw).isin(*COMMANDS)
+    """zh with any CJK character, en with two Latin letters in a row, null for bare dates, bare areas and
+    fixed commands."""
+    raw = trimmed(text)
+    bare = raw.rlike(r"^20\d{2}-\d{2}-\d{2}(?:\s+\(.*\))?$") | F.lower(raw).isin(*COMMANDS) | raw.rlike(AREA_ONLY)
     return F.when(raw.rlike(CJK), "zh").when(~bare & raw.rlike("[A-Za-z]{2,}"), "en")

@@ -81,7 +81,15 @@ def message_languages(spark, sf):
     return messages(spark, sf).groupBy(text.language(F.col("text")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("conversation_tags", "TX5 TX7 TX1", """SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '[A-Za-z]{2,}') OR regexp_matches(text, '[㐀-鿿]')) AS n_language,
+@query("document_languages", "TX7", """SELECT lang, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '[一-鿿]')) AS n_zh,
+ count(*) FILTER (WHERE regexp_matches(text, '[A-Za-z]{2,}') AND NOT regexp_matches(text, '[一-鿿]')) AS n_en FROM documents GROUP BY 1""")
+def document_languages(spark, sf):
+    """Documents by declared language and the language their text shows."""
+    found = table(spark, sf, "documents").select("lang", text.language(F.col("text")).alias("l"))
+    return found.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l") == "zh").alias("n_zh"), F.count_if(F.col("l") == "en").alias("n_en"))
+
+
+@query("conversation_tags", "TX5 TX7 TX1", """SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '[A-Za-z]{2,}') OR regexp_matches(text, '[一-鿿]')) AS n_language,
  count(*) FILTER (WHERE contains(lower(text),'compare') OR contains(lower(text),'versus')) AS n_compare_words FROM conversations GROUP BY 1""")
 def conversation_tags(spark, sf):
     low = F.lower("text")
