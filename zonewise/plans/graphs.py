@@ -108,10 +108,19 @@ def mobility_graph_report(spark, sf):
     return rounded(graph.graph_report(e, nd.select(F.col("node_index").alias("node"))))
 
 
-@query("adjacency_rules", "G17 D17", f"""WITH {ALIGNED} SELECT * FROM (VALUES ('weight_not_finite','error',0::BIGINT,NULL::VARCHAR),('weight_negative','error',0,NULL),
- ('self_loop','error',0,NULL)) t(code,level,n_bad,sample) WHERE (SELECT count(*) FROM ed)>=0""")
+@query("adjacency_rules", "G17 D17", f"""WITH {ALIGNED}, bad AS (SELECT src, CASE WHEN (src+dst)%13=0 THEN src ELSE dst END AS dst, CASE WHEN (src+dst)%7=0 THEN NULL WHEN (src+dst)%5=0 THEN -weight ELSE weight END AS weight FROM ed),
+ k AS (SELECT *, CAST(src AS VARCHAR)||'>'||CAST(dst AS VARCHAR) AS name FROM bad)
+ SELECT code, level, n_bad, sample FROM (SELECT 'weight_not_finite' AS code, 'error' AS level, count(*) AS n_bad, min(name) AS sample FROM k WHERE weight IS NULL
+ UNION ALL SELECT 'weight_negative', 'error', count(*), min(name) FROM k WHERE weight<0 UNION ALL SELECT 'self_loop', 'error', count(*), min(name) FROM k WHERE src=dst)""")
 def adjacency_rules(spark, sf):
-    return checks.row_rules(edges(spark, sf)[0], graph.edge_rules())
+    """The rules on the flow graph with some weights lost or turned round and some arcs led back."""
+    both = F.col("src") + F.col("dst")
+    spoilt = edges(spark, sf)[0].select(
+        "src",
+        F.when(both % 13 == 0, F.col("src")).otherwise(F.col("dst")).alias("dst"),
+        F.when(both % 7 == 0, None).when(both % 5 == 0, -F.col("weight")).otherwise(F.col("weight")).alias("weight"),
+    )
+    return checks.row_rules(spoilt, graph.edge_rules())
 
 
 @query("transition_supports", "G9", f'WITH {SUPP} SELECT direction, "row", col, {r6("w")} AS w FROM sup')
