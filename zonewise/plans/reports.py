@@ -11,7 +11,7 @@ from zonewise.plans import allocation, evaluation
 from zonewise.plans.registry import query, r6
 from zonewise.plans.sqltext import REPORTS
 from zonewise.plans.windowing import metric_sql, rounded
-from zonewise.session import checkpoint_root, pin
+from zonewise.session import pin, written_folder
 from zonewise.sources import files
 from zonewise.sources.tables import nation_nodes, planning_zones, reports, supplier_zones, table
 
@@ -100,7 +100,7 @@ def dashboard_summary(spark, sf):
 
 
 def _folder(spark):
-    return f"{checkpoint_root(spark)}/zonewise/{uuid.uuid4().hex}"
+    return f"{written_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query("raw_text_round_trip", "IO1 IO2 IO3 D1", f"""WITH rep AS ({REPORTS}) SELECT CA, count(*) AS n, count(*) FILTER (WHERE Positive7Day='') AS n_blank, count(*) FILTER (WHERE Positive7Day='c') AS n_hidden,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -44,10 +46,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="zonewise-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def written_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that holds what this application has written."""
+    return f"{checkpoint_root(spark)}/zonewise/{spark.sparkContext.applicationId}"
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Remove this application's intermediates, through the file system that holds them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(written_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pin(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` below the checkpoint folder and read it back.
 
@@ -56,7 +70,7 @@ def pin(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/zonewise/{uuid.uuid4().hex}"
+    path = f"{written_folder(spark)}/{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
