@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from zonewise.llm import chat, decontaminate, jaccard, licences, mixing, sharding, spots, tokens, toxicity, warc
-from zonewise.session import checkpoint_root, pin
+from zonewise.session import pin, written_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,7 +106,7 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 1
 @_query("op8_warc_revisits", _OP8_SQL)
 def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back from the archives."""
-    path = f"{checkpoint_root(spark)}/zonewise/warc-{uuid.uuid4().hex}"
+    path = f"{written_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
     return warc.read_archive(spark, path).drop("url")
 
