@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from zonewise.llm.components import components
 from zonewise.llm.words import mix, shingle_sets
-from zonewise.session import pin
+from zonewise.session import pin, release_shuffles
 
 REGION_ROWS = 512
-REGION_SHINGLES = 400_000
+REGION_SHINGLES = 1_000_000
 PIVOTS = 16
 DIVISIONS = 2  # divisions of the universe that a large region must hold together under
 MOST_COPIES = 3.0  # a region is cut only if windows copy its rows fewer times than this
@@ -139,6 +139,7 @@ def _connected(post: DataFrame, by: list[str]) -> DataFrame:
     w = W.partitionBy(*by)
     shared = post.withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w)).filter("low <> high")
     shared = pin(shared.select(*by, "node", "need"))
+    release_shuffles(post.sparkSession)
     enough = shared.groupBy("node", "need").agg(F.count_distinct(*by).alias("n")).filter("n >= need % 65536").select("node", "need")
     kept = shared.join(enough, ["node", "need"]).select(*by, "node")
     edges = kept.withColumn("head", F.min("node").over(w)).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
@@ -373,6 +374,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 
 def _links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     rows = pin(_sets(docs, members, n).withColumn("home", F.lit(True)))
+    release_shuffles(docs.sparkSession)
     parts = []
     for step in range(DIVISIONS + 8):
         sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("keys")).alias("s"))
@@ -381,6 +383,7 @@ def _links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFra
         if not large.limit(1).count():
             break
         big = pin(rows.join(large, "region", "left_semi"))
+        release_shuffles(docs.sparkSession)
         if step < DIVISIONS:
             rows = pin(_divided(big, percent, step + 1))
             continue
@@ -397,6 +400,7 @@ def _links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFra
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The row of the smallest doc_id of every component, once; rows without a doc_id stay."""
-    kept = jaccard_components(docs, n, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(pin(kept), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = pin(jaccard_components(docs, n, percent).filter("doc_id = component_id").select("doc_id").distinct())
+    release_shuffles(docs.sparkSession)
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
