@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
@@ -63,15 +62,6 @@ def clear_written(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more.
-
-    Its cleaner acts when the driver collects garbage, which a driver with little to do rarely does.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def pin(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` below the checkpoint folder and read it back.
 
