@@ -42,3 +42,29 @@ def test_scan_against_planted_blocks(spark, documents):
     assert {r.doc_id for r in got} >= {502, 503} and 500 not in {r.doc_id for r in got}
     assert license_scan(df.filter("false")).count() == 0
     assert license_scan(df.filter("doc_id = 0").unionByName(df.filter("doc_id = 0"))).count() == 2 * sum(r.doc_id == 0 for r in got)
+
+
+def test_words_that_tell_licenses_apart_are_not_spared():
+    wording = {(name, len(text) > 200): text for name, text in TEMPLATES}
+    gpl3 = wording["GPL-3.0-or-later", True]
+    lesser = gpl3.replace("GNU General", "GNU Lesser General")
+    assert classify(gpl3.replace("version 3", "version 2"))[0] == "GPL-2.0-or-later"
+    assert classify(gpl3.replace("GNU General", "GNU Affero General"))[0] == "AGPL-3.0-or-later"
+    assert classify(lesser)[0] == "LGPL-3.0-or-later"
+    assert classify(lesser.replace("version 3", "version 2.1").replace("program", "library"))[0] == "LGPL-2.1-or-later"
+    assert classify(gpl3.replace("program", "library"))[0] == "GPL-3.0-or-later"
+    for other in (
+        gpl3.replace("version 3", "version 4"),
+        gpl3.replace(", or (at your option) any later version", ""),
+        wording["GPL-3.0", False][:-1] + ", or (at your option) any later version.",
+        wording["Apache-2.0", True].replace("Apache License", "Educational Community License"),
+        wording["CC-BY-4.0", False].replace("4.0", "2.5"),
+    ):
+        got = classify(other)
+        assert (got[0], got[5]) == (None, False)
+    cc = "This work is licensed under a Creative Commons Attribution%s International License."
+    assert classify(cc % "-NoDerivatives 4.0")[0] == "CC-BY-ND-4.0"
+    assert classify(cc % "-NonCommercial-NoDerivatives 4.0")[0] == "CC-BY-NC-ND-4.0"
+    assert classify(cc % " 3.0")[0] is None
+    numbered = wording["BSD-3-Clause", True].replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in")
+    assert classify(numbered)[0] == "BSD-3-Clause"

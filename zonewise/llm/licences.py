@@ -3,13 +3,30 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+
+def _gnu(kind: str, what: str, joint: str, version: str) -> str:
+    """The header of a license of the GNU family."""
+    name = f"GNU {kind}General Public License"
+    return (
+        f"This {what} is free software{joint} you can redistribute it and/or modify it under the terms of the {name} {version}. This {what} is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        f"FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+    )
+
+
+def _later(version: str, joint: str = ",") -> str:
+    return f"as published by the Free Software Foundation{joint} either version {version} of the License, or (at your option) any later version"
+
+
 # Wordings of public licenses, (license, wording).
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -38,7 +55,23 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+    ("CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("GPL-2.0-or-later", _gnu("", "program", ";", _later("2", ";"))),
+    ("GPL-2.0-only", _gnu("", "program", ";", "version 2 as published by the Free Software Foundation")),
+    ("LGPL-2.0-or-later", _gnu("Library ", "library", ";", _later("2", ";"))),
+    ("LGPL-2.1-or-later", _gnu("Lesser ", "library", ";", _later("2.1", ";"))),
+    ("LGPL-3.0-or-later", _gnu("Lesser ", "program", ":", _later("3"))),
+    ("AGPL-3.0-or-later", _gnu("Affero ", "program", ":", _later("3"))),
 )
+# Words that tell licenses apart, as do numbers where a wording has some: a confirmed wording has all of them and no more.
+MARKS = frozenset("""
+lesser affero later only option noncommercial commercial noderivatives noderivs derivatives sharealike alike nc nd sa unported
+apache mit bsd isc mozilla mpl gnu gpl lgpl agpl creative commons educational eclipse artistic european
+""".split())
 # Words that make a passage a candidate.
 CUE = r"(?i)licen[cs]|copyright|spdx|redistribut|warrant|permission|permitted|public domain|unencumbered|neighboring rights|endorse|merchantab|creative commons|\bcc[ -]by"
 _CUE = re.compile(CUE)
@@ -100,6 +133,11 @@ def candidate_blocks(text: str, templates: tuple = TEMPLATES) -> list[tuple[int,
     return blocks
 
 
+def _marked(words: list[str], numbers: bool) -> np.ndarray:
+    """Which words tell licenses apart; ``library`` does after ``gnu`` only."""
+    return np.array([w in MARKS or numbers and w.isdigit() or w == "library" and i > 0 and words[i - 1] == "gnu" for i, w in enumerate(words)], bool)
+
+
 def wording_differences(template: list[str], block: list[str]) -> tuple[int, list[str]]:
     """Words to change from the template to the nearest stretch of the block, as ``-gone`` and ``+new``."""
     steps = SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
@@ -115,27 +153,72 @@ def wording_differences(template: list[str], block: list[str]) -> tuple[int, lis
     return edits, said
 
 
+def held_wording(template: list[str], block: list[str]) -> tuple[list[str], int, int] | None:
+    """(differences, first word, word after the last) of the nearest stretch of the block, if it confirms the template.
+
+    It does with at most one differing word in ``ONE_IN``, none of which tells licenses apart. The
+    edit distance is exact: a difference in a marked word costs more than all that are allowed.
+    """
+    most = len(template) // ONE_IN
+    if sum((Counter(template) & Counter(block)).values()) < len(template) - most:
+        return None
+    numbers = any(w.isdigit() for w in template)
+    gone = np.where(_marked(template, numbers), most + 1, 1)
+    new = np.where(_marked(block, numbers), most + 1, 1)
+    at = {w: np.array([x == w for x in block]) for w in set(template)}
+    offset = np.concatenate(([0], np.cumsum(new)))
+    table = [np.zeros(len(block) + 1, np.int64)]
+    for w, cost in zip(template, gone.tolist()):
+        row = table[-1]
+        stay = np.concatenate(([row[0] + cost], np.minimum(row[1:] + cost, row[:-1] + np.where(at[w], 0, np.maximum(cost, new)))))
+        table.append(np.minimum.accumulate(stay - offset) + offset)
+    final = table[-1]
+    # A stretch does not end in words that are only added.
+    ends = [j for j in np.flatnonzero(final <= most).tolist() if (not j or final[j] < final[j - 1] + new[j - 1]) and not _goes_on(template, block[j : j + 6])]
+    if not ends:
+        return None
+    j = min(ends, key=lambda j: int(final[j]))
+    i, last, said = len(template), j, []
+    while i:
+        w, here, cost = template[i - 1], int(table[i][j]), int(gone[i - 1])
+        if j and here == table[i - 1][j - 1] + (0 if at[w][j - 1] else max(cost, int(new[j - 1]))):
+            if not at[w][j - 1]:
+                said += [f"+{block[j - 1]}", f"-{w}"]
+            i, j = i - 1, j - 1
+        elif here == table[i - 1][j] + cost:
+            said.append(f"-{w}")
+            i -= 1
+        else:
+            said.append(f"+{block[j - 1]}")
+            j -= 1
+    return said[::-1], j, last
+
+
+def _goes_on(template: list[str], after: list[str]) -> bool:
+    """Whether the words after a wording allow later versions too."""
+    more = (["or", "later"], ["or", "any", "later"], ["or", "at", "your", "option", "any", "later"])
+    return template[-1].isdigit() and any(after[: len(m)] == m for m in more)
+
+
 def classify(block: str, templates: tuple = TEMPLATES) -> tuple:
     """(license, template, plain size, size given the template, differences, confirmed).
 
     Templates are ranked by how many bytes they save. The first whose wording the block holds, but for
-    one word in ten, names the license; of equal savings the first template does. A block that no
-    wording confirms keeps the differences from the best one and no license.
+    one word in ten and for no word that tells licenses apart, names the license; of equal savings the
+    first template does. A block that no wording confirms keeps the differences from the best one and
+    no license.
     """
     plain, given, words, _ = _prepared(templates)
     data = block.encode()
     size = len(plain.compress(data))
     ranked = sorted((len(c.compress(data)), i) for i, c in enumerate(given))
     mine = _words(block)
-    best = None
     for small, i in ranked:
-        if small >= size and best:
-            break
-        edits, said = wording_differences(words[i], mine)
-        if edits <= len(words[i]) // ONE_IN:
-            return templates[i][0], i, size, small, said, True
-        best = best or (None, i, size, small, said, False)
-    return best
+        held = held_wording(words[i], mine)
+        if held:
+            return templates[i][0], i, size, small, held[0], True
+    small, i = ranked[0]
+    return None, i, size, small, wording_differences(words[i], mine)[1], False
 
 
 def license_scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
