@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from conftest_llm import words
-from zonewise.llm.licences import TEMPLATES, classify, license_scan
+from zonewise.llm.licences import TEMPLATES, candidate_blocks, classify, classify_all, license_scan
 
 
 def test_every_wording_names_its_license():
@@ -68,3 +68,32 @@ def test_words_that_tell_licenses_apart_are_not_spared():
     assert classify(cc % " 3.0")[0] is None
     numbered = wording["BSD-3-Clause", True].replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in")
     assert classify(numbered)[0] == "BSD-3-Clause"
+
+
+def test_every_license_of_a_block_has_a_row(spark, documents):
+    wording = {(name, len(text) > 200): text for name, text in TEMPLATES}
+    mit, apache = wording["MIT", True], wording["Apache-2.0", True]
+    texts = [
+        ("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]),
+        (apache + "\n" + mit, ["Apache-2.0", "MIT"]),
+        (wording["AGPL-3.0-or-later", True] + " " + wording["GPL-2.0-or-later", True].replace("useful", "of use") + "\n" + mit, ["AGPL-3.0-or-later", "GPL-2.0-or-later", "MIT"]),
+        ("Released under the MIT License.\n" + mit, ["MIT"]),
+        ("License terms of nobody.", [None]),
+    ]
+    got = license_scan(documents([(i, t, "en", "s") for i, (t, _) in enumerate(texts)])).collect()
+    for i, (_, want) in enumerate(texts):
+        rows = [r for r in got if r.doc_id == i]
+        assert sorted((r.license for r in rows), key=str) == want and all(r.confirmed == (r.license is not None) for r in rows)
+    # The words on the two sides of what was taken out are not read as one wording.
+    assert [r[0] for r in classify_all("Released under the Licensed under the MIT License. MIT License.")] == ["MIT"]
+
+
+def test_wordings_across_the_cuts_of_a_passage_without_breaks():
+    rng = random.Random(3)
+    for name, text in TEMPLATES:
+        flat = " ".join(w.strip(".;:!?") for w in text.split())
+        for before in (0, 7, 60, 100, 119, 120, 121, 150, 239):
+            whole = words(rng, before) + " " + flat + " " + words(rng, 400)
+            blocks = candidate_blocks(whole)
+            assert any(r[0] == name and r[5] for a, b in blocks for r in classify_all(whole[a:b])), (name, before)
+            assert all(a[1] <= b[0] for a, b in zip(blocks, blocks[1:]))

@@ -77,7 +77,9 @@ CUE = r"(?i)licen[cs]|copyright|spdx|redistribut|warrant|permission|permitted|pu
 _CUE = re.compile(CUE)
 _BREAK = re.compile(r"\n+|(?<=[.;:!?])\s+")
 _WORD = re.compile(r"[^\W_]+")
-LONG = 120  # words; a longer passage without a break is cut here, every part is looked at
+TAKEN = "\x00"  # in place of words taken out; a word of its own that no wording holds or spares
+_TOKEN = re.compile(r"[^\W_]+|\x00")
+LONG = 120  # words; a longer passage without a break is cut here, every part is looked at with as many words after it as a wording has
 ONE_IN = 10  # differing words a confirmed wording may have: one in so many, rounded down
 SCHEMA = (
     "block int, first_char long, n_chars long, license string, template int, plain_bytes int, conditional_bytes int, "
@@ -86,7 +88,7 @@ SCHEMA = (
 
 
 def _words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _TOKEN.findall(text)]
 
 
 @lru_cache(maxsize=2)
@@ -100,27 +102,31 @@ def _prepared(templates: tuple):
     return plain, given, words, {w for t in words for w in t}
 
 
-def _units(text: str) -> Iterator[tuple[int, int]]:
-    """Sentences and lines; very long ones in parts of ``LONG`` words."""
+def _units(text: str, overlap: int) -> Iterator[tuple[int, int]]:
+    """Sentences and lines; very long ones in parts of ``LONG`` words and the ``overlap`` words after them."""
     at = 0
     for found in [*_BREAK.finditer(text), None]:
         end = found.start() if found else len(text)
         starts = [m.start() for m in _WORD.finditer(text, at, end)]
-        cuts = [at, *starts[LONG::LONG], end]
-        yield from ((a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
+        cuts = [at, *starts[LONG::LONG]]
+        ends = [*starts[LONG + overlap :: LONG], *[end] * len(cuts)]
+        yield from ((a, b) for a, b in zip(cuts, ends) if b > a)
         at = found.end() if found else end
 
 
 def candidate_blocks(text: str, templates: tuple = TEMPLATES) -> list[tuple[int, int]]:
     """Runs of passages that hold a cue or are made of template words; a run needs a cue."""
-    vocabulary = _prepared(templates)[3]
+    _, _, wordings, vocabulary = _prepared(templates)
+    # A stretch that confirms the longest wording lies in one part.
+    longest = max(map(len, wordings), default=0)
     blocks, run, cued = [], None, False
 
     def close():
         if run and cued:
-            blocks.append(run)
+            # Parts of a long passage overlap, so their runs may.
+            blocks.append((blocks.pop()[0], run[1]) if blocks and run[0] < blocks[-1][1] else run)
 
-    for a, b in _units(text):
+    for a, b in _units(text, longest + longest // ONE_IN):
         part = text[a:b]
         cue = bool(_CUE.search(part))
         words = _words(part)
@@ -135,7 +141,7 @@ def candidate_blocks(text: str, templates: tuple = TEMPLATES) -> list[tuple[int,
 
 def _marked(words: list[str], numbers: bool) -> np.ndarray:
     """Which words tell licenses apart; ``library`` does after ``gnu`` only."""
-    return np.array([w in MARKS or numbers and w.isdigit() or w == "library" and i > 0 and words[i - 1] == "gnu" for i, w in enumerate(words)], bool)
+    return np.array([w in MARKS or w == TAKEN or numbers and w.isdigit() or w == "library" and i > 0 and words[i - 1] == "gnu" for i, w in enumerate(words)], bool)
 
 
 def wording_differences(template: list[str], block: list[str]) -> tuple[int, list[str]]:
@@ -208,6 +214,11 @@ def classify(block: str, templates: tuple = TEMPLATES) -> tuple:
     first template does. A block that no wording confirms keeps the differences from the best one and
     no license.
     """
+    return _first(block.replace(TAKEN, " "), templates)[0]
+
+
+def _first(block: str, templates: tuple) -> tuple[tuple, str | None]:
+    """What ``classify`` gives, and the block without the words that confirmed it."""
     plain, given, words, _ = _prepared(templates)
     data = block.encode()
     size = len(plain.compress(data))
@@ -216,14 +227,32 @@ def classify(block: str, templates: tuple = TEMPLATES) -> tuple:
     for small, i in ranked:
         held = held_wording(words[i], mine)
         if held:
-            return templates[i][0], i, size, small, held[0], True
+            said, first, last = held
+            place = [m.span() for m in _TOKEN.finditer(block)]
+            return (templates[i][0], i, size, small, said, True), block[: place[first][0]] + TAKEN + block[place[last - 1][1] :]
     small, i = ranked[0]
-    return None, i, size, small, wording_differences(words[i], mine)[1], False
+    return (None, i, size, small, wording_differences(words[i], mine)[1], False), None
+
+
+def classify_all(block: str, templates: tuple = TEMPLATES) -> list[tuple]:
+    """A row of ``classify`` for every license of the block, or the one that tells that there is none.
+
+    The words that confirmed a license are taken out and the rest is classified, until nothing more is
+    confirmed; the sizes of a later license are those of what was left. Further wordings of a license
+    found before give no row.
+    """
+    rows, rest = [], block.replace(TAKEN, " ")
+    while rest is not None:
+        row, rest = _first(rest, templates)
+        if row[5] and row[0] not in {r[0] for r in rows} or not rows:
+            rows.append(row)
+    return rows
 
 
 def license_scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
-    """One row per candidate block of every text: place, best template, sizes, exact word differences.
+    """Rows of the candidate blocks of every text: place, template, sizes, exact word differences.
 
+    A block has one row for each license it holds, or one without a license.
     Only texts with a cue leave the engine; each is read whole. ``first_char`` counts code points.
     Null and empty texts hold no block, a null doc_id is carried, repeated rows repeat their blocks, an
     empty table gives none, further columns are ignored.
@@ -233,9 +262,10 @@ def license_scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (doc, j, a, b - a, *classify(text[a:b], templates))
+                (doc, j, a, b - a, *row)
                 for doc, text in zip(batch["doc_id"], batch["text"])
                 for j, (a, b) in enumerate(candidate_blocks(text, templates))
+                for row in classify_all(text[a:b], templates)
             ]
             out = pd.DataFrame(rows, columns=["doc_id", *(c.strip().split()[0] for c in SCHEMA.split(","))])
             yield out.astype({"doc_id": batch["doc_id"].dtype})
