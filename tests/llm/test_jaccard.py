@@ -104,6 +104,20 @@ def test_signatures_meet_for_every_linked_pair():
                         assert any((shared & (at == i) & (need == x)).sum() >= x % 65536 for x in set(need[at == i]))
 
 
+@pytest.mark.parametrize("percent,size,gone,new", [(80, 5, 1, 0), (85, 7, 1, 0), (80, 9, 1, 1), (80, 10, 2, 0), (85, 13, 1, 1), (85, 20, 3, 0)])
+def test_signatures_meet_where_small_sets_fall_in_few_parts(percent, size, gone, new):
+    rng, scheme = np.random.default_rng(6), Scheme(percent)
+    for _ in range(3000):
+        a = rng.integers(0, 1 << 60, size, dtype=np.uint64)
+        b = np.concatenate((a[gone:], rng.integers(0, 1 << 60, new, dtype=np.uint64)))
+        both = size - gone
+        assert 100 * both >= percent * (size + len(b) - both)
+        at, sig, need = signatures([np.sort(a), np.sort(b)], scheme)
+        shared = np.isin(sig, np.intersect1d(sig[at == 0], sig[at == 1]))
+        for i in (0, 1):
+            assert any((shared & (at == i) & (need == x)).sum() >= x % 65536 for x in set(need[at == i]))
+
+
 def test_guests_are_not_linked_with_each_other():
     s = [np.arange(20, dtype=np.uint64)] * 3
     assert joined_roots(s, np.array([False, False, False]), 85).tolist() == [0, 1, 2]

@@ -89,7 +89,9 @@ def signatures(sets: list[np.ndarray], scheme: Scheme, division: int = 0) -> tup
     keep = filled | (empties >= scheme.spare[level])[of]
     part = (np.arange(base[-1]) - base[of]).astype(_U)
     sig = mix(total + mix(part * _U(0x10001) + (level[of].astype(_U) << _U(44)) + _U(9)))
-    need = np.where(empties >= scheme.spare[level], scheme.spare[level], scheme.spare[level] - empties)
+    # The partner may have too few empty parts to send them: then the certain agreements but for its own
+    # empty parts are on filled ones, one at least.
+    need = np.maximum(1, scheme.spare[level] - empties)
     return member[of[keep]], sig[keep].view(np.int64), ((level << 16) + np.minimum(need, 65_535)).astype(np.int32)[of[keep]]
 
 
