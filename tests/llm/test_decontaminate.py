@@ -84,6 +84,17 @@ def test_leaks_and_recall_against_brute_force(spark, documents):
     assert leaks(docs.filter("false"), bench).count() == 0 and leaks(docs, bench.filter("false")).count() == 0
 
 
+def test_long_items_that_walks_miss_are_found():
+    import pyarrow as pa
+
+    assert repetitions_for(1500, 80, 0.95) == 0
+    rng = random.Random(4)
+    items = [words(rng, 1500, 10**6) for _ in range(3)]
+    texts = [words(rng, 30) + " " + edited(rng, items[i % 3], 300) + " " + words(rng, 30) for i in range(24)] + [words(rng, 2000)]
+    got = {(row, i): e for row, i, e, *_ in Items([1, 2, 3], items).search(pa.array(texts))}
+    assert set(got) == {(i, i % 3) for i in range(24)} and all(200 < e <= 300 for e in got.values())
+
+
 def test_repetitions_reach_the_recall():
     assert all(1 <= repetitions_for(n, 80, 0.95) <= 96 for n in (5, 12, 40, 80))
     rng = random.Random(9)

@@ -5,7 +5,8 @@ and repeats or advances at every step as a random function of the step and the w
 few edits between two windows become few differing places between two walks. Each repetition
 compares walks at a few sampled places through a hash table of all items. Every window of an item's
 size is a candidate start; windows that share too few word pairs with the items of that size cannot
-lie within the edit bound and are not walked. What the tables return is verified by the exact edit
+lie within the edit bound and are not walked. For sizes at which the walks do not reach the recall,
+every such window is looked at without walks. What the tables return is verified by the exact edit
 distance between the item and the best stretch of the text.
 """
 
@@ -68,7 +69,7 @@ def walk_keys(keys: np.ndarray, start: np.ndarray, end: np.ndarray, n: int, repe
 
 @lru_cache(maxsize=512)
 def repetitions_for(n: int, percent: int, target: float) -> int:
-    """Repetitions that find the target share of random windows at the edit bound."""
+    """Repetitions that find the target share of random windows at the edit bound; 0 if ``MOST_REPETITIONS`` do not."""
     rng, pairs, k = np.random.default_rng(n * 1000 + percent), 200, _edits(n, percent)
     first, second = [], []
     for _ in range(pairs):
@@ -93,7 +94,7 @@ def repetitions_for(n: int, percent: int, target: float) -> int:
     hit = embed(first) == embed(second)
     found = np.logical_or.accumulate(hit, axis=1).mean(0)
     enough = np.flatnonzero(found >= target)
-    return int(enough[0]) + 1 if len(enough) else MOST_REPETITIONS
+    return int(enough[0]) + 1 if len(enough) else 0
 
 
 def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -148,6 +149,9 @@ class Items:
             flat = np.concatenate([self.keys[i] for i in mine])
             end = np.cumsum(np.full(len(mine), n))
             r = repetitions_for(n, percent, target)
+            if not r:
+                self.tables[n] = (0, None, mine)
+                continue
             table = walk_keys(flat, end - n, end, n, r)
             order = np.argsort(table.ravel(), kind="stable")
             self.tables[n] = (r, table.ravel()[order], np.repeat(mine, r)[order])
@@ -175,6 +179,19 @@ class Items:
                 out[n] = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(least, lo)]))
         return out
 
+    def _exact(self, n: int, item: np.ndarray, start: np.ndarray, pair: np.ndarray, doc: np.ndarray, end: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """Regions of the starts for every item of ``n`` words with enough word pairs there; no walk decides."""
+        k = _edits(n, self.percent)
+        out = {}
+        for d in np.unique(doc).tolist():
+            mine = start[doc == d]
+            lo, hi = int(mine[0]), int(mine[-1])
+            near = np.unique(pair[lo : min(int(end[d]), hi + n + k)])
+            for i in item.tolist():
+                if np.isin(_pairs(self.keys[i]), near).sum() >= n - 1 - 2 * k:
+                    out[d, i] = [lo, hi]
+        return out
+
     def search(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, edits, first byte, byte after the last) of every leak, the best per row and item."""
         for w in words(column, PUNCTUATED, True):
@@ -188,6 +205,9 @@ class Items:
             regions: dict[tuple[int, int], list[int]] = {}
             for n, start in self.starts(pair, w.doc, begin).items():
                 r, table, item = self.tables[n]
+                if not r:
+                    regions.update(self._exact(n, item, start, pair, w.doc[start], end))
+                    continue
                 for lo in range(0, len(start), 4096):
                     some = start[lo : lo + 4096]
                     got = walk_keys(w.key, some, end[w.doc[some]], n, r).ravel()
