@@ -104,3 +104,24 @@ def test_repetitions_reach_the_recall():
 
     texts = pa.array([words(rng, 9) + " " + edited(rng, item, 10) + " " + words(rng, 9) for _ in range(200)])
     assert len({row for row, *_ in block.search(texts)}) >= 180
+
+
+def test_short_items_and_scripts_without_blanks(spark, documents):
+    chinese, thai = "床前明月光疑是地上霜举头望明月低头思故乡", "สวัสดีชาวโลกทั้งหลาย"
+    items = ["Paris", "lone wolf runs far", chinese, thai, "ab cd", "明月", "日本𠮷野"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [
+        "We saw (paris)! And Paris again.",
+        "A lone wolf, runs far.",
+        "前言。" + chinese.replace("地", "天").replace("望", "看") + "，后记",
+        "คำ" + thai + "x",
+        "abcd ab",
+        "cd",
+        "在日本𠮷野町",
+        "Parisian",
+    ]
+    got = {(r.doc_id, r.item_id): r for r in leaks(documents([(i, t, "en", "s") for i, t in enumerate(texts)]), bench).collect()}
+    assert {k: r.edits for k, r in got.items()} == {(0, 0): 0, (1, 1): 0, (2, 2): 2, (2, 5): 0, (3, 3): 0, (6, 6): 0}
+    cut = {k: texts[k[0]].encode()[r.first_byte : r.end_byte].decode() for k, r in got.items()}
+    assert (cut[0, 0], cut[1, 1], cut[2, 5], cut[3, 3], cut[6, 6]) == ("paris", "lone wolf, runs far", "明月", thai, "日本𠮷野")
+    assert got[2, 2].item_words == len(chinese)

@@ -1,6 +1,7 @@
 """Benchmark decontamination: edit distance through CGK random walks and bit-sampling LSH.
 
-Texts and items are sequences of words (letters and digits, lower case). A CGK walk reads a window
+Texts and items are sequences of words (letters and digits, lower case; the
+characters of scripts without blanks). A CGK walk reads a window
 and repeats or advances at every step as a random function of the step and the word says, so that
 few edits between two windows become few differing places between two walks. Each repetition
 compares walks at a few sampled places through a hash table of all items. Every window of an item's
@@ -19,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from zonewise.llm.words import PUNCTUATED, mix, words
+from zonewise.llm.words import PUNCTUATED, Words, mix, words
 
 PERCENT = 80  # an item of n words is leaked by a stretch within n * (100 - PERCENT) / 100 edits
-MIN_WORDS = 5  # shorter items are no passages
+MIN_WORDS = 5  # shorter items are looked for word by word, without edits
 RECALL = 0.95
 PLACES = 2  # sampled places of a walk in one repetition
 MOST_REPETITIONS = 96
@@ -122,19 +123,27 @@ class Items:
 
     def __init__(self, ids: list, texts: list, percent: int = PERCENT, target: float = RECALL, least: int = MIN_WORDS):
         self.percent = percent
-        self.ids, self.keys = [], []
-        for w in words(pa.array(texts, pa.string()), PUNCTUATED, True):
+        self.ids, self.keys, short = [], [], {}
+        for w in words(pa.array(texts, pa.string()), PUNCTUATED, True, True):
             ends = np.cumsum(np.bincount(w.doc, minlength=w.texts))
             for i, key in enumerate(np.split(w.key, ends[:-1])):
-                if len(key) >= least:
+                if len(key):
                     self.ids.append(ids[w.first + i])
                     self.keys.append(key)
+                    if len(key) < least:
+                        short.setdefault(len(key), []).append(len(self.keys) - 1)
+        # Items of few words: sorted hashes of the whole item, and the items.
+        self.runs = {}
+        for n, mine in short.items():
+            run = np.concatenate([_runs(self.keys[i], n) for i in mine])
+            order = np.argsort(run, kind="stable")
+            self.runs[n] = (run[order], np.array(mine, np.int64)[order])
         sizes = np.array([len(k) for k in self.keys], np.int64)
-        self.sizes = [int(n) for n in np.unique(sizes)]
+        self.sizes = [int(n) for n in np.unique(sizes[sizes >= least])]
         group = {n: g for g, part in enumerate(np.array_split(np.array(self.sizes, np.int64), min(62, max(1, len(self.sizes))))) for n in part.tolist()}
         self.group = group
         pairs, bits = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-        for key in self.keys:
+        for key in (k for k in self.keys if len(k) >= least):
             pairs.append(_pairs(key))
             bits.append(np.full(len(key) - 1, 1 << group[len(key)], np.int64))
         pair, bit = np.concatenate(pairs), np.concatenate(bits)
@@ -192,16 +201,31 @@ class Items:
                     out[d, i] = [lo, hi]
         return out
 
+    def _whole(self, w: Words) -> Iterator[tuple[int, int, int, int, int]]:
+        """The first place of every item of few words in every text, without edits."""
+        for n, (table, item) in self.runs.items():
+            run = _runs(w.key, n)
+            inside = w.doc[: len(run)] == w.doc[n - 1 :]
+            a, b = np.searchsorted(table, run, "left"), np.searchsorted(table, run, "right")
+            done = set()
+            for s in np.flatnonzero(inside & (b > a)).tolist():
+                doc = int(w.doc[s])
+                for i in item[a[s] : b[s]].tolist():
+                    if (doc, i) not in done and (self.keys[i] == w.key[s : s + n]).all():
+                        done.add((doc, i))
+                        yield w.first + doc, i, 0, int(w.start[s]), int(w.stop[s + n - 1])
+
     def search(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, edits, first byte, byte after the last) of every leak, the best per row and item."""
-        for w in words(column, PUNCTUATED, True):
-            if len(w.key) < 2 or not self.keys:
+        for w in words(column, PUNCTUATED, True, True):
+            if not len(w.key) or not self.keys:
                 continue
             pair = _pairs(w.key)
             inside = w.doc[:-1] == w.doc[1:]
             pair = np.where(inside, pair, _U(0))
             end = np.cumsum(np.bincount(w.doc, minlength=w.texts))
             begin = np.concatenate(([0], end[:-1]))
+            yield from self._whole(w)
             regions: dict[tuple[int, int], list[int]] = {}
             for n, start in self.starts(pair, w.doc, begin).items():
                 r, table, item = self.tables[n]
@@ -231,6 +255,15 @@ def _pairs(key: np.ndarray) -> np.ndarray:
     return mix(key[:-1] * _U(0xD6E8FEB86659FD93) + key[1:])
 
 
+def _runs(key: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` words; none of fewer words."""
+    size = max(0, len(key) - n + 1)
+    run = key[:size]
+    for i in range(1, n):
+        run = mix(run * _U(0xD6E8FEB86659FD93) + key[i : i + size])
+    return run
+
+
 def _blocks(benchmark: DataFrame, **how) -> Iterator[Items]:
     """The benchmark in blocks of bounded size, one at a time on the driver."""
     ids, texts, held = [], [], 0
@@ -250,7 +283,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, target:
 
     ``doc_id``, ``item_id``, ``edits``, ``item_words``, ``first_byte`` and ``end_byte`` of the nearest
     stretch in the UTF-8 text. Blocks of items meet all documents, one map over the texts per block.
-    Null texts, texts without words and items of fewer than ``least`` words hold no leak; a null
+    Items of fewer than ``least`` words are leaked by the same words only. Null texts, and texts and
+    items without words, hold no leak; a null
     doc_id or item_id is carried as it is; repeated rows give repeated leaks; empty tables give none.
     """
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]

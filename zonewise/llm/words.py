@@ -16,6 +16,8 @@ BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 # Everything in ASCII that is no letter or digit; bytes of longer characters belong to words.
 PUNCTUATED = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+# Full-width letters and digits, by the last byte of their code points.
+_WIDE = np.array([chr(0xFF00 + c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -67,10 +69,27 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words(column: pa.Array, separators: np.ndarray = BLANK, fold_latin: bool = False) -> Iterator[Words]:
+def _unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of characters of scripts without blanks, and of CJK punctuation; all of them have three or four bytes."""
+    at = np.flatnonzero(data >= 0xE0)
+    a = data[at].astype(np.int64)
+    b, c = (data[np.minimum(at + i, len(data) - 1)].astype(np.int64) & 0x3F for i in (1, 2))
+    three, point = a < 0xF0, (a & 15) << 12 | b << 6 | c
+    mark = three & ((point >= 0x3000) & (point < 0x3040) & ~np.isin(point, (0x3005, 0x3006, 0x3007)) | (point > 0xFF00) & (point < 0xFF66) & ~_WIDE[point & 0xFF])
+    ranges = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3100, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F))
+    alone = np.zeros(len(at), bool)
+    for low, high in ranges:
+        alone |= three & (point >= low) & (point <= high)
+    # Planes 2 and 3 hold ideographs only.
+    alone |= (a == 0xF0) & (b >= 0x20) & (b < 0x40)
+    return at[alone & ~mark], at[mark]
+
+
+def words(column: pa.Array, separators: np.ndarray = BLANK, fold_latin: bool = False, split_unspaced: bool = False) -> Iterator[Words]:
     """Words between ``separators``, A-Z in lower case, of slices of about 2 MB of whole texts.
 
-    ``fold_latin`` also lowers the two-byte capitals from À to Þ. Null texts hold no words.
+    ``fold_latin`` also lowers the two-byte capitals from À to Þ; ``split_unspaced`` makes a word of every
+    character of scripts without blanks (Chinese, Japanese, Thai, Lao, Khmer, Burmese). Null texts hold no words.
     """
     raw, at = _bytes(column)
     first, n = 0, len(at) - 1
@@ -86,6 +105,11 @@ def words(column: pa.Array, separators: np.ndarray = BLANK, fold_latin: bool = F
         edge = np.ones(len(data) + 1, bool)
         edge[1:] = False
         edge[origin] = True
+        if split_unspaced and len(data):
+            alone, mark = _unspaced(data)
+            edge[alone] = True
+            edge[alone + np.where(data[alone] >= 0xF0, 4, 3)] = True
+            gap[(mark[:, None] + np.arange(3)).ravel()] = True
         opens = np.flatnonzero(~gap & (edge[:-1] | np.concatenate(([True], gap[:-1])))) if len(data) else np.zeros(0, np.int64)
         closes = np.flatnonzero(~gap & (edge[1:] | np.concatenate((gap[1:], [True])))) + 1 if len(data) else np.zeros(0, np.int64)
         up, down = _power(len(data) + 1)
