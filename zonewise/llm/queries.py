@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from zonewise.llm import chat, decontaminate, jaccard, licences, mixing, sharding, spots, tokens, toxicity, warc
+from zonewise.llm import chat, decontaminate, jaccard, licences, lloyd, merkle, mixing, pstable, sharding, spots, tokens, toxicity, warc
 from zonewise.session import pin, written_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,90 @@ def spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         spots.likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
         spots.likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
     )
+
+
+_OP11_CENTRES = "".join(
+    f"""
+e{i} AS MATERIALIZED (SELECT p.r, c.c, sum((p.x - c.x) * (p.x - c.x))::BIGINT AS d FROM p JOIN c{i} c USING (j) GROUP BY p.r, c.c),
+a{i} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM e{i} GROUP BY r),
+m{i} AS (SELECT a.c, p.j, sum(p.x)::BIGINT AS s, count(*) AS n FROM p JOIN a{i} a USING (r) GROUP BY a.c, p.j),
+c{i + 1} AS MATERIALIZED (SELECT c.c, c.j, CASE WHEN m.n IS NULL THEN c.x ELSE (m.s - ((m.s % m.n + m.n) % m.n)) // m.n END AS x FROM c{i} c LEFT JOIN m{i} m USING (c, j)),"""
+    for i in range(4)
+)
+_OP11_SQL = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+p AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM k),
+s AS (SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c FROM k QUALIFY c < 16),
+c0 AS MATERIALIZED (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM s),{_OP11_CENTRES}
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c3 GROUP BY c)
+SELECT vec_id, a.c::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a3 a JOIN k USING (r) JOIN h ON h.c = a.c
+"""
+
+
+@_query("op11_sharded_lloyd", _OP11_SQL)
+def sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in 16 clusters after three exact rounds over four shards of dimensions."""
+    return lloyd.lloyd(_table(spark, sf_dir, "embeddings"), 16, 3)
+
+
+_OP12_FIELDS = ", ".join(
+    f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars")
+)
+_OP12_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, coalesce('=' || source, '') AS tree,
+    sha256(concat({_OP12_FIELDS}, coalesce(octet_length(encode(text)) || ':' || text, '-'))) AS leaf,
+    sha256(concat({_OP12_FIELDS}, coalesce(octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), ''), '-'))) AS other,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda b: ascii(b)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS crc
+  FROM documents),
+l AS MATERIALIZED (SELECT *, CASE WHEN crc % 2 = 1 THEN other ELSE leaf END AS shown,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+t AS (SELECT tree, 0 AS h, pos, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM l
+  UNION ALL SELECT tree, h + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM t WHERE n > 1 GROUP BY tree, h, pos // 3),
+s AS MATERIALIZED (SELECT tree, node AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS place FROM t WHERE n = 1),
+u AS (SELECT 0 AS h, place AS pos, subroot AS node, count(*) OVER () AS n FROM s
+  UNION ALL SELECT h + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM u WHERE n > 1 GROUP BY h, pos // 3),
+g AS MATERIALIZED (SELECT l.r, t.h, t.pos, t.node, t.pos = l.pos // (3 ** t.h)::BIGINT AS mine FROM l JOIN t
+    ON t.tree = l.tree AND t.n > 1 AND t.pos // 3 = l.pos // (3 ** (t.h + 1))::BIGINT
+  UNION ALL SELECT l.r, 1000 + u.h, u.pos, u.node, u.pos = s.place // (3 ** u.h)::BIGINT FROM l JOIN s ON s.tree = l.tree JOIN u
+    ON u.n > 1 AND u.pos // 3 = s.place // (3 ** (u.h + 1))::BIGINT),
+q AS MATERIALIZED (SELECT r, h, coalesce(string_agg(node, '' ORDER BY pos) FILTER (pos < own), '') AS a, coalesce(string_agg(node, '' ORDER BY pos) FILTER (pos > own), '') AS z,
+    row_number() OVER (PARTITION BY r ORDER BY h) AS step FROM (SELECT *, max(CASE WHEN mine THEN pos END) OVER (PARTITION BY r, h) AS own FROM g) GROUP BY r, h),
+f AS (SELECT r, 0::BIGINT AS step, shown AS x FROM l UNION ALL SELECT f.r, q.step, sha256(a || x || z) FROM f JOIN q ON q.r = f.r AND q.step = f.step + 1),
+e AS (SELECT r, arg_max(x, step) AS folded_root FROM f GROUP BY r),
+w AS (SELECT r, sha256(string_agg(a || z, '' ORDER BY step)) AS proof FROM q GROUP BY r)
+SELECT doc_id, leaf, subroot, (SELECT node FROM u WHERE n = 1) AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root,
+  folded_root = (SELECT node FROM u WHERE n = 1) AS verified
+FROM l JOIN s ON s.tree = l.tree JOIN e ON e.r = l.r LEFT JOIN w ON w.r = l.r
+"""
+
+
+@_query("op12_merkle_manifest", _OP12_SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf of the tree of its source, with its proof; half of them shown without line feeds."""
+    docs = _table(spark, sf_dir, "documents")
+    head, text = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.col("text")
+    altered = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains(text, F.lit("\n"))
+    shown = F.when(altered, merkle.leaf_hash(*head, F.replace(text, F.lit("\n"), F.lit(""))))
+    leaves = docs.select("doc_id", "source", merkle.leaf_hash(*head, text).alias("leaf"), shown.alias("presented"))
+    return merkle.manifest(leaves, "source", "doc_id").drop("source")
+
+
+_OP13_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+c AS MATERIALIZED (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e)
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM c a JOIN c b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT r AS a, r AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT r.a, min(v.vec_id) AS component_id FROM r JOIN v ON v.r = r.b GROUP BY r.a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN m ON m.a = v.r LEFT JOIN n ON n.a = v.r
+"""
+
+
+@_query("op13_near_vectors", _OP13_SQL)
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.98 inside their label."""
+    return pstable.near_vectors(_table(spark, sf_dir, "embeddings"), 0.98)
