@@ -1,18 +1,17 @@
 """Rolling-origin evaluation: update dates, leakage-safe blocks, one-job refits, calibration, prediction tables.
 
-All updates are rows. Panel cells are reduced to sufficient statistics per target date once;
-blocks of an update then combine date rows (a calendar-sized table), so refitting every
-update costs one pass over the cells whatever the number of updates.
+All updates are rows. Panel cells are reduced to co-moments per target date once; blocks of an
+update then merge date rows (a calendar-sized table), so refitting every update costs one pass
+over the cells whatever the number of updates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from zonewise.functions import moments
 from zonewise.functions.ranking import Rank, order_statistics
 from zonewise.functions.scalars import one_row
 from zonewise.session import pin
@@ -117,93 +116,75 @@ def leakage_audit(blocks: DataFrame, horizon: int = 7) -> DataFrame:
     return out.withColumn("passed", total == 0)
 
 
-# -- per-update regression from sufficient statistics -------------------------------
+# -- per-update ridge regression from co-moments ---------------------------------------
 
 
-def date_statistics(cells: DataFrame, features: Sequence[str], y: str, date: str = "target") -> DataFrame:
-    """Per date: the upper triangle of X'X (with intercept) and X'y as one array of sums."""
-    x = [F.lit(1.0)] + [F.col(f) for f in features]
-    terms = [a * b for i, a in enumerate(x) for b in x[i:]] + [a * F.col(y) for a in x]
-    return cells.filter(F.col(y).isNotNull()).groupBy(date).agg(F.array(*[F.sum(t) for t in terms]).alias("stats"))
+FIRST, FINAL = "first", "final"
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _solve(stats: pd.Series) -> pd.Series:
-    """Coefficients from the packed normal equations; minimum-norm where they are singular."""
+def fit_by_update(stats: DataFrame, blocks: DataFrame, width: int, keys: Sequence[str] = ("update",), date: str = "target", penalty: float = 1e-3) -> DataFrame:
+    """(keys, role, n, mean, coef): a fit on the fitting block and one on fitting and selection, for all updates at once.
 
-    def one(s):
-        s = np.asarray(s, dtype=float)
-        p = int((np.sqrt(9 + 8 * len(s)) - 3) / 2)
-        a = np.zeros((p, p))
-        a[np.triu_indices(p)] = s[: p * (p + 1) // 2]
-        a = a + np.triu(a, 1).T
-        return np.linalg.lstsq(a, s[-p:], rcond=None)[0].tolist()
-
-    return stats.map(one)
+    ``stats`` are co-moments per date; an update merges those of its dates, so the cells are read
+    once whatever the number of updates, and a small system is solved in each row.
+    """
+    roles = F.when(F.col("block") == FIT, F.array(F.lit(FIRST), F.lit(FINAL))).otherwise(F.array(F.lit(FINAL)))
+    dates = blocks.filter(F.col("block").isin(FIT, SELECT)).select(*keys, "block", date).distinct()
+    parts = dates.select(*keys, date, F.explode(roles).alias("role")).join(stats, date)
+    merged = moments.merge_moments(parts, [*keys, "role"], width)
+    return merged.select(*keys, "role", "n", "mean", moments.ridge(width, penalty).alias("coef"))
 
 
-def fit_by_update(stats: DataFrame, blocks: DataFrame, use: Sequence[str] = (FIT,), date: str = "target") -> DataFrame:
-    """(update, coef): sums of date statistics over each update's blocks, solved one small system per row."""
-    dates = blocks.filter(F.col("block").isin(*use)).select("update", date).distinct()
-    width = stats.select(F.size("stats").alias("n")).first()["n"]
-    summed = dates.join(stats, date).groupBy("update").agg(
-        F.array(*[F.sum(F.col("stats")[i]) for i in range(width)]).alias("stats")
+def selection_gate(selection: DataFrame) -> DataFrame:
+    """Candidate accepted only if its selection MAE does not exceed persistence; else fall back."""
+    model, base = F.avg(F.abs(F.col("y") - F.col("mu"))), F.avg(F.abs(F.col("y") - F.col("anchor")))
+    return selection.groupBy("update").agg(model.alias("model_mae"), base.alias("persistence_mae")).withColumn(
+        "decision", F.when(F.col("model_mae") <= F.col("persistence_mae"), "accepted").otherwise("fallback")
     )
-    return summed.select("update", _solve("stats").alias("coef"))
 
 
-def linear_score(coef: str, features: Sequence[str]) -> Column:
-    out = F.col(coef)[0]
-    for i, f in enumerate(features, start=1):
-        out = out + F.col(coef)[i] * F.col(f)
-    return out
+def residual_sigma(selection: DataFrame, gate: DataFrame) -> DataFrame:
+    """Residual sd per update and zone on the selection block, of the forecast that the gate lets through."""
+    taken = F.when(F.col("decision") == "accepted", F.col("mu")).otherwise(F.col("anchor"))
+    return selection.join(gate.select("update", "decision"), "update").groupBy("update", "zone").agg(
+        F.sqrt(F.avg(F.pow(F.col("y") - taken, 2))).alias("sigma")
+    )
 
 
-def residual_sigma(cells: DataFrame, blocks: DataFrame, coefs: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Residual sd per update and zone on the selection block."""
-    sel = blocks.filter(F.col("block") == SELECT).select("update", "sample_id")
-    scored = cells.join(sel, "sample_id").join(coefs, "update")
-    return scored.groupBy("update", "zone").agg(
-        F.sqrt(F.avg(F.pow(F.col("y") - F.col("anchor") - linear_score("coef", features), 2))).alias("sigma")
-    )
+def gated(cells: DataFrame, coefs: DataFrame, gate: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``mu`` by the refitted model where the gate has accepted it, the last report elsewhere."""
+    change = F.when(F.col("decision") == "accepted", moments.linear_score("coef", features)).otherwise(0.0)
+    return cells.join(coefs.select("update", "coef"), "update").join(gate.select("update", "decision"), "update").withColumn(
+        "mu", F.col("anchor") + change
+    ).drop("coef", *features)
 
 
 def run(cells: DataFrame, blocks: DataFrame, features: Sequence[str]) -> dict[str, DataFrame]:
-    """Fit, select, refit on fitting + selection, calibrate, predict, for all updates together.
+    """Fit, select, gate, refit on fitting + selection, calibrate and predict, for all updates together.
 
     ``cells``: sample_id, zone, origin, target, anchor, y and the features, one row per (sample, zone).
+    An update whose candidate loses against persistence on its selection block calibrates and
+    predicts with persistence, with the residual sd of persistence.
     """
     cells = pin(cells.withColumn("delta", F.col("y") - F.col("anchor")))
     blocks = pin(blocks)
-    stats = pin(date_statistics(cells, features, "delta"))
-    first = pin(fit_by_update(stats, blocks))
-    sigma = pin(residual_sigma(cells, blocks, first, features))
-    final = pin(fit_by_update(stats, blocks, (FIT, SELECT)))
-
-    def scored(block: str, coefs: DataFrame) -> DataFrame:
-        rows = blocks.filter(F.col("block") == block).select("update", "update_no", "sample_id")
-        return (
-            cells.join(rows, "sample_id")
-            .join(coefs, "update")
-            .join(sigma, ["update", "zone"])
-            .withColumn("mu", F.col("anchor") + linear_score("coef", features))
-            .drop("coef")
-        )
-
-    return {
-        "coef": final,
-        "selection": scored(SELECT, first),
-        "calibration": scored(CALIBRATE, final),
-        "prediction": scored(PREDICT, final),
-    }
+    stats = pin(moments.co_moments(cells, [*features, "delta"], ["target"]))
+    fits = pin(fit_by_update(stats, blocks, len(features) + 1))
+    first, final = fits.filter(F.col("role") == FIRST), fits.filter(F.col("role") == FINAL)
 
+    def rows(block: str) -> DataFrame:
+        return cells.join(blocks.filter(F.col("block") == block).select("update", "update_no", "sample_id"), "sample_id")
 
-def selection_gate(selection: DataFrame) -> DataFrame:
-    """Candidate accepted only if its selection MAE does not exceed persistence; else fall back."""
-    model, base = F.avg(F.abs(F.col("y") - F.col("mu"))), F.avg(F.abs(F.col("y") - F.col("anchor")))
-    return selection.groupBy("update").agg(model.alias("model_mae"), base.alias("persistence_mae")).withColumn(
-        "decision", F.when(F.col("model_mae") <= F.col("persistence_mae"), "accepted").otherwise("fallback")
+    selection = pin(
+        rows(SELECT).join(first.select("update", "coef"), "update").withColumn("mu", F.col("anchor") + moments.linear_score("coef", features)).drop("coef", *features)
     )
+    gate = pin(selection_gate(selection))
+    sigma = residual_sigma(selection, gate)
+
+    def scored(block: str) -> DataFrame:
+        return gated(rows(block), final, gate, features).join(sigma, ["update", "zone"])
+
+    return {"coef": final, "gate": gate, "sigma": sigma, "selection": selection, "calibration": scored(CALIBRATE), "prediction": scored(PREDICT)}
 
 
 # -- calibration and intervals -----------------------------------------------------

@@ -4,43 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from zonewise.functions.scalars import one_row, r6 as R
+from zonewise.functions import moments
+from zonewise.functions.scalars import one_row
 from zonewise.operators import evaluate, graph, rolling, windows
+from zonewise.operators.design import Design
 from zonewise.plans.registry import query, r6
-from zonewise.plans.sqltext import PANEL_REGION
+from zonewise.plans.sqltext import BLOCK_FEATURES, PANEL_BLOCKS, block_supports
 from zonewise.plans.windowing import CELLS_SQL, H, L, _SPLIT, metric_sql, rounded, window_sql, zones_of
 from zonewise.session import pin
-from zonewise.sources.tables import panel_region
+from zonewise.sources.tables import block_features, block_links, panel_blocks
 
-FEATURES = ("log_anchor", "last_step")
+DESIGN = Design(("level", "step"), ("income", "crime", "access"))
+FEATURES = DESIGN.columns
 
 
-def region_set(spark, sf):
-    panel = panel_region(spark, sf)
+def block_set(spark, sf):
+    panel = panel_blocks(spark, sf)
     win = pin(windows.fraction_split(windows.build_windows(panel, zones_of(panel), L, H), 0.65, 0.10))
     return panel, win
 
 
-def region_blocks(spark, sf, window_days=730):
-    panel, win = region_set(spark, sf)
+def block_dates(spark, sf, window_days=730):
+    panel, win = block_set(spark, sf)
     test = win.filter("split = 'test'")
     ups = pin(rolling.update_dates(test))
     return panel, win, ups, rolling.assign_blocks(win, test, ups, window_days)
 
 
-def region_cells(panel, win):
-    c = windows.lookback_arrays(panel, win, L)
-    return c.withColumns(
-        {
-            "log_anchor": F.log1p(F.greatest(F.col("anchor"), F.lit(0.0))),
-            "last_step": F.element_at("inputs", -1) - F.element_at("inputs", -2),
-        }
+def dynamic(cells):
+    """Level and last step of each look-back."""
+    return cells.withColumns(
+        {"level": F.log1p(F.greatest(F.col("anchor"), F.lit(0.0))), "step": F.element_at("inputs", -1) - F.element_at("inputs", -2)}
     ).drop("inputs")
 
 
+def designed(spark, sf, cells):
+    """Cells with every column of the design: their neighbours' reports and the zones' context."""
+    support = pin(graph.supports(block_links(spark, sf)))
+    context, _ = DESIGN.context(block_features(spark, sf), support)
+    return DESIGN.moved(dynamic(cells), support).join(pin(context), "zone")
+
+
+def block_cells(spark, sf, panel, win):
+    return designed(spark, sf, windows.lookback_arrays(panel, win, L))
+
+
 def rolled(spark, sf, window_days=730):
-    panel, win, ups, blocks = region_blocks(spark, sf, window_days)
-    return rolling.run(region_cells(panel, win), blocks, FEATURES)
+    panel, win, ups, blocks = block_dates(spark, sf, window_days)
+    return rolling.run(block_cells(spark, sf, panel, win), blocks, FEATURES)
 
 
 def forecasts(spark, sf):
@@ -62,22 +73,68 @@ _UPD = """te AS (SELECT DISTINCT origin FROM sp WHERE split='test'),
  up0(u) AS (SELECT min(origin) FROM te UNION ALL SELECT (SELECT min(origin) FROM te WHERE origin>=u+28) FROM up0
    WHERE EXISTS (SELECT 1 FROM te WHERE origin>=u+28)),
  upd AS (SELECT row_number() OVER (ORDER BY u) AS update_no, u, coalesce(lead(u) OVER (ORDER BY u), DATE '9999-12-31') AS nu FROM up0)"""
-BASE = f"WITH RECURSIVE {window_sql(PANEL_REGION)}, {CELLS_SQL}, {_SPLIT}, {_UPD}"
+BASE = f"WITH RECURSIVE {window_sql(PANEL_BLOCKS)}, {CELLS_SQL}, {_SPLIT}, {_UPD}"
+
+
+def _terms(source, out, columns, weight="w"):
+    return ", ".join(f"{source.format(c)} AS {out.format(c)}" for c in columns)
+
+
+def context_sql():
+    """sup: links; zm: moments; zc: the standing columns of every zone."""
+    own = [f"z_{c}" for c in DESIGN.static]
+    hop = "LEFT JOIN sup ON direction='f' AND sup.r=z0.zone LEFT JOIN {} n ON n.zone=sup.c"
+    return f"""{block_supports()}, zr AS ({BLOCK_FEATURES}), zm AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in DESIGN.static)} FROM zr),
+ z0 AS (SELECT zone, {_terms('CASE WHEN s_{0}>=1e-8 THEN ({0}-m_{0})/s_{0} ELSE 0 END', 'z_{0}', DESIGN.static)} FROM zr, zm),
+ z1 AS (SELECT z0.zone, {_terms('coalesce(sum(w*n.{0}),0)', 'f1_{0}', own)} FROM z0 {hop.format('z0')} GROUP BY z0.zone),
+ z2 AS (SELECT z0.zone, {_terms('2*coalesce(sum(w*n.f1_{0}),0)-any_value(z0.{0})', 'f2_{0}', own)} FROM z0 {hop.format('z1')} GROUP BY z0.zone),
+ zc AS (SELECT *, {', '.join(f'z_{c}*z_{f} AS {c}_{f}' for c in DESIGN.coords for f in DESIGN.features)} FROM z0 JOIN z1 USING (zone) JOIN z2 USING (zone))"""
+
+
+def design_sql(cells):
+    """dn: dynamic columns of ``cells(sample_id, zone, ..., level, step)`` with those of the neighbours; cl: with the context."""
+    near = ", ".join(f"sum(w*{c}) FILTER (WHERE direction='{d}') AS {d}1_{c}" for d in "fb" for c in DESIGN.dynamic)
+    moving = ", ".join(f"coalesce({d}1_{c},0) AS {d}1_{c}" for d in "fb" for c in DESIGN.dynamic)
+    return f"""d0 AS ({cells}), d1 AS (SELECT d0.sample_id, sup.r AS zone, {near} FROM d0 JOIN sup ON sup.c=d0.zone GROUP BY ALL),
+ cl AS (SELECT d0.*, {moving}, {', '.join(DESIGN.standing)} FROM d0 LEFT JOIN d1 USING (sample_id, zone) JOIN zc USING (zone))"""
+
+
+def fit_sql(name, rows, key="u", penalty=1e-3):
+    """CTE ``name(key, b0, b)``: ridge of dy on the design by Gauss-Jordan steps on rows of the correlation matrix."""
+    p = len(FEATURES)
+    v = [*FEATURES, "dy"]
+    at = {(i, j): t for t, (i, j) in enumerate((i, j) for i in range(p + 1) for j in range(i, p + 1))}
+    of = [[at[min(i, j), max(i, j)] + 1 for j in range(p + 1)] for i in range(p)]
+    sd = f"list_transform({[at[i, i] + 1 for i in range(p + 1)]}, lambda t: sqrt(greatest(c[t],0)))"
+    ctes = [
+        f"{name}_c AS (SELECT {key}, [{', '.join(f'avg({x})' for x in v)}] AS m, [{', '.join(f'covar_pop({v[i]},{v[j]})' for i, j in at)}] AS c FROM ({rows}) GROUP BY {key})",
+        f"{name}_s AS (SELECT *, {sd} AS s FROM {name}_c)",
+        f"""{name}_0 AS (SELECT {key}, i, list_transform(range(1,{p + 2}), lambda j: CASE WHEN s[i]<1e-8 OR (j<={p} AND s[j]<1e-8) THEN CASE WHEN i=j THEN 1.0 ELSE 0.0 END
+   ELSE c[{of}[i][j]]/s[i]/CASE WHEN j>{p} THEN 1.0 ELSE s[j] END+CASE WHEN i=j THEN {penalty} ELSE 0.0 END END::DOUBLE) AS x FROM {name}_s, (SELECT unnest(range(1,{p + 1})) AS i))""",
+    ]
+    for k in range(1, p + 1):
+        ctes.append(f"""{name}_{k} AS (SELECT a.{key}, a.i, CASE WHEN a.i={k} THEN list_transform(a.x, lambda e: e/a.x[{k}])
+   ELSE list_transform(list_zip(a.x, q.x), lambda z: z[1]-a.x[{k}]*z[2]/q.x[{k}]) END AS x FROM {name}_{k - 1} a JOIN {name}_{k - 1} q ON q.{key}=a.{key} AND q.i={k})""")
+    ctes.append(f"{name} AS (SELECT {key}, any_value(m[{p + 1}])-sum(CASE WHEN s[i]<1e-8 THEN 0 ELSE x[{p + 1}]/s[i] END*m[i]) AS b0, list(CASE WHEN s[i]<1e-8 THEN 0 ELSE x[{p + 1}]/s[i] END ORDER BY i) AS b FROM {name}_{p} JOIN {name}_s USING ({key}) GROUP BY {key})")
+    return ",\n ".join(ctes)
+
+
+SCORE = "(b0+" + "+".join(f"b[{i}]*{c}" for i, c in enumerate(FEATURES, start=1)) + ")"
+_DYN = """SELECT lb.sample_id, lb.zone, lb.origin, lb.target, anchor, y, ln(1+greatest(anchor,0)) AS level, anchor-q.rate AS step, y-anchor AS dy
+   FROM lb JOIN p q ON q.zone=lb.zone AND q.date=lb.origin-1"""
 
 
 def model_sql(days="730"):
-    """cl: cells with features; f1/f2: coefficients before and after the refit; sg: sigma; pr: scored blocks."""
-    def fit(name, blocks):
-        return f"""{name}s AS (SELECT u, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(dy) AS my, covar_pop(x1,x1) AS c11, covar_pop(x2,x2) AS c22,
-   covar_pop(x1,x2) AS c12, covar_pop(x1,dy) AS c1y, covar_pop(x2,dy) AS c2y FROM bl JOIN cl USING (sample_id) WHERE block IN ({blocks}) GROUP BY u),
- {name} AS (SELECT u, my-b1*m1-b2*m2 AS b0, b1, b2 FROM (SELECT *, (c1y*c22-c2y*c12)/(c11*c22-c12*c12) AS b1, (c2y*c11-c1y*c12)/(c11*c22-c12*c12) AS b2 FROM {name}s))"""
-    return f"""{BASE}, {block_sql(days)},
- cl AS (SELECT lb.sample_id, lb.zone, lb.origin, lb.target, anchor, y, ln(1+greatest(anchor,0)) AS x1, anchor-q.rate AS x2, y-anchor AS dy
-   FROM lb JOIN p q ON q.zone=lb.zone AND q.date=lb.origin-1),
- {fit('f1', "'fitting'")}, {fit('f2', "'fitting','selection'")},
- sg AS (SELECT u, zone, sqrt(avg((y-anchor-b0-b1*x1-b2*x2)**2)) AS sigma FROM bl JOIN cl USING (sample_id) JOIN f1 USING (u) WHERE block='selection' GROUP BY ALL),
- pr AS (SELECT bl.u, bl.block, cl.*, anchor+b0+b1*x1+b2*x2 AS mu, sigma FROM bl JOIN cl USING (sample_id) JOIN f2 USING (u) JOIN sg USING (u, zone)
-   WHERE block IN ('calibration','predict')),
+    """cl: cells with the design; f1/f2: fits before and after the refit; ga: gate; sg: sigma; pr: scored blocks; ca: calibration; ft: forecasts."""
+    rows = "SELECT u, {} FROM bl JOIN cl USING (sample_id) WHERE block IN ({})"
+    cols = ", ".join([*FEATURES, "dy"])
+    f1, f2 = rows.format(cols, "'fitting'"), rows.format(cols, "'fitting','selection'")
+    return f"""{BASE}, {block_sql(days)}, {context_sql()}, {design_sql(_DYN)}, {fit_sql('f1', f1)}, {fit_sql('f2', f2)},
+ se AS (SELECT u, zone, y, anchor, anchor+{SCORE} AS mu FROM bl JOIN cl USING (sample_id) JOIN f1 USING (u) WHERE block='selection'),
+ ga AS (SELECT u, avg(abs(y-mu)) AS model_mae, avg(abs(y-anchor)) AS persistence_mae, avg(abs(y-mu))<=avg(abs(y-anchor)) AS ok FROM se GROUP BY u),
+ sg AS (SELECT u, zone, sqrt(avg((y-CASE WHEN ok THEN mu ELSE anchor END)**2)) AS sigma FROM se JOIN ga USING (u) GROUP BY ALL),
+ pr AS (SELECT bl.u, bl.block, cl.zone, cl.origin, cl.target, anchor, y, ok, anchor+CASE WHEN ok THEN {SCORE} ELSE 0 END AS mu, sigma
+   FROM bl JOIN cl USING (sample_id) JOIN f2 USING (u) JOIN ga USING (u) JOIN sg USING (u, zone) WHERE block IN ('calibration','predict')),
  sc AS (SELECT u, abs(y-mu)/sigma AS s, sigma, row_number() OVER (PARTITION BY u ORDER BY abs(y-mu)/sigma) AS r, count(*) OVER (PARTITION BY u) AS n
    FROM pr WHERE block='calibration' AND sigma>0),
  ca AS (SELECT u, max(n) AS n, max(CASE WHEN r=ceil(round((n+1)*0.8,9)) THEN s END) AS q80, max(CASE WHEN r=ceil(round((n+1)*0.95,9)) THEN s END) AS q95,
@@ -87,13 +144,13 @@ def model_sql(days="730"):
 
 @query("update_dates", "E1", f'{BASE} SELECT update_no, u AS "update", nu AS next_update FROM upd')
 def update_dates(spark, sf):
-    _, win = region_set(spark, sf)
+    _, win = block_set(spark, sf)
     return rolling.update_dates(win.filter("split = 'test'")).select(F.col("update_no").cast("long").alias("update_no"), "update", "next_update")
 
 
 @query("rolling_blocks", "E2", f'{BASE}, {block_sql()} SELECT u AS "update", sample_id, target, block FROM bl')
 def rolling_blocks(spark, sf):
-    return region_blocks(spark, sf)[3].select("update", "sample_id", "target", "block")
+    return block_dates(spark, sf)[3].select("update", "sample_id", "target", "block")
 
 
 def _plan_sql():
@@ -104,7 +161,7 @@ def _plan_sql():
 
 @query("rolling_plan", "E3", _plan_sql())
 def rolling_plan(spark, sf):
-    _, win = region_set(spark, sf)
+    _, win = block_set(spark, sf)
     test = win.filter("split = 'test'")
     return rolling.plan(win, test, pin(rolling.update_dates(test)))
 
@@ -113,27 +170,27 @@ def rolling_plan(spark, sf):
  count(*) FILTER (WHERE block<>'predict' AND target>u) AS n_late_targets, count(*) FILTER (WHERE block='predict' AND target-origin<>7) AS n_wrong_horizon,
  count(*) FILTER (WHERE block='predict' AND origin<u) AS n_early_issues, true AS passed FROM bl GROUP BY 1""")
 def leakage_audit(spark, sf):
-    return rolling.leakage_audit(pin(region_blocks(spark, sf)[3]))
+    return rolling.leakage_audit(pin(block_dates(spark, sf)[3]))
 
 
-@query("rolling_coefficients", "E12 SW10", f'{model_sql()} SELECT u AS "update", {r6("b0")} AS b0, {r6("b1")} AS b1, {r6("b2")} AS b2 FROM f2')
+@query("rolling_coefficients", "E12 SW10 G13", f"""{model_sql()}, nm AS (SELECT unnest({['intercept', *FEATURES]}) AS term, unnest(range({len(FEATURES) + 1})) AS i)
+ SELECT u AS "update", term, {r6('CASE WHEN i=0 THEN b0 ELSE b[i] END')} AS coef FROM f2, nm""")
 def rolling_coefficients(spark, sf):
-    c = rolled(spark, sf)["coef"]
-    return c.select("update", *[R(F.col("coef")[i]).alias(f"b{i}") for i in range(3)])
+    terms = F.transform(F.lit(["intercept", *FEATURES]), lambda t, i: F.struct(t.alias("term"), F.get("coef", i).alias("coef")))
+    return rounded(rolled(spark, sf)["coef"].select("update", F.inline(terms)))
 
 
 @query("rolling_predictions", "E11 E6 E5 D12", f"""{model_sql()} SELECT u AS "update", zone, origin, target, {r6('anchor')} AS persistence, {r6('mu')} AS mu, {r6('sigma')} AS sigma,
- {r6('y')} AS y FROM ft""")
+ {r6('y')} AS y, CASE WHEN ok THEN 'accepted' ELSE 'fallback' END AS decision FROM ft""")
 def rolling_predictions(spark, sf):
     p = rolled(spark, sf)["prediction"]
-    return rounded(p.select("update", "zone", "origin", "target", F.col("anchor").alias("persistence"), "mu", "sigma", "y"))
+    return rounded(p.select("update", "zone", "origin", "target", F.col("anchor").alias("persistence"), "mu", "sigma", "y", "decision"))
 
 
-@query("selection_gate", "E13", f"""{model_sql()} SELECT u AS "update", {r6('avg(abs(y-anchor-b0-b1*x1-b2*x2))')} AS model_mae, {r6('avg(abs(y-anchor))')} AS persistence_mae,
- CASE WHEN avg(abs(y-anchor-b0-b1*x1-b2*x2))<=avg(abs(y-anchor)) THEN 'accepted' ELSE 'fallback' END AS decision
- FROM bl JOIN cl USING (sample_id) JOIN f1 USING (u) WHERE block='selection' GROUP BY 1""")
+@query("selection_gate", "E13", f"""{model_sql()} SELECT u AS "update", {r6('model_mae')} AS model_mae, {r6('persistence_mae')} AS persistence_mae,
+ CASE WHEN ok THEN 'accepted' ELSE 'fallback' END AS decision FROM ga""")
 def selection_gate(spark, sf):
-    return rounded(rolling.selection_gate(rolled(spark, sf)["selection"]))
+    return rounded(rolled(spark, sf)["gate"])
 
 
 @query("calibration", "E7 T5 D14", f"""{model_sql()} SELECT u AS "update", n, {r6('p90')} AS sigma_p90, CAST(ceil(round((n+1)*0.8,9)) AS BIGINT) AS k80, {r6('q80')} AS q80,
@@ -209,41 +266,36 @@ def likelihood_and_huber_loss(spark, sf):
 
 
 def _choose_sql():
-    """Metrics of every training window on the first update's selection blocks, best first."""
+    """Metrics of every training window on the selection blocks of all updates, best first."""
     w = {"W180": "180", "W365": "365", "W730": "730", "Wall": None}
     parts, rows = [], []
     for i, (name, d) in enumerate(w.items()):
         parts.append(block_sql(d, f"b{i}"))
-        rows.append(f"SELECT '{name}' AS \"window\", * FROM b{i}")
-    allb = " UNION ALL ".join(rows)
-    cl = """cl AS (SELECT lb.sample_id, lb.zone, lb.origin, lb.target, anchor, y, ln(1+greatest(anchor,0)) AS x1, anchor-q.rate AS x2, y-anchor AS dy
-   FROM lb JOIN p q ON q.zone=lb.zone AND q.date=lb.origin-1)"""
-    return f"""{BASE}, {', '.join(parts)}, ab AS ({allb}), {cl},
- fs AS (SELECT "window", u, avg(x1) AS m1, avg(x2) AS m2, avg(dy) AS my, covar_pop(x1,x1) AS c11, covar_pop(x2,x2) AS c22, covar_pop(x1,x2) AS c12,
-  covar_pop(x1,dy) AS c1y, covar_pop(x2,dy) AS c2y FROM ab JOIN cl USING (sample_id) WHERE block='fitting' GROUP BY ALL),
- fb AS (SELECT *, (c1y*c22-c2y*c12)/(c11*c22-c12*c12) AS b1, (c2y*c11-c1y*c12)/(c11*c22-c12*c12) AS b2 FROM fs),
- sel AS (SELECT "window", y, anchor, anchor+my-b1*m1-b2*m2+b1*x1+b2*x2 AS mu FROM ab JOIN cl USING (sample_id) JOIN fb USING ("window", u) WHERE block='selection')
+        rows.append(f"SELECT '{name}' AS \"window\", '{name}'||u::VARCHAR AS wu, * FROM b{i}")
+    fitted = f"SELECT wu, {', '.join([*FEATURES, 'dy'])} FROM ab JOIN cl USING (sample_id) WHERE block='fitting'"
+    return f"""{BASE}, {', '.join(parts)}, ab AS ({' UNION ALL '.join(rows)}), {context_sql()}, {design_sql(_DYN)}, {fit_sql('fb', fitted, 'wu')},
+ sel AS (SELECT "window", y, anchor, anchor+{SCORE} AS mu FROM ab JOIN cl USING (sample_id) JOIN fb USING (wu) WHERE block='selection')
  SELECT "window", {r6('1-avg(abs(y-mu))/avg(abs(y-anchor))')} AS mae_skill, {r6('avg(abs(y-mu))')} AS model_mae, {r6('avg(y-mu)')} AS model_bias FROM sel GROUP BY 1
  ORDER BY 1-avg(abs(y-mu))/avg(abs(y-anchor)) DESC, avg(abs(y-mu)), abs(avg(y-mu)) LIMIT 1"""
 
 
 @query("choose_training_window", "T3 E3", _choose_sql())
 def choose_training_window(spark, sf):
-    panel, win = region_set(spark, sf)
+    panel, win = block_set(spark, sf)
     test = win.filter("split = 'test'")
     ups = pin(rolling.update_dates(test))
-    cells = pin(region_cells(panel, win).withColumn("delta", F.col("y") - F.col("anchor")))
-    stats = pin(rolling.date_statistics(cells, FEATURES, "delta"))
+    cells = pin(block_cells(spark, sf, panel, win).withColumn("delta", F.col("y") - F.col("anchor")))
+    stats = pin(moments.co_moments(cells, [*FEATURES, "delta"], ["target"]))
     out = None
     for days in (180, 365, 730, None):
-        b = pin(rolling.assign_blocks(win, test, ups, days))
-        coef = rolling.fit_by_update(stats, b)
-        sel = b.filter("block = 'selection'").select("update", "sample_id")
-        scored = cells.join(sel, "sample_id").join(coef, "update").select(
-            F.lit(rolling.window_label(days)).alias("window"), "y", "anchor", (F.col("anchor") + rolling.linear_score("coef", FEATURES)).alias("mu")
-        )
-        out = scored if out is None else out.unionByName(scored)
-    m = evaluate.evaluate(out, ["window"]).select("window", "mae_skill", "model_mae", "model_bias")
+        b = rolling.assign_blocks(win, test, ups, days).withColumn("window", F.lit(rolling.window_label(days)))
+        out = b if out is None else out.unionByName(b)
+    blocks = pin(out)
+    coef = rolling.fit_by_update(stats, blocks, len(FEATURES) + 1, ("window", "update")).filter(F.col("role") == rolling.FIRST)
+    sel = blocks.filter("block = 'selection'").select("window", "update", "sample_id")
+    scored = cells.join(sel, "sample_id").join(pin(coef), ["window", "update"])
+    scored = scored.select("window", "y", "anchor", (F.col("anchor") + moments.linear_score("coef", FEATURES)).alias("mu"))
+    m = evaluate.evaluate(scored, ["window"]).select("window", "mae_skill", "model_mae", "model_bias")
     return rounded(rolling.choose_window(m))
 
 
@@ -266,14 +318,14 @@ def alphas(blocks):
 
 @query("alpha_trajectory", "W9 G12 W8", f"""{ALPHA} SELECT u AS "update", graph, {r6('alpha')} AS alpha, {r6('alpha-lag(alpha) OVER (PARTITION BY graph ORDER BY u)')} AS change FROM al""")
 def alpha_trajectory(spark, sf):
-    a, _ = alphas(pin(region_blocks(spark, sf)[3]))
+    a, _ = alphas(pin(block_dates(spark, sf)[3]))
     return rounded(rolling.alpha_trajectory(a))
 
 
 @query("alpha_summary", "A20 J13", f"""{ALPHA} SELECT graph, {r6('sum(alpha*w)/sum(w)')} AS weighted_mean, {r6('stddev_samp(alpha)')} AS sd, {r6('min(alpha)')} AS lowest,
  {r6('max(alpha)')} AS highest FROM al JOIN np USING (u) GROUP BY 1""")
 def alpha_summary(spark, sf):
-    a, n = alphas(pin(region_blocks(spark, sf)[3]))
+    a, n = alphas(pin(block_dates(spark, sf)[3]))
     return rounded(evaluate.weighted_summary(a.join(n, "update"), "graph", "alpha", "weight"))
 
 
@@ -281,9 +333,9 @@ def alpha_summary(spark, sf):
  SELECT * FROM (SELECT 'live_window' AS check_name, (SELECT d FROM iss) BETWEEN u AND u+27 AS passed FROM lu
  UNION ALL SELECT unnest(['complete_inputs','no_data_after_issue','horizon_is_seven','lookback_is_seven','alpha_sums_to_one','one_model_for_update']), true)""")
 def operational_checks(spark, sf):
-    panel, win, ups, blocks = region_blocks(spark, sf)
+    panel, win, ups, blocks = block_dates(spark, sf)
     blocks = pin(blocks)
-    out = rolling.run(region_cells(panel, win), blocks, FEATURES)
+    out = rolling.run(block_cells(spark, sf, panel, win), blocks, FEATURES)
     last = one_row(ups.agg(F.max("update").alias("u")))["u"]
     issue = one_row(panel.agg(F.max("date").alias("d")))["d"]
     live = windows.operational_window(panel, zones_of(panel), issue, L, H)
@@ -306,31 +358,28 @@ def forecast_replay(spark, sf):
 def forecast_routes(spark, sf):
     from zonewise.sources.tables import day, table
 
-    _, win = region_set(spark, sf)
+    _, win = block_set(spark, sf)
     lim = win.filter("split = 'test'").agg(F.min("origin").alias("a"), F.max("origin").alias("b"))
     req = table(spark, sf, "orders").select(day("o_orderdate").alias("issue"), "o_orderstatus").withColumn("_l", one_row(lim))
     out = rolling.forecast_route(req, F.col("o_orderstatus") != "P", F.col("_l.a"), F.col("_l.b"))
     return out.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("operational_forecast", "E16 SW13 SW14", f"""{model_sql()}, lu AS (SELECT max(u) AS u FROM upd), iss AS (SELECT max(date) AS d FROM p)
- SELECT a.zone, iss.d AS origin, CAST(iss.d+7 AS DATE) AS target, {r6('a.rate+b0+b1*ln(1+a.rate)+b2*(a.rate-b.rate)')} AS mu, {r6('sigma')} AS sigma
- FROM iss JOIN p a ON a.date=iss.d JOIN p b ON b.date=iss.d-1 AND b.zone=a.zone JOIN lu ON true JOIN f2 ON f2.u=lu.u JOIN sg ON sg.u=lu.u AND sg.zone=a.zone""")
+_LIVE = """SELECT 0 AS sample_id, a.zone, iss.d AS origin, CAST(iss.d+7 AS DATE) AS target, a.rate AS anchor, ln(1+greatest(a.rate,0)) AS level, a.rate-b.rate AS step
+   FROM iss JOIN p a ON a.date=iss.d JOIN p b ON b.date=iss.d-1 AND b.zone=a.zone"""
+LIVE_SQL = f"""{model_sql()}, lu AS (SELECT max(u) AS u FROM upd), iss AS (SELECT max(date) AS d FROM p),
+ {design_sql(_LIVE).replace('d0 ', 'l0 ').replace('d0.', 'l0.').replace('d1 ', 'l1 ').replace('cl AS', 'lv AS')},
+ op AS (SELECT lv.zone, lv.origin, lv.target, lv.anchor+CASE WHEN ok THEN {SCORE} ELSE 0 END AS mu, sigma FROM lv JOIN lu ON true JOIN f2 USING (u) JOIN ga USING (u) JOIN sg USING (u, zone))"""
+
+
+@query("operational_forecast", "E16 SW13 SW14 E11", f"{LIVE_SQL} SELECT zone, origin, target, {r6('mu')} AS mu, {r6('sigma')} AS sigma FROM op")
 def operational_forecast(spark, sf):
-    panel, win, ups, blocks = region_blocks(spark, sf)
-    cells = pin(region_cells(panel, win).withColumn("delta", F.col("y") - F.col("anchor")))
-    blocks = pin(blocks)
-    stats = pin(rolling.date_statistics(cells, FEATURES, "delta"))
+    panel, win, ups, blocks = block_dates(spark, sf)
     last = one_row(ups.agg(F.max("update").alias("u")))["u"]
     live_blocks = blocks.filter(F.col("update") == last)
-    coef = rolling.fit_by_update(stats, live_blocks, ("fitting", "selection"))
-    sigma = rolling.residual_sigma(cells, live_blocks, rolling.fit_by_update(stats, live_blocks), FEATURES)
+    out = rolling.run(block_cells(spark, sf, panel, win), live_blocks, FEATURES)
     issue = one_row(panel.agg(F.max("date").alias("d")))["d"]
     live = windows.operational_window(panel, zones_of(panel), issue, L, H).filter("complete")
-    live = live.withColumn("anchor", F.element_at("inputs", -1)).withColumns(
-        {"log_anchor": F.log1p(F.greatest(F.col("anchor"), F.lit(0.0))), "last_step": F.col("anchor") - F.element_at("inputs", -2)}
-    )
-    out = live.join(sigma, "zone").join(coef, "update")
-    return rounded(
-        out.select("zone", "origin", "target", (F.col("anchor") + rolling.linear_score("coef", FEATURES)).alias("mu"), "sigma")
-    )
+    live = live.withColumns({"anchor": F.element_at("inputs", -1), "sample_id": F.lit(0), "update": last})
+    scored = rolling.gated(designed(spark, sf, live), out["coef"], out["gate"], FEATURES).join(out["sigma"], ["update", "zone"])
+    return rounded(scored.select("zone", "origin", "target", "mu", "sigma"))

@@ -21,9 +21,9 @@ _LG = evaluation.ALPHA.split(", lg AS ", 1)[1]
 
 def scored(spark, sf):
     """Forecast rows, calibration and fusion weights from one rolling run."""
-    panel, win, ups, blocks = evaluation.region_blocks(spark, sf)
+    panel, win, ups, blocks = evaluation.block_dates(spark, sf)
     blocks = pin(blocks)
-    out = rolling.run(evaluation.region_cells(panel, win), blocks, evaluation.FEATURES)
+    out = rolling.run(evaluation.block_cells(spark, sf, panel, win), blocks, evaluation.FEATURES)
     cal = pin(rolling.calibrate(out["calibration"]))
     pred = pin(rolling.attach_observed(rolling.with_intervals(out["prediction"], cal)))
     return pred, cal, evaluation.alphas(blocks)[0]
@@ -55,9 +55,8 @@ def period_table(spark, sf):
     return rounded(report.period_table(evaluation.forecasts(spark, sf)[0], "2001-01-01"))
 
 
-@query("future_forecast_table", "R4", f"""{MODEL}, lu AS (SELECT max(u) AS u FROM upd), iss AS (SELECT max(date) AS d FROM p)
- SELECT a.zone, {r6('a.rate+b0+b1*ln(1+a.rate)+b2*(a.rate-b.rate)')} AS mu, NULL::DOUBLE AS observed_rate, NULL::DOUBLE AS model_error, 'unverified_extrapolation' AS forecast_status, false AS observed_target_available
- FROM iss JOIN p a ON a.date=iss.d JOIN p b ON b.date=iss.d-1 AND b.zone=a.zone JOIN lu ON true JOIN f2 ON f2.u=lu.u""")
+@query("future_forecast_table", "R4", f"""{evaluation.LIVE_SQL} SELECT zone, {r6('mu')} AS mu, NULL::DOUBLE AS observed_rate, NULL::DOUBLE AS model_error,
+ 'unverified_extrapolation' AS forecast_status, false AS observed_target_available FROM op""")
 def future_forecast_table(spark, sf):
     live = evaluation.operational_forecast(spark, sf)
     return report.future_table(live).select("zone", "mu", "observed_rate", "model_error", "forecast_status", "observed_target_available")
@@ -72,21 +71,21 @@ def rounded_and_full_tables(spark, sf):
     return rounded(twin.withColumn("agrees", F.abs(F.col("mae") - F.col("mae_rounded")) <= 0.005 + 1e-12).drop("base"))
 
 
-@query("combined_city_metrics", "R6 S1", f"""{MODEL}, c AS (SELECT *, CASE WHEN zone IN ('r0','r1') THEN 'north' ELSE 'south' END AS city FROM ft) SELECT city, {metric_sql('y', 'mu')} FROM c GROUP BY 1""")
+@query("combined_city_metrics", "R6 S1", f"""{MODEL}, c AS (SELECT *, CASE WHEN zone<'b000000007' THEN 'north' ELSE 'south' END AS city FROM ft) SELECT city, {metric_sql('y', 'mu')} FROM c GROUP BY 1""")
 def combined_city_metrics(spark, sf):
     from zonewise.operators.evaluate import point_metrics
 
     f, _ = evaluation.forecasts(spark, sf)
     m = [c for c in point_metrics(F.col("y"), F.col("mu"))]
-    north, south = f.filter("zone in ('r0','r1')"), f.filter("zone not in ('r0','r1')")
+    north, south = f.filter("zone < 'b000000007'"), f.filter("zone >= 'b000000007'")
     return rounded(report.combine_cities({"north": north.agg(*m), "south": south.agg(*m)}))
 
 
-@query("zone_risk_table", "R7", f"""{MODEL} SELECT zone, r_name AS name, target, {r6('greatest(0,mu)')} AS display_mean, {r6('greatest(0,mu-q95*sigma)')} AS display_lower, {r6('greatest(0,mu+q95*sigma)')} AS display_upper,
- CASE WHEN sigma>p90 THEN 'high' ELSE 'normal' END AS uncertainty_flag FROM ft JOIN region ON 'r'||r_regionkey=zone""")
+@query("zone_risk_table", "R7", f"""{MODEL} SELECT zone, n_name AS name, target, {r6('greatest(0,mu)')} AS display_mean, {r6('greatest(0,mu-q95*sigma)')} AS display_lower, {r6('greatest(0,mu+q95*sigma)')} AS display_upper,
+ CASE WHEN sigma>p90 THEN 'high' ELSE 'normal' END AS uncertainty_flag FROM ft JOIN (SELECT 'b'||lpad(n_nationkey::VARCHAR,9,'0') AS zone, n_name FROM nation) USING (zone)""")
 def zone_risk_table(spark, sf):
     f, _ = evaluation.forecasts(spark, sf)
-    names = table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("zone"), F.col("r_name").alias("name"))
+    names = table(spark, sf, "nation").select(F.concat(F.lit("b"), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).alias("zone"), F.col("n_name").alias("name"))
     return rounded(report.zone_risk(f, names))
 
 

@@ -105,3 +105,27 @@ TRAVEL = """
 SELECT n_name AS zone, 'SITE_'||lpad(CAST(l_suppkey AS VARCHAR),6,'0') AS site_id, CASE WHEN l_linestatus='O' THEN 'drive' ELSE 'walk' END AS mode,
  CASE WHEN min(l_quantity)<=30 THEN min(l_quantity) END AS minutes FROM lineitem JOIN orders ON o_orderkey=l_orderkey JOIN customer ON c_custkey=o_custkey
  JOIN nation ON n_nationkey=c_nationkey GROUP BY n_name, l_suppkey, l_linestatus"""
+
+BLOCK = "'b'||lpad((({0}//100)::BIGINT)::VARCHAR,9,'0')"
+
+PANEL_BLOCKS = f"""
+SELECT date, zone, cases, 100000.0::DOUBLE AS population, cases::DOUBLE AS rate FROM (
+ SELECT zone, date, CAST(1000+sum(coalesce(net,0)) OVER (PARTITION BY zone ORDER BY date ROWS BETWEEN 179 PRECEDING AND CURRENT ROW) AS BIGINT) AS cases FROM
+  (SELECT zone, d::DATE AS date FROM (SELECT DISTINCT {BLOCK.format('c_custkey')} AS zone FROM customer),
+    (SELECT unnest(generate_series(min(o_orderdate)::DATE, max(o_orderdate)::DATE, INTERVAL 1 DAY)) AS d FROM orders))
+  LEFT JOIN (SELECT {BLOCK.format('o_custkey')} AS zone, o_orderdate::DATE AS date, sum(CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 1
+    WHEN o_orderpriority IN ('4-NOT SPECIFIED','5-LOW') THEN -1 ELSE 0 END) AS net FROM orders GROUP BY ALL) USING (zone, date))"""
+
+BLOCK_FEATURES = f"""SELECT {BLOCK.format('c_custkey')} AS zone, avg(abs(floor(c_acctbal)::BIGINT)%200) AS income, avg(abs(floor(c_acctbal)::BIGINT)%80) AS crime,
+  avg(c_nationkey) AS access, ((min(c_custkey)//100)%7)::DOUBLE AS x, ((min(c_custkey)//100)//7)::DOUBLE AS y FROM customer GROUP BY 1"""
+
+BLOCK_LINKS = f"""SELECT {BLOCK.format('a.o_custkey')} AS src, {BLOCK.format('b.o_custkey')} AS dst, count(*)::DOUBLE AS weight
+ FROM orders a JOIN orders b ON b.o_orderkey=a.o_orderkey+1
+ WHERE abs(a.o_custkey//100-b.o_custkey//100) BETWEEN 1 AND 2 GROUP BY ALL"""
+
+
+def block_supports(directions: str = "fb") -> str:
+    """CTE ``sup(direction, r, c, w)`` over ``eg``: shares of a node's weight, transposed."""
+    f = "SELECT 'f' AS direction, dst AS r, src AS c, weight/sum(weight) OVER (PARTITION BY src) AS w FROM eg"
+    b = "SELECT 'b' AS direction, src AS r, dst AS c, weight/sum(weight) OVER (PARTITION BY dst) AS w FROM eg"
+    return f"eg AS ({BLOCK_LINKS}), sup AS ({f} UNION ALL {b})"

@@ -7,8 +7,9 @@ scan the fact table again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from zonewise.functions.scalars import one_row
 from zonewise.session import pin
 
 
@@ -139,6 +140,50 @@ def panel_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def block_zone(key: str) -> Column:
+    """A zone for every hundred customers, so that zones grow with the tables."""
+    return F.concat(F.lit("b"), F.lpad(F.floor(F.col(key) / 100).cast("string"), 9, "0"))
+
+
+def panel_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete series per zone of customers: 1,000 and the net number of urgent orders of the last 180 days."""
+    urgent = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1).when(F.col("o_orderpriority").isin("4-NOT SPECIFIED", "5-LOW"), -1).otherwise(0)
+    orders = table(spark, sf_dir, "orders").select("o_custkey", day("o_orderdate").alias("date"), urgent.alias("net"))
+    daily = orders.groupBy(block_zone("o_custkey").alias("zone"), "date").agg(F.sum("net").alias("net"))
+    days = orders.agg(F.sequence(F.min("date"), F.max("date")).alias("d"))
+    zones = table(spark, sf_dir, "customer").select(block_zone("c_custkey").alias("zone")).distinct()
+    grid = zones.withColumn("_d", one_row(days)["d"]).select("zone", F.explode("_d").alias("date"))
+    upto = W.partitionBy("zone").orderBy("date").rowsBetween(-179, 0)  # a zone has one row per day
+    level = F.lit(1000) + F.sum(F.coalesce("net", F.lit(0))).over(upto)
+    cases = grid.join(daily, ["zone", "date"], "left").select("date", "zone", level.alias("cases"))
+    return pin(cases.select("date", "zone", "cases", F.lit(100000.0).alias("population"), F.col("cases").cast("double").alias("rate")))
+
+
+def block_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over the customers of a zone, and the place of the zone on a lattice of seven columns."""
+    bal = F.abs(F.floor("c_acctbal"))
+    at = F.floor(F.min("c_custkey") / 100)
+    return pin(
+        table(spark, sf_dir, "customer").groupBy(block_zone("c_custkey").alias("zone")).agg(
+            F.avg(bal % 200).alias("income"),
+            F.avg(bal % 80).alias("crime"),
+            F.avg("c_nationkey").alias("access"),
+            (at % 7).cast("double").alias("x"),
+            F.floor(at / 7).cast("double").alias("y"),
+        )
+    )
+
+
+def block_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, weight): how often an order of one zone is followed by one of a zone at most two further."""
+    orders = table(spark, sf_dir, "orders")
+    at = F.floor(F.col("o_custkey") / 100)
+    a = orders.select("o_orderkey", block_zone("o_custkey").alias("src"), at.alias("i"))
+    b = orders.select((F.col("o_orderkey") - 1).alias("o_orderkey"), block_zone("o_custkey").alias("dst"), at.alias("j"))
+    near = a.join(b, "o_orderkey").filter((F.col("i") != F.col("j")) & (F.abs(F.col("i") - F.col("j")) <= 2))
+    return pin(near.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+
+
 def nation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("zone"), F.col("n_nationkey").alias("node_index"))
 
