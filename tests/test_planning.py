@@ -117,19 +117,6 @@ def test_calibration_ranks_and_availability(spark):
     assert c["small"]["status"] == "unavailable" and c["small"]["q95"] is None
 
 
-def test_regression_from_statistics_matches_lstsq(spark):
-    rng = np.random.default_rng(7)
-    x = rng.normal(size=(120, 3))
-    y = 1.5 + x @ [2.0, -1.0, 0.5] + rng.normal(size=120) * 0.1
-    days = [f"2022-01-{i % 20 + 1:02d}" for i in range(120)]
-    df = spark.createDataFrame([(d, *map(float, r), float(t)) for d, r, t in zip(days, x, y)], "target string, a double, b double, c double, delta double").withColumn("target", F.col("target").cast("date"))
-    st = rolling.date_statistics(df, ["a", "b", "c"], "delta")
-    blocks = df.select(F.lit("u").alias("update"), "target").distinct().withColumn("block", F.when(F.dayofmonth("target") <= 12, "fitting").otherwise("selection"))
-    use = np.array([int(d[-2:]) <= 12 for d in days])
-    want = np.linalg.lstsq(np.column_stack([np.ones(use.sum()), x[use]]), y[use], rcond=None)[0]
-    assert rolling.fit_by_update(st, blocks).first()["coef"] == pytest.approx(want.tolist())
-
-
 def test_metrics_edge_cases(spark):
     from zonewise.operators import evaluate
 

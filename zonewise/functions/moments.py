@@ -22,22 +22,23 @@ def co_moments(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]) ->
     """Per key ``n``, ``mean`` and ``prod``, the upper triangle of centred products, of complete rows.
 
     Two passes: means first, then products of what is left of each row, so that nothing cancels.
+    The sums are given as text, which is analysed much faster than as many column objects.
     """
-    x = [F.col(c) for c in columns]
-    full = rows.select(*keys, *x).dropna(subset=list(columns))
-    means = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in x]).alias("mean"))
-    left = [x[i] - F.col("mean")[i] for i in range(len(x))]
-    sums = [F.sum(left[i] * left[j]) for i, j in _pairs(len(x))]
-    return full.join(means, list(keys)).groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.array(*sums).alias("prod"))
+    full = rows.select(*keys, *columns).dropna(subset=list(columns))
+    means = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in columns]).alias("mean"))
+    left = F.zip_with(F.array(*[F.col(c).cast("double") for c in columns]), "mean", lambda x, m: x - m)
+    off = full.join(means, list(keys)).select(*keys, "n", "mean", left.alias("_d"))
+    sums = ", ".join(f"sum(_d[{i}] * _d[{j}])" for i, j in _pairs(len(columns)))
+    return off.groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.expr(f"array({sums})").alias("prod"))
 
 
 def merge_moments(parts: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     """Co-moments of the union of parts: centred products within the parts and between their means."""
-    n, m = F.col("n"), F.col("mean")
-    total = parts.groupBy(*keys).agg(F.sum("n").alias("_n"), F.array(*[F.sum(n * m[i]) / F.sum("n") for i in range(width)]).alias("_m"))
-    off = [m[i] - F.col("_m")[i] for i in range(width)]
-    sums = [F.sum(F.col("prod")[t] + n * off[i] * off[j]) for t, (i, j) in enumerate(_pairs(width))]
-    return parts.join(total, list(keys)).groupBy(*keys).agg(F.first("_n").alias("n"), F.first("_m").alias("mean"), F.array(*sums).alias("prod"))
+    means = ", ".join(f"sum(n * mean[{i}]) / sum(n)" for i in range(width))
+    total = parts.groupBy(*keys).agg(F.sum("n").alias("_n"), F.expr(f"array({means})").alias("_m"))
+    off = parts.join(total, list(keys)).select(*keys, "n", "prod", "_n", "_m", F.zip_with("mean", "_m", lambda x, m: x - m).alias("_d"))
+    sums = ", ".join(f"sum(prod[{t}] + n * _d[{i}] * _d[{j}])" for t, (i, j) in enumerate(_pairs(width)))
+    return off.groupBy(*keys).agg(F.first("_n").alias("n"), F.first("_m").alias("mean"), F.expr(f"array({sums})").alias("prod"))
 
 
 def _cholesky(system: Column, p: int) -> Column:
@@ -67,6 +68,10 @@ def _cholesky(system: Column, p: int) -> Column:
     return let(F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), system, eliminate), back)
 
 
+def _numbers(values: Sequence[int]) -> Column:
+    return F.expr(f"array({', '.join(map(str, values))})")
+
+
 def ridge(width: int, penalty: float = 1e-3, flat: float = FLAT) -> Column:
     """Coefficients (intercept first) of the last variable on the others, from ``n``, ``mean`` and ``prod``.
 
@@ -76,7 +81,7 @@ def ridge(width: int, penalty: float = 1e-3, flat: float = FLAT) -> Column:
     p = width - 1
     place = {pair: t for t, pair in enumerate(_pairs(width))}
     of = [place[min(i, j), max(i, j)] for i in range(p) for j in range(width)]
-    diagonal = F.lit([place[i, i] for i in range(width)])
+    diagonal = _numbers([place[i, i] for i in range(width)])
     spread = F.transform(diagonal, lambda t: F.sqrt(F.greatest(F.get("prod", t) / F.col("n"), F.lit(0.0))))
 
     def solved(sd: Column) -> Column:
@@ -86,7 +91,7 @@ def ridge(width: int, penalty: float = 1e-3, flat: float = FLAT) -> Column:
             value = F.when(known, F.get("prod", t) / F.col("n") / F.get(sd, i) / F.when(j == p, 1.0).otherwise(F.get(sd, j))).otherwise(0.0)
             return value + F.when(i == j, F.when(known, penalty).otherwise(1.0)).otherwise(0.0)
 
-        scaled = _cholesky(F.transform(F.lit(of), entry), p)
+        scaled = _cholesky(F.transform(_numbers(of), entry), p)
         slopes = F.zip_with(scaled, F.slice(sd, 1, p), lambda b, s: F.when(s >= flat, b / s).otherwise(0.0))
         # The right side was left in units of the last variable, so the slopes are too.
         return let(slopes, lambda g: F.concat(F.array(F.get("mean", F.lit(p)) - F.aggregate(F.zip_with(g, F.slice("mean", 1, p), lambda a, m: a * m), F.lit(0.0), lambda a, x: a + x)), g))

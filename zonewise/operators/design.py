@@ -64,8 +64,7 @@ class Design:
 
     @property
     def standing(self) -> list[str]:
-        own = [f"z_{c}" for c in self.static]
-        return [*own, *[f"f{k}_{c}" for k in range(1, self.reach + 1) for c in own], *[f"{c}_{f}" for c in self.coords for f in self.features]]
+        return [*[f"z_{c}" for c in self.static], *[f"f{k}_z_{c}" for k in range(1, self.reach + 1) for c in self.features], *[f"{c}_{f}" for c in self.coords for f in self.features]]
 
     @property
     def columns(self) -> list[str]:
@@ -77,7 +76,7 @@ class Design:
     def context(self, zones: DataFrame, support: DataFrame) -> tuple[DataFrame, DataFrame]:
         """A row per zone with its standing columns, and the moments the features are scaled by."""
         own, marks = scaled(zones, self.static)
-        carried = hops(own, support, [f"z_{c}" for c in self.static], self.reach, "f")
+        carried = hops(own, support, [f"z_{c}" for c in self.features], self.reach, "f")
         return self.crossed(carried).select("zone", *self.standing), marks
 
     def moved(self, cells: DataFrame, support: DataFrame) -> DataFrame:

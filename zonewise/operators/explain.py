@@ -6,15 +6,17 @@ coefficients are computed once; per zone the explanation is 13 weighted sums in
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import lru_cache
 from math import comb
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from zonewise.functions.moments import linear_score
 from zonewise.functions.ranking import quantiles
 from zonewise.functions.scalars import one_row
+from zonewise.operators.design import Design, at_scale
 from zonewise.session import pin
 
 LOCATION = "location"
@@ -52,14 +54,51 @@ def reference_point(zones: DataFrame, columns: Sequence[str]) -> DataFrame:
     return mid.agg(*[F.max(F.when(F.col("feature") == c, F.col("v"))).alias(c) for c in columns])
 
 
-def coalitions(zones: DataFrame, features: Sequence[str], reference: DataFrame, coords: Sequence[str] = ("x", "y")) -> DataFrame:
-    """One row per zone and mask; players outside the mask take the reference value for that zone only."""
-    n = len(features) + 1
-    out = zones.withColumn("_r", one_row(reference)).withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(2**n - 1))))
-    inside = lambda i: F.bit_get(F.col("mask"), F.lit(i)) == 1
-    cols = {c: F.when(inside(0), F.col(c)).otherwise(F.col("_r")[c]) for c in coords}
-    cols |= {f: F.when(inside(i), F.col(f)).otherwise(F.col("_r")[f]) for i, f in enumerate(features, start=1)}
-    return out.withColumns(cols).drop("_r")
+def echoes(support: DataFrame, zones: DataFrame, steps: int) -> DataFrame:
+    """(zone, r1, r2, ...): what comes back to a zone, after 1, 2, ... steps, of a change of 1 in its own feature.
+
+    The change is carried forward as a sparse table of (source, node) entries, so a zone costs its
+    neighbourhood and not the graph; the terms are those of ``design.hops``.
+    """
+    links = support.filter("direction = 'forward'").select("row", "col", "w")
+    start = zones.select(F.col("zone").alias("source"), F.col("zone").alias("node"), F.lit(1.0).alias("v"))
+    older, newer, out = None, start, zones.select("zone")
+    for k in range(1, steps + 1):
+        moved = newer.join(links, F.col("node") == F.col("col")).select("source", F.col("row").alias("node"), (F.col("w") * F.col("v") * (1 if k == 1 else 2)).alias("v"))
+        if older is not None:
+            moved = moved.unionByName(older.withColumn("v", -F.col("v")))
+        older, newer = newer, pin(moved.groupBy("source", "node").agg(F.sum("v").alias("v")))
+        back = newer.filter("source = node").select(F.col("source").alias("zone"), F.col("v").alias(f"r{k}"))
+        out = out.join(back, "zone", "left").withColumn(f"r{k}", F.coalesce(f"r{k}", F.lit(0.0)))
+    return out
+
+
+def coalition_scores(zones: DataFrame, design: Design, reference: DataFrame, marks: DataFrame) -> DataFrame:
+    """(zone, mask, value): the forecast of every zone when the players outside the mask take the reference.
+
+    ``zones``: zone, anchor, the raw features and coordinates, the columns of ``design``, ``coef`` and
+    the echoes. Only the target zone's features change: its reports, its neighbours and the last
+    report are held, and the change reaches the carried terms by the echo of the zone.
+    """
+    full = F.col("anchor") + linear_score("coef", design.columns)
+    kept = zones.withColumn("_full", full).withColumn("_r", one_row(reference)).withColumn("_m", one_row(marks))
+    n = len(design.features) + 1
+    masked = kept.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(2**n - 1))))
+    at = {c: F.col("coef")[i] for i, c in enumerate(design.columns, start=1)}
+    bit = {f: i for i, f in enumerate(design.features, start=1)} | {c: 0 for c in design.coords}
+    new = {f"_z_{c}": F.when(F.bit_get(F.col("mask"), F.lit(bit[c])) == 1, F.col(f"z_{c}")).otherwise(at_scale(F.col("_r")[c], F.col("_m"), c)) for c in design.static}
+    moved = masked.withColumns(new)
+    value = F.col("_full")
+    for c in design.static:
+        share = at[f"z_{c}"]
+        if c in design.features:
+            for k in range(1, design.reach + 1):
+                share = share + at[f"f{k}_z_{c}"] * F.col(f"r{k}")
+        value = value + share * (F.col(f"_z_{c}") - F.col(f"z_{c}"))
+    for c in design.coords:
+        for f in design.features:
+            value = value + at[f"{c}_{f}"] * (F.col(f"_z_{c}") * F.col(f"_z_{f}") - F.col(f"{c}_{f}"))
+    return moved.select("zone", "mask", value.alias("value"))
 
 
 def shapley(values: DataFrame, features: Sequence[str], key: str = "zone") -> DataFrame:
@@ -79,13 +118,6 @@ def shapley(values: DataFrame, features: Sequence[str], key: str = "zone") -> Da
     return wide.select(key, "phi_0", "prediction", F.inline(cells))
 
 
-def explain(zones: DataFrame, features: Sequence[str], predict: Callable[[DataFrame], DataFrame], key: str = "zone") -> DataFrame:
-    """Reference point, coalitions, scored values and Shapley terms. ``predict`` adds ``value``."""
-    ref = pin(reference_point(zones, [*features, "x", "y"]))
-    scored = predict(coalitions(zones, features, ref)).select(key, "mask", "value")
-    return shapley(scored, features, key)
-
-
 def additivity(explained: DataFrame, key: str = "zone", tolerance: float = 1e-6) -> DataFrame:
     gap = F.abs(F.max("phi_0") + F.sum("phi") - F.max("prediction"))
     return explained.groupBy(key).agg(gap.alias("additivity_error"), (gap <= tolerance).alias("additive"))

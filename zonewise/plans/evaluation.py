@@ -82,7 +82,7 @@ def _terms(source, out, columns, weight="w"):
 
 def context_sql():
     """sup: links; zm: moments; zc: the standing columns of every zone."""
-    own = [f"z_{c}" for c in DESIGN.static]
+    own = [f"z_{c}" for c in DESIGN.features]
     hop = "LEFT JOIN sup ON direction='f' AND sup.r=z0.zone LEFT JOIN {} n ON n.zone=sup.c"
     return f"""{block_supports()}, zr AS ({BLOCK_FEATURES}), zm AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in DESIGN.static)} FROM zr),
  z0 AS (SELECT zone, {_terms('CASE WHEN s_{0}>=1e-8 THEN ({0}-m_{0})/s_{0} ELSE 0 END', 'z_{0}', DESIGN.static)} FROM zr, zm),
@@ -124,11 +124,14 @@ _DYN = """SELECT lb.sample_id, lb.zone, lb.origin, lb.target, anchor, y, ln(1+gr
    FROM lb JOIN p q ON q.zone=lb.zone AND q.date=lb.origin-1"""
 
 
+_FITTED = "SELECT u, {} FROM bl JOIN cl USING (sample_id) WHERE block IN ({})"
+FIT_SQL = f"{BASE}, {block_sql('730')}, {context_sql()}, {design_sql(_DYN)}, " + fit_sql("f2", _FITTED.format(", ".join([*FEATURES, "dy"]), "'fitting','selection'"))
+
+
 def model_sql(days="730"):
     """cl: cells with the design; f1/f2: fits before and after the refit; ga: gate; sg: sigma; pr: scored blocks; ca: calibration; ft: forecasts."""
-    rows = "SELECT u, {} FROM bl JOIN cl USING (sample_id) WHERE block IN ({})"
     cols = ", ".join([*FEATURES, "dy"])
-    f1, f2 = rows.format(cols, "'fitting'"), rows.format(cols, "'fitting','selection'")
+    f1, f2 = _FITTED.format(cols, "'fitting'"), _FITTED.format(cols, "'fitting','selection'")
     return f"""{BASE}, {block_sql(days)}, {context_sql()}, {design_sql(_DYN)}, {fit_sql('f1', f1)}, {fit_sql('f2', f2)},
  se AS (SELECT u, zone, y, anchor, anchor+{SCORE} AS mu FROM bl JOIN cl USING (sample_id) JOIN f1 USING (u) WHERE block='selection'),
  ga AS (SELECT u, avg(abs(y-mu)) AS model_mae, avg(abs(y-anchor)) AS persistence_mae, avg(abs(y-mu))<=avg(abs(y-anchor)) AS ok FROM se GROUP BY u),

@@ -4,81 +4,99 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from zonewise.functions.scalars import r6 as R
-from zonewise.operators import explain
+from zonewise.functions import moments
+from zonewise.functions.scalars import one_row, r6 as R
+from zonewise.operators import explain, graph, rolling, windows
+from zonewise.plans import evaluation
 from zonewise.plans.registry import query, r6
+from zonewise.plans.sqltext import BLOCK_FEATURES
 from zonewise.plans.windowing import rounded
 from zonewise.session import pin
-from zonewise.sources.tables import table
+from zonewise.sources.tables import block_features, block_links, table
 
-FEATURES = ("income", "employment", "overcrowded", "crime", "university", "access")
+FEATURES, COLUMNS = evaluation.DESIGN.features, evaluation.DESIGN.static
+N = len(FEATURES) + 1
 
 
-def feature_zones(spark, sf):
-    """Every customer as a zone with six features and coordinates."""
-    k, bal = F.col("c_custkey"), F.abs(F.floor("c_acctbal"))
-    return table(spark, sf, "customer").select(
-        k.alias("zone"),
-        (bal % 200).cast("double").alias("income"),
-        (bal % 150).cast("double").alias("employment"),
-        (k % 60).cast("double").alias("overcrowded"),
-        (bal % 80).cast("double").alias("crime"),
-        (k % 40).cast("double").alias("university"),
-        (k % 25 + 3).cast("double").alias("access"),
-        (k % 37).cast("double").alias("x"),
-        (F.floor(k / 37) % 41).cast("double").alias("y"),
-    )
-
-
-def score(df):
-    e = (
-        0.5 * F.col("income") + 0.01 * F.col("employment") * F.col("access") - 0.2 * F.col("university")
-        + 0.03 * F.col("x") * F.col("crime") + 0.1 * F.col("y") - 0.001 * F.col("x") * F.col("y") * F.col("overcrowded")
-    )
-    return df.withColumn("value", e)
-
-
-_COLS = (*FEATURES, "x", "y")
-
-
-def _coefficients_sql():
-    m = explain.fit_matrix(6)
-    names = [("location", "location")] + [(f, "main") for f in FEATURES] + [(f, "interaction") for f in FEATURES]
-    rows = ",".join(f"('{p}','{c}',[{','.join(repr(float(v)) + '::DOUBLE' for v in m[i])}])" for i, (p, c) in enumerate(names))
-    return f"(SELECT * FROM (VALUES {rows}) t(player, component, coef))"
+def last_forecast(spark, sf):
+    """Every zone at the last issue date: features, design, echoes and the model of its update; the scaling moments."""
+    design = evaluation.DESIGN
+    panel, win, ups, blocks = evaluation.block_dates(spark, sf)
+    blocks, win = pin(blocks), pin(win)
+    issue = one_row(blocks.filter("block = 'predict'").agg(F.max(F.struct("origin", "update", "sample_id")).alias("v")))["v"]
+    chosen = pin(blocks.filter(F.col("update") == issue["update"]))
+    support, raw = pin(graph.supports(block_links(spark, sf))), block_features(spark, sf)
+    context, marks = design.context(raw, support)
+    reports = windows.lookback_arrays(panel, win.join(chosen.select("sample_id").distinct(), "sample_id", "left_semi"), evaluation.L)
+    cells = pin(design.moved(evaluation.dynamic(reports), support).join(pin(context), "zone").withColumn("delta", F.col("y") - F.col("anchor")))
+    stats = moments.co_moments(cells, [*design.columns, "delta"], ["target"])
+    coef = rolling.fit_by_update(stats, chosen, len(design.columns) + 1).filter(F.col("role") == rolling.FINAL).select("update", "coef")
+    at = cells.filter(F.col("sample_id") == issue["sample_id"]).withColumn("_coef", one_row(coef))
+    zones = at.select("zone", "anchor", *design.columns, F.col("_coef.coef").alias("coef")).join(raw, "zone")
+    return pin(zones.join(explain.echoes(support, raw, design.reach), "zone")), marks
 
 
-def _when(i, c):
-    return f"CASE WHEN (mask>>{i})&1=1 THEN z.{c} ELSE r.{c} END AS {c}"
-
-
-BASE = f"""WITH z AS (SELECT c_custkey AS zone, (abs(floor(c_acctbal)::BIGINT)%200)::DOUBLE AS income, (abs(floor(c_acctbal)::BIGINT)%150)::DOUBLE AS employment,
- (c_custkey%60)::DOUBLE AS overcrowded, (abs(floor(c_acctbal)::BIGINT)%80)::DOUBLE AS crime, (c_custkey%40)::DOUBLE AS university, (c_custkey%25+3)::DOUBLE AS access,
- (c_custkey%37)::DOUBLE AS x, ((c_custkey//37)%41)::DOUBLE AS y FROM customer),
- r AS (SELECT {', '.join(f'quantile_cont({c},0.5) AS {c}' for c in _COLS)} FROM z),
- co AS (SELECT zone, mask, {_when(0, 'x')}, {_when(0, 'y')}, {', '.join(_when(i, f) for i, f in enumerate(FEATURES, start=1))} FROM z, r, (SELECT unnest(range(128)) AS mask)),
- va AS (SELECT zone, mask, 0.5*income+0.01*employment*access-0.2*university+0.03*x*crime+0.1*y-0.001*x*y*overcrowded AS value FROM co)"""
-FITTED = f"""{BASE}, ex AS (SELECT zone, player, component, sum(coef[mask+1]*value) AS phi FROM va, {_coefficients_sql()} GROUP BY ALL),
- b0 AS (SELECT zone, max(value) FILTER (WHERE mask=0) AS phi_0, max(value) FILTER (WHERE mask=127) AS prediction FROM va GROUP BY 1)"""
+def scores(spark, sf):
+    zones, marks = last_forecast(spark, sf)
+    ref = pin(explain.reference_point(zones, COLUMNS))
+    return pin(explain.coalition_scores(zones, evaluation.DESIGN, ref, marks))
 
 
 def explained(spark, sf):
-    return explain.explain(feature_zones(spark, sf), FEATURES, score)
-
-
-@query("reference_point", "X1", f"{BASE} SELECT {', '.join(f'{r6(c)} AS {c}' for c in _COLS)} FROM r")
+    return explain.shapley(scores(spark, sf), FEATURES)
+
+
+def _graph_sql():
+    """va: values by a new look at the whole graph for every zone and mask, with that zone's features replaced."""
+    own = [f"z_{f}" for f in FEATURES]
+    swap = ", ".join(f"CASE WHEN zr.zone=t.zone AND (mask>>{i})&1=0 THEN rf.{c} ELSE zr.{c} END AS {c}" for c, i in [*[(f, i) for i, f in enumerate(FEATURES, start=1)], ("x", 0), ("y", 0)])
+    hop = "LEFT JOIN sup ON direction='f' AND sup.r=p0.zone LEFT JOIN {} n ON n.zone=sup.c AND n.t=p0.t AND n.mask=p0.mask"
+    terms = evaluation._terms
+    return f"""{evaluation.FIT_SQL}, li AS (SELECT max((origin, u, sample_id)) AS v FROM bl WHERE block='predict'),
+ rf AS (SELECT {', '.join(f'quantile_cont({c},0.5) AS {c}' for c in COLUMNS)} FROM zr),
+ px AS (SELECT t.zone AS t, mask, zr.zone, {swap} FROM zr t, (SELECT unnest(range({2**N})) AS mask), zr, rf),
+ p0 AS (SELECT t, mask, zone, {terms('CASE WHEN s_{0}>=1e-8 THEN ({0}-m_{0})/s_{0} ELSE 0 END', 'z_{0}', COLUMNS)} FROM px, zm),
+ p1 AS (SELECT p0.t, p0.mask, p0.zone, {terms('coalesce(sum(w*n.{0}),0)', 'f1_{0}', own)} FROM p0 {hop.format('p0')} GROUP BY ALL),
+ p2 AS (SELECT p0.t, p0.mask, p0.zone, {terms('2*coalesce(sum(w*n.f1_{0}),0)-any_value(p0.{0})', 'f2_{0}', own)} FROM p0 {hop.format('p1')} GROUP BY p0.t, p0.mask, p0.zone),
+ pq AS (SELECT *, {', '.join(f'z_{c}*z_{f} AS {c}_{f}' for c in evaluation.DESIGN.coords for f in FEATURES)} FROM p0 JOIN p1 USING (t, mask, zone) JOIN p2 USING (t, mask, zone)),
+ va AS (SELECT pq.zone, mask, anchor+{evaluation.SCORE} AS value FROM pq JOIN (SELECT zone, anchor, {', '.join(evaluation.DESIGN.moving)} FROM cl, li WHERE sample_id=v[3]) d ON d.zone=pq.zone
+   JOIN f2 ON u=(SELECT v[2] FROM li) WHERE pq.t=pq.zone)"""
+
+
+def _terms_sql():
+    """ex: the constrained weighted fit of every zone, its normal equations solved by Gauss-Jordan steps; b0: empty and full value."""
+    free = 2 * N - 1
+    loc, mains = "(mask&1)", [f"((mask>>{i})&1)" for i in range(1, N)]
+    d = f"[{', '.join([loc, *mains, *[f'{loc}*{m}' for m in mains]])}]::DOUBLE[]"
+    names = [("location", "location"), *[(f, "main") for f in FEATURES], *[(f, "interaction") for f in FEATURES]]
+    size = f"bit_count(mask::INTEGER)"
+    ctes = [
+        f"ms AS (SELECT mask, {d} AS d, {size} AS s FROM (SELECT unnest(range({2**N})) AS mask))",
+        f"mw AS (SELECT mask, d, {N - 1}.0/(factorial({N})/(factorial(s)*factorial({N}-s))*s*({N}-s)) AS w FROM ms WHERE s BETWEEN 1 AND {N - 1})",
+        f"b0 AS (SELECT zone, max(value) FILTER (WHERE mask=0) AS phi_0, max(value) FILTER (WHERE mask={2**N - 1}) AS prediction FROM va GROUP BY 1)",
+        f"""q0 AS (SELECT zone, i, [{', '.join(f'sum(w*d[i]*d[{j}])' for j in range(1, free + 1))}, 1.0, sum(w*d[i]*(value-phi_0))]::DOUBLE[] AS x FROM va JOIN b0 USING (zone) JOIN mw USING (mask),
+   (SELECT unnest(range(1,{free + 1})) AS i) GROUP BY zone, i UNION ALL SELECT zone, {free + 1}, [{', '.join(['1.0'] * free)}, 0.0, prediction-phi_0]::DOUBLE[] FROM b0)""",
+    ]
+    for k in range(1, free + 2):
+        ctes.append(f"""q{k} AS (SELECT a.zone, a.i, CASE WHEN a.i={k} THEN list_transform(a.x, lambda e: e/a.x[{k}])
+   ELSE list_transform(list_zip(a.x, q.x), lambda z: z[1]-a.x[{k}]*z[2]/q.x[{k}]) END AS x FROM q{k - 1} a JOIN q{k - 1} q ON q.zone=a.zone AND q.i={k})""")
+    rows = ",".join(f"({i},'{p}','{c}')" for i, (p, c) in enumerate(names, start=1))
+    ctes.append(f"ex AS (SELECT zone, player, component, x[{free + 2}] AS phi FROM q{free + 1} JOIN (VALUES {rows}) t(i, player, component) USING (i))")
+    return ",\n ".join(ctes)
+
+
+VALUES = _graph_sql()
+FITTED = f"{VALUES}, {_terms_sql()}"
+
+
+@query("reference_point", "X1", f"WITH zr AS ({BLOCK_FEATURES}) SELECT {', '.join(f'{r6(f'quantile_cont({c},0.5)')} AS {c}' for c in COLUMNS)} FROM zr")
 def reference_point(spark, sf):
-    return rounded(explain.reference_point(feature_zones(spark, sf), _COLS))
+    return rounded(explain.reference_point(block_features(spark, sf), COLUMNS))
 
 
-@query("coalition_values", "X2 X3 F5 F7", f"{BASE} SELECT mask, count(*) AS n, {r6('sum(value)/1000')} AS total, {r6('min(value)')} AS lowest, {r6('max(value)')} AS highest FROM va GROUP BY 1")
+@query("coalition_values", "X2 X3 F5 F7", f"{VALUES} SELECT zone, mask::INTEGER AS mask, {r6('value')} AS value FROM va")
 def coalition_values(spark, sf):
-    z = feature_zones(spark, sf)
-    ref = pin(explain.reference_point(z, _COLS))
-    v = score(explain.coalitions(z, FEATURES, ref))
-    return rounded(v.groupBy("mask").agg(
-        F.count(F.lit(1)).alias("n"), (F.sum("value") / 1000).alias("total"), F.min("value").alias("lowest"), F.max("value").alias("highest")
-    ))
+    return rounded(scores(spark, sf))
 
 
 @query("shapley_terms", "X4 D13", f"{FITTED} SELECT zone, player, component, {r6('phi')} AS phi, {r6('phi_0')} AS phi_0, {r6('prediction')} AS prediction FROM ex JOIN b0 USING (zone)")
@@ -86,7 +104,7 @@ def shapley_terms(spark, sf):
     return rounded(explained(spark, sf).select("zone", "player", "component", "phi", "phi_0", "prediction"))
 
 
-@query("additivity_check", "X5", f"{BASE} SELECT count(DISTINCT zone) AS n, true AS additive FROM va")
+@query("additivity_check", "X5", f"""{FITTED} SELECT count(*) AS n, bool_and(abs(phi_0+s-prediction)<=1e-6) AS additive FROM b0 JOIN (SELECT zone, sum(phi) AS s FROM ex GROUP BY 1) USING (zone)""")
 def additivity_check(spark, sf):
     a = explain.additivity(explained(spark, sf))
     return a.agg(F.count(F.lit(1)).alias("n"), F.bool_and("additive").alias("additive"))
@@ -108,12 +126,12 @@ def explanation_summary(spark, sf):
 
 
 @query("zone_output_table", "J14", f"""{FITTED}, n AS (SELECT zone, player, sum(phi) AS net FROM ex GROUP BY ALL)
- SELECT zone, c_name AS name, {r6('prediction')} AS prediction, {', '.join(f"{r6(f'''max(net) FILTER (WHERE player='{p}')''')} AS {p}" for p in ('location', *FEATURES))}
- FROM n JOIN b0 USING (zone) JOIN customer ON c_custkey=zone GROUP BY zone, c_name, prediction""")
+ SELECT zone, 'Zone '||zone AS name, {r6('prediction')} AS prediction, {', '.join(f"{r6(f'''max(net) FILTER (WHERE player='{p}')''')} AS {p}" for p in ('location', *FEATURES))}
+ FROM n JOIN b0 USING (zone) GROUP BY zone, prediction""")
 def zone_output_table(spark, sf):
     e = pin(explained(spark, sf))
     f = e.groupBy("zone").agg(F.max("prediction").alias("prediction"))
-    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("zone"), F.col("c_name").alias("name"))
+    names = f.select("zone", F.concat(F.lit("Zone "), F.col("zone")).alias("name"))
     return rounded(explain.zone_outputs(f, names, e, ["location", *FEATURES]))
 
 
@@ -128,12 +146,20 @@ def vector_spread(spark, sf):
     return rounded(table(spark, sf, "embeddings").groupBy("label").agg(F.avg(explain.row_spread("embedding")).alias("mean_spread")))
 
 
+INDICATORS = ("income", "employment", "overcrowded", "crime", "university", "access")
+_Z = """z AS (SELECT c_custkey AS zone, (abs(floor(c_acctbal)::BIGINT)%200)::DOUBLE AS income, (abs(floor(c_acctbal)::BIGINT)%150)::DOUBLE AS employment,
+ (c_custkey%60)::DOUBLE AS overcrowded, (abs(floor(c_acctbal)::BIGINT)%80)::DOUBLE AS crime, (c_custkey%40)::DOUBLE AS university, (c_custkey%25+3)::DOUBLE AS access FROM customer)"""
+
+
 def static_long(spark, sf):
-    z = feature_zones(spark, sf).withColumn("constant", F.lit(4.0))
-    return z.select("zone", *FEATURES, "constant").unpivot(["zone"], [*FEATURES, "constant"], "feature", "value")
+    """Every customer as a zone with six indicators and a constant one."""
+    k, bal = F.col("c_custkey"), F.abs(F.floor("c_acctbal"))
+    values = dict(zip(INDICATORS, (bal % 200, bal % 150, k % 60, bal % 80, k % 40, k % 25 + 3))) | {"constant": F.lit(4.0)}
+    z = table(spark, sf, "customer").select(k.alias("zone"), *[v.cast("double").alias(c) for c, v in values.items()])
+    return z.unpivot(["zone"], list(values), "feature", "value")
 
 
-@query("cross_section_scaled", "SW12", f"""{BASE}, l AS (SELECT zone, feature, value FROM (SELECT zone, {', '.join(FEATURES)}, 4.0::DOUBLE AS constant FROM z) UNPIVOT (value FOR feature IN ({', '.join(FEATURES)}, constant))),
+@query("cross_section_scaled", "SW12", f"""WITH {_Z}, l AS (SELECT zone, feature, value FROM (SELECT zone, {', '.join(INDICATORS)}, 4.0::DOUBLE AS constant FROM z) UNPIVOT (value FOR feature IN ({', '.join(INDICATORS)}, constant))),
  s AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS sd FROM l GROUP BY 1) SELECT zone, feature, {r6('CASE WHEN sd<1e-8 THEN 0 ELSE (value-m)/sd END')} AS z, sd<1e-8 AS flat FROM l JOIN s USING (feature)""")
 def cross_section_scaled(spark, sf):
     from zonewise.operators import scale
