@@ -134,3 +134,112 @@ def test_shortest_paths_and_travel_matrix(spark):
         for j in range(4, 9):
             want = d[i, j]
             assert got[(f"z{i}", f"s{j}")] == (None if np.isinf(want) else pytest.approx(round(want, 2), abs=0.0051))
+
+
+def reach_components(n, arcs):
+    ahead = {i: {j for a, j in arcs if a == i} for i in range(n)}
+
+    def reach(i):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in ahead[todo.pop()] - seen:
+                seen.add(j), todo.append(j)
+        return seen
+
+    far = [reach(i) for i in range(n)]
+    return {i: max(j for j in far[i] if i in far[j]) for i in range(n)}
+
+
+def strong(spark, n, arcs):
+    e = spark.createDataFrame([(a, b) for a, b in arcs] or [(0, 0)], "src long, dst long")
+    return {r["node"]: r["component"] for r in graph.strong_components(e, spark.range(n).withColumnRenamed("id", "node")).collect()}
+
+
+def test_strong_components_against_reach(spark):
+    import random
+
+    rng = random.Random(6)
+    shapes = [
+        (1, []),
+        (12, [(i, i + 1) for i in range(11)]),  # a path
+        (12, [(i, (i + 1) % 6) for i in range(6)] + [(6 + i, 6 + (i + 1) % 6) for i in range(6)] + [(2, 8)]),  # two rings and a bridge
+        (20, [(i, i + 1) for i in range(10)] + [(10, 3), (4, 12), (12, 13), (13, 4), (13, 14), (14, 15), (15, 16), (16, 16)]),
+        (30, [(i, (i + k) % 30) for i in range(30) for k in (1, 2)]),
+    ]
+    shapes += [(40, [(rng.randrange(40), rng.randrange(40)) for _ in range(m)]) for m in (30, 60)]
+    for n, arcs in shapes:
+        assert strong(spark, n, arcs) == reach_components(n, arcs)
+
+
+def test_rounds_on_a_ring_grow_with_the_logarithm(spark, monkeypatch):
+    written = []
+    keep = graph.pin
+    monkeypatch.setattr(graph, "pin", lambda df, *a: written.append(1) or keep(df, *a))
+    n = 10_000
+    ids = spark.range(n)
+    ring = ids.select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+    tail = spark.createDataFrame([(0, n), (n, n + 1)], "src long, dst long")
+    out = graph.strong_components(ring.unionByName(tail), spark.range(n + 2).withColumnRenamed("id", "node"))
+    got = {r["component"]: r["n"] for r in out.groupBy("component").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {n - 1: n, n: 1, n + 1: 1}
+    assert len(written) < 60
+
+
+def dijkstra(arcs, seeds):
+    cost = dict(seeds)
+    while True:
+        new = {v: min(cost[u] + c for u, w, c in arcs if w == v and u in cost) for v in {w for u, w, _ in arcs if u in cost}}
+        better = {v: c for v, c in new.items() if c < cost.get(v, math.inf)}
+        if not better:
+            return cost
+        cost |= better
+
+
+def streets(rng, n_junctions, chain):
+    """Junctions joined by two-way and one-way chains of nodes, with dead ends and a loop."""
+    arcs, node = [], n_junctions
+    for a in range(n_junctions):
+        for b in rng.sample(range(n_junctions), 2):
+            if a == b:
+                continue
+            way = [a, *range(node, node + chain), b]
+            node += chain
+            for u, v in zip(way, way[1:]):
+                c = float(rng.randrange(1, 9))
+                arcs.append((u, v, c))
+                if rng.random() < 0.9:
+                    arcs.append((v, u, c))
+    arcs += [(0, node, 1.0), (node, 0, 1.0), (node, node + 1, 2.0), (node + 1, node, 2.0), (1, node + 2, 1.0), (node + 2, node + 3, 1.0), (node + 3, 1, 1.0)]
+    return arcs
+
+
+@pytest.mark.parametrize("bound", [{}, {"within_km": 0.02}, {"nearest": 2}])
+def test_paths_over_contracted_chains(spark, bound):
+    import random
+
+    rng = random.Random(9)
+    arcs = streets(rng, 8, 5)
+    places = [(f"z{k}", k * 5 + 2, float(k % 3)) for k in range(9)] + [("twin", 7, 0.0)]
+    a = spark.createDataFrame([("m", *r) for r in arcs], "mode string, u long, v long, length double")
+    z = spark.createDataFrame(places, "id string, node long, distance double")
+    got = {(r["src"], r["dst"]): r["km"] for r in paths.od_distances(a, z, z, **bound).collect()}
+    want = {}
+    for s, at, d in places:
+        cost = dijkstra(arcs, {at: d})
+        rows = {t: (0.0 if s == t else (cost[n] + e) / 1000) for t, n, e in places if n in cost}
+        if "within_km" in bound:
+            rows = {t: km for t, km in rows.items() if km <= 0.02}
+        if "nearest" in bound:
+            rows = dict(sorted(((t, km) for t, km in rows.items() if t != s), key=lambda x: (x[1], x[0]))[:2])
+        want |= {(s, t): km for t, km in rows.items()}
+    assert got == pytest.approx(want)
+
+
+def test_a_long_chain_is_one_arc(spark):
+    n = 3000
+    chain = spark.range(n).select(F.lit("m").alias("mode"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(1.0).alias("cost"))
+    both = chain.unionByName(chain.select("mode", F.col("v").alias("u"), F.col("u").alias("v"), "cost"))
+    keep = spark.createDataFrame([(0,), (n,), (n // 3,)], "node long")
+    got = sorted((r["u"], r["v"], r["cost"]) for r in paths.contracted(both, keep).collect())
+    third = n // 3
+    assert got == [(0, third, 1.0 * third), (third, 0, 1.0 * third), (third, n, 1.0 * (n - third)), (n, third, 1.0 * (n - third))]

@@ -128,3 +128,32 @@ def test_order_hash_is_a_tree_of_blocks(spark, monkeypatch):
     first = [sha(codes[i : i + 3], "\n") for i in (0, 3, 6)]
     assert order.order_hash(n).first()["order_hash"] == sha(first, "\n")
     assert order.order_hash(n.filter("false")).first()["order_hash"] == hashlib.sha256(b"").hexdigest()
+
+
+def inside(ring, x, y):
+    n = 0
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        if (y1 <= y < y2 or y2 <= y < y1) and x1 + (y - y1) * (x2 - x1) / (y2 - y1) > x:
+            n += 1
+    return n % 2 == 1
+
+
+@pytest.mark.parametrize("size", [3.0, 10.0, 400.0])
+def test_points_in_polygons_against_every_edge(spark, size):
+    import math
+    import random
+
+    rng = random.Random(int(size))
+    rings = {"all": [(-50.0, -50.0), (150.0, -40.0), (160.0, 150.0), (-60.0, 140.0)]}
+    for k in range(6):  # concave stars, some of them over others
+        cx, cy = rng.uniform(0, 100), rng.uniform(0, 100)
+        turn = [(2 * math.pi * i / 14, rng.uniform(4, 45)) for i in range(14)]
+        rings[f"star{k}"] = [(cx + r * math.cos(t), cy + r * math.sin(t)) for t, r in turn]
+    rings["lattice"] = [(0.0, 0.0), (60.0, 0.0), (60.0, 30.0), (30.0, 30.0), (30.0, 60.0), (0.0, 60.0)]
+    seg = [(z, *map(float, a), *map(float, b)) for z, r in rings.items() for a, b in zip(r, r[1:] + r[:1])]
+    pts = [(i, rng.uniform(-70, 170), rng.uniform(-60, 160)) for i in range(500)] + [(1000 + i, 15.0, 15.0) for i in range(3)] + [(2000, 45.0, 15.0), (2001, 45.5, 45.5)]
+    df = spark.createDataFrame([*pts, (9, None, 1.0)], "pid int, x double, y double")
+    out = spatial.points_in_polygons(df, spark.createDataFrame(seg, "zone string, x1 double, y1 double, x2 double, y2 double"), "pid", size)
+    got = sorted((r["pid"], r["zone"]) for r in out.collect())
+    assert got == sorted((i, z) for i, x, y in pts for z, r in rings.items() if inside(r, x, y))
+    assert spatial.points_in_polygons(df.limit(0), spark.createDataFrame(seg, "zone string, x1 double, y1 double, x2 double, y2 double"), "pid", size).collect() == []

@@ -293,49 +293,119 @@ def weak_components(edges: DataFrame, nodes: DataFrame, node: str = "node") -> D
 
 
 def _spread(labels: DataFrame, arcs: DataFrame, best) -> DataFrame:
-    """Push labels along arcs until nothing improves."""
-    state = pin(labels.withColumn("changed", F.lit(True)))
+    """Push labels along arcs until nothing improves.
+
+    Besides its own arcs every node looks back along a pointer, at first one of its sources and then,
+    by doubling, a node twice as far behind it, so a long way takes the logarithm of its steps
+    wherever the pointers lead along it.
+    """
+    back = arcs.groupBy(F.col("dst").alias("node")).agg(F.max("src").alias("back"))
+    state = pin(labels.join(back, "node", "left").withColumn("changed", F.lit(True)))
     while True:
         pushed = state.filter("changed").join(arcs, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "label")
+        behind = state.select(F.col("node").alias("back"), F.col("label").alias("seen"), F.col("back").alias("further"))
+        jumped = state.filter("back is not null").join(behind, "back").select("node", F.col("seen").alias("label"), "further")
+        none = F.lit(None).cast("long")
         merged = (
-            state.select("node", "label", F.col("label").alias("had"))
-            .unionByName(pushed.withColumn("had", F.lit(None).cast("long")))
+            state.select("node", "label", F.col("label").alias("had"), none.alias("further"))
+            .unionByName(pushed.select("node", "label", none.alias("had"), none.alias("further")))
+            .unionByName(jumped.select("node", "label", none.alias("had"), "further"))
             .groupBy("node")
-            .agg(best("label").alias("label"), F.max("had").alias("had"))
+            .agg(best("label").alias("label"), F.max("had").alias("had"), F.max("further").alias("back"))
         )
-        state = pin(merged.filter("had is not null").select("node", "label", (F.col("label") != F.col("had")).alias("changed")))
+        state = pin(merged.filter("had is not null").select("node", "label", "back", (F.col("label") != F.col("had")).alias("changed")))
         if _unchanged(state):
             return state.select("node", "label")
 
 
+def _trimmed(nodes: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, arcs) left when nodes without an arc in or out, components of their own, are taken away."""
+    both = arcs.select(F.col("src").alias("node")).intersect(arcs.select(F.col("dst").alias("node")))
+    kept = pin(nodes.join(both, "node", "left_semi"))
+    inner = arcs.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return kept, pin(inner)
+
+
+def _chains(arcs: DataFrame) -> DataFrame:
+    """(node, head, tail, low, ring) of nodes with one arc in and one out, by pointer doubling.
+
+    ``head`` and ``tail`` are the ends of the chain that a node stands on. A node whose pointers still
+    stand on such nodes after they have doubled past their number is on a ring of them, ``low`` its
+    smallest member.
+    """
+    into = arcs.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("i"), F.min("src").alias("head"))
+    out = arcs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("o"), F.min("dst").alias("tail"))
+    now = pin(into.join(out, "node").filter("i = 1 and o = 1").select("node", "head", "tail", F.col("node").alias("low")))
+    members, span = now.count(), 1
+    while span <= members:
+        up = now.select(F.col("node").alias("head"), F.col("head").alias("h2"), F.col("low").alias("l2"))
+        down = now.select(F.col("node").alias("tail"), F.col("tail").alias("t2"))
+        met = now.join(up, "head", "left").join(down, "tail", "left")
+        now = pin(met.select("node", F.coalesce("h2", "head").alias("head"), F.coalesce("t2", "tail").alias("tail"), F.least("low", "l2").alias("low"), F.col("h2").isNotNull().alias("on")))
+        if now.filter("on").isEmpty():
+            break
+        span *= 2
+    ends = now.select(F.col("node").alias("head"), F.lit(True).alias("ring"))
+    return pin(now.join(ends, "head", "left").select("node", "head", "tail", "low", F.coalesce("ring", F.lit(False)).alias("ring")))
+
+
+def _coloured(left: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(node, label) of the components that hold the largest node of their forward colour."""
+    colour = _spread(left.withColumn("label", F.col("node")), arcs, F.max)
+    inside = pin(
+        arcs.join(colour.select(F.col("node").alias("src"), F.col("label").alias("ls")), "src")
+        .join(colour.select(F.col("node").alias("dst"), F.col("label").alias("ld")), "dst")
+        .filter("ls = ld")
+        .select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    )
+    # 1 marks a node that reaches the root of its colour.
+    mark = _spread(colour.select("node", (F.col("node") == F.col("label")).cast("long").alias("label")), inside, F.max)
+    return pin(mark.filter("label = 1").select("node").join(colour, "node"))
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Strongly connected component label per node by repeated forward colouring and backward reach."""
-    left = pin(nodes.select(F.col("node").cast("long").alias("node")))
+    """Strongly connected component per node, named by its largest member.
+
+    Nodes without arcs in or out go first; chains of nodes with one arc in and one out become an arc
+    from end to end (their nodes belong to the component of the ends if that is one, else to
+    themselves), and rings of them are components. What is left is coloured forward and searched
+    backward, then the same again. Chains and rings take rounds as the logarithm of their length.
+    """
+    left = pin(nodes.select(F.col("node").cast("long").alias("node")).distinct())
+    everyone = left
     arcs = pin(edges.filter("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct())
-    done = None
+    done, chained = None, []
     while True:
-        colour = _spread(left.withColumn("label", F.col("node")), arcs, F.max)
-        inside = (
-            arcs.join(colour.select(F.col("node").alias("src"), F.col("label").alias("ls")), "src")
-            .join(colour.select(F.col("node").alias("dst"), F.col("label").alias("ld")), "dst")
-            .filter("ls = ld")
-            .select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        )
-        inside = pin(inside)
-        # 1 marks a node that reaches the root of its colour.
-        mark = _spread(colour.select("node", (F.col("node") == F.col("label")).cast("long").alias("label")), inside, F.max)
-        found = pin(
-            mark.filter("label = 1").select("node").join(colour.select("node", F.col("label").alias("component")), "node")
-        )
+        while True:  # trimming makes chains, and chains make nodes to trim
+            left, arcs = _trimmed(left, arcs)
+            links = _chains(arcs)
+            if links.isEmpty():
+                break
+            rings = links.filter("ring").select("node", F.col("low").alias("label"))
+            done = rings if done is None else done.unionByName(rings)
+            on = links.filter("not ring")
+            chained.append(on)
+            left = left.join(links.select("node"), "node", "left_anti")
+            gone = links.select(F.col("node").alias("src"))
+            rest = arcs.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti")
+            arcs = pin(rest.unionByName(on.select(F.col("head").alias("src"), F.col("tail").alias("dst"))).filter("src <> dst").distinct())
+        if arcs.isEmpty():
+            break
+        found = _coloured(left, arcs)
         done = found if done is None else done.unionByName(found)
         left = pin(left.join(found, "node", "left_anti"))
-        if left.limit(1).count() == 0:
-            return done
-        arcs = pin(
-            arcs.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(
-                found.select(F.col("node").alias("dst")), "dst", "left_anti"
-            )
-        )
+        ends = found.select(F.col("node").alias("src"))
+        arcs = pin(arcs.join(ends, "src", "left_anti").join(ends.withColumnRenamed("src", "dst"), "dst", "left_anti"))
+    labels = everyone.select("node", F.col("node").alias("label"))
+    if done is not None:
+        labels = pin(everyone.join(done, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    for on in reversed(chained):  # ends of a chain may stand on a chain found later
+        head = labels.select(F.col("node").alias("head"), F.col("label").alias("a"))
+        tail = labels.select(F.col("node").alias("tail"), F.col("label").alias("b"))
+        joined = on.join(head, "head").join(tail, "tail").filter("a = b").select("node", F.col("a").alias("joined"))
+        labels = pin(labels.join(joined, "node", "left").select("node", F.coalesce("joined", "label").alias("label")))
+    largest = labels.groupBy("label").agg(F.max("node").alias("component"))
+    return labels.join(largest, "label").select("node", "component")
 
 
 # -- reports and contracts -----------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from zonewise.functions.ranking import dense_position
 from zonewise.operators.spatial import cell
@@ -191,48 +191,117 @@ def crossing_report(pairs: DataFrame) -> DataFrame:
     return pairs.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_separated", "n_ambiguous", "n_at_grade")])
 
 
-def shortest_paths(arcs: DataFrame, seeds: DataFrame, keys: Sequence[str] = ("source",), arc_keys: Sequence[str] = ()) -> DataFrame:
+def contracted(arcs: DataFrame, keep: DataFrame, keys: Sequence[str] = ("mode",)) -> DataFrame:
+    """``arcs(keys, u, v, cost)`` with the chains between junctions as one arc each.
+
+    A node with exactly two neighbours that is not in ``keep(node)`` is only passed through. The arcs
+    that arrive there are joined with the one that goes on to the other neighbour, twice as far in
+    every round; a turn on the way or a dead end is never shorter, so distances between the nodes
+    that stay do not change. Parallel arcs leave the cheapest.
+    """
+    keys = list(keys)
+    plain = arcs.filter("u <> v").groupBy(*keys, "u", "v").agg(F.min("cost").alias("cost"))
+    plain = pin(plain)
+    beside = plain.select(*keys, F.col("u").alias("node"), F.col("v").alias("other")).unionByName(plain.select(*keys, F.col("v").alias("node"), F.col("u").alias("other")))
+    two = beside.groupBy(*keys, "node").agg((F.min("other") != F.max("other")).alias("apart"), F.count_distinct("other").alias("n")).filter("apart and n = 2")
+    inner = pin(two.select(*keys, "node").join(keep.select("node").distinct(), "node", "left_anti").select(*keys, "node"))
+    at = lambda name, flag: inner.select(*keys, F.col("node").alias(name), F.lit(True).alias(flag))
+    flagged = plain.join(at("u", "from_inner"), [*keys, "u"], "left").join(at("v", "to_inner"), [*keys, "v"], "left")
+    now = pin(
+        flagged.select(*keys, "u", F.col("v").alias("first"), F.col("u").alias("before"), "v", "cost", F.coalesce("from_inner", F.lit(False)).alias("from_inner"), F.coalesce("to_inner", F.lit(False)).alias("to_inner"))
+    )
+    while not now.filter("to_inner and not from_inner").isEmpty():
+        onward = now.filter("from_inner").select(
+            *keys, F.col("u").alias("v"), F.col("first").alias("f2"), F.col("before").alias("b2"), F.col("v").alias("v2"), F.col("cost").alias("c2"), F.col("to_inner").alias("i2")
+        )
+        longer = now.filter("to_inner").join(onward, [*keys, "v"]).filter("before <> f2 and u <> v2")
+        longer = longer.select(*keys, "u", "first", F.col("b2").alias("before"), F.col("v2").alias("v"), (F.col("cost") + F.col("c2")).alias("cost"), "from_inner", F.col("i2").alias("to_inner"))
+        now = pin(now.filter("not to_inner").unionByName(longer))
+    return now.filter("not from_inner and not to_inner").groupBy(*keys, "u", "v").agg(F.min("cost").alias("cost"))
+
+
+def shortest_paths(
+    arcs: DataFrame, seeds: DataFrame, keys: Sequence[str] = ("source",), arc_keys: Sequence[str] = (), within: float | None = None, targets: DataFrame | None = None, nearest: int | None = None
+) -> DataFrame:
     """Least cost from every seed to every node it reaches: (keys..., node, cost).
 
     ``arcs``: u, v, cost (non-negative) and ``arc_keys``; ``seeds``: keys, node, cost. All sources
     advance together; a round relaxes only labels that improved in the round before and is
     written out, so a lost executor costs one round.
+
+    ``within`` drops labels above that cost. With ``targets(target, node, cost)`` and ``nearest`` a source
+    stops where it cannot reach one of its ``nearest`` targets any cheaper: the cost at which it
+    has that many bounds all labels that go on. Only labels of such targets are then final.
     """
     keys = list(keys)
     arcs = pin(arcs.select(*arc_keys, "u", "v", F.col("cost").alias("step")))
 
     def relax(state: DataFrame) -> DataFrame:
         left = state.filter("fresh").withColumnRenamed("node", "u")
+        if nearest is not None:
+            left = left.filter("bound is null or cost <= bound")
         ahead = left.join(arcs, [*arc_keys, "u"]).select(*keys, F.col("v").alias("node"), (F.col("cost") + F.col("step")).alias("cost"))
+        if within is not None:
+            ahead = ahead.filter(F.col("cost") <= within)
         merged = (
             state.select(*keys, "node", "cost", F.col("cost").alias("had"))
             .unionByName(ahead.withColumn("had", F.lit(None).cast("double")))
             .groupBy(*keys, "node")
             .agg(F.min("cost").alias("cost"), F.min("had").alias("had"))
         )
-        return merged.select(*keys, "node", "cost", (F.col("had").isNull() | (F.col("cost") < F.col("had"))).alias("fresh"))
-
-    state = pin(seeds.groupBy(*keys, "node").agg(F.min("cost").alias("cost")).withColumn("fresh", F.lit(True)))
+        out = merged.select(*keys, "node", "cost", (F.col("had").isNull() | (F.col("cost") < F.col("had"))).alias("fresh"))
+        return out if nearest is None else bounded(out)
+
+    def bounded(state: DataFrame) -> DataFrame:
+        """Labels with the cost at which their source has as many targets as wanted, null before."""
+        met = state.join(targets.select("target", "node", F.col("cost").alias("more")), "node").groupBy(*keys, "target").agg(F.min(F.col("cost") + F.col("more")).alias("total"))
+        place = F.row_number().over(W.partitionBy(*keys).orderBy("total"))  # a source keeps its first few in every task
+        last = met.withColumn("_place", place).filter(F.col("_place") <= nearest).groupBy(*keys).agg(F.max(F.when(F.col("_place") == nearest, F.col("total"))).alias("bound"))
+        return state.join(last, keys, "left")
+
+    start = seeds.groupBy(*keys, "node").agg(F.min("cost").alias("cost")).withColumn("fresh", F.lit(True))
+    state = pin(start if nearest is None else bounded(start))
     while True:
-        for _ in range(STEPS_PER_WRITE):
-            state = relax(state)
+        for _ in range(STEPS_PER_WRITE if nearest is None else 1):
+            state = relax(state.drop("bound")) if nearest is None else relax(state)
         state = pin(state)
-        if state.filter("fresh").limit(1).count() == 0:
-            return state.drop("fresh")
+        going = state.filter("fresh") if nearest is None else state.filter("fresh and (bound is null or cost <= bound)")
+        if going.isEmpty():
+            return state.select(*keys, "node", "cost")
+
+
+def _junctions(arcs: DataFrame, keys: Sequence[str], *ends: DataFrame) -> DataFrame:
+    """Arcs between junctions and the nodes of ``ends``, in terms of ``cost``."""
+    keep = ends[0].select("node")
+    for more in ends[1:]:
+        keep = keep.unionByName(more.select("node"))
+    return contracted(arcs, keep.filter("node is not null"), keys)
 
 
-def od_distances(arcs: DataFrame, origins: DataFrame, destinations: DataFrame, keys: Sequence[str] = ("mode",)) -> DataFrame:
+def od_distances(arcs: DataFrame, origins: DataFrame, destinations: DataFrame, keys: Sequence[str] = ("mode",), within_km: float | None = None, nearest: int | None = None) -> DataFrame:
     """(keys, src, dst, km): origin snap + path + destination snap; unreachable pairs are absent.
 
     ``origins`` / ``destinations``: id, node, distance (metres), unsnapped rows already left out.
+    ``within_km`` keeps pairs up to that distance, ``nearest`` every origin's nearest destinations other
+    than itself (ties by name); either one bounds the search of each origin, so no product arises.
     """
+    keys = list(keys)
+    lengths = _junctions(arcs.select(*keys, "u", "v", F.col("length").alias("cost")), keys, origins, destinations)
     seeds = arcs.select(*keys).distinct()
     start = origins.select(F.col("id").alias("src"), "node", F.col("distance").alias("cost"))
     start = start.withColumn("_all", F.explode(_collected(seeds, keys))).select("src", "node", "cost", "_all.*")
-    dist = shortest_paths(arcs.select(*keys, "u", "v", F.col("length").alias("cost")), start, [*keys, "src"], keys)
-    out = dist.join(destinations.select(F.col("id").alias("dst"), "node", "distance"), "node")
+    ends = pin(destinations.select(F.col("id").alias("target"), "node", F.col("distance").alias("cost")))
+    wanted = None if nearest is None else nearest + 1  # an origin may be a destination itself
+    dist = shortest_paths(lengths, start, [*keys, "src"], keys, None if within_km is None else within_km * 1000.0, ends, wanted)
+    out = dist.join(ends.select(F.col("target").alias("dst"), "node", F.col("cost").alias("distance")), "node")
     km = F.when(F.col("src") == F.col("dst"), 0.0).otherwise((F.col("cost") + F.col("distance")) / 1000.0)
-    return out.select(*keys, "src", "dst", km.alias("km"))
+    out = out.select(*keys, "src", "dst", km.alias("km"))
+    if within_km is not None:
+        out = out.filter(F.col("km") <= within_km)
+    if nearest is not None:
+        place = F.row_number().over(W.partitionBy(*keys, "src").orderBy("km", "dst"))
+        out = out.filter("src <> dst").withColumn("_place", place).filter(F.col("_place") <= nearest).drop("_place")
+    return out
 
 
 def _collected(few: DataFrame, keys: Sequence[str]) -> Column:
@@ -267,26 +336,34 @@ def travel_minutes(length_m: Column, speed_kmh: Column) -> Column:
     return length_m / (speed_kmh * 1000.0 / 60.0)
 
 
-def travel_time_matrix(arcs: DataFrame, zones: DataFrame, sites: DataFrame, digits: int | None = 2) -> DataFrame:
-    """(zone, site_id, mode, minutes): every pair, rounded (half-even), null where unreachable.
+def travel_times(arcs: DataFrame, zones: DataFrame, sites: DataFrame, digits: int | None = 2, within: float | None = None) -> DataFrame:
+    """(zone, site_id, mode, minutes) of the pairs that are reached, up to ``within`` minutes if given; rounded half-even.
 
-    ``arcs``: mode, u, v, cost in minutes; ``zones`` / ``sites``: id, node. Origins sharing a
-    node are routed once.
+    ``arcs``: mode, u, v, cost in minutes; ``zones`` / ``sites``: id, node. Origins sharing a node are
+    routed once, over arcs between junctions.
     """
     modes = arcs.select("mode").distinct()
     start = zones.select(F.col("node").alias("source")).filter("source is not null").distinct()
     start = start.withColumn("_m", F.explode(_collected(modes, ["mode"]))).select("source", "_m.mode", F.col("source").alias("node"), F.lit(0.0).alias("cost"))
-    dist = shortest_paths(arcs, start, ["mode", "source"], ["mode"])
+    dist = shortest_paths(_junctions(arcs, ["mode"], zones, sites), start, ["mode", "source"], ["mode"], within)
     least = F.min("cost")
-    reach = (
+    return (
         zones.select(F.col("id").alias("zone"), F.col("node").alias("source"))
         .join(dist, "source")
         .join(sites.select(F.col("id").alias("site_id"), "node"), "node")
         .groupBy("zone", "site_id", "mode")
         .agg((least if digits is None else F.bround(least, digits)).alias("minutes"))
     )
-    # The contract is a row for every pair. Pairs are built by an equi-join on a hash bucket of the
-    # site, so the product is spread over all buckets instead of being nested in one task.
+
+
+def travel_time_matrix(arcs: DataFrame, zones: DataFrame, sites: DataFrame, digits: int | None = 2) -> DataFrame:
+    """The full sink of ``travel_times``: a row for every zone, site and mode, null where unreachable.
+
+    This is a product by contract, for export; nothing else reads it. Pairs are built by an equi-join
+    on a hash bucket of the site, so the product is spread over all buckets.
+    """
+    reach = travel_times(arcs, zones, sites, digits)
+    modes = arcs.select("mode").distinct()
     buckets = int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per_zone = (
         zones.select(F.col("id").alias("zone"))

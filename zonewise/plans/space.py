@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from zonewise.functions.scalars import one_row, r6 as R
 from zonewise.operators import graph, paths, spatial
-from zonewise.plans.registry import query, r6
+from zonewise.plans.registry import ORACLES, query, r6
 from zonewise.plans.sqltext import CENTROIDS, DEPOTS, ROADS, TRAVEL
 from zonewise.plans.windowing import rounded
 from zonewise.session import pin
@@ -80,10 +80,10 @@ ODSQL = f"""WITH RECURSIVE {ARCS}, cz AS ({CENTROIDS}), so AS MATERIALIZED (SELE
  od AS (SELECT mode, dist.src, e.src AS dst, CASE WHEN dist.src=e.src THEN 0 ELSE (cost+e.d)/1000 END AS km FROM dist JOIN so e ON e.node=n)"""
 
 
-def zone_distances(spark, sf):
+def zone_distances(spark, sf, **bound):
     nodes, arcs = network(spark, sf)
     z = pin(spatial.snap(centroids(spark, sf), nodes).filter("node is not null").select(F.col("zone").alias("id"), "node", "distance"))
-    return paths.od_distances(arcs, z, z)
+    return paths.od_distances(arcs, z, z, **bound)
 
 
 @query("zone_path_distances", "G6 D10", f"{ODSQL} SELECT mode, src, dst, {r6('km')} AS km FROM od")
@@ -97,6 +97,20 @@ def shortest_mode(spark, sf):
     return rounded(paths.combine_modes(zone_distances(spark, sf)))
 
 
+@query("nearest_zone_paths", "G6 W2 T1", f"""{ODSQL}, k AS (SELECT *, row_number() OVER (PARTITION BY mode, src ORDER BY km, dst) AS r FROM (SELECT mode, src, dst, min(km) AS km FROM od WHERE src<>dst GROUP BY ALL))
+ SELECT mode, src, dst, {r6('km')} AS km FROM k WHERE r<=3""")
+def nearest_zone_paths(spark, sf):
+    """The three nearest zones of every zone and mode, by a search that stops there."""
+    return rounded(zone_distances(spark, sf, nearest=3))
+
+
+@query("zones_within_reach", "G6 G7", f"""{ODSQL} SELECT src, dst, {r6('min(km)')} AS km, CASE WHEN src=dst THEN 'self' ELSE arg_min(mode, (km, CASE mode WHEN 'road' THEN 1 WHEN 'bicycle' THEN 2 ELSE 3 END)) END AS mode
+ FROM od WHERE km<=1.5 GROUP BY src, dst""")
+def zones_within_reach(spark, sf):
+    """Zones up to 1.5 km apart by their shortest mode, by a search bounded there."""
+    return rounded(paths.combine_modes(zone_distances(spark, sf, within_km=1.5)))
+
+
 KM = f"""km AS (SELECT z.n_nationkey AS src, s.nationkey AS dst, avg(minutes)+abs(z.n_nationkey-s.nationkey)*0.5 AS km FROM ({TRAVEL}) t JOIN nation z ON z.n_name=zone JOIN ({DEPOTS}) s USING (site_id)
  WHERE mode='walk' AND minutes IS NOT NULL GROUP BY z.n_nationkey, s.nationkey)"""
 
@@ -165,6 +179,15 @@ def full_precision_travel(spark, sf):
     return paths.travel_time_matrix(*travel_inputs(spark, sf), digits=None)
 
 
+_TRAVEL_CTE = ORACLES["travel_time_matrix"].split(" SELECT zone, site_id, m.mode")[0]
+
+
+@query("travel_times_within", "G8 PF14", f"""{_TRAVEL_CTE} SELECT zone, site_id, dist.mode, {r6('cost')} AS minutes FROM dist JOIN so ON dist.s=so.node JOIN de ON dist.n=de.node WHERE cost<=8""")
+def travel_times_within(spark, sf):
+    """Sites reached within eight minutes; no pair beyond is searched or made."""
+    return rounded(paths.travel_times(*travel_inputs(spark, sf), digits=None, within=8.0))
+
+
 CROSSED = f"""WITH rd AS ({ROADS}), g AS (SELECT seg_id, x1, y1, x2, y2, coalesce(CAST(layer AS INT),0) AS l, bridge AS b, coalesce(tunnel,'F') AS t, layer IS NOT NULL AND tunnel IS NOT NULL AS ok FROM rd),
  cl AS (SELECT seg_id, cx, unnest(generate_series(floor(least(y1,y2)/600)::INT, floor(greatest(y1,y2)/600)::INT)) AS cy FROM (SELECT *, unnest(generate_series(floor(least(x1,x2)/600)::INT, floor(greatest(x1,x2)/600)::INT)) AS cx FROM g)),
  pr AS (SELECT DISTINCT a.seg_id AS i, b.seg_id AS j FROM cl a JOIN cl b ON a.cx=b.cx AND a.cy=b.cy AND a.seg_id<b.seg_id),
