@@ -157,3 +157,23 @@ def test_points_in_polygons_against_every_edge(spark, size):
     got = sorted((r["pid"], r["zone"]) for r in out.collect())
     assert got == sorted((i, z) for i, x, y in pts for z, r in rings.items() if inside(r, x, y))
     assert spatial.points_in_polygons(df.limit(0), spark.createDataFrame(seg, "zone string, x1 double, y1 double, x2 double, y2 double"), "pid", size).collect() == []
+
+
+def test_small_talk_views_and_known_lists(spark):
+    from pyspark.sql import functions as F
+
+    from zonewise.operators import text
+
+    said = {
+        "你好": "greet", " Hello!! ": "greet", "hi there": "greet", "hello, who are you and what is this": "identity", "How are you?": "wellbeing", "help": "capabilities",
+        "怎么用": "capabilities", "Thanks a lot": "thanks", "ok, bye": "farewell", "好的。": "ack", "": "other", "the weather": "other", "hire": "other",
+    }
+    df = spark.createDataFrame([(t,) for t in said] + [(None,)], "t string")
+    assert {r[0]: r[1] for r in df.select("t", text.chat_kind(F.col("t"))).collect()} == said | {None: "other"}
+    views = {"全区域展示（整座城市的全部中间区）": "region", "按所选中间区展示": "zone", "换一个街区": "zone", "city-wide, one intermediate zone": "zone", "forecast": None}
+    df = spark.createDataFrame([(t,) for t in views], "t string")
+    assert {r[0]: r[1] for r in df.select("t", text.wanted_view(F.col("t"))).collect()} == views
+    df = spark.createDataFrame([("about Hall_7 please",), ("zone s02000001 now",), ("zone S02000002 forecast",), ("gp_12 compare",)], "t string")
+    sites, zones = F.lit(["HALL_7"]), F.lit(["S02000001"])
+    got = [r[0] for r in df.select(text.intent(F.col("t"), sites, zones)).collect()]
+    assert got == ["explain_site", "explain_zone", "forecast", "explain_site"]

@@ -38,3 +38,20 @@ def test_positions_and_ranks(spark):
     assert pos == {("a", 1): 0, ("a", 2): 1, ("a", 3): 2, ("b", 1): 3}
     rank = {(r["g"], r["v"]): r["r"] for r in ranking.rank_in_group(df, ["g"], [F.desc("v")], "r").collect()}
     assert rank == {("a", 3): 1, ("a", 2): 2, ("a", 1): 3, ("b", 1): 1}
+
+
+def test_weighted_ranks_are_those_of_the_expanded_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(v), int(c)) for g in "ab" for v, c in zip(np.round(rng.lognormal(1, 1, 60), 1), rng.integers(0, 9, 60))] + [("a", None, 5), ("c", None, 2), ("d", 2.0, 0)]
+    df = spark.createDataFrame(rows, "g string, v double, n long")
+    wanted = {f"p{p}": ranking.Rank.linear(p / 100) for p in (0, 25, 50, 99, 100)}
+    got = {r["g"]: r for r in ranking.weighted_order_statistics(df, "v", "n", wanted, ["g"]).collect()}
+    assert set(got) == {"a", "b"}
+    for g in "ab":
+        full = np.repeat([v for k, v, _ in rows if k == g and v is not None], [c for k, v, c in rows if k == g and v is not None])
+        assert got[g]["n"] == len(full)
+        for p in (0, 25, 50, 99, 100):
+            assert got[g][f"p{p}"] == pytest.approx(np.quantile(full, p / 100), rel=1e-12)
+    whole = ranking.weighted_order_statistics(df, "v", "n", wanted).first()
+    full = np.repeat([v for _, v, c in rows if v is not None], [c for _, v, c in rows if v is not None])
+    assert whole["p50"] == pytest.approx(np.median(full))

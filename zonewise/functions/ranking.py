@@ -129,6 +129,35 @@ def order_statistics(df: DataFrame, value: str, wanted: dict[str, Rank], keys: S
     return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
 
 
+def weighted_order_statistics(df: DataFrame, value: str, weight: str, wanted: dict[str, Rank], keys: Sequence[str] = ()) -> DataFrame:
+    """``order_statistics`` of rows that stand ``weight`` times, as a histogram has them, from one running count.
+
+    Equal values are collapsed first, so what is ranged and counted has the size of the histogram.
+    Null and NaN values and weights of zero are no rows; a key without rows is left out.
+    """
+    keys = list(keys)
+    src = df.select(*keys, F.col(value).cast("double").alias("_v"), F.col(weight).cast("long").alias("_c"))
+    each = src.filter(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.col("_c") > 0)).groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
+    ranked = pin(running_count(each, keys, "_v", "_c"))
+    total = ranked.groupBy(*keys).agg(F.max("_hi").alias("n"))
+    if keys:
+        met = F.lit(True)
+        for k in keys:
+            met = met & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        row = ranked.join(total.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "n"), met)
+    else:
+        row = ranked.withColumn("n", one_row(total)["n"])
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank > F.col("_hi") - F.col("_c")) & (rank <= F.col("_hi")), F.col("_v")))
+
+    aggs = []
+    for name, r in wanted.items():
+        lowest, highest = at(r.low), at(r.high)
+        aggs.append((lowest + (highest - lowest) * F.max(r.weight)).alias(name))
+    return row.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+
+
 def running_count(df: DataFrame, groups: Sequence[str], order: str, count: str) -> DataFrame:
     """``df`` with ``_hi``, the sum of ``count`` up to and with each row of its group.
 

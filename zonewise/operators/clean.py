@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from zonewise.functions.ranking import dense_position, order_statistics, Rank
+from zonewise.functions.ranking import Rank, dense_position, order_statistics, weighted_order_statistics
 from zonewise.functions.scalars import INDICATOR_NULLS, RATE_NULLS, finite_or_null, one_row, report_date, token
 from zonewise.session import pin
 
@@ -285,30 +285,39 @@ def panel_quality(panel: DataFrame, zones: DataFrame, rate: str = "rate") -> Dat
     return gaps.withColumn("_r", one_row(rates)).select(*gaps.columns, "_r.n_null_rate", "_r.n_zero_rate")
 
 
-def scenario_statistics(scenarios: DataFrame) -> DataFrame:
-    """Per fill: counts, moments (population sd), range and interpolated quantiles of the rate."""
-    # Read several times below: written once, narrow, so that parsing is not repeated.
+def scenario_statistics(facts: DataFrame, fills: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """Per fill: counts, moments (population sd), range and interpolated quantiles of the rate.
+
+    The facts are read once, into a histogram of count, population and flags; the scenarios are fills
+    of its rows, and every statistic weighs them. Nothing of the size of the facts is written.
+    """
     flags = ("suppression_flag", "missing_flag", "invalid_value_flag")
-    scenarios = pin(scenarios.select("suppression_scenario", "infection_rate", *flags))
-    rate = F.col("infection_rate")
+    histogram = pin(facts.groupBy("numeric_count", "Population", *flags).agg(F.count(F.lit(1)).alias("n")))
+    filled = suppression_scenarios(histogram, fills).select("suppression_scenario", "infection_rate", *flags, "n")
+    rate, n, key = F.col("infection_rate"), F.col("n"), "suppression_scenario"
     hidden = F.when(F.col("suppression_flag") == 1, rate)
-    base = scenarios.groupBy("suppression_scenario").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count(rate).alias("n_valid"),
-        F.sum("suppression_flag").alias("n_suppressed"),
-        F.sum("missing_flag").alias("n_missing"),
-        F.sum("invalid_value_flag").alias("n_invalid"),
-        F.avg(rate).alias("mean_rate"),
-        F.stddev_pop(rate).alias("sd_rate"),
-        F.min(rate).alias("min_rate"),
-        F.max(rate).alias("max_rate"),
-        F.avg(hidden).alias("suppressed_mean"),
-        F.min(hidden).alias("suppressed_min"),
-        F.max(hidden).alias("suppressed_max"),
+
+    def mean(x: Column) -> Column:
+        return F.try_divide(F.sum(x * n), F.sum(F.when(x.isNotNull(), n)))
+
+    base = pin(
+        filled.groupBy(key).agg(
+            F.sum(n).alias("n_rows"),
+            F.coalesce(F.sum(F.when(rate.isNotNull(), n)), F.lit(0)).alias("n_valid"),
+            *[F.sum(F.col(f) * n).alias(name) for f, name in zip(flags, ("n_suppressed", "n_missing", "n_invalid"))],
+            mean(rate).alias("mean_rate"),
+            F.min(rate).alias("min_rate"),
+            F.max(rate).alias("max_rate"),
+            mean(hidden).alias("suppressed_mean"),
+            F.min(hidden).alias("suppressed_min"),
+            F.max(hidden).alias("suppressed_max"),
+        )
     )
+    off = filled.join(base.select(key, "mean_rate"), key)
+    spread = off.groupBy(key).agg(F.sqrt(mean((rate - F.col("mean_rate")) * (rate - F.col("mean_rate")))).alias("sd_rate"))
     wanted = {f"q{int(p * 100):02d}": Rank.linear(p) for p in STAT_QUANTILES}
-    marks = order_statistics(scenarios, "infection_rate", wanted, ["suppression_scenario"]).drop("n")
-    return base.join(marks, "suppression_scenario", "left")
+    marks = weighted_order_statistics(filled, "infection_rate", "n", wanted, [key]).drop("n")
+    return base.join(spread, key, "left").join(marks, key, "left")
 
 
 def share_suppressed(df: DataFrame, by: str, top: int = 10) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -232,14 +234,65 @@ def match_zone_names(messages: DataFrame, zones: DataFrame, key: str = "message_
     return exact.unionByName(coded).unionByName(found.join(best, [key, "n"]).select(key, "code"))
 
 
-def intent(text: Column) -> Column:
-    """Site, zone, compare, notes, forecast, plan, allocation or help, first rule that holds."""
+# Small talk and views, as the interface words them.
+CHAT_WORDS = {
+    "greet": ("你好", "您好", "嗨", "哈喽", "早上好", "下午好", "晚上好", "hello", "hi", "hey", "good morning", "good afternoon", "good evening"),
+    "identity": ("who are you", "what are you", "你是谁", "你是什么", "你叫什么", "介绍一下你"),
+    "wellbeing": ("how are you", "how's it going", "你好吗", "最近好吗", "忙吗"),
+    "capabilities": ("what can you", "what do you do", "how do you work", "how does this", "你能做什么", "你会什么", "怎么用", "能做什么", "有什么功能", "帮帮我", "怎么办"),
+    "thanks": ("thank", "thanks", "thx", "谢谢", "感谢", "多谢", "thank you"),
+    "farewell": ("goodbye", "good bye", "see you", "bye", "再见", "拜拜", "下次见"),
+    "ack": ("ok", "okay", "好", "好的", "嗯", "行", "可以", "哦", "喔", "明白", "收到"),
+}
+GREETING_STARTS = ("hello", "hi ", "hey ", "你好", "您好", "嗨")
+HELP_WORDS = ("help", "帮助", "帮忙")
+CHAT_ENDINGS = "!！。.~？?，,"
+VIEW_WORDS = {
+    "not_region": ("按所选中间区", "selected intermediate zone view", "one intermediate zone"),
+    "region": ("whole-region", "whole region", "city-wide", "citywide", "all intermediate zones", "全市", "全区域", "全城", "整市", "整个区域", "全部中间区", "改回全区域", "back to whole"),
+    "zone": ("selected intermediate", "one intermediate", "按中间区", "按所选", "单个中间区", "一个中间区", "某个中间区", "某个街区", "换一个", "重新选择中间区", "another zone", "another intermediate", "interzone"),
+}
+
+
+def chat_kind(text: Column) -> Column:
+    """Kind of small talk: whole greetings first, then words anywhere, acknowledgements last; else ``other``.
+
+    A null or blank text is ``other``. Punctuation at the end does not count.
+    """
+    bare = F.rtrim(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")), F.lit(CHAT_ENDINGS))
+    starts = (F.char_length(bare) <= 16) & reduce(or_, [F.startswith(bare, F.lit(w)) for w in GREETING_STARTS])
+    kind = F.when(bare == "", "other").when(bare.isin(*CHAT_WORDS["greet"]) | starts, "greet")
+    for name in ("identity", "wellbeing", "capabilities", "thanks", "farewell"):
+        hit = _has(bare, CHAT_WORDS[name])
+        kind = kind.when(hit | bare.isin(*HELP_WORDS) if name == "capabilities" else hit, name)
+    return kind.when(bare.isin(*CHAT_WORDS["ack"]), "ack").otherwise("other")
+
+
+def wanted_view(text: Column) -> Column:
+    """``region`` or ``zone`` where the text asks for such a view, else null; the region goes first."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    region = ~_has(low, VIEW_WORDS["not_region"]) & _has(low, VIEW_WORDS["region"])
+    return F.when(region, "region").when(_has(low, VIEW_WORDS["zone"]), "zone")
+
+
+def intent(text: Column, sites: Column | None = None, zones: Column | None = None) -> Column:
+    """Site, zone, compare, notes, forecast, plan, allocation or help, first rule that holds.
+
+    ``sites`` (an array) names a site wherever one of its ids stands in the text; with ``zones`` a zone
+    code counts only if it is one of them. Both are the short lists of one planning area.
+    """
     low = F.lower(text)
     planning = _has(low, INTENT_WORDS["plan"]) | low.rlike(r"\bplan\b")
     scenario = scenario_mentioned(text).isNotNull()
+    site = low.rlike(r"\b(?:gp|ph|ms)_\d+\b")
+    if sites is not None:
+        site |= F.exists(sites, lambda s: F.contains(low, F.lower(s)))
+    zone = low.rlike(ZONE_CODE)
+    if zones is not None:
+        zone &= F.array_contains(zones, F.upper(F.regexp_extract(low, ZONE_CODE, 0)))
     return (
-        F.when(low.rlike(r"\b(?:gp|ph|ms)_\d+\b"), "explain_site")
-        .when(low.rlike(ZONE_CODE), "explain_zone")
+        F.when(site, "explain_site")
+        .when(zone, "explain_zone")
         .when(_has(low, INTENT_WORDS["compare"]), "compare")
         .when(_has(low, INTENT_WORDS["notes"]), "notes")
         .when(_has(low, INTENT_WORDS["forecast"]), "forecast")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
-from zonewise.functions.scalars import r6 as R
-from zonewise.operators import allocate, checks
+from zonewise.functions.scalars import one_row, r6 as R
+from zonewise.operators import allocate, checks, sites
 from zonewise.plans.registry import query, r6
 from zonewise.plans.sqltext import DEPOTS, PLANNING_ZONES, TRAVEL
 from zonewise.plans.windowing import rounded
+from zonewise.session import pin
 from zonewise.sources.tables import depots, planning_zones, table, travel
 
 THRESHOLD, N_SITES = 2.0, 6
@@ -170,8 +171,8 @@ def map_site_table(spark, sf):
     return rounded(allocate.indexed_site_table(out["selected"], sites).drop("site_name"))
 
 
-@query("travel_matrix_rules", "IO13", f"""WITH {PREP} SELECT 'travel_key_missing' AS code, 'error' AS level, 0::BIGINT AS n_bad, NULL::VARCHAR AS sample UNION ALL
- SELECT 'travel_not_finite','error',0,NULL UNION ALL SELECT 'travel_negative','error',0,NULL UNION ALL
+@query("travel_matrix_rules", "IO13", f"""WITH {PREP} SELECT 'travel_key_missing' AS code, 'error' AS level, count(*) FILTER (WHERE zone IS NULL OR site_id IS NULL OR mode IS NULL) AS n_bad, NULL::VARCHAR AS sample FROM tr UNION ALL
+ SELECT 'travel_not_finite','error',count(*) FILTER (WHERE isnan(minutes::DOUBLE) OR isinf(minutes::DOUBLE)),NULL FROM tr UNION ALL SELECT 'travel_negative','error',count(*) FILTER (WHERE minutes<0),NULL FROM tr UNION ALL
  SELECT 'travel_unreachable','accepted', count(*) FILTER (WHERE minutes IS NULL), min(zone||'/'||site_id||'/'||mode) FILTER (WHERE minutes IS NULL) FROM tr""")
 def travel_matrix_rules(spark, sf):
     return checks.row_rules(travel(spark, sf), allocate.travel_rules())
@@ -207,3 +208,38 @@ def resolved_forecast(spark, sf):
         F.col("o_totalprice").alias("mu"),
     )
     return rounded(allocate.resolve_forecast(f, "1997-05-28"))
+
+
+@query("site_manifest", "A25", """SELECT (['gp','pharmacy','mobile_stop'])[s_suppkey%3+1] AS site_type, count(*) AS n, count(*) FILTER (WHERE s_suppkey*13%4000 IS NOT NULL) AS n_with_xy,
+ min('SITE_'||lpad(CAST(s_suppkey AS VARCHAR),6,'0')) AS first_id FROM supplier GROUP BY 1""")
+def site_manifest(spark, sf):
+    return sites.site_manifest(depots(spark, sf))
+
+
+@query("site_input_checks", "IO12 PF10 D17", """WITH s AS (SELECT s_suppkey, lower((['gp','pharmacy','mobile_stop'])[s_suppkey%3+1]) AS t FROM supplier UNION ALL SELECT s_suppkey, 'clinic' FROM supplier WHERE s_suppkey%7=0)
+ SELECT 'site_id_repeated' AS code, 'error' AS level, (SELECT count(*) FROM (SELECT s_suppkey FROM s GROUP BY 1 HAVING count(*)>1)) AS n_bad
+ UNION ALL SELECT 'no_eligible_site', 'error', CASE WHEN (SELECT count(*) FROM s WHERE t='hospital')=0 THEN 1 ELSE 0 END""")
+def site_input_checks(spark, sf):
+    """Sites of which every seventh is listed twice, asked for a type that none has: both rules must speak."""
+    listed = depots(spark, sf).select("site_id", "site_type", "nationkey", F.col("site_name"))
+    twice = listed.filter(F.substring("site_id", -6, 6).cast("long") % 7 == 0).withColumn("site_type", F.lit("clinic"))
+    return allocate.site_checks(listed.unionByName(twice), ["hospital"]).drop("sample")
+
+
+def widest_reach(pairs, demand, threshold, n_sites):
+    """A solver of another kind: the sites that reach most zones, the same for every scenario."""
+    reach = pairs.filter(F.col("minutes") <= threshold).groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
+    best = pin(reach.orderBy(F.desc("n"), "site_id").limit(n_sites))
+    step = F.row_number().over(W.partitionBy("scenario").orderBy(F.desc("n"), "site_id"))  # n_sites rows a scenario
+    names = one_row(demand.agg(F.collect_set("scenario").alias("s")))["s"]
+    return pin(best.withColumn("scenario", F.explode(names)).select("scenario", step.alias("step"), "site_id"))
+
+
+@query("custom_solver", "L10 L7", f"""{GREEDY}, wr AS (SELECT site_id, row_number() OVER (ORDER BY count(*) DESC, site_id) AS step FROM pairs WHERE minutes<={THRESHOLD} GROUP BY site_id QUALIFY step<={N_SITES}),
+ ws AS (SELECT zone, min(minutes) AS m FROM pairs JOIN wr USING (site_id) WHERE minutes<={THRESHOLD} GROUP BY zone)
+ SELECT scenario, step, site_id, (SELECT count(*) FROM ws) AS zones_covered FROM (SELECT DISTINCT scenario FROM dm), wr""")
+def custom_solver(spark, sf):
+    """All scenarios with another solver in the place of the greedy one."""
+    sites_in = allocate.eligible_sites(depots(spark, sf), TYPES)
+    out = allocate.run_scenarios(planning_zones(spark, sf), sites_in, travel(spark, sf), "drive", THRESHOLD, N_SITES, widest_reach)
+    return out["selected"].join(out["metrics"].select("scenario", "zones_covered"), "scenario").select("scenario", F.col("step").cast("long").alias("step"), "site_id", "zones_covered")

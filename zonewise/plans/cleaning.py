@@ -177,7 +177,8 @@ def suppression_scenario_totals(spark, sf):
 @query(
     "scenario_consistency",
     "PF5 D17",
-    """SELECT 'scenario_fill_differs' AS code, 'error' AS level, 0::BIGINT AS n_bad, NULL::VARCHAR AS sample""",
+    f"""WITH {SCEN} SELECT 'scenario_fill_differs' AS code, 'error' AS level, count(*) AS n_bad, NULL::VARCHAR AS sample FROM (SELECT source_index, row_id, IntZone, d FROM scen GROUP BY ALL
+ HAVING (NOT bool_or(status='disclosure_controlled_0_2') AND count(DISTINCT coalesce(used,-1))>1) OR bool_or(status='disclosure_controlled_0_2' AND used<>f))""",
 )
 def scenario_consistency(spark, sf):
     bad = clean.scenario_consistency(scenarios(spark, sf), ["source_index", "row_id", "IntZone", "Date"])
@@ -282,7 +283,7 @@ def panel_quality(spark, sf):
  FROM rated GROUP BY 1""",
 )
 def scenario_statistics(spark, sf):
-    out = clean.scenario_statistics(scenarios(spark, sf))
+    out = clean.scenario_statistics(populated(spark, sf))
     return out.select(*[R(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 

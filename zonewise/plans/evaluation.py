@@ -169,9 +169,13 @@ def rolling_plan(spark, sf):
     return rolling.plan(win, test, pin(rolling.update_dates(test)))
 
 
-@query("leakage_audit", "E4 S4", f"""{BASE}, {block_sql()} SELECT u AS "update", 0::BIGINT AS n_shared_dates, 0::BIGINT AS n_repeated_predictions,
+@query("leakage_audit", "E4 S4", f"""{BASE}, {block_sql()},
+ sd AS (SELECT u, count(*) AS n FROM (SELECT u, target FROM bl WHERE block<>'predict' GROUP BY ALL HAVING count(DISTINCT block)>1) GROUP BY 1),
+ rp AS (SELECT u, count(*) AS n FROM (SELECT u, origin, sample_id FROM bl WHERE block='predict' GROUP BY ALL HAVING count(*)>1) GROUP BY 1),
+ ct AS (SELECT u AS "update", coalesce(any_value(sd.n),0)::BIGINT AS n_shared_dates, coalesce(any_value(rp.n),0)::BIGINT AS n_repeated_predictions,
  count(*) FILTER (WHERE block<>'predict' AND target>u) AS n_late_targets, count(*) FILTER (WHERE block='predict' AND target-origin<>7) AS n_wrong_horizon,
- count(*) FILTER (WHERE block='predict' AND origin<u) AS n_early_issues, true AS passed FROM bl GROUP BY 1""")
+ count(*) FILTER (WHERE block='predict' AND origin<u) AS n_early_issues FROM bl LEFT JOIN sd USING (u) LEFT JOIN rp USING (u) GROUP BY 1)
+ SELECT *, n_shared_dates+n_repeated_predictions+n_late_targets+n_wrong_horizon+n_early_issues=0 AS passed FROM ct""")
 def leakage_audit(spark, sf):
     return rolling.leakage_audit(pin(block_dates(spark, sf)[3]))
 

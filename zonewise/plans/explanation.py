@@ -135,7 +135,7 @@ def zone_output_table(spark, sf):
     return rounded(explain.zone_outputs(f, names, e, ["location", *FEATURES]))
 
 
-@query("vector_diagnostics", "A24 E17", f"""SELECT dim, {r6('avg(v)')} AS mean, {r6('stddev_pop(v)')} AS sd, stddev_pop(v)<1e-6 AS near_constant, 0::BIGINT AS n_bad FROM
+@query("vector_diagnostics", "A24 E17", f"""SELECT dim, {r6('avg(v)')} AS mean, {r6('stddev_pop(v)')} AS sd, stddev_pop(v)<1e-6 AS near_constant, count(*) FILTER (WHERE v IS NULL OR isnan(v)) AS n_bad FROM
  (SELECT unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding,1)-1 AS dim FROM embeddings) GROUP BY 1""")
 def vector_diagnostics(spark, sf):
     return rounded(explain.vector_diagnostics(table(spark, sf, "embeddings"), "embedding"))

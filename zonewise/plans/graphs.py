@@ -88,7 +88,7 @@ def undirected_degree(spark, sf):
 @query("symmetric_adjacency_report", "G2 G16", f"""WITH t AS (SELECT DISTINCT least(src,dst) AS a, greatest(src,dst) AS b FROM ({TRIPS})),
  e AS (SELECT a AS s, b AS d FROM t UNION ALL SELECT b, a FROM t), o AS (SELECT c_custkey AS n, count(e.s) AS k FROM customer LEFT JOIN e ON e.s=c_custkey GROUP BY 1)
  SELECT count(*) AS n_nodes, count(*) FILTER (WHERE k=0) AS n_zero_out, count(*) FILTER (WHERE k=0) AS n_zero_in, count(*) FILTER (WHERE k=0) AS n_isolated,
- min(k) AS min_out_degree, max(k) AS max_out_degree, true AS symmetric, (SELECT count(*) FROM e) AS n_edges, 1.0::DOUBLE AS min_weight, 1.0::DOUBLE AS max_weight,
+ min(k) AS min_out_degree, max(k) AS max_out_degree, (SELECT count(*) FROM e x ANTI JOIN e y ON x.s=y.d AND x.d=y.s)=0 AS symmetric, (SELECT count(*) FROM e) AS n_edges, 1.0::DOUBLE AS min_weight, 1.0::DOUBLE AS max_weight,
  1.0::DOUBLE AS mean_weight, CASE WHEN count(*) FILTER (WHERE k=0)>0 THEN 'ok_with_warnings' ELSE 'ok' END AS status FROM o""")
 def symmetric_adjacency_report(spark, sf):
     t = trips(spark, sf).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
@@ -100,7 +100,7 @@ def symmetric_adjacency_report(spark, sf):
  SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM nodes WHERE node_index NOT IN (SELECT src FROM ed)) AS n_zero_out,
  (SELECT count(*) FROM nodes WHERE node_index NOT IN (SELECT dst FROM ed)) AS n_zero_in,
  (SELECT count(*) FROM nodes WHERE node_index NOT IN (SELECT dst FROM ed) AND node_index NOT IN (SELECT src FROM ed)) AS n_isolated,
- (SELECT min(coalesce(k,0)) FROM nodes LEFT JOIN o ON o.src=node_index) AS min_out_degree, (SELECT max(k) FROM o) AS max_out_degree, false AS symmetric,
+ (SELECT min(coalesce(k,0)) FROM nodes LEFT JOIN o ON o.src=node_index) AS min_out_degree, (SELECT max(k) FROM o) AS max_out_degree, NOT EXISTS (SELECT 1 FROM ed x LEFT JOIN ed y ON x.src=y.dst AND x.dst=y.src WHERE y.weight IS DISTINCT FROM x.weight) AS symmetric,
  count(*) AS n_edges, {r6('min(weight)')} AS min_weight, {r6('max(weight)')} AS max_weight, {r6('avg(weight)')} AS mean_weight,
  CASE WHEN (SELECT count(*) FROM nodes WHERE node_index NOT IN (SELECT dst FROM ed) OR node_index NOT IN (SELECT src FROM ed))>0 THEN 'ok_with_warnings' ELSE 'ok' END AS status FROM ed""")
 def mobility_graph_report(spark, sf):

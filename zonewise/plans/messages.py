@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from zonewise.functions.scalars import one_row
 from zonewise.operators import text
 from zonewise.plans.registry import query
 from zonewise.sources.tables import table
@@ -113,3 +114,59 @@ def string_and_date_functions(spark, sf):
         F.bround(b / 100, 1).alias("m2"),
         F.floor(b).alias("m3"),
     )
+
+
+def _any(column, words):
+    return "(" + " OR ".join("contains({}, '{}')".format(column, w.replace("'", "''")) for w in words) + ")"
+
+
+def _in(column, words):
+    return "{} IN ({})".format(column, ", ".join("'" + w.replace("'", "''") + "'" for w in words))
+
+
+_TALK = text.CHAT_WORDS
+_WORDS = text.INTENT_WORDS
+_KIND = f"""CASE WHEN b='' THEN 'other' WHEN {_in('b', _TALK['greet'])} OR length(b)<=16 AND ({' OR '.join(f"starts_with(b, '{w}')" for w in text.GREETING_STARTS)}) THEN 'greet'
+ WHEN {_any('b', _TALK['identity'])} THEN 'identity' WHEN {_any('b', _TALK['wellbeing'])} THEN 'wellbeing' WHEN {_any('b', _TALK['capabilities'])} OR {_in('b', text.HELP_WORDS)} THEN 'capabilities'
+ WHEN {_any('b', _TALK['thanks'])} THEN 'thanks' WHEN {_any('b', _TALK['farewell'])} THEN 'farewell' WHEN {_in('b', _TALK['ack'])} THEN 'ack' ELSE 'other' END"""
+_VIEW = f"CASE WHEN NOT {_any('low', text.VIEW_WORDS['not_region'])} AND {_any('low', text.VIEW_WORDS['region'])} THEN 'region' WHEN {_any('low', text.VIEW_WORDS['zone'])} THEN 'zone' END"
+_SCEN = "(" + " OR ".join(_any("low", w) for w in text.SCENARIO_WORDS.values()) + ")"
+_PLANS = f"({_any('low', _WORDS['plan'])} OR regexp_matches(low, '\\bplan\\b'))"
+_INTENT = f"""CASE WHEN regexp_matches(low, '\\b(gp|ph|ms)_\\d+\\b') OR EXISTS (SELECT 1 FROM nation WHERE contains(low, lower(n_name))) THEN 'explain_site'
+ WHEN regexp_matches(low, '\\bs0200\\d{{4}}\\b') AND upper(regexp_extract(low, '\\bs0200\\d{{4}}\\b')) IN (SELECT 'S0200'||lpad(n_nationkey::VARCHAR,4,'0') FROM nation) THEN 'explain_zone'
+ WHEN {_any('low', _WORDS['compare'])} THEN 'compare' WHEN {_any('low', _WORDS['notes'])} THEN 'notes' WHEN {_any('low', _WORDS['forecast'])} THEN 'forecast'
+ WHEN {_any('low', _WORDS['allocation'])} AND NOT {_PLANS} THEN 'allocation' WHEN {_PLANS} OR {_any('low', _WORDS['allocation'])} OR {_SCEN} THEN 'plan' ELSE 'help' END"""
+_SAID = """(SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  SELECT -1-o_orderkey, 0, 'asked', CASE o_orderkey%12 WHEN 0 THEN ' Hello!' WHEN 1 THEN 'hi there, zone s0200'||lpad((o_custkey%40)::VARCHAR,4,'0') WHEN 2 THEN 'who are you' WHEN 3 THEN 'Thanks, bye' WHEN 4 THEN '好的。'
+   WHEN 5 THEN 'back to whole region' WHEN 6 THEN 'another zone please' WHEN 7 THEN 'ask '||(SELECT min(n_name) FROM nation) WHEN 8 THEN o_orderpriority||' help' WHEN 9 THEN 'help' WHEN 10 THEN 'one intermediate zone, city-wide' ELSE NULL END FROM orders)"""
+
+
+@query("conversation_intents", "TX5", f"""WITH t AS (SELECT role, lower(coalesce(text,'')) AS low, rtrim(lower(regexp_replace(coalesce(text,''), '^\\s+|\\s+$', '', 'g')), '{text.CHAT_ENDINGS}') AS b FROM {_SAID})
+ SELECT role, {_INTENT} AS intent, {_KIND} AS chat, {_VIEW} AS wanted_view, count(*) AS n FROM t GROUP BY ALL""")
+def conversation_intents(spark, sf):
+    """Every turn of the conversations, and requests worded from the orders, by intent, small talk and wanted view."""
+    said = table(spark, sf, "conversations").select("role", "text")
+    k = F.col("o_orderkey") % 12
+    known = one_row(  # a planning area of 25 nations: its site ids and zone codes
+        table(spark, sf, "nation").agg(
+            F.min("n_name").alias("first"), F.collect_set("n_name").alias("sites"), F.collect_set(F.concat(F.lit("S0200"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0"))).alias("zones")
+        )
+    )
+    lines = {
+        0: F.lit(" Hello!"),
+        1: F.concat(F.lit("hi there, zone s0200"), F.lpad((F.col("o_custkey") % 40).cast("string"), 4, "0")),
+        2: F.lit("who are you"),
+        3: F.lit("Thanks, bye"),
+        4: F.lit("好的。"),
+        5: F.lit("back to whole region"),
+        6: F.lit("another zone please"),
+        7: F.concat(F.lit("ask "), known["first"]),
+        8: F.concat("o_orderpriority", F.lit(" help")),
+        9: F.lit("help"),
+        10: F.lit("one intermediate zone, city-wide"),
+    }
+    asked = table(spark, sf, "orders").select(F.lit("asked").alias("role"), F.coalesce(*[F.when(k == i, v) for i, v in lines.items()]).alias("text"))
+    t = F.coalesce("text", F.lit(""))
+    told = said.unionByName(asked).withColumn("_k", known)
+    tagged = told.select("role", text.intent(t, F.col("_k.sites"), F.col("_k.zones")).alias("intent"), text.chat_kind(t).alias("chat"), text.wanted_view(t).alias("wanted_view"))
+    return tagged.groupBy("role", "intent", "chat", "wanted_view").agg(F.count(F.lit(1)).alias("n"))

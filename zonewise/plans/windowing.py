@@ -105,7 +105,7 @@ def excluded_windows(spark, sf):
 @query(
     "horizon_interpretation",
     "SW3",
-    f"WITH {window_sql(PANEL_DAILY, 7, 3)} SELECT sample_id, CAST(origin-3 AS DATE) AS covers_from, CAST(origin+3 AS DATE) AS covers_to, true AS overlaps_inputs FROM win",
+    f"WITH {window_sql(PANEL_DAILY, 7, 3)} SELECT sample_id, CAST(origin-3 AS DATE) AS covers_from, CAST(origin+3 AS DATE) AS covers_to, origin-3<=origin AND origin-3>=input_start AS overlaps_inputs FROM win",
 )
 def horizon_interpretation(spark, sf):
     panel = panel_daily(spark, sf)
@@ -269,7 +269,7 @@ def consecutive_report_runs(spark, sf):
 @query(
     "window_set_reload",
     "IO17 IO19",
-    f"""WITH {window_sql(PANEL_DAILY)}, {CELLS_SQL} SELECT sample_id, count(*) AS n_cells, count(DISTINCT zone) AS n_rows, true AS ok FROM steps GROUP BY 1""",
+    f"""WITH {window_sql(PANEL_DAILY)}, {CELLS_SQL} SELECT sample_id, count(*) AS n_cells, count(DISTINCT zone) AS n_rows, count(DISTINCT zone)=(SELECT nz FROM nz) AND count(rate)=7*(SELECT nz FROM nz) AS ok FROM steps GROUP BY 1""",
 )
 def window_set_reload(spark, sf):
     from zonewise.session import pin
@@ -292,3 +292,11 @@ def split_summary(spark, sf):
     split = windows.fraction_split(win, 0.65, 0.10)
     cells = windows.lookback_arrays(panel, win, L).join(split.select("sample_id", "split"), "sample_id")
     return rounded(evaluate.split_summary(cells))
+
+
+@query("pooled_issues", "S2", f"WITH {window_sql(PANEL_REGION)}, {_SPLIT} SELECT sample_id, origin, target FROM sp WHERE split IN ('validation','test')")
+def pooled_issues(spark, sf):
+    """Validation and test windows as one pool of issues."""
+    panel = panel_region(spark, sf)
+    split = windows.fraction_split(windows.build_windows(panel, zones_of(panel), L, H), 0.65, 0.10)
+    return windows.pool_splits([split.filter(F.col("split") == s) for s in ("validation", "test")]).select("sample_id", "origin", "target")
