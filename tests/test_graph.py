@@ -243,3 +243,22 @@ def test_a_long_chain_is_one_arc(spark):
     got = sorted((r["u"], r["v"], r["cost"]) for r in paths.contracted(both, keep).collect())
     third = n // 3
     assert got == [(0, third, 1.0 * third), (third, 0, 1.0 * third), (third, n, 1.0 * (n - third)), (n, third, 1.0 * (n - third))]
+
+
+def test_a_hub_station_is_met_in_parts(spark):
+    import random
+
+    rng = random.Random(2)
+    access = [(i, 0, float(rng.randrange(1, 50))) for i in range(60)] + [(i, rng.randrange(1, 5), float(rng.randrange(1, 50))) for i in range(60)]
+    rail = [(a, b, float(rng.randrange(1, 9))) for a in range(5) for b in range(5) if a != b or a == 2]
+    egress = [(j, b, float(rng.randrange(1, 50))) for j in range(40) for b in (0, 3)]
+    want = {}
+    for i, a, x in access:
+        for c, b, y in rail:
+            for j, d, z in egress:
+                if c == a and d == b and a != b:
+                    want[i, j] = min(want.get((i, j), math.inf), x + y + z)
+    want = {k: 0.0 if k[0] == k[1] else v for k, v in want.items()}
+    frames = [spark.createDataFrame(r, s) for r, s in ((access, "i long, a long, access_km double"), (rail, "a long, b long, rail_km double"), (egress, "j long, b long, egress_km double"))]
+    got = {(r["i"], r["j"]): r["km"] for r in paths.intermodal(*frames, block=7).collect()}
+    assert got == want

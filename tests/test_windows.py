@@ -2,6 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from zonewise.operators import scale, windows
 
@@ -84,3 +85,25 @@ def test_operational_window_reports_gaps(spark, zones):
     day = F.lit(START + dt.timedelta(19))
     got = {r["zone"]: r["complete"] for r in windows.operational_window(panel(spark, null=((18, "b"),)), zones, day, 7, 7).collect()}
     assert got == {"a": True, "b": False}
+
+
+def test_a_recut_keeps_its_source(spark, tmp_path):
+    from zonewise.operators import recut
+
+    days = [(k, f"2022-01-{k + 1:02d}", f"2022-01-{k + 8:02d}") for k in range(20)]
+    split = spark.createDataFrame(days, "sample_id long, origin string, target string").select("sample_id", F.col("origin").cast("date").alias("origin"), F.col("target").cast("date").alias("target"), F.lit("train").alias("split"))
+    cells = spark.createDataFrame([(k, z, [float(k), float(k + 1)], 1.0, 2.0) for k in range(20) for z in "ab"], "sample_id long, zone string, inputs array<double>, anchor double, y double")
+    source = recut.save_window_set(str(tmp_path / "s1"), split, cells)
+    before = sorted(p.name for p in (tmp_path / "s1" / "samples").iterdir())
+    made = recut.recut(spark, source, str(tmp_path / "s2"), 0.6, 0.15, 2)
+    assert {r["split"]: r["n_samples"] for r in made["summary"].collect()} == {"train": 12, "validation": 3, "test": 5}
+    row = made["scaler"].filter("zone = 'a'").first()
+    values = [v for k in range(12) for v in (k, k + 1)]
+    assert row["train_mean"] == pytest.approx(sum(values) / 24) and row["n_unique_dates"] == 13 and row["fitting_policy"] == recut.POLICY
+    again, samples = recut.load_window_set(spark, str(tmp_path / "s2"))
+    assert again.count() == 20 and samples.count() == 40 and not (tmp_path / "s2" / "samples").exists()
+    assert sorted(p.name for p in (tmp_path / "s1" / "samples").iterdir()) == before
+    with pytest.raises(ValueError):
+        recut.recut(spark, source, source + "/")
+    with pytest.raises(Exception):
+        recut.recut(spark, source, str(tmp_path / "s2"))

@@ -317,18 +317,25 @@ def combine_modes(distances: DataFrame, order: Sequence[str] = MODE_ORDER) -> Da
     return best.select("src", "dst", F.when(own, 0.0).otherwise(F.col("b.km")).alias("km"), F.when(own, "self").otherwise(F.col("b.mode")).alias("mode"))
 
 
-def intermodal(access: DataFrame, rail: DataFrame, egress: DataFrame) -> DataFrame:
-    """min over a <> b of access[i,a] + rail[a,b] + egress[b,j], as two min-plus joins.
+def _spread(many: DataFrame, few: DataFrame, key: str, by: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_part``: rows of a key in ``many`` are dealt into parts of about ``block``, rows of ``few`` go to each part."""
+    parts = many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts"))
+    dealt = many.join(parts, key).withColumn("_part", F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).drop("_parts")
+    each = few.join(parts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt, each
 
-    The minimum over the first station is taken before the second join, so the join never
-    carries every (i, a, b) combination further.
+
+def intermodal(access: DataFrame, rail: DataFrame, egress: DataFrame, block: int = 4096) -> DataFrame:
+    """min over a <> b of access[i,a] + rail[a,b] + egress[b,j], as two min-plus products in blocks.
+
+    The minimum over the first station is taken before the second join, so the join never carries
+    every (i, a, b) combination further. A station that many zones use is met in parts of ``block``
+    zones, each with a copy of the station's lines, and minima are combined before the shuffle.
     """
-    boarded = (
-        access.join(rail.filter("a <> b"), "a")
-        .groupBy("i", "b")
-        .agg(F.min(F.col("access_km") + F.col("rail_km")).alias("so_far"))
-    )
-    out = boarded.join(egress, "b").groupBy("i", "j").agg(F.min(F.col("so_far") + F.col("egress_km")).alias("km"))
+    near, lines = _spread(access, rail.filter("a <> b"), "a", "i", block)
+    boarded = pin(near.join(lines, ["a", "_part"]).groupBy("i", "b").agg(F.min(F.col("access_km") + F.col("rail_km")).alias("so_far")))
+    far, left = _spread(boarded, egress, "b", "i", block)
+    out = far.join(left, ["b", "_part"]).groupBy("i", "j").agg(F.min(F.col("so_far") + F.col("egress_km")).alias("km"))
     return out.withColumn("km", F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.col("km")))
 
 

@@ -300,3 +300,34 @@ def pooled_issues(spark, sf):
     panel = panel_region(spark, sf)
     split = windows.fraction_split(windows.build_windows(panel, zones_of(panel), L, H), 0.65, 0.10)
     return windows.pool_splits([split.filter(F.col("split") == s) for s in ("validation", "test")]).select("sample_id", "origin", "target")
+
+
+_RECUT = _SPLIT.replace("0.65", "0.60").replace("0.10", "0.15")
+
+
+@query(
+    "window_set_recut",
+    "SW8 IO15 IO17",
+    f"""WITH {window_sql(PANEL_REGION)}, {CELLS_SQL}, {_RECUT}, sc AS (SELECT zone, avg(rate) AS m, CASE WHEN stddev_pop(rate)<1e-8 THEN 1 ELSE stddev_pop(rate) END AS s, count(*) AS k
+   FROM steps JOIN sp USING (sample_id) WHERE split='train' GROUP BY 1)
+ SELECT split, count(DISTINCT sample_id) AS n_samples, min(sp.target) AS first_target, max(sp.target) AS last_target, {r6('avg((y-m)/s)')} AS mean_z, sum(k)/count(*)::DOUBLE AS scaler_cells,
+  (SELECT max(origin)-min(origin)+7 FROM sp WHERE split='train') AS n_unique_dates, {r6('count(DISTINCT sample_id)/(SELECT count(*) FROM win)')} AS proportion
+ FROM lb JOIN sp USING (sample_id) JOIN sc USING (zone) GROUP BY 1""",
+)
+def window_set_recut(spark, sf):
+    """A set saved at 70/15/15, cut anew at 60/15/25 without its samples being written again, and read back."""
+    import uuid
+
+    from zonewise.operators import recut
+    from zonewise.session import written_folder
+
+    folder = f"{written_folder(spark)}/{uuid.uuid4().hex}"
+    panel = panel_region(spark, sf)
+    win = windows.build_windows(panel, zones_of(panel), L, H)
+    source = recut.save_window_set(f"{folder}/s1", windows.fraction_split(win), windows.lookback_arrays(panel, win, L))
+    made = recut.recut(spark, source, f"{folder}/s2")
+    split, cells = recut.load_window_set(spark, f"{folder}/s2")
+    scaled = scale.scale_cells(cells.join(split.select("sample_id", "split"), "sample_id"), made["scaler"])
+    fitted = made["scaler"].select("zone", F.col("n_cells").alias("k"), "n_unique_dates")
+    z = scaled.join(fitted, "zone").groupBy("split").agg(F.avg("y_z").alias("mean_z"), F.avg("k").alias("scaler_cells"), F.max("n_unique_dates").cast("long").alias("n_unique_dates"))
+    return rounded(made["summary"].select("split", "n_samples", "first_target", "last_target", "proportion").join(z, "split"))
