@@ -177,3 +177,20 @@ def test_small_talk_views_and_known_lists(spark):
     sites, zones = F.lit(["HALL_7"]), F.lit(["S02000001"])
     got = [r[0] for r in df.select(text.intent(F.col("t"), sites, zones)).collect()]
     assert got == ["explain_site", "explain_zone", "forecast", "explain_site"]
+
+
+def test_nearest_in_a_crowded_place(spark, monkeypatch):
+    import random
+
+    rng = random.Random(21)
+    monkeypatch.setattr(spatial, "CROWD", 8)
+    crowd = [(rng.gauss(500, 0.5), rng.gauss(500, 0.5)) for _ in range(300)]
+    spots = crowd + [(500.0, 500.0)] * 3 + [(rng.uniform(0, 1000), rng.uniform(0, 1000)) for _ in range(20)]
+    points = [(rng.gauss(500, 0.6), rng.gauss(500, 0.6)) for _ in range(200)] + [(rng.uniform(-50, 1100), rng.uniform(0, 1000)) for _ in range(60)]
+    t = spark.createDataFrame([(f"t{i:04d}", *map(float, p)) for i, p in enumerate(spots)], "tid string, x double, y double")
+    p = spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(points)] + [(900, None, 1.0)], "pid int, x double, y double")
+    got = {r["pid"]: (r["tid"], r["distance"]) for r in spatial.nearest(p, t, "tid").collect()}
+    for i, (x, y) in enumerate(points):
+        d, name = min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, f"t{k:04d}") for k, (a, b) in enumerate(spots))
+        assert got[i][0] == name and got[i][1] == pytest.approx(d)
+    assert got[900] == (None, None)

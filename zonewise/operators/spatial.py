@@ -31,38 +31,59 @@ def around(size: float) -> Column:
     return F.transform(steps, lambda s: F.struct((cx + s["i"]).alias("cx"), (cy + s["j"]).alias("cy")))
 
 
+CROWD = 64  # targets of a cell above which its points look on cells half as wide first
+
+
 def nearest(points: DataFrame, targets: DataFrame, target_id: str, max_distance: float | None = None) -> DataFrame:
     """Every point with its nearest target (ties by id) and ``distance``; null beyond ``max_distance``.
 
-    A target found within one cell width inside the 3 x 3 block is exact. Points without one
-    move on to cells twice as wide, so dense areas are settled on fine cells first.
+    A target found within one cell width inside the 3 x 3 block is exact. Cells are a tree: one that holds
+    more than ``CROWD`` targets is split in four, again and again, and the points of split cells start on
+    the smallest cells around them; points without a target there move on to cells twice as wide.
+    So a crowded place is met in many small cells and not by all its points with all its targets.
     """
     spots = pin(targets.groupBy("x", "y").agg(F.min(target_id).alias(target_id)))
     box = spots.agg(
         F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")
     ).first()
-    size = max(math.sqrt(max(box["w"], 1e-6) * max(box["h"], 1e-6) / max(box["n"], 1)), 1e-3)
+    size = max(math.sqrt(max(box["w"] or 0, 1e-6) * max(box["h"] or 0, 1e-6) / max(box["n"], 1)), 1e-3)
     if max_distance is not None:
         size = min(size, max_distance)
     left = pin(points.select("x", "y").filter("x is not null and y is not null").distinct())
     found = None
-    while box["n"]:
-        t = spots.select(
-            cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"), F.col("x").alias("tx"), F.col("y").alias("ty"), target_id
-        )
+
+    def at(width: float) -> list[Column]:
+        return [cell(F.col("x"), width).alias("cx"), cell(F.col("y"), width).alias("cy")]
+
+    def settled(some: DataFrame, width: float) -> DataFrame:
+        t = spots.select(*at(width), F.col("x").alias("tx"), F.col("y").alias("ty"), target_id)
         d = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
-        hit = pin(
-            left.select("x", "y", F.inline(around(size)))
+        return pin(
+            some.select("x", "y", F.inline(around(width)))
             .join(t, ["cx", "cy"])
             .withColumn("distance", d)
-            .filter(F.col("distance") <= size)
+            .filter(F.col("distance") <= width)
             .groupBy("x", "y")
             .agg(F.min(F.struct("distance", target_id, "tx", "ty")).alias("_b"))
             .select("x", "y", "_b.*")
         )
+
+    split: list[DataFrame] = []
+    while box["n"] > CROWD and len(split) < 40:
+        full = pin(spots.groupBy(*at(size / 2 ** len(split))).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("cx", "cy"))
+        if full.isEmpty():
+            break
+        split.append(full)
+    for k in range(len(split), 0, -1):  # the smallest cells first
+        here = left.select("x", "y", *at(size / 2 ** (k - 1))).join(split[k - 1], ["cx", "cy"], "left_semi").select("x", "y")
+        hit = settled(here, size / 2**k)
+        found = hit if found is None else found.unionByName(hit)
+        left = pin(left.join(hit, ["x", "y"], "left_anti"))
+    while box["n"]:
+        hit = settled(left, size)
         found = hit if found is None else found.unionByName(hit)
         left = pin(left.join(hit, ["x", "y"], "left_anti"))
-        if (max_distance is not None and size >= max_distance) or left.limit(1).count() == 0:
+        if (max_distance is not None and size >= max_distance) or left.isEmpty():
             break
         size = size * 2 if max_distance is None else min(size * 2, max_distance)
     if found is None:
