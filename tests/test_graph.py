@@ -262,3 +262,26 @@ def test_a_hub_station_is_met_in_parts(spark):
     frames = [spark.createDataFrame(r, s) for r, s in ((access, "i long, a long, access_km double"), (rail, "a long, b long, rail_km double"), (egress, "j long, b long, egress_km double"))]
     got = {(r["i"], r["j"]): r["km"] for r in paths.intermodal(*frames, block=7).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("size", [0.5, 7.0, 300.0])
+def test_crossings_of_short_and_long_lines(spark, size):
+    import random
+
+    rng = random.Random(17)
+    rows = []
+    for i in range(90):
+        x, y, r = rng.uniform(0, 60), rng.uniform(0, 60), rng.choice([0.7, 5, 120])
+        rows.append((i, x, y, x + rng.uniform(-r, r), y + rng.uniform(-r, r), "primary", "B", "0", "F", "F"))
+
+    def cross(s, t):
+        def side(p, q, r):
+            return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+
+        a, b, c, d = s[1:3], s[3:5], t[1:3], t[3:5]
+        return side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
+
+    want = sum(cross(s, t) for i, s in enumerate(rows) for t in rows[:i])
+    got = paths.crossings(paths.grade_key(roads(spark, rows)), size).collect()
+    assert sum(r["n_pairs"] for r in got) == want == len(got) > 60
+    assert all((r["a_x1"], r["a_y1"], r["a_x2"], r["a_y2"]) < (r["b_x1"], r["b_y1"], r["b_x2"], r["b_y2"]) for r in got)

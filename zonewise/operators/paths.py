@@ -109,9 +109,10 @@ def crossings(segments: DataFrame, size: float) -> DataFrame:
 
     Segments of one course are one line that carries their number and, by grade, the number of
     those whose grade is fully known; pairs of segments are products of these numbers. Lines meet in
-    the grid cells of their bounding boxes. A pair is tested only in the cell that holds the
-    lower-left corner of the boxes' intersection, so it is seen exactly once and no distinct is
-    needed. Touching at an end point of either is no crossing. A line overlaps itself where it
+    the grid cells of their bounding boxes, on the level of the longer one: cells are ``size``, twice
+    that, four times that wide and so on, so a long line stands on few cells and short lines meet on
+    small ones. A pair is tested only in the cell that holds the lower-left corner of the boxes'
+    intersection, so it is seen exactly once and no distinct is needed. Touching at an end point of either is no crossing. A line overlaps itself where it
     stands for several segments. ``n_pairs`` is the sum of the last three columns.
     """
     ends = F.sort_array(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))
@@ -126,18 +127,29 @@ def crossings(segments: DataFrame, size: float) -> DataFrame:
     s = pin(lines.select(x[0].alias("x1"), y[0].alias("y1"), x[1].alias("x2"), y[1].alias("y2"), "n", "c", "g"))
     own = ("x1", "y1", "x2", "y2", "n", "c", "g", "x0", "x9", "y0", "y9")
     s = s.withColumns({"x0": F.least("x1", "x2"), "x9": F.greatest("x1", "x2"), "y0": F.least("y1", "y2"), "y9": F.greatest("y1", "y2")})
-    cells = s.withColumn("cx", F.explode(F.sequence(cell(F.col("x0"), size), cell(F.col("x9"), size))))
-    cells = cells.withColumn("cy", F.explode(F.sequence(cell(F.col("y0"), size), cell(F.col("y9"), size))))
-    a = cells.select("cx", "cy", *[F.col(n).alias(f"a_{n}") for n in own])
-    b = cells.select("cx", "cy", *[F.col(n).alias(f"b_{n}") for n in own])
+    # A line's level is that of the cells it passes two of a side at most.
+    extent = F.greatest(F.col("x9") - F.col("x0"), F.col("y9") - F.col("y0"), F.lit(size))
+    s = s.withColumn("level", F.ceil(F.log2(extent / size) - 1e-12).cast("int"))
+    top = s.agg(F.coalesce(F.max("level"), F.lit(0)).alias("top")).first()["top"]
+    wide = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("at"))
+    grid = lambda v: F.floor(v / wide)
+
+    def on_cells(levels: Column, side: str) -> DataFrame:
+        some = s.withColumn("at", F.explode(levels))
+        some = some.withColumn("cx", F.explode(F.sequence(grid(F.col("x0")), grid(F.col("x9")))))
+        some = some.withColumn("cy", F.explode(F.sequence(grid(F.col("y0")), grid(F.col("y9")))))
+        return some.select("at", "cx", "cy", *[F.col(n).alias(f"{side}_{n}") for n in (*own, "level")])
+
+    a = on_cells(F.sequence(F.col("level"), F.lit(top)), "a")
+    b = on_cells(F.array("level"), "b")
     x0, y0 = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
     first = F.struct("a_x1", "a_y1", "a_x2", "a_y2") < F.struct("b_x1", "b_y1", "b_x2", "b_y2")
     met = (
-        first
+        ((F.col("a_level") < F.col("b_level")) | first)
         & (x0 <= F.least("a_x9", "b_x9"))
         & (y0 <= F.least("a_y9", "b_y9"))
-        & (cell(x0, size) == F.col("cx"))
-        & (cell(y0, size) == F.col("cy"))
+        & (grid(x0) == F.col("cx"))
+        & (grid(y0) == F.col("cy"))
     )
 
     def side(p, q, r):
@@ -153,8 +165,9 @@ def crossings(segments: DataFrame, size: float) -> DataFrame:
     zero = F.lit(0).cast("long")
     same = F.aggregate(F.map_entries("a_g"), zero, lambda t, g: t + g["value"] * F.coalesce(F.try_element_at("b_g", g["key"]), zero))
     corners = [f"{side}_{c}" for side in "ab" for c in ("x1", "y1", "x2", "y2")]
-    apart = a.join(b, ["cx", "cy"]).filter(met & (proper | lined)).select(
-        *corners, (F.col("a_n") * F.col("b_n")).alias("n_pairs"), (F.col("a_c") * F.col("b_c")).alias("n_known"), same.alias("n_at_grade")
+    turned = [F.when(first, F.col(c)).otherwise(F.col(("b" if c[0] == "a" else "a") + c[1:])).alias(c) for c in corners]
+    apart = a.join(b, ["at", "cx", "cy"]).filter(met & (proper | lined)).select(
+        *turned, (F.col("a_n") * F.col("b_n")).alias("n_pairs"), (F.col("a_c") * F.col("b_c")).alias("n_known"), same.alias("n_at_grade")
     )
     pairs_of = lambda n: (n * (n - 1) / 2).cast("long")
     long_enough = F.greatest(F.col("x9") - F.col("x0"), F.col("y9") - F.col("y0")) > 1e-6

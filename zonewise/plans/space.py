@@ -202,7 +202,7 @@ CROSSED = f"""WITH rd AS ({ROADS}), g AS (SELECT seg_id, x1, y1, x2, y2, coalesc
 
 @query("crossing_report", "G5 PF13", f"""{CROSSED} SELECT count(*) FILTER (WHERE both_ok AND NOT same) AS n_separated, count(*) FILTER (WHERE NOT both_ok) AS n_ambiguous, count(*) FILTER (WHERE both_ok AND same) AS n_at_grade FROM h""")
 def crossing_report(spark, sf):
-    return paths.crossing_report(paths.crossings(graded_roads(spark, sf), 2.0 * STEP))
+    return paths.crossing_report(paths.crossings(graded_roads(spark, sf), 1.0 * STEP))
 
 
 def graded_roads(spark, sf):
@@ -211,7 +211,7 @@ def graded_roads(spark, sf):
 
 @query("ambiguous_crossings", "G5", f"""{CROSSED} SELECT least(a_low, b_low) AS lower_y, count(*) FILTER (WHERE NOT both_ok) AS n_ambiguous FROM h GROUP BY 1 HAVING n_ambiguous > 0""")
 def ambiguous_crossings(spark, sf):
-    found = paths.ambiguous_crossings(paths.crossings(graded_roads(spark, sf), 2.0 * STEP))
+    found = paths.ambiguous_crossings(paths.crossings(graded_roads(spark, sf), 1.0 * STEP))
     return found.groupBy(F.least("a_y1", "a_y2", "b_y1", "b_y2").alias("lower_y")).agg(F.sum("n_ambiguous").alias("n_ambiguous"))
 
 
