@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from zonewise.llm.words import PUNCTUATED, Words, mix, words
+from zonewise.llm.words import PUNCTUATED, Words, mix, released, words
 
 PERCENT = 80  # an item of n words is leaked by a stretch within n * (100 - PERCENT) / 100 edits
 MIN_WORDS = 5  # shorter items are looked for word by word, without edits
@@ -310,7 +310,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, target:
                     ["doc_id", "item_id", "edits", "item_words", "first_byte", "end_byte"],
                 )
 
-        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
+        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(released(run), schema))
     return found
 
 
@@ -328,5 +328,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
                     keep[row] = False
                 yield batch.filter(pa.array(keep))
 
-        inner = inner.mapInArrow(run, schema)
+        inner = inner.mapInArrow(released(run), schema)
     return inner.select(*[F.col(f"_z_{i}").alias(c) for i, c in enumerate(docs.columns)])

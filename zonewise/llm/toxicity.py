@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from zonewise.llm.words import PUNCTUATED, Words, mix, words
+from zonewise.llm.words import PUNCTUATED, Words, mix, released, words
 from zonewise.session import pin
 
 SAMPLE_ROWS = 20_000  # bound of the labelled sample
@@ -194,7 +194,7 @@ def score(df: DataFrame, machine: Machine, text: str = "text", carry: tuple[str,
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(scores)], [*names[:kept], "score"])
 
     schema = ", ".join(f"{n} {kind}" for n, kind in given.dtypes[:kept]) + ", score double"
-    return given.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, carry) if c != "score"], "score")
+    return given.mapInArrow(released(run), schema).select(*[F.col(n).alias(c) for n, c in zip(names, carry) if c != "score"], "score")
 
 
 def held_out(key):
