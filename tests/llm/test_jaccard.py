@@ -134,3 +134,54 @@ def test_nulls_repeats_and_no_rows(spark, documents):
     assert jaccard_components(df.filter("false")).count() == 0
     same_id = documents([(4, t, "en", "s"), (4, "other words of one more text", "en", "s"), (6, "other words of one more text", "en", "s"), (2, t, "en", "s")])
     assert {(r.doc_id, r.component_id) for r in jaccard_components(same_id).collect()} == {(4, 2), (6, 2), (2, 2)}
+
+
+def test_filter_of_large_regions_keeps_every_linked_text(spark):
+    rng = random.Random(12)
+    passage = list(range(40))
+    rows = []
+    for i in range(120):  # texts with nothing but a common passage, each with its own rest
+        rows.append((1, i, passage + [1000 + 100 * i + k for k in range(60)]))
+    for i in range(120, 140):  # near copies of the first ones
+        base = rows[i - 120][2]
+        rows.append((1, i, base[:-rng.randrange(1, 6)] + [10**6 + i]))
+    rows += [(2, i, passage) for i in range(200, 203)]
+    df = spark.createDataFrame([(r, i, k, True) for r, i, k in rows], "region long, doc_id long, keys array<long>, home boolean")
+    left = {(r["region"], r["doc_id"]) for r in jaccard._partnered(df, 80).collect()}
+    linked = {
+        (r, i) for r, i, a in rows for q, j, b in rows if r == q and i != j and 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))
+    }
+    assert linked <= left and len(left) < 60
+    assert jaccard._partnered(df.limit(0), 80).collect() == []
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "b " * 9, "x"), (1, "a " * 9, "y"), (1, None, "z"), (2, "c d e f g h", "x"), (3, "c d e f g h", "x"), (4, None, "x"), (None, "c d e f g h", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    got = sorted((tuple(r)[:3] for r in jaccard.keep_one(df).collect()), key=str)
+    assert got == sorted([(1, "a " * 9, "y"), (2, "c d e f g h", "x"), (4, None, "x"), (None, "c d e f g h", "x")], key=str)
+
+
+def test_components_of_forests_that_disagree(spark, monkeypatch):
+    from zonewise.llm import components as module
+
+    rng = random.Random(14)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5, 5)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    want = {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(9)
+    assert {r["node"]: r["root"] for r in components(df).collect()} == want
+    monkeypatch.setattr(module, "_contracted", lambda edges: edges)  # rounds alone
+    assert {r["node"]: r["root"] for r in components(df).collect()} == want
+    assert components(df.limit(0)).collect() == []

@@ -5,12 +5,14 @@ over the whole space would hand every text to every region. The space is therefo
 the metric allows it: the size window around the empty set gives size classes with a replicated
 margin, and inside a class a pair within the bound must agree exactly on e of k + e parts of the
 shingle universe, k being the largest symmetric difference. A text that does not agree with others on
-e parts has no partner; those that do are connected by their agreements to the first regions. Regions that are still large get pivots: texts go home to their nearest pivot (Voronoi)
-and are replicated as guests to every pivot within the triangle window, again and again until regions
-are small or the windows show that they cannot be cut, in which case they are joined in blocks.
+e parts has no partner; those that do are connected by their agreements to the first regions. Regions
+that are still large get pivots: texts go home to their nearest pivot (Voronoi) and are replicated as
+guests to every pivot within the triangle window, again and again until regions are small or the
+windows show that they cannot be cut, in which case they are joined in blocks.
 A region may also be a chain of unrelated texts that chance agreements tie together, as texts with a
 common passage have them; other divisions of the universe, each of which every pair within the bound
-passes as well, take such chains apart before pivots are drawn.
+passes as well, take such chains apart before pivots are drawn, and texts without enough shingles that
+stand in two texts of their region leave it.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from zonewise.llm.components import components
-from zonewise.llm.words import mix, shingle_sets
+from zonewise.llm.words import mix, released, shingle_sets
 from zonewise.session import pin
 
 REGION_ROWS = 512
 REGION_SHINGLES = 400_000
 PIVOTS = 16
 DIVISIONS = 2  # divisions of the universe that a large region must hold together under
+FILTER_WORDS = 1 << 18  # numbers of 64 bits in a filter of ids
 MOST_COPIES = 3.0  # a region is cut only if windows copy its rows fewer times than this
 _U = np.uint64
 
@@ -106,7 +109,7 @@ def _digests(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(first), pa.array(second)], ["doc_id", "n_shingles", "h1", "h2"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, h1 long, h2 long")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, n_shingles long, h1 long, h2 long")
 
 
 def _postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -133,7 +136,7 @@ def _postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
             if sets:
                 yield rows(names, sets)
 
-    return docs.select("text").mapInArrow(run, "sig long, node long, need int")
+    return docs.select("text").mapInArrow(released(run), "sig long, node long, need int")
 
 
 def _connected(post: DataFrame, by: list[str]) -> DataFrame:
@@ -167,7 +170,7 @@ def _divided(rows: DataFrame, percent: int, division: int) -> DataFrame:
                 arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(sig), pa.array(need)]
                 yield pa.RecordBatch.from_arrays(arrays, ["region", "node", "sig", "need"])
 
-    post = rows.select("region", "doc_id", "keys").mapInArrow(run, "region long, node long, sig long, need int")
+    post = rows.select("region", "doc_id", "keys").mapInArrow(released(run), "region long, node long, sig long, need int")
     found = _connected(post, ["region", "sig"])
     parts = found.select(F.col("node").alias("doc_id"), F.xxhash64(F.lit(division), "root").alias("part"))
     return rows.join(parts, "doc_id").select(F.col("part").alias("region"), "doc_id", "keys", "home")
@@ -216,10 +219,26 @@ def joined_roots(sets: list[np.ndarray], home: np.ndarray, percent: int) -> np.n
         root = new
 
 
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``_z_likely``: true for every doc_id in ``ids`` and for few others.
+
+    A bit for each hashed id, sent to all tasks as at most ``FILTER_WORDS`` numbers whatever the table,
+    so that texts of other documents need not be moved to learn that they are not wanted.
+    """
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_WORDS * 64))
+    bit = F.expr("shiftleft(1L, cast(_z_at % 64 as int))")
+    slots = ids.select(at.alias("_z_at")).select(F.expr("_z_at div 64").alias("_z_word"), bit.alias("_z_bit"))
+    words = slots.groupBy("_z_word").agg(F.bit_or("_z_bit").alias("_z_bits"))
+    near = docs.withColumn("_z_at", at).withColumn("_z_word", F.expr("_z_at div 64")).join(F.broadcast(words), "_z_word", "left")
+    likely = F.coalesce(F.col("_z_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return near.select(*docs.columns, likely.alias("_z_likely"))
+
+
 def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """The shingle sets of the members only."""
-    # A sort-merge join at every size: members grow with the documents, and text is moved once.
-    rows = docs.select("doc_id", "text").hint("merge").join(members, "doc_id").select("region", "doc_id", "text")
+    likely = _marked(docs.select("doc_id", "text"), members).filter("_z_likely").drop("_z_likely")
+    # A sort-merge join at every size: members grow with the documents, and their text is moved once.
+    rows = likely.hint("merge").join(members, "doc_id").select("region", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +260,7 @@ def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
             if held:
                 yield out()
 
-    return rows.mapInArrow(run, "region long, doc_id long, keys array<long>")
+    return rows.mapInArrow(released(run), "region long, doc_id long, keys array<long>")
 
 
 def _unsigned(keys) -> np.ndarray:
@@ -256,6 +275,26 @@ def _distances(keys: np.ndarray, pivots: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _partnered(rows: DataFrame, percent: int) -> DataFrame:
+    """The texts of large regions that can have a partner there, exactly.
+
+    A linked pair shares ``percent`` / 100 of either set, and what it shares stands in two texts of
+    the region. Texts that hold less of such shingles go, then those that were left without by
+    that, as long as a pass takes a tenth of the rows. Counts are combined before the shuffle, and a frequent shingle's join can be split.
+    """
+    left = rows.count()
+    while left:
+        posts = rows.select("region", "doc_id", F.explode("keys").alias("key"))
+        shared = posts.groupBy("region", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region", "key")
+        held = posts.join(shared, ["region", "key"]).groupBy("region", "doc_id").agg(F.count(F.lit(1)).alias("held"))
+        kept = rows.join(held, ["region", "doc_id"]).filter(F.col("held") * 100 >= F.size("keys") * percent)
+        rows = pin(kept.select(*rows.columns))
+        before, left = left, rows.count()
+        if left > 0.9 * before:  # what a further pass would take is left to the comparison
+            break
+    return rows
+
+
 def _cut(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Cut large regions by pivots: (rows of the new regions, rows of regions that cannot be cut).
 
@@ -340,7 +379,7 @@ def _region_links(rows: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     together = rows.select("region", "doc_id", "keys", "home").repartition("region").sortWithinPartitions("region")
-    return together.mapInArrow(run, "a long, b long")
+    return together.mapInArrow(released(run), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -386,7 +425,7 @@ def _links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFra
         if step < DIVISIONS:
             rows = pin(_divided(big, percent, step + 1))
             continue
-        cut, rest = _cut(big, percent)
+        cut, rest = _cut(_partnered(big, percent), percent)
         parts.append(_region_links(_in_blocks(rest), percent))
         rows = pin(cut)
     else:
@@ -398,7 +437,21 @@ def _links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFra
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The row of the smallest doc_id of every component, once; rows without a doc_id stay."""
-    kept = jaccard_components(docs, n, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(pin(kept), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """The row of the smallest doc_id of every component, once; rows without a doc_id stay.
+
+    Where several rows share that doc_id, the one with the smallest text stays, the null text last;
+    equal rows are one. Texts without words are alone and stay. Only rows of repeated ids are
+    grouped; the others are filtered by their id. An empty table gives no rows, and further columns
+    come back as they are.
+    """
+    found = jaccard_components(docs, n, percent).filter("doc_id is not null")
+    apart = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_z_rows"), F.min("component_id").alias("_z_root")).filter("_z_rows > 1 or doc_id <> _z_root")
+    apart = pin(apart.select("doc_id", (F.col("doc_id") == F.col("_z_root")).alias("_z_stays")))
+    marked = _marked(docs, apart)
+    held = marked.filter("_z_likely").join(apart, "doc_id", "left")
+    single = marked.filter("not _z_likely").select(*docs.columns).unionByName(held.filter("_z_stays is null").select(*docs.columns))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    ranked = [c for c, kind in docs.dtypes if c in rest and "map<" not in kind and kind != "variant"]  # those that have a hash
+    least = F.min_by(F.struct("text", *rest), F.struct(F.col("text").isNull(), "text", F.xxhash64(F.lit(0), *ranked)))
+    many = held.filter("_z_stays").groupBy("doc_id").agg(least.alias("_z_row")).select("doc_id", "_z_row.*").select(*docs.columns)
+    return single.unionByName(many)
