@@ -62,3 +62,15 @@ def test_no_rows_and_no_words(documents):
     assert mixed(documents([(1, "", "en", "a"), (2, None, "en", None)])).count() == 0
     sized = documents([(1, "a b", "en", "a")]).withColumn("size", F.lit(2).cast("long"))
     assert source_targets(sized, "source", "size").first().target == 3.0
+
+
+def test_mixed_leaves_columns_of_the_operators_names_alone(spark, documents):
+    rows = [(i, "w " * (1 + i % 5), "en", "a" if i % 3 else "b") for i in range(60)]
+    extra = [("target", F.concat(F.lit("t"), "doc_id")), ("copies", F.lit("c")), ("source_size", F.lit(None).cast("string"))]
+    out = mixed(documents(rows, extra))
+    assert out.columns == documents(rows, extra).columns
+    got = out.collect()
+    assert got and all(r["target"] == f"t{r['doc_id']}" and r["copies"] == "c" and r["source_size"] is None for r in got)
+    plain = sorted(r["doc_id"] for r in mixed(documents(rows)).collect())
+    assert sorted(r["doc_id"] for r in got) == plain
+    assert mixed(documents(rows).limit(0)).collect() == []

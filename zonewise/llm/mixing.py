@@ -88,8 +88,16 @@ def systematic_copies(
     return joined.select(*keep, F.col("_z_size").alias("source_size"), F.col("_z_target").alias("target"), copies.alias("copies"))
 
 
-def mixed(df: DataFrame, **how) -> DataFrame:
-    """The rows of the mix itself: every row of ``df`` as often as ``systematic_copies`` says."""
-    sized = df.withColumn("_z_words", word_count(F.col("text")))
-    taken = systematic_copies(sized, "_z_words", **how).filter("copies > 0")
-    return taken.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_z_copy")).drop("_z_copy")
+def mixed(df: DataFrame, source: str = "source", key: str = "doc_id", **how) -> DataFrame:
+    """The rows of the mix itself: every row of ``df`` as often as ``systematic_copies`` says.
+
+    Columns travel under names of their own, so those called ``target`` or ``copies`` come back as they
+    were. Null texts and texts without words have no size and are taken at the rate of their source;
+    null sources are one source, and an empty table gives no rows.
+    """
+    inner = [f"_z_c{i}" for i in range(len(df.columns))]
+    name = dict(zip(df.columns, inner))
+    sized = df.select(*[F.col(c).alias(n) for c, n in name.items()], word_count(F.col("text")).alias("_z_words"))
+    taken = systematic_copies(sized, "_z_words", name[source], name[key], **how).filter("copies > 0")
+    again = taken.select(*inner, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_z_copy"))
+    return again.select(*[F.col(n).alias(c) for c, n in name.items()])
