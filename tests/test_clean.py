@@ -94,3 +94,13 @@ def test_checks(spark):
     assert bad.first()["sample"] == "z" and checks.worst_status(bad).first()["status"] == "error"
     with pytest.raises(checks.ContractError):
         checks.require_columns(nodes, ["nope"])
+
+
+def test_softplus_neither_overflows_nor_vanishes(spark):
+    import math
+
+    from zonewise.functions.scalars import softplus
+
+    df = spark.createDataFrame([(x,) for x in (-800.0, -1.0, 0.0, 2.0, 800.0)], "x double").union(spark.sql("select cast(null as double)"))
+    got = [r[0] for r in df.select(softplus(F.col("x"))).collect()]
+    assert got[0] == 0.0 and got[1:4] == pytest.approx([math.log1p(math.exp(x)) for x in (-1, 0, 2)]) and got[4] == 800.0 and got[5] is None

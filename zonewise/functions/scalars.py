@@ -38,6 +38,11 @@ def r6(col: Column) -> Column:
     return F.floor(col * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
 
 
+def softplus(x: Column) -> Column:
+    """log(1 + e^x) without overflow: positive for every x, x itself for a large one."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
 def guarded_sum(col: Column) -> Column:
     """Sum that is null as soon as one member is null."""
     return F.when(F.count(col) == F.count(F.lit(1)), F.sum(col))

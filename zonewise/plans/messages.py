@@ -100,9 +100,10 @@ def conversation_tags(spark, sf):
 
 
 @query("string_and_date_functions", "F1 F3 F4 F8", """SELECT s_suppkey AS k, lower(trim('  '||s_name||' ')) AS s1, replace(s_name,'Supplier#','') AS s2, strftime(DATE '2020-01-01'+s_suppkey::INT,'%Y%m%d') AS d1,
- floor(ln(1+abs(s_acctbal))*1e6+0.5)/1e6 AS m1, round_even(s_acctbal/100,1) AS m2, floor(s_acctbal)::BIGINT AS m3 FROM supplier""")
+ floor(ln(1+abs(s_acctbal))*1e6+0.5)/1e6 AS m1, round_even(s_acctbal/100,1) AS m2, floor(s_acctbal)::BIGINT AS m3,
+ floor((greatest(s_acctbal/1000,0)+ln(1+exp(-abs(s_acctbal/1000))))*1e6+0.5)/1e6 AS m4 FROM supplier""")
 def string_and_date_functions(spark, sf):
-    from zonewise.functions.scalars import r6
+    from zonewise.functions.scalars import r6, softplus
 
     b = F.col("s_acctbal")
     return table(spark, sf, "supplier").select(
@@ -113,6 +114,7 @@ def string_and_date_functions(spark, sf):
         r6(F.log1p(F.abs(b))).alias("m1"),
         F.bround(b / 100, 1).alias("m2"),
         F.floor(b).alias("m3"),
+        r6(softplus(b / 1000)).alias("m4"),
     )
 
 
