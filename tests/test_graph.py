@@ -285,3 +285,19 @@ def test_crossings_of_short_and_long_lines(spark, size):
     got = paths.crossings(paths.grade_key(roads(spark, rows)), size).collect()
     assert sum(r["n_pairs"] for r in got) == want == len(got) > 60
     assert all((r["a_x1"], r["a_y1"], r["a_x2"], r["a_y2"]) < (r["b_x1"], r["b_y1"], r["b_x2"], r["b_y2"]) for r in got)
+
+
+def test_search_ends_at_the_farthest_target(spark, monkeypatch):
+    """A long street behind the targets is not walked, and one target cannot be reached at all."""
+    far = [(i, i + 1, 1.0) for i in range(60)] + [(i + 1, i, 1.0) for i in range(60)]
+    arcs = spark.createDataFrame([("road", *a) for a in [*far, (200, 3, 1.0), (200, 201, 1.0), (201, 200, 1.0)]], "mode string, u long, v long, cost double")
+    seeds = spark.createDataFrame([("road", 0, 0, 0.0), ("road", 200, 200, 0.0)], "mode string, source long, node long, cost double")
+    ends = spark.createDataFrame([(4, 4, 0.0), (200, 200, 0.0)], "target long, node long, cost double")
+    n = paths.reached(arcs.withColumnRenamed("cost", "step"), seeds, ends, ["mode", "source"], ["mode"])
+    assert {(r.source, r.wanted) for r in n.collect()} == {(0, 1), (200, 2)}
+    writes = []
+    kept = paths.pin
+    monkeypatch.setattr(paths, "pin", lambda df: writes.append(1) or kept(df))
+    got = {(r.source, r.node): r.cost for r in paths.shortest_paths(arcs, seeds, ["mode", "source"], ["mode"], None, ends).collect()}
+    assert got[0, 4] == 4.0 and got[200, 4] == 2.0 and got[200, 200] == 0.0 and (0, 200) not in got
+    assert max(node for source, node in got if source == 0) < 10 and len(writes) < 30

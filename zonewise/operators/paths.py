@@ -233,8 +233,49 @@ def contracted(arcs: DataFrame, keep: DataFrame, keys: Sequence[str] = ("mode",)
     return now.filter("not from_inner and not to_inner").groupBy(*keys, "u", "v").agg(F.min("cost").alias("cost"))
 
 
+def reached(arcs: DataFrame, seeds: DataFrame, targets: DataFrame, keys: Sequence[str], arc_keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., wanted): how many of ``targets(target, node)`` a source can reach, for sources that reach any.
+
+    Floods run forward from the sources and backward from the targets; the side that knows fewer nodes goes
+    on. A pair is settled where its floods meet or one of them is at its end, and a flood stops with its last open pair,
+    so a target in a dead end costs its surroundings and not the network.
+    """
+    keys, arc_keys = list(keys), list(arc_keys)
+    ahead = arcs.select(*arc_keys, F.col("u").alias("node"), F.col("v").alias("to"))
+    back = arcs.select(*arc_keys, F.col("v").alias("node"), F.col("u").alias("to"))
+    at = {"ahead": pin(seeds.select(*keys, "node").distinct().withColumn("fresh", F.lit(True)))}
+    sides = at["ahead"].select(*arc_keys).distinct().withColumn("_all", F.lit(1))
+    at["back"] = pin(targets.select("target", "node").distinct().withColumn("_all", F.lit(1)).join(sides, "_all").select(*arc_keys, "target", "node", F.lit(True).alias("fresh")))
+    own = {"ahead": keys, "back": [*arc_keys, "target"]}
+    ends = at["back"].select(*arc_keys, "target").distinct().withColumn("_all", F.lit(1))
+    still = at["ahead"].select(*keys).distinct().withColumn("_all", F.lit(1)).join(ends, ["_all", *arc_keys]).select(*keys, "target")
+    still, met = pin(still), None
+    while True:
+        meet = at["ahead"].select(*keys, "node").join(at["back"].select(*arc_keys, "target", "node"), [*arc_keys, "node"]).select(*keys, "target").distinct()
+        pairs = still.join(meet.withColumn("met", F.lit(True)), [*keys, "target"], "left")
+        for side in at:
+            pairs = pairs.join(at[side].filter("fresh").select(*own[side], F.lit(True).alias(f"on_{side}")).distinct(), own[side], "left")
+        pairs = pin(pairs)
+        found = pairs.filter("met").select(*keys, "target")
+        met = found if met is None else met.unionByName(found)
+        still = pairs.filter("met is null and on_ahead and on_back").select(*keys, "target")
+        known = {side: at[side].join(still.select(*own[side]).distinct(), own[side], "left_semi") for side in at}
+        size = {side: rows.count() for side, rows in known.items()}
+        if not min(size.values()):
+            return pin(met.groupBy(*keys).agg(F.count(F.lit(1)).alias("wanted")))
+        side = min(size, key=size.get)
+        step = known[side].filter("fresh").join(ahead if side == "ahead" else back, [*arc_keys, "node"]).select(*own[side], F.col("to").alias("node"), F.lit(True).alias("fresh"))
+        at[side] = pin(known[side].withColumn("fresh", F.lit(False)).unionByName(step).groupBy(*own[side], "node").agg(F.bool_and("fresh").alias("fresh")))
+
+
 def shortest_paths(
-    arcs: DataFrame, seeds: DataFrame, keys: Sequence[str] = ("source",), arc_keys: Sequence[str] = (), within: float | None = None, targets: DataFrame | None = None, nearest: int | None = None
+    arcs: DataFrame,
+    seeds: DataFrame,
+    keys: Sequence[str] = ("source",),
+    arc_keys: Sequence[str] = (),
+    within: float | None = None,
+    targets: DataFrame | None = None,
+    nearest: int | None = None,
 ) -> DataFrame:
     """Least cost from every seed to every node it reaches: (keys..., node, cost).
 
@@ -242,44 +283,53 @@ def shortest_paths(
     advance together; a round relaxes only labels that improved in the round before and is
     written out, so a lost executor costs one round.
 
-    ``within`` drops labels above that cost. With ``targets(target, node, cost)`` and ``nearest`` a source
-    stops where it cannot reach one of its ``nearest`` targets any cheaper: the cost at which it
-    has that many bounds all labels that go on. Only labels of such targets are then final.
+    ``within`` drops labels above that cost. With ``targets(target, node, cost)`` a source stops where it
+    cannot reach one of its ``nearest`` targets, or any target without ``nearest``, any cheaper: the cost
+    at which it has that many bounds all labels that go on. Only labels of such targets are then final.
     """
     keys = list(keys)
     arcs = pin(arcs.select(*arc_keys, "u", "v", F.col("cost").alias("step")))
+    wanted = None
+    if targets is not None and nearest is None:
+        wanted = reached(arcs, seeds, targets, keys, arc_keys)
+        seeds = seeds.join(wanted, keys, "left_semi")
 
     def relax(state: DataFrame) -> DataFrame:
         left = state.filter("fresh").withColumnRenamed("node", "u")
-        if nearest is not None:
+        if targets is not None:
             left = left.filter("bound is null or cost <= bound")
-        ahead = left.join(arcs, [*arc_keys, "u"]).select(*keys, F.col("v").alias("node"), (F.col("cost") + F.col("step")).alias("cost"))
+        ahead = left.join(arcs, [*arc_keys, "u"]).select(*keys, F.col("v").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), "bound")
         if within is not None:
             ahead = ahead.filter(F.col("cost") <= within)
         merged = (
-            state.select(*keys, "node", "cost", F.col("cost").alias("had"))
+            state.select(*keys, "node", "cost", F.col("cost").alias("had"), "bound")
             .unionByName(ahead.withColumn("had", F.lit(None).cast("double")))
             .groupBy(*keys, "node")
-            .agg(F.min("cost").alias("cost"), F.min("had").alias("had"))
+            .agg(F.min("cost").alias("cost"), F.min("had").alias("had"), F.min("bound").alias("bound"))
         )
-        out = merged.select(*keys, "node", "cost", (F.col("had").isNull() | (F.col("cost") < F.col("had"))).alias("fresh"))
-        return out if nearest is None else bounded(out)
+        return merged.select(*keys, "node", "cost", (F.col("had").isNull() | (F.col("cost") < F.col("had"))).alias("fresh"), "bound")
 
     def bounded(state: DataFrame) -> DataFrame:
         """Labels with the cost at which their source has as many targets as wanted, null before."""
+        if targets is None:
+            return state
+        state = state.drop("bound")
         met = state.join(targets.select("target", "node", F.col("cost").alias("more")), "node").groupBy(*keys, "target").agg(F.min(F.col("cost") + F.col("more")).alias("total"))
-        place = F.row_number().over(W.partitionBy(*keys).orderBy("total"))  # a source keeps its first few in every task
-        last = met.withColumn("_place", place).filter(F.col("_place") <= nearest).groupBy(*keys).agg(F.max(F.when(F.col("_place") == nearest, F.col("total"))).alias("bound"))
+        if nearest is None:
+            all_met = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("total").alias("bound")).join(wanted, keys)
+            last = all_met.filter("n = wanted").select(*keys, "bound")
+        else:
+            place = F.row_number().over(W.partitionBy(*keys).orderBy("total"))  # a source keeps its first few in every task
+            last = met.withColumn("_place", place).filter(F.col("_place") <= nearest).groupBy(*keys).agg(F.max(F.when(F.col("_place") == nearest, F.col("total"))).alias("bound"))
         return state.join(last, keys, "left")
 
-    start = seeds.groupBy(*keys, "node").agg(F.min("cost").alias("cost")).withColumn("fresh", F.lit(True))
-    state = pin(start if nearest is None else bounded(start))
+    start = seeds.groupBy(*keys, "node").agg(F.min("cost").alias("cost")).withColumns({"fresh": F.lit(True), "bound": F.lit(None).cast("double")})
+    state = pin(bounded(start))
     while True:
-        for _ in range(STEPS_PER_WRITE if nearest is None else 1):
-            state = relax(state.drop("bound")) if nearest is None else relax(state)
-        state = pin(state)
-        going = state.filter("fresh") if nearest is None else state.filter("fresh and (bound is null or cost <= bound)")
-        if going.isEmpty():
+        for _ in range(STEPS_PER_WRITE if targets is None else 1):
+            state = relax(state)
+        state = pin(bounded(state))
+        if state.filter("fresh and (bound is null or cost <= bound)").isEmpty():
             return state.select(*keys, "node", "cost")
 
 
@@ -297,6 +347,7 @@ def od_distances(arcs: DataFrame, origins: DataFrame, destinations: DataFrame, k
     ``origins`` / ``destinations``: id, node, distance (metres), unsnapped rows already left out.
     ``within_km`` keeps pairs up to that distance, ``nearest`` every origin's nearest destinations other
     than itself (ties by name); either one bounds the search of each origin, so no product arises.
+    Without them a search ends at the farthest destination its origin reaches.
     """
     keys = list(keys)
     lengths = _junctions(arcs.select(*keys, "u", "v", F.col("length").alias("cost")), keys, origins, destinations)
@@ -305,7 +356,8 @@ def od_distances(arcs: DataFrame, origins: DataFrame, destinations: DataFrame, k
     start = start.withColumn("_all", F.explode(_collected(seeds, keys))).select("src", "node", "cost", "_all.*")
     ends = pin(destinations.select(F.col("id").alias("target"), "node", F.col("distance").alias("cost")))
     wanted = None if nearest is None else nearest + 1  # an origin may be a destination itself
-    dist = shortest_paths(lengths, start, [*keys, "src"], keys, None if within_km is None else within_km * 1000.0, ends, wanted)
+    bound = None if within_km is None else within_km * 1000.0
+    dist = shortest_paths(lengths, start, [*keys, "src"], keys, bound, ends if bound is None or nearest is not None else None, wanted)
     out = dist.join(ends.select(F.col("target").alias("dst"), "node", F.col("cost").alias("distance")), "node")
     km = F.when(F.col("src") == F.col("dst"), 0.0).otherwise((F.col("cost") + F.col("distance")) / 1000.0)
     out = out.select(*keys, "src", "dst", km.alias("km"))
@@ -365,7 +417,10 @@ def travel_times(arcs: DataFrame, zones: DataFrame, sites: DataFrame, digits: in
     modes = arcs.select("mode").distinct()
     start = zones.select(F.col("node").alias("source")).filter("source is not null").distinct()
     start = start.withColumn("_m", F.explode(_collected(modes, ["mode"]))).select("source", "_m.mode", F.col("source").alias("node"), F.lit(0.0).alias("cost"))
-    dist = shortest_paths(_junctions(arcs, ["mode"], zones, sites), start, ["mode", "source"], ["mode"], within)
+    ends = None
+    if within is None:
+        ends = pin(sites.filter("node is not null").select(F.col("node").alias("target"), "node", F.lit(0.0).alias("cost")).distinct())
+    dist = shortest_paths(_junctions(arcs, ["mode"], zones, sites), start, ["mode", "source"], ["mode"], within, ends)
     least = F.min("cost")
     return (
         zones.select(F.col("id").alias("zone"), F.col("node").alias("source"))
