@@ -301,3 +301,11 @@ def test_search_ends_at_the_farthest_target(spark, monkeypatch):
     got = {(r.source, r.node): r.cost for r in paths.shortest_paths(arcs, seeds, ["mode", "source"], ["mode"], None, ends).collect()}
     assert got[0, 4] == 4.0 and got[200, 4] == 2.0 and got[200, 200] == 0.0 and (0, 200) not in got
     assert max(node for source, node in got if source == 0) < 10 and len(writes) < 30
+
+
+def test_softmax_of_large_logits(spark):
+    logits = spark.createDataFrame([(1, "a", 900.0), (1, "b", 0.5), (2, "a", 1.0), (2, "b", 1.0)], "u int, graph string, logit double")
+    one = {r.graph: r.alpha for r in graph.softmax_weights(logits.filter("u = 1")).collect()}
+    assert one["a"] == 1.0 and 0.0 <= one["b"] < 1e-300
+    by = {(r.u, r.graph): r.alpha for r in graph.softmax_weights(logits, by=["u"]).collect()}
+    assert by[1, "a"] == 1.0 and by[2, "a"] == by[2, "b"] == 0.5

@@ -192,12 +192,15 @@ def support_checksums(support: DataFrame, by: str = "col") -> DataFrame:
 
 
 def softmax_weights(logits: DataFrame, key: str = "graph", logit: str = "logit", by: Sequence[str] = ()) -> DataFrame:
-    e = F.exp(F.col(logit))
+    """Shares by the exponent of what a logit lies below the largest, so that large logits do not overflow."""
     if by:
-        total = logits.groupBy(*by).agg(F.sum(e).alias("_t"))
-        return logits.join(total, list(by)).select(*by, key, (e / F.col("_t")).alias("alpha"))
-    total = logits.agg(F.sum(e).alias("t"))
-    return logits.select(key, (e / one_row(total)["t"]).alias("alpha"))
+        top = logits.groupBy(*by).agg(F.max(logit).alias("_top"))
+        e = logits.join(top, list(by)).withColumn("_e", F.exp(F.col(logit) - F.col("_top")))
+        total = e.groupBy(*by).agg(F.sum("_e").alias("_t"))
+        return e.join(total, list(by)).select(*by, key, (F.col("_e") / F.col("_t")).alias("alpha"))
+    e = F.exp(F.col(logit) - one_row(logits.agg(F.max(logit).alias("top")))["top"])
+    weighed = logits.select(key, e.alias("_e"))
+    return weighed.select(key, (F.col("_e") / one_row(weighed.agg(F.sum("_e").alias("t")))["t"]).alias("alpha"))
 
 
 def fuse_supports(labelled: DataFrame, alpha: DataFrame, key: str = "graph") -> DataFrame:
