@@ -140,6 +140,7 @@ def inside(ring, x, y):
 
 @pytest.mark.parametrize("size", [3.0, 10.0, 400.0])
 def test_points_in_polygons_against_every_edge(spark, size):
+    import math
     import math
     import random
 
@@ -180,6 +181,7 @@ def test_small_talk_views_and_known_lists(spark):
 
 
 def test_nearest_in_a_crowded_place(spark, monkeypatch):
+    import math
     import random
 
     rng = random.Random(21)
@@ -194,3 +196,35 @@ def test_nearest_in_a_crowded_place(spark, monkeypatch):
         d, name = min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, f"t{k:04d}") for k, (a, b) in enumerate(spots))
         assert got[i][0] == name and got[i][1] == pytest.approx(d)
     assert got[900] == (None, None)
+
+
+def test_match_by_name_in_a_crowd_meets_few_points(spark):
+    """Against all pairs, with points at the very radius; a crowd inside the circle is met by its cells."""
+    import math
+    import random
+
+    rng = random.Random(7)
+    names = ["Castle Road", "Castle St", "Mill Lane", "castle st."]
+    pts = [(i, rng.uniform(0, 1500), rng.uniform(0, 1500), rng.choice(names)) for i in range(600)] + [(-1, 1250.0, 750.0, "Castle St"), (-2, 750.0, 250.0, "Mill Lane")]
+    sites = [(f"S{i}", "Castle St", 750.0 + 3 * i * i, 750.0 - i * i) for i in range(12)] + [("far", "Castle St", 9000.0, 9000.0)]
+    p = spark.createDataFrame(pts, "point_id long, x double, y double, name string")
+    s = spark.createDataFrame(sites, "site_id string, site_name string, x double, y double")
+    got = {r.site_id: (r.x, r.y, r.coord_source) for r in spatial.match_by_name(s, p, []).collect()}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    for sid, _, x, y in sites:
+        ok = []
+        for pid, px, py, name in pts:
+            n = name.lower().replace(".", "")
+            score = 1 - edits("castle st", n) / max(9, len(n))
+            if math.hypot(x - px, y - py) <= 500 and score >= 0.5:
+                ok.append((-score, pid, px, py))
+        want = (round(min(ok)[2], 2), round(min(ok)[3], 2), "exact_building") if ok else (x, y, "postcode_centroid")
+        assert got[sid][2] == want[2] and abs(got[sid][0] - want[0]) < 0.011 and abs(got[sid][1] - want[1]) < 0.011

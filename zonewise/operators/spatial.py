@@ -118,21 +118,35 @@ def match_by_name(
 ) -> DataFrame:
     """Best-named point within the radius (first id wins ties), else the site's own coordinates.
 
-    Points of one place and name are one point with the first id, so that a crowded place costs one row.
+    Points of one place and name are one point with the first id, and the points of a name in a small cell are
+    first met as one row with their first id. Cells that lie within the radius as a whole need no more than that;
+    of a cell on the border, points are looked at only where its first id would beat what the inside gave.
     """
-    p = (
+    width = radius / 8
+    p = pin(
         points.select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("point_id"), clean_name(F.col("name"), drop).alias("pname"))
         .filter("pname <> ''")
         .groupBy("px", "py", "pname")
         .agg(F.min("point_id").alias("point_id"))
-        .withColumns({"cx": cell(F.col("px"), radius), "cy": cell(F.col("py"), radius)})
+        .withColumns({"cx": cell(F.col("px"), width), "cy": cell(F.col("py"), width)})
     )
-    s = sites.filter("x is not null and y is not null").select(
-        "site_id", "x", "y", clean_name(F.col("site_name"), drop).alias("sname"), F.inline(around(radius))
-    )
-    near = s.join(p, ["cx", "cy"]).filter(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) <= radius)
-    scored = near.withColumn("score", name_similarity(F.col("sname"), F.col("pname"))).filter(F.col("score") >= min_score)
-    best = scored.groupBy("site_id").agg(F.min(F.struct((-F.col("score")).alias("m"), "point_id", "px", "py")).alias("_b"))
+    heads = pin(p.groupBy("cx", "cy", "pname").agg(F.min(F.struct("point_id", "px", "py")).alias("first")))
+    s = sites.filter("x is not null and y is not null").select("site_id", "x", "y", clean_name(F.col("site_name"), drop).alias("sname"))
+    span = lambda c: F.explode(F.sequence(cell(F.col(c) - radius, width), cell(F.col(c) + radius, width)))
+    lo, hi = (lambda c, v: F.col(c) * width - F.col(v)), (lambda c, v: (F.col(c) + 1) * width - F.col(v))
+    gap = lambda c, v: F.greatest(F.lit(0.0), lo(c, v), -hi(c, v))  # noqa: E731 - from the site to the cell
+    far = lambda c, v: F.greatest(F.abs(lo(c, v)), F.abs(hi(c, v)))  # noqa: E731 - to its other side
+    cells = s.withColumn("cx", span("x")).withColumn("cy", span("y"))
+    slack = radius * 1e-9  # rounding may neither lose a cell nor take one for whole
+    cells = cells.filter(F.hypot(gap("cx", "x"), gap("cy", "y")) <= radius + slack)
+    cells = cells.withColumn("whole", F.hypot(far("cx", "x"), far("cy", "y")) <= radius - slack)
+    near = cells.join(heads, ["cx", "cy"]).withColumn("m", -name_similarity(F.col("sname"), F.col("pname"))).filter(-F.col("m") >= min_score)
+    choice = lambda at: F.struct(F.col("m"), F.col(f"{at}point_id"), F.col(f"{at}px"), F.col(f"{at}py"))
+    inside = pin(near.filter("whole").groupBy("site_id").agg(F.min(choice("first.")).alias("_b")))
+    border = near.filter("not whole").join(inside, "site_id", "left").filter(F.col("_b").isNull() | (choice("first.") < F.col("_b")))
+    tested = border.select("site_id", "x", "y", "cx", "cy", "pname", "m").join(p, ["cx", "cy", "pname"])
+    tested = tested.filter(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) <= radius)
+    best = tested.select("site_id", choice("").alias("_b")).unionByName(inside).groupBy("site_id").agg(F.min("_b").alias("_b"))
     hit = F.col("_b").isNotNull()
     return sites.join(best, "site_id", "left").select(
         *[c for c in sites.columns if c not in ("x", "y")],
