@@ -129,3 +129,19 @@ def test_coalitions_change_one_zone_and_what_comes_back_to_it(spark):
             cols |= {f"f2_z_{c}": two[i, k] for k, c in enumerate("fg")} | {f"x_{c}": z[i, 2] * z[i, k] for k, c in enumerate("fg")}
             want = 7.0 + coef[0] + sum(b * cols[c] for b, c in zip(coef[1:], design.columns))
             assert got[f"z{i}", mask] == pytest.approx(want)
+
+
+def test_reference_point_is_over_all_customers(spark):
+    """Six indicators and two coordinates of every customer, not means of blocks of customers."""
+    import math
+
+    from zonewise.plans import explanation
+    from zonewise.sources.tables import table
+
+    sf = "/root/testdata/sf0.001"
+    got = explanation.reference_point(spark, sf).first().asDict()
+    rows = [(r.c_custkey, abs(math.floor(r.c_acctbal))) for r in table(spark, sf, "customer").collect()]
+    mid = lambda f: float(np.median([f(k, b) for k, b in rows]))
+    assert set(got) == {*explanation.INDICATORS, "x", "y"}
+    assert got["income"] == mid(lambda k, b: b % 200) and got["overcrowded"] == mid(lambda k, b: k % 60)
+    assert got["x"] == mid(lambda k, b: k % 37) and got["y"] == mid(lambda k, b: k // 37 % 41)

@@ -49,7 +49,11 @@ def fit_matrix(n_features: int) -> np.ndarray:
 
 def reference_point(zones: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Median of every column over the zones, as one row."""
-    long = zones.unpivot([], list(columns), "feature", "value")
+    return reference_of(zones.unpivot([], list(columns), "feature", "value"), columns)
+
+
+def reference_of(long: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same from rows (feature, value)."""
     mid = pin(quantiles(long, "value", {"v": 0.5}, ["feature"]))
     return mid.agg(*[F.max(F.when(F.col("feature") == c, F.col("v"))).alias(c) for c in columns])
 
