@@ -145,3 +145,41 @@ def test_reference_point_is_over_all_customers(spark):
     assert set(got) == {*explanation.INDICATORS, "x", "y"}
     assert got["income"] == mid(lambda k, b: b % 200) and got["overcrowded"] == mid(lambda k, b: k % 60)
     assert got["x"] == mid(lambda k, b: k % 37) and got["y"] == mid(lambda k, b: k // 37 % 41)
+
+
+def test_moments_of_many_keys_do_not_depend_on_how_they_are_held(spark, monkeypatch):
+    monkeypatch.setattr(moments, "HELD_KEYS", 3)
+    monkeypatch.setattr(moments, "HELD_ROWS", 10)
+    x = np.random.default_rng(5).standard_normal((300, 4)) + 1e6
+    df = table(spark, x).withColumn("half", F.when(F.col("a") > 1e6, "up")).repartition(3)
+    got = {(r["target"], r["half"]): r for r in moments.co_moments(df, NAMES, ["target", "half"]).collect()}
+    assert len(got) == 14
+    for (t, half), r in got.items():
+        part = x[(np.arange(300) % 7 == t) & ((x[:, 0] > 1e6) == (half == "up"))]
+        want = (part - part.mean(0)).T @ (part - part.mean(0))
+        assert r["n"] == len(part) and r["mean"] == pytest.approx(part.mean(0).tolist(), rel=1e-12)
+        assert r["prod"] == pytest.approx([want[i, j] for i in range(4) for j in range(i, 4)], rel=1e-6, abs=1e-6)
+
+
+def test_packed_cells_are_those_of_long_rows(spark):
+    """Reports with a gap and a null: arrays per zone give the looks and the carried columns of single rows."""
+    from zonewise.operators import windows
+    from zonewise.operators.design import packed_hops
+
+    days = [(f"z{i}", d, None if (i, d) == (1, 12) else float(i * 100 + d * d)) for i in range(5) for d in range(30) if (i, d) != (2, 20)]
+    panel = spark.createDataFrame(days, "zone string, d int, rate double").select("zone", F.expr("date_add(date'2020-01-01', d)").alias("date"), "rate")
+    wins = spark.range(6, 23).select((F.col("id") - 6).alias("sample_id"), F.expr("date_add(date'2020-01-01', int(id))").alias("origin"), F.expr("date_add(date'2020-01-01', int(id) + 7)").alias("target"))
+    _, support = ring(spark, 5, 0.75)
+    cells = windows.lookback_arrays(panel, wins, 7).withColumns({"level": F.log1p("anchor"), "step": F.element_at("inputs", -1) - F.element_at("inputs", -2)}).drop("inputs")
+    want = hops(cells, support, ["level", "step"], 2, "fb", ["sample_id"])
+    got = windows.unpacked(packed_hops(windows.packed_looks(panel, wins, 7), support, ["level", "step"], 2), wins, [c for c in want.columns if c not in ("sample_id", "zone", "origin", "target")])
+
+    def rows(df):
+        return {(r["sample_id"], r["zone"]): r.asDict() for r in df.collect()}
+
+    want, got = rows(want), rows(got)
+    assert want.keys() == got.keys() and 60 < len(want) < 85
+    assert any(r["y"] is None for r in want.values())
+    for k, r in want.items():
+        for name, value in r.items():
+            assert got[k][name] == (pytest.approx(value, rel=1e-9, abs=1e-9) if isinstance(value, float) else value)

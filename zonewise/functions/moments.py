@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 FLAT = 1e-8
 
@@ -18,18 +22,90 @@ def _pairs(width: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(width) for j in range(i, width)]
 
 
+HELD_KEYS, HELD_ROWS = 4096, 100_000
+
+
 def co_moments(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Per key ``n``, ``mean`` and ``prod``, the upper triangle of centred products, of complete rows.
 
-    Two passes: means first, then products of what is left of each row, so that nothing cancels.
-    The sums are given as text, which is analysed much faster than as many column objects.
+    A task sums its own rows by key in numpy, holding at most about ``HELD_KEYS`` keys; what tasks found for a
+    key is merged in a group of one row per task. Rows are centred on means of their own key first, so that
+    nothing cancels.
     """
-    full = rows.select(*keys, *columns).dropna(subset=list(columns))
-    means = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in columns]).alias("mean"))
-    left = F.zip_with(F.array(*[F.col(c).cast("double") for c in columns]), "mean", lambda x, m: x - m)
-    off = full.join(means, list(keys)).select(*keys, "n", "mean", left.alias("_d"))
-    sums = ", ".join(f"sum(_d[{i}] * _d[{j}])" for i, j in _pairs(len(columns)))
-    return off.groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.expr(f"array({sums})").alias("prod"))
+    full = rows.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=list(columns))
+    lead = full.select(*keys).schema
+    schema = StructType([*lead]).add("n", LongType()).add("mean", ArrayType(DoubleType())).add("prod", ArrayType(DoubleType()))
+    found, joined = _task_moments(list(keys), len(columns))
+    return full.mapInArrow(found, schema).groupBy(*keys).applyInArrow(joined, schema)
+
+
+def _task_moments(keys: Sequence[str], width: int):
+    """Arrow functions: rows to moments by key of a task, and moments of one key to their union."""
+    left, right = (list(t) for t in zip(*_pairs(width)))
+    n_keys, most_keys, most_rows = len(keys), HELD_KEYS, HELD_ROWS
+
+    def summed(numbers, values):
+        order = np.argsort(numbers, kind="stable")
+        at, starts, n = np.unique(numbers[order], return_index=True, return_counts=True)
+        values = np.ascontiguousarray(values[order].T)
+        mean = np.add.reduceat(values, starts, axis=1) / n
+        off = values - np.repeat(mean, n, axis=1)
+        prod = np.stack([np.add.reduceat(off[i] * off[j], starts) for i, j in zip(left, right)])
+        return at, n, mean.T, prod.T
+
+    def numbered(parts, known):
+        """Number of each row's key, counted on in ``known``."""
+        codes, levels = [], []
+        for column in zip(*parts):
+            coded = pa.concat_arrays(column).dictionary_encode(null_encoding="encode")
+            codes.append(coded.indices.to_numpy(zero_copy_only=False))
+            levels.append(coded.dictionary.to_pylist())
+        each, back = np.unique(np.stack(codes, axis=1), axis=0, return_inverse=True) if n_keys > 1 else (np.arange(len(levels[0]))[:, None], codes[0])
+        named = [tuple(level[c] for level, c in zip(levels, row)) for row in each.tolist()]
+        return np.array([known.setdefault(name, len(known)) for name in named])[back.reshape(-1)]
+
+    def as_lists(values):
+        return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype="int32") * values.shape[1], np.ascontiguousarray(values).reshape(-1))
+
+    def found(batches):
+        def start():
+            return {}, np.zeros(0), np.zeros((0, width)), np.zeros((0, len(left)))
+
+        known, n, mean, prod = start()
+        rows, count, types = [], 0, None
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                types = [field.type for field in batch.schema][:n_keys]
+                rows.append((batch.columns[:n_keys], np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[n_keys:]], axis=1)))
+                count += batch.num_rows
+            if count and (batch is None or count >= most_rows):
+                parts, values = zip(*rows)
+                at, more, centre, spread = summed(numbered(parts, known), np.concatenate(values))
+                rows, count = [], 0
+                new = len(known) - len(n)
+                n, mean, prod = (np.concatenate([a, np.zeros((new, *a.shape[1:]))]) for a in (n, mean, prod))
+                share, off = more / (n[at] + more), centre - mean[at]
+                prod[at] += spread + off[:, left] * off[:, right] * (n[at] * share)[:, None]
+                mean[at] += off * share[:, None]
+                n[at] += more
+            if len(n) and not count and (batch is None or len(known) > most_keys):
+                named = [pa.array([name[i] for name in known], types[i]) for i in range(n_keys)]
+                table = [*named, pa.array(n.astype("int64")), as_lists(mean), as_lists(prod)]
+                yield pa.RecordBatch.from_arrays(table, [*keys, "n", "mean", "prod"])
+                known, n, mean, prod = start()
+
+    def joined(table):
+        n, mean, prod = (np.array(table.column(c).to_pylist(), dtype=float) for c in ("n", "mean", "prod"))
+        centre = n @ mean / n.sum()
+        off = mean - centre
+        union = {"n": [int(n.sum())], "mean": [centre], "prod": [prod.sum(axis=0) + n @ (off[:, left] * off[:, right])]}
+        one = table.slice(0, 1)
+        for name, value in union.items():
+            place = one.schema.get_field_index(name)
+            one = one.set_column(place, one.schema.field(place), pa.array(value, one.schema.field(place).type))
+        return one
+
+    return found, joined
 
 
 def merge_moments(parts: DataFrame, keys: Sequence[str], width: int) -> DataFrame:

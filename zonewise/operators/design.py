@@ -8,9 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from zonewise.functions.scalars import one_row
+from zonewise.operators import windows
 from zonewise.session import pin
 
 DIRECTIONS = {"f": "forward", "b": "backward"}
@@ -23,12 +27,12 @@ def hops(rows: DataFrame, support: DataFrame, columns: Sequence[str], steps: int
     of ``rows`` is one node of the graph ``by``. A node without links gets zeros (and signs of them).
     """
     out = rows
+    weigh = [F.sum(F.when(F.col("direction") == DIRECTIONS[d], F.col("w"))).alias(f"_w_{d}") for d in directions]
+    links = support.filter(F.col("direction").isin(*[DIRECTIONS[d] for d in directions])).groupBy("row", "col").agg(*weigh)
     for k in range(1, steps + 1):
         last = {(d, c): c if k == 1 else f"{d}{k - 1}_{c}" for d in directions for c in columns}
-        moved = out.select(*by, F.col(key).alias("col"), *sorted(set(last.values()))).join(
-            support.filter(F.col("direction").isin(*[DIRECTIONS[d] for d in directions])), "col"
-        )
-        sums = [F.sum(F.when(F.col("direction") == DIRECTIONS[d], F.col("w") * F.col(src))).alias(f"{d}{k}_{c}") for (d, c), src in last.items()]
+        moved = out.select(*by, F.col(key).alias("col"), *sorted(set(last.values()))).join(links, "col")
+        sums = [F.sum(F.col(f"_w_{d}") * F.col(src)).alias(f"{d}{k}_{c}") for (d, c), src in last.items()]
         summed = moved.groupBy(*by, F.col("row").alias(key)).agg(*sums)
         out = out.join(summed, [*by, key], "left")
         for d, c in last:
@@ -38,6 +42,58 @@ def hops(rows: DataFrame, support: DataFrame, columns: Sequence[str], steps: int
     return out
 
 
+def packed_hops(rows: DataFrame, support: DataFrame, columns: Sequence[str], steps: int, key: str = "zone") -> DataFrame:
+    """:func:`hops` forward and backward of rows that hold arrays: ``columns`` and the ``ids`` they stand for, a row per node.
+
+    A step joins the arrays with the links and adds up those that meet in a node by their ids, so a row
+    moves once per link and not once per link and sample.
+    """
+    weigh = [F.sum(F.when(F.col("direction") == DIRECTIONS[d], F.col("w"))).alias(f"_w_{d}") for d in "fb"]
+    links = support.groupBy("row", "col").agg(*weigh)
+    out = rows
+    for k in range(1, steps + 1):
+        last = [(d, c, c if k == 1 else f"{d}{k - 1}_{c}") for d in "fb" for c in columns]
+        sources = sorted({src for _, _, src in last})
+        out = pin(out)
+        own = out.withColumns({"_w_f": F.lit(None).cast("double"), "_w_b": F.lit(None).cast("double"), "_own": F.lit(True)})
+        sent = out.select(F.col(key).alias("col"), "ids", *sources).join(links, "col").withColumnRenamed("row", key).drop("col")
+        both = own.unionByName(sent.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+        terms = [(f"_w_{d}", src, f"{d}{k}_{c}", (c if k == 2 else f"{d}{k - 2}_{c}") if k > 1 else None) for d, c, src in last]
+        schema = StructType([*out.schema])
+        for _, _, name, _ in terms:
+            schema = schema.add(name, ArrayType(DoubleType()))
+        out = both.groupBy(key).applyInArrow(_summed_arrays(out.columns, terms), schema)
+    return out
+
+
+def _summed_arrays(kept: Sequence[str], terms: Sequence[tuple]):
+    """Arrow function of a node's own row and the rows sent to it: its columns and the weighed sums."""
+
+    def array(table, name, i):
+        return table.column(name)[i].values.to_numpy(zero_copy_only=False)
+
+    def summed(table):
+        mine = np.flatnonzero(table.column("_own").to_numpy())
+        one = table.slice(mine[0] if len(mine) else 0, min(len(mine), 1)).select(list(kept))
+        ids = array(table, "ids", mine[0]) if len(mine) else np.zeros(0, dtype="int64")
+        sums = {name: np.zeros(len(ids)) for _, _, name, _ in terms}
+        for i in np.flatnonzero(~table.column("_own").to_numpy()) if len(mine) else ():
+            theirs = array(table, "ids", i)
+            here = there = slice(None)
+            if not np.array_equal(ids, theirs):
+                _, here, there = np.intersect1d(ids, theirs, assume_unique=True, return_indices=True)
+            for weight, src, name, _ in terms:
+                w = table.column(weight)[i].as_py()
+                if w is not None:
+                    sums[name][here] += w * array(table, src, i)[there]
+        for _, _, name, older in terms:
+            new = sums[name] if older is None else 2 * sums[name] - array(table, older, mine[0]) if len(mine) else sums[name]
+            one = one.append_column(name, pa.array([new] if len(mine) else [], pa.list_(pa.float64())))
+        return one
+
+    return summed
+
+
 def scaled(zones: DataFrame, columns: Sequence[str], flat: float = 1e-8) -> tuple[DataFrame, DataFrame]:
     """``zones`` with ``z_`` columns by population moments over the zones, and those moments in one row."""
     marks = pin(zones.agg(*[m for c in columns for m in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]))
@@ -82,3 +138,8 @@ class Design:
     def moved(self, cells: DataFrame, support: DataFrame) -> DataFrame:
         """Cells (one per sample and zone) with the dynamic columns of their neighbours."""
         return hops(cells, support, self.dynamic, self.steps, "fb", ["sample_id"])
+
+    def cells(self, panel: DataFrame, wins: DataFrame, lookback: int, support: DataFrame, context: DataFrame) -> DataFrame:
+        """Cells of all windows with every column of the design, a row per sample and zone."""
+        looks = packed_hops(windows.packed_looks(panel, wins, lookback), support, self.dynamic, self.steps)
+        return windows.unpacked(looks.join(context, "zone"), wins, ["anchor", "y", *self.moving])

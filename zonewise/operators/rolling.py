@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from zonewise.functions import moments
-from zonewise.functions.ranking import Rank, order_statistics
+from zonewise.functions.ranking import Rank, order_statistics, weighted_order_statistics
 from zonewise.functions.scalars import one_row
 from zonewise.session import pin
 
@@ -179,7 +179,7 @@ def run(cells: DataFrame, blocks: DataFrame, features: Sequence[str]) -> dict[st
         rows(SELECT).join(first.select("update", "coef"), "update").withColumn("mu", F.col("anchor") + moments.linear_score("coef", features)).drop("coef", *features)
     )
     gate = pin(selection_gate(selection))
-    sigma = residual_sigma(selection, gate)
+    sigma = pin(residual_sigma(selection, gate))
 
     def scored(block: str) -> DataFrame:
         return gated(rows(block), final, gate, features).join(sigma, ["update", "zone"])
@@ -195,13 +195,13 @@ def calibrate(scored: DataFrame, keys: Sequence[str] = ("update",), gammas=(0.2,
 
     k = ceil((n + 1)(1 - gamma)); unavailable when n < n_min or k > n. k is never truncated.
     """
-    ok = scored.filter((F.col("sigma") > 0) & F.col("y").isNotNull() & F.col("mu").isNotNull()).withColumn(
-        "score", F.abs(F.col("y") - F.col("mu")) / F.col("sigma")
-    )
+    score = F.abs(F.col("y") - F.col("mu")) / F.col("sigma")
+    ok = pin(scored.filter((F.col("sigma") > 0) & F.col("y").isNotNull() & F.col("mu").isNotNull()).select(*keys, "sigma", score.alias("score")))
     tags = {g: f"{round((1 - g) * 100)}" for g in gammas}
     rank = {g: F.ceil(F.round((F.col("n") + 1) * F.lit(1 - g), 9)).cast("long") for g in gammas}
     cut = order_statistics(ok, "score", {f"q{tags[g]}": Rank.kth(1 - g, rank[g]) for g in gammas}, keys)
-    p90 = order_statistics(ok, "sigma", {"sigma_p90": Rank.linear(0.9)}, keys).drop("n")
+    each = ok.groupBy(*keys, "sigma").agg(F.count(F.lit(1)).alias("_n"))  # the rows of a zone share one sigma
+    p90 = weighted_order_statistics(each, "sigma", "_n", {"sigma_p90": Rank.linear(0.9)}, keys).drop("n")
     out = cut.join(p90, list(keys)) if keys else cut.withColumn("sigma_p90", one_row(p90)["sigma_p90"])
     cols = []
     for g in gammas:

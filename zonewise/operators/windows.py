@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from zonewise.functions.scalars import joined_reasons, one_row
@@ -177,6 +179,43 @@ def lookback_arrays(panel: DataFrame, windows: DataFrame, lookback: int, rate: s
     )
 
 
+def packed_looks(panel: DataFrame, windows: DataFrame, lookback: int, rate: str = "rate") -> DataFrame:
+    """The rows of :func:`lookback_arrays` as one row per zone: ``ids`` of its samples and an array per column.
+
+    The columns are ``anchor``, ``y``, ``level`` (of the anchor) and ``step`` (from the report before). The calendar bounds the
+    arrays; ``panel`` has one row per zone and date, and the windows, a row per date, go to the tasks.
+    """
+    rows = windows.select("sample_id", day_number("origin").alias("o"), day_number("target").alias("t")).orderBy("sample_id").collect()
+    ids, at, to = (np.array([r[i] for r in rows], dtype="int64") for i in range(3))
+
+    def looks(table):
+        day = table.column("day").to_numpy().astype("int64")
+        lo = min(day.min(), at.min(initial=day[0]) - lookback)
+        size = int(max(day.max(), at.max(initial=day[0]), to.max(initial=day[0])) - lo) + 1
+        value, known = np.full(size, np.nan), np.zeros(size, dtype=bool)
+        value[day - lo] = table.column("rate").to_numpy()
+        known[day - lo] = table.column("rate").is_valid().to_numpy()
+        before = np.concatenate([[0], np.cumsum(known)])
+        whole = before[at - lo + 1] - before[at - lo + 1 - lookback] == lookback
+        o, t = at[whole] - lo, to[whole] - lo
+        columns = [value[o], value[t], np.log1p(np.maximum(value[o], 0.0)), value[o] - value[o - 1]]
+        got = [pa.array([ids[whole]], pa.list_(pa.int64()))]
+        for c, unknown in zip(columns, (None, ~known[t], None, None)):
+            got.append(pa.ListArray.from_arrays([0, len(c)], pa.array(c, pa.float64(), mask=unknown)))
+        return pa.table([table.column("zone").slice(0, 1), *got], names=["zone", "ids", "anchor", "y", "level", "step"])
+
+    source = panel.select("zone", day_number("date").alias("day"), F.col(rate).cast("double").alias("rate"))
+    arrays = ", ".join(f"{c} array<double>" for c in ("anchor", "y", "level", "step"))
+    return source.groupBy("zone").applyInArrow(looks, f"zone string, ids array<bigint>, {arrays}")
+
+
+def unpacked(packed: DataFrame, windows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A row per sample and zone of packed ``columns``, with its origin and target; other columns are repeated."""
+    rest = [c for c in packed.columns if c not in (*columns, "ids")]
+    each = F.inline(F.arrays_zip(F.col("ids").alias("sample_id"), *columns)).alias("sample_id", *columns)
+    return packed.select(*rest, each).join(windows.select("sample_id", "origin", "target"), "sample_id")
+
+
 def consecutive_days(days: DataFrame, keys: Sequence[str], col: str, length: int) -> DataFrame:
     return days.groupBy(*keys).agg(
         ((F.datediff(F.max(col), F.min(col)) == length - 1) & (F.count_distinct(col) == length)).alias("consecutive")

@@ -46,7 +46,9 @@ def designed(spark, sf, cells):
 
 
 def block_cells(spark, sf, panel, win):
-    return designed(spark, sf, windows.lookback_arrays(panel, win, L))
+    support = pin(graph.supports(block_links(spark, sf)))
+    context, _ = DESIGN.context(block_features(spark, sf), support)
+    return DESIGN.cells(panel, win, L, support, pin(context))
 
 
 def rolled(spark, sf, window_days=730):
@@ -57,7 +59,7 @@ def rolled(spark, sf, window_days=730):
 def forecasts(spark, sf):
     out = rolled(spark, sf)
     cal = pin(rolling.calibrate(out["calibration"]))
-    return pin(rolling.attach_observed(rolling.with_intervals(out["prediction"], cal))), cal
+    return rolling.attach_observed(rolling.with_intervals(pin(out["prediction"]), cal)), cal
 
 
 def block_sql(days="730", name="bl"):

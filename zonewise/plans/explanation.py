@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from zonewise.functions import moments
 from zonewise.functions.scalars import one_row, r6 as R
-from zonewise.operators import explain, graph, rolling, windows
+from zonewise.operators import explain, graph, rolling
 from zonewise.plans import evaluation
 from zonewise.plans.registry import query, r6
 from zonewise.plans.sqltext import BLOCK_FEATURES
@@ -27,8 +27,8 @@ def last_forecast(spark, sf):
     chosen = pin(blocks.filter(F.col("update") == issue["update"]))
     support, raw = pin(graph.supports(block_links(spark, sf))), block_features(spark, sf)
     context, marks = design.context(raw, support)
-    reports = windows.lookback_arrays(panel, win.join(chosen.select("sample_id").distinct(), "sample_id", "left_semi"), evaluation.L)
-    cells = pin(design.moved(evaluation.dynamic(reports), support).join(pin(context), "zone").withColumn("delta", F.col("y") - F.col("anchor")))
+    chosen_windows = win.join(chosen.select("sample_id").distinct(), "sample_id", "left_semi")
+    cells = pin(design.cells(panel, chosen_windows, evaluation.L, support, pin(context)).withColumn("delta", F.col("y") - F.col("anchor")))
     stats = moments.co_moments(cells, [*design.columns, "delta"], ["target"])
     coef = rolling.fit_by_update(stats, chosen, len(design.columns) + 1).filter(F.col("role") == rolling.FINAL).select("update", "coef")
     at = cells.filter(F.col("sample_id") == issue["sample_id"]).withColumn("_coef", one_row(coef))

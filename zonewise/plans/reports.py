@@ -25,7 +25,7 @@ def scored(spark, sf):
     blocks = pin(blocks)
     out = rolling.run(evaluation.block_cells(spark, sf, panel, win), blocks, evaluation.FEATURES)
     cal = pin(rolling.calibrate(out["calibration"]))
-    pred = pin(rolling.attach_observed(rolling.with_intervals(out["prediction"], cal)))
+    pred = rolling.attach_observed(rolling.with_intervals(pin(out["prediction"]), cal))
     return pred, cal, evaluation.alphas(blocks)[0]
 
 
