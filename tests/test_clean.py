@@ -104,3 +104,10 @@ def test_softplus_neither_overflows_nor_vanishes(spark):
     df = spark.createDataFrame([(x,) for x in (-800.0, -1.0, 0.0, 2.0, 800.0)], "x double").union(spark.sql("select cast(null as double)"))
     got = [r[0] for r in df.select(softplus(F.col("x"))).collect()]
     assert got[0] == 0.0 and got[1:4] == pytest.approx([math.log1p(math.exp(x)) for x in (-1, 0, 2)]) and got[4] == 800.0 and got[5] is None
+
+
+def test_a_filter_on_report_dates_computes_their_text_once(spark):
+    day = F.date_format(F.expr("date_add(date'2020-01-01', int(id))"), "yyyyMMdd")
+    raw = spark.range(3).select(day.alias("Date"), F.lit("S0200001").alias("IntZone"))
+    plan = clean.parse_report_dates(raw)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("date_format") <= 2  # one in the filter, one in the column

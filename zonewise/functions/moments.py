@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
@@ -10,12 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-FLAT = 1e-8
-
+from zonewise.functions.scalars import let
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
+FLAT = 1e-8
 
 
 def _pairs(width: int) -> list[tuple[int, int]]:
