@@ -309,3 +309,15 @@ def test_softmax_of_large_logits(spark):
     assert one["a"] == 1.0 and 0.0 <= one["b"] < 1e-300
     by = {(r.u, r.graph): r.alpha for r in graph.softmax_weights(logits, by=["u"]).collect()}
     assert by[1, "a"] == 1.0 and by[2, "a"] == by[2, "b"] == 0.5
+
+
+def test_sides_are_dealt_before_they_are_summed(spark):
+    sides = [("a", 0.0, 0.0, 1.0, 0.0), ("b", 1.0, 0.0, 0.0, 0.0), ("b", 1.0, 0.0, 1.0, 1.0), ("c", 1.0, 1.0, 1.0, 0.0), ("c", 5.0, 5.0, 6.0, 5.0)]
+    sides += [(z, 9.0, 9.0, 9.0, 8.0) for z in "abc"]
+    seg = spark.createDataFrame(sides, "zone string, x1 double, y1 double, x2 double, y2 double").coalesce(1)
+    rook, over = graph.rook_contiguity(seg), graph.overlapping_segments(seg)
+    assert sorted(tuple(r) for r in rook.collect()) == [("a", "b", 1.0), ("b", "c", 1.0)]
+    assert [r["n"] for r in over.collect()] == [3]
+    for df in (rook, over):
+        plan = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+        assert next(x for x in reversed(plan) if "Aggregate" in x or "RepartitionBy" in x or "Exchange" in x).count("Aggregate") == 0

@@ -18,15 +18,24 @@ from zonewise.session import pin
 # -- construction ---------------------------------------------------------------
 
 
+def _shared_sides(segments: DataFrame) -> DataFrame:
+    """(zone, p, q) with the ends of every segment in order, dealt by all three into a fixed number of parts.
+
+    Few segments have a twin, so summing before the shuffle saves nothing and holds as many groups as a read
+    brings; the rows grow after a small file is read, so its bytes do not tell how many tasks they need.
+    """
+    a, b = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return segments.select("zone", F.least(a, b).alias("p"), F.greatest(a, b).alias("q")).repartition(parts, "p", "q", "zone")
+
+
 def rook_contiguity(segments: DataFrame, min_length: float = 1e-6) -> DataFrame:
     """Undirected zone pairs sharing boundary length, from (zone, x1, y1, x2, y2) segments.
 
     Neighbours must share vertices. A segment used by more than two zones means overlapping
     polygons; see :func:`overlapping_segments`. Points of contact never produce an edge.
     """
-    a, b = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
-    keyed = segments.select("zone", F.least(a, b).alias("p"), F.greatest(a, b).alias("q"))
-    shared = keyed.groupBy("p", "q").agg(
+    shared = _shared_sides(segments).groupBy("p", "q").agg(
         F.min("zone").alias("a"), F.max("zone").alias("b"), F.count_distinct("zone").alias("n")
     )
     length = F.hypot(F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y"))
@@ -39,9 +48,7 @@ def rook_contiguity(segments: DataFrame, min_length: float = 1e-6) -> DataFrame:
 
 
 def overlapping_segments(segments: DataFrame) -> DataFrame:
-    a, b = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
-    keyed = segments.select("zone", F.least(a, b).alias("p"), F.greatest(a, b).alias("q"))
-    return keyed.groupBy("p", "q").agg(F.count_distinct("zone").alias("n")).filter("n > 2")
+    return _shared_sides(segments).groupBy("p", "q").agg(F.count_distinct("zone").alias("n")).filter("n > 2")
 
 
 def symmetric_adjacency(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
