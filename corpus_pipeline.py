@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from zonewise.llm import decontaminate, jaccard, mixing, sharding, toxicity
-from zonewise.session import pin
+from zonewise.session import pin, release
 
 SHARDS = 24
 
@@ -53,5 +53,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = pin(stage(spark, docs, sf_dir))
+        made = stage(spark, docs, sf_dir)
+        docs = pin(made)
+        release(made)  # the stage before and what this one wrote on the way
     return STAGES[-1][1](spark, docs, sf_dir)

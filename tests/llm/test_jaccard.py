@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -9,6 +10,7 @@ from conftest_llm import words
 from zonewise.llm import jaccard
 from zonewise.llm.components import components
 from zonewise.llm.jaccard import Scheme, jaccard_components, joined_roots, keep_one, signatures
+from zonewise.session import pin, written_folder
 
 
 def shingle_set(text, n):
@@ -185,3 +187,16 @@ def test_components_of_forests_that_disagree(spark, monkeypatch):
     monkeypatch.setattr(module, "_contracted", lambda edges: edges)  # rounds alone
     assert {r["node"]: r["root"] for r in components(df).collect()} == want
     assert components(df.limit(0)).collect() == []
+
+
+def test_written_sets_go_when_nothing_reads_them(spark, documents, monkeypatch):
+    monkeypatch.setattr(jaccard, "REGION_ROWS", 8)
+    rng = random.Random(29)
+    texts = family(rng, 60, 90, 3) + [words(rng, 40) for _ in range(20)]
+    docs = documents([(i, t, "en", "a") for i, t in enumerate(texts)])
+    folder = written_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    kept = pin(jaccard.keep_one(docs))
+    assert {r.doc_id for r in kept.collect()} == {c for _, c in brute(list(enumerate(texts)), 5, 80).values()}
+    left = [spark.read.parquet(f"{folder}/{x}").columns for x in set(os.listdir(folder)) - before]
+    assert docs.columns in left and not any({"keys", "need", "h1", "n_shingles"} & set(c) for c in left)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from zonewise.llm.components import components
 from zonewise.llm.words import mix, released, shingle_sets
-from zonewise.session import pin
+from zonewise.session import pin, release
 
 REGION_ROWS = 512
 REGION_SHINGLES = 400_000
@@ -147,7 +147,9 @@ def _connected(post: DataFrame, by: list[str]) -> DataFrame:
     enough = shared.groupBy("node", "need").agg(F.count_distinct(*by).alias("n")).filter("n >= need % 65536").select("node", "need")
     kept = shared.join(enough, ["node", "need"]).select(*by, "node")
     edges = kept.withColumn("head", F.min("node").over(w)).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    return components(edges.distinct())
+    found = components(edges.distinct())
+    release(shared)  # the components stand on tables of their own
+    return found
 
 
 def _agreeing(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -281,6 +283,7 @@ def _partnered(rows: DataFrame, percent: int) -> DataFrame:
     A linked pair shares ``percent`` / 100 of either set, and what it shares stands in two texts of
     the region. Texts that hold less of such shingles go, then those that were left without by
     that, as long as a pass takes a tenth of the rows. Counts are combined before the shuffle, and a frequent shingle's join can be split.
+    ``rows`` are written and go as soon as fewer of them are.
     """
     left = rows.count()
     while left:
@@ -288,7 +291,9 @@ def _partnered(rows: DataFrame, percent: int) -> DataFrame:
         shared = posts.groupBy("region", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region", "key")
         held = posts.join(shared, ["region", "key"]).groupBy("region", "doc_id").agg(F.count(F.lit(1)).alias("held"))
         kept = rows.join(held, ["region", "doc_id"]).filter(F.col("held") * 100 >= F.size("keys") * percent)
-        rows = pin(kept.select(*rows.columns))
+        fewer = pin(kept.select(*rows.columns))
+        release(rows)
+        rows = fewer
         before, left = left, rows.count()
         if left > 0.9 * before:  # what a further pass would take is left to the comparison
             break
@@ -399,7 +404,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     names = pin(known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     regions = _agreeing(ready.filter("doc_id IS NOT NULL"), n, percent)
     members = pin(names.join(regions, "h1").select("region", F.col("rep").alias("doc_id")))
+    release(regions)
     links = _links(ready, members, n, percent)
+    release(members)
     roots = components(links)
     # A doc_id that stands for several texts ties them together.
     tied = pin(known.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("doc_id"))
@@ -413,23 +420,29 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
 
 
 def _links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links of the members. Shingle sets are the bulk of what is written, so a table of them goes once the next one stands."""
     rows = pin(_sets(docs, members, n).withColumn("home", F.lit(True)))
     parts = []
     for step in range(DIVISIONS + 8):
         sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("keys")).alias("s"))
         large = pin(sizes.filter((F.col("n") > REGION_ROWS) | (F.col("n") > 1) & (F.col("s") > REGION_SHINGLES)).select("region"))
-        parts.append(_region_links(rows.join(large, "region", "left_anti"), percent))
+        parts.append(pin(_region_links(rows.join(large, "region", "left_anti"), percent)))
         if not large.limit(1).count():
             break
         big = pin(rows.join(large, "region", "left_semi"))
+        release(rows)
         if step < DIVISIONS:
             rows = pin(_divided(big, percent, step + 1))
+            release(big)
             continue
-        cut, rest = _cut(_partnered(big, percent), percent)
-        parts.append(_region_links(_in_blocks(rest), percent))
+        big = _partnered(big, percent)
+        cut, rest = _cut(big, percent)
+        parts.append(pin(_region_links(_in_blocks(rest), percent)))
         rows = pin(cut)
+        release(cut)
     else:
-        parts.append(_region_links(_in_blocks(rows), percent))
+        parts.append(pin(_region_links(_in_blocks(rows), percent)))
+    release(rows)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -447,6 +460,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     found = jaccard_components(docs, n, percent).filter("doc_id is not null")
     apart = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_z_rows"), F.min("component_id").alias("_z_root")).filter("_z_rows > 1 or doc_id <> _z_root")
     apart = pin(apart.select("doc_id", (F.col("doc_id") == F.col("_z_root")).alias("_z_stays")))
+    release(found)
     marked = _marked(docs, apart)
     held = marked.filter("_z_likely").join(apart, "doc_id", "left")
     single = marked.filter("not _z_likely").select(*docs.columns).unionByName(held.filter("_z_stays is null").select(*docs.columns))

@@ -76,3 +76,16 @@ def pin(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove what these tables read of this application's written intermediates, once no later step reads it.
+
+    Whatever was made of them must itself have been written; other files stay.
+    """
+    for df in tables:
+        spark, own = df.sparkSession, f"/zonewise/{df.sparkSession.sparkContext.applicationId}/"
+        heads = {f[: f.index(own) + len(own)] + f[f.index(own) + len(own) :].split("/", 1)[0] for f in df.inputFiles() if own in f}
+        for head in heads:
+            path = spark._jvm.org.apache.hadoop.fs.Path(head)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
