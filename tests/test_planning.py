@@ -141,3 +141,19 @@ def test_blocks_are_disjoint_and_short_history_is_reported(spark):
     assert first == {"fitting": 16, "selection": 28, "calibration": 28, "predict": 28}
     late = {str(r["update"]): r["missing"] for r in rolling.short_history(ups, rolling.assign_blocks(pool, test, ups, 60, 60, 40)).collect()}
     assert late == {"2022-03-20": ["fitting"], "2022-04-17": ["fitting"]}
+
+
+def test_rounds_meet_written_states_and_pairs_that_can_gain(spark, monkeypatch):
+    z, s, t, rows = inputs(spark)
+    pairs, demand = allocate.prepare_pairs(z, s, t, "drive"), allocate.demand_weights(z)
+    seen, gains = [], allocate.site_gains
+
+    def spied(pairs, state):
+        seen.append((pairs.filter("score = 0 and minutes is null").count(), "Join" in state._jdf.queryExecution().optimizedPlan().toString()))
+        return gains(pairs, state)
+
+    monkeypatch.setattr(allocate, "site_gains", spied)
+    for sites in (None, s):  # three minutes reach few sites; the others stay in the race
+        got = allocate.greedy_select(pairs, demand, 3.0, 6, sites=sites).filter("scenario = 'coverage'").orderBy("step")
+        assert [r["site_id"] for r in got.collect()] == brute_force(rows, {r["zone"]: r["demand"] for r in demand.filter("scenario = 'coverage'").collect()}, 3.0, 6, True)
+    assert seen == [(0, False)] * 12

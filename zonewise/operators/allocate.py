@@ -203,14 +203,16 @@ def greedy_select(
     first = F.when(cover_first, F.col("cover_gain")).otherwise(F.col("access_gain"))
     second = F.when(cover_first, F.col("access_gain")).otherwise(F.col("cover_gain"))
     chosen: DataFrame | None = None
-    every = None
     if sites is not None:
         names = start.agg(F.collect_set("scenario").alias("s"))
-        every = pin(sites.select("site_id").distinct().withColumn("scenario", F.explode(one_row(names)["s"])))
+        every = sites.select("site_id").distinct().withColumn("scenario", F.explode(one_row(names)["s"]))
+    else:
+        every = pairs.join(start, "zone").select("scenario", "site_id").distinct()
+    every, pairs = pin(every), pin(_gainful(pairs))
     for step in range(1, n_sites + 1):
-        gains = site_gains(pairs, greedy_state(pairs, start, chosen))
-        if every is not None:
-            gains = every.join(gains, ["scenario", "site_id"], "left").fillna({"access_gain": 0, "cover_gain": 0})
+        # Written, so that its true size is known: it goes to the tasks that read the pairs, and not the pairs to its one task.
+        state = pin(greedy_state(pairs, start, chosen))
+        gains = every.join(site_gains(pairs, state), ["scenario", "site_id"], "left").fillna({"access_gain": 0, "cover_gain": 0})
         if chosen is not None:
             gains = gains.join(chosen.select("scenario", "site_id"), ["scenario", "site_id"], "left_anti")
         best = pin(
@@ -222,6 +224,12 @@ def greedy_select(
     return chosen
 
 
+def _gainful(pairs: DataFrame) -> DataFrame:
+    """Pairs that can add to a gain, in a fixed number of parts: a round makes a row per pair and scenario of them."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.filter((F.col("score") != 0) | F.col("minutes").isNotNull()).repartition(parts, "site_id")
+
+
 def greedy_state(pairs: DataFrame, demand: DataFrame, chosen: DataFrame | None) -> DataFrame:
     """Remaining demand and best time so far per (scenario, zone), derived from the sites chosen."""
     if chosen is None:
