@@ -200,3 +200,49 @@ def test_written_sets_go_when_nothing_reads_them(spark, documents, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {c for _, c in brute(list(enumerate(texts)), 5, 80).values()}
     left = [spark.read.parquet(f"{folder}/{x}").columns for x in set(os.listdir(folder)) - before]
     assert docs.columns in left and not any({"keys", "need", "h1", "n_shingles"} & set(c) for c in left)
+
+
+def test_rarest_shingles_part_texts_with_a_common_passage(spark):
+    rng = random.Random(31)
+    passage, rows = list(range(50)), []
+    for family_ in range(30):  # near copies in threes; all texts hold the passage
+        base = passage + [1000 * (family_ + 1) + k for k in range(70)]
+        rows += [(1, 3 * family_ + i, [k for k in base if k not in set(rng.sample(base, 5))] + [10**6 + 3 * family_ + i]) for i in range(3)]
+    rows += [(1, 500 + i, passage + [10**7 + 1000 * i + k for k in range(70)]) for i in range(20)]  # no partner
+    rows += [(2, 900 + i, passage) for i in range(2)]
+    df = spark.createDataFrame([(r, i, k, True) for r, i, k in rows], "region long, doc_id long, keys array<long>, home boolean")
+    for percent in (80, 85):
+        got = {r["doc_id"]: r["region"] for r in jaccard._narrowed(df, percent).collect()}
+        linked = {(i, j) for r, i, a in rows for q, j, b in rows if r == q and i != j and 100 * len(set(a) & set(b)) >= percent * len(set(a) | set(b))}
+        assert len(linked) > 60 and all(got[i] == got[j] for i, j in linked)
+        assert not any(500 <= i < 900 for i in got) and len(set(got.values())) >= 31  # one region before
+    assert jaccard._narrowed(df.limit(0), 80).collect() == []
+
+
+def test_narrowing_holds_at_the_very_bound(spark):
+    rng, rows = random.Random(37), []
+    for i in range(60):
+        size = rng.randrange(1, 40)
+        a = rng.sample(range(80), size)
+        same = -(-80 * size // 100)
+        rows += [(1, 2 * i, a), (1, 2 * i + 1, a[:same])]
+    df = spark.createDataFrame([(r, i, k, True) for r, i, k in rows], "region long, doc_id long, keys array<long>, home boolean")
+    got = {r["doc_id"]: r["region"] for r in jaccard._narrowed(df, 80).collect()}
+    for _, i, a in rows:
+        for _, j, b in rows:
+            if i < j and 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b)):
+                assert got[i] == got[j]
+
+
+def test_components_settle_in_one_task_when_it_holds_all_edges(spark, monkeypatch):
+    from zonewise.llm import components as module
+
+    edges = [(i, i + 1) for i in range(0, 3000) if i % 50 != 49]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(40)
+    rounds = []
+    stars = module._stars
+    monkeypatch.setattr(module, "_stars", lambda sym: rounds.append(1) or stars(sym))
+    want = {x: x - x % 50 for x in range(3000)}
+    assert {r["node"]: r["root"] for r in components(df).collect()} == want and not rounds
+    monkeypatch.setattr(module, "MOST_NODES", 500)  # the edges of several tasks
+    assert {r["node"]: r["root"] for r in components(df).collect()} == want

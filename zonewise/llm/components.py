@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from zonewise.session import pin
+from zonewise.session import pin, release
+
+MOST_NODES = 1 << 19  # nodes that a task holds, and edges that it is given while there are fewer tasks than partitions
 
-MOST_NODES = 1 << 19
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of a partition as stars: every node with the smallest node that it reaches there.
@@ -61,19 +62,22 @@ def _settled(stars: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) for every node of ``edges(a, b)``, whole numbers.
 
-    The edges are written and each partition of them is contracted to a forest, which is exact. Forests are
-    small, so what is read back has fewer partitions, and it is contracted again while that is so. Where
-    forests of several partitions still disagree, a round points all larger neighbours of a node at its
-    smallest one, then all smaller neighbours; minima are combined before the shuffle and a hub's join
-    can be split. The number of rounds grows with the logarithm of the longest path. Loops are
+    The edges are written and contracted to a forest per task, which is exact. A task takes up to ``MOST_NODES``
+    edges, so the forests are contracted again by fewer tasks while there are fewer edges; once one task can hold
+    them all they are settled. Where forests of several tasks still disagree, a round points all larger neighbours
+    of a node at its smallest one, then all smaller neighbours; minima are combined before the shuffle and a
+    hub's join can be split. The number of rounds grows with the logarithm of the longest path. Loops are
     ignored, repeated edges count once.
     """
     now = pin(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b"))
     last = None
     while True:
         width = now.rdd.getNumPartitions()
-        if last is None or width < last:
-            now, last = pin(_contracted(now)), width
+        tasks = max(1, min(width, -(-now.count() // MOST_NODES)))
+        if last is None or tasks < last:
+            fewer = pin(_contracted(now.coalesce(tasks) if tasks < width else now))
+            release(now)
+            now, last = fewer, tasks
             continue
         if _settled(now):
             break
@@ -81,6 +85,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = _stars(sym).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = _stars(large)
         met = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b")
-        now, last = pin(met.distinct()), None
+        met = pin(met.distinct())
+        release(now)
+        now, last = met, None
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

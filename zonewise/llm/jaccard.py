@@ -10,9 +10,9 @@ that are still large get pivots: texts go home to their nearest pivot (Voronoi)
 guests to every pivot within the triangle window, again and again until regions are small or the
 windows show that they cannot be cut, in which case they are joined in blocks.
 A region may also be a chain of unrelated texts that chance agreements tie together, as texts with a
-common passage have them; other divisions of the universe, each of which every pair within the bound
-passes as well, take such chains apart before pivots are drawn, and texts without enough shingles that
-stand in two texts of their region leave it.
+common passage have them. Two texts within the bound share a shingle among the first fifth or so of either in
+any one order of the universe; with rare shingles first, this takes such chains apart before pivots are drawn,
+and texts without enough shingles that stand in two texts of their region leave it.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from zonewise.session import pin, release
 REGION_ROWS = 512
 REGION_SHINGLES = 400_000
 PIVOTS = 16
-DIVISIONS = 2  # divisions of the universe that a large region must hold together under
 FILTER_WORDS = 1 << 18  # numbers of 64 bits in a filter of ids
 MOST_COPIES = 3.0  # a region is cut only if windows copy its rows fewer times than this
 _U = np.uint64
@@ -67,7 +66,7 @@ def set_digest(keys: np.ndarray) -> tuple[int, int]:
     return int(pair[0]), int(pair[1])
 
 
-def signatures(sets: list[np.ndarray], scheme: Scheme, division: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(set, signature, class and need) rows; two sets within the bound share as many as needed.
 
     The third column holds the class and, in its last 16 bits, how many signatures of that class a set
@@ -80,7 +79,7 @@ def signatures(sets: list[np.ndarray], scheme: Scheme, division: int = 0) -> tup
     parts = scheme.parts[level]
     flat = np.concatenate([sets[i] for i in member])
     entry = np.repeat(np.arange(len(member)), sizes[member])
-    spread = mix(flat ^ mix(level[entry].astype(_U) + _U(77 + (division << 32))))
+    spread = mix(flat ^ mix(level[entry].astype(_U) + _U(77)))
     base = np.concatenate(([0], np.cumsum(parts)))
     slot = base[entry] + ((spread >> _U(20)) % parts[entry].astype(_U)).astype(np.int64)
     total = np.zeros(base[-1], _U)
@@ -139,42 +138,39 @@ def _postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(released(run), "sig long, node long, need int")
 
 
-def _connected(post: DataFrame, by: list[str]) -> DataFrame:
-    """Components of nodes that share signatures, of those alone that share as many as they need."""
-    w = W.partitionBy(*by)
-    shared = post.withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w)).filter("low <> high")
-    shared = pin(shared.select(*by, "node", "need"))
-    enough = shared.groupBy("node", "need").agg(F.count_distinct(*by).alias("n")).filter("n >= need % 65536").select("node", "need")
-    kept = shared.join(enough, ["node", "need"]).select(*by, "node")
-    edges = kept.withColumn("head", F.min("node").over(w)).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    found = components(edges.distinct())
-    release(shared)  # the components stand on tables of their own
-    return found
+def _joined_heads(post: DataFrame) -> DataFrame:
+    """Components of the nodes of ``post(sig, node)`` that share signatures."""
+    edges = post.withColumn("head", F.min("node").over(W.partitionBy("sig"))).filter("node <> head")
+    return components(edges.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
 
 
 def _agreeing(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``h1`` and ``region`` of the sets that agree with another set on some part."""
-    found = _connected(_postings(docs, n, percent), ["sig"])
+    """``h1`` and ``region`` of the sets that share as many signatures with others as they need."""
+    w = W.partitionBy("sig")
+    post = _postings(docs, n, percent)
+    shared = post.withColumn("low", F.min("node").over(w)).withColumn("high", F.max("node").over(w)).filter("low <> high")
+    shared = pin(shared.select("sig", "node", "need"))
+    enough = shared.groupBy("node", "need").agg(F.count_distinct("sig").alias("n")).filter("n >= need % 65536").select("node", "need")
+    found = _joined_heads(shared.join(enough, ["node", "need"]).select("sig", "node"))
+    release(shared)  # the components stand on tables of their own
     return found.select(F.col("node").alias("h1"), F.col("root").alias("region"))
 
 
-def _divided(rows: DataFrame, percent: int, division: int) -> DataFrame:
-    """Large regions cut once more by another division; texts that agree with none are left out."""
-    scheme = Scheme(percent)
+def _narrowed(rows: DataFrame, percent: int) -> DataFrame:
+    """Large regions cut by their rarest shingles, exactly; texts that can have no partner are left out.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, ends = batch.column(2).values.to_numpy().view(_U), batch.column(2).offsets.to_numpy()
-            for lo in range(0, batch.num_rows, 256):
-                some = range(lo, min(lo + 256, batch.num_rows))
-                at, sig, need = signatures([flat[ends[i] : ends[i + 1]] for i in some], scheme, division)
-                take = pa.array(at + lo)
-                arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(sig), pa.array(need)]
-                yield pa.RecordBatch.from_arrays(arrays, ["region", "node", "sig", "need"])
-
-    post = rows.select("region", "doc_id", "keys").mapInArrow(released(run), "region long, node long, sig long, need int")
-    found = _connected(post, ["region", "sig"])
-    parts = found.select(F.col("node").alias("doc_id"), F.xxhash64(F.lit(division), "root").alias("part"))
+    A linked pair shares at least ``percent`` / 100 of either set. All but fewer than that many shingles of a set,
+    first in one order for all sets of the region, therefore hold the first shingle that the two share. The order is
+    by the number of texts that hold a shingle, so a passage of many texts ties few together. A shingle of one text
+    ties nothing: it only counts among the first ones of its set, and a text with too many of them has no partner.
+    """
+    least = F.expr(f"(size * {percent} + 99) div 100")
+    posts = rows.select("doc_id", F.size("keys").alias("size"), "region", F.explode("keys").alias("key"))
+    counted = posts.select("doc_id", "size", F.xxhash64("region", "key").alias("sig")).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("sig")))
+    held = counted.filter("n > 1").groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "sig"))).alias("held"))
+    able = held.filter(F.size("held") >= least).withColumn("first", F.slice("held", F.lit(1), (F.size("held") - least + 1).cast("int")))
+    found = _joined_heads(able.select(F.explode("first.sig").alias("sig"), F.col("doc_id").alias("node")))
+    parts = found.select(F.col("node").alias("doc_id"), F.xxhash64(F.lit(1), "root").alias("part"))
     return rows.join(parts, "doc_id").select(F.col("part").alias("region"), "doc_id", "keys", "home")
 
 
@@ -423,7 +419,7 @@ def _links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFra
     """Links of the members. Shingle sets are the bulk of what is written, so a table of them goes once the next one stands."""
     rows = pin(_sets(docs, members, n).withColumn("home", F.lit(True)))
     parts = []
-    for step in range(DIVISIONS + 8):
+    for step in range(9):
         sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("keys")).alias("s"))
         large = pin(sizes.filter((F.col("n") > REGION_ROWS) | (F.col("n") > 1) & (F.col("s") > REGION_SHINGLES)).select("region"))
         parts.append(pin(_region_links(rows.join(large, "region", "left_anti"), percent)))
@@ -431,8 +427,8 @@ def _links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFra
             break
         big = pin(rows.join(large, "region", "left_semi"))
         release(rows)
-        if step < DIVISIONS:
-            rows = pin(_divided(big, percent, step + 1))
+        if not step:
+            rows = pin(_narrowed(big, percent))
             release(big)
             continue
         big = _partnered(big, percent)
