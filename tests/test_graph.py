@@ -321,3 +321,19 @@ def test_sides_are_dealt_before_they_are_summed(spark):
     for df in (rook, over):
         plan = df._jdf.queryExecution().sparkPlan().toString().splitlines()
         assert next(x for x in reversed(plan) if "Aggregate" in x or "RepartitionBy" in x or "Exchange" in x).count("Aggregate") == 0
+
+
+def test_bounded_distances_do_not_follow_chains_elsewhere(spark, monkeypatch):
+    from zonewise.operators import paths
+
+    rows = [("road", i, i + 1, 100.0) for i in range(40)] + [("road", 1000 + i, 1001 + i, 100.0) for i in range(300)]
+    arcs = spark.createDataFrame(rows, "mode string, u long, v long, length double")
+    ends = spark.createDataFrame([("a", 0, 0.0), ("b", 7, 50.0), ("c", 30, 0.0)], "id string, node long, distance double")
+    want = {(r.src, r.dst, round(r.km, 9)) for r in paths.od_distances(arcs, ends, ends).collect() if r.km <= 1.5}
+
+    def whole_network(*_):
+        raise AssertionError("the whole network was contracted")
+
+    monkeypatch.setattr(paths, "contracted", whole_network)
+    got = {(r.src, r.dst, round(r.km, 9)) for r in paths.od_distances(arcs, ends, ends, within_km=1.5).collect()}
+    assert got == want == {("a", "a", 0.0), ("b", "b", 0.0), ("c", "c", 0.0), ("a", "b", 0.75)}

@@ -326,7 +326,8 @@ def shortest_paths(
     start = seeds.groupBy(*keys, "node").agg(F.min("cost").alias("cost")).withColumns({"fresh": F.lit(True), "bound": F.lit(None).cast("double")})
     state = pin(bounded(start))
     while True:
-        for _ in range(STEPS_PER_WRITE if targets is None else 1):
+        # The size of a written state is known, so a small one is sent to the arcs; steps between writes would move all arcs.
+        for _ in range(STEPS_PER_WRITE if targets is None and within is None else 1):
             state = relax(state)
         state = pin(bounded(state))
         if state.filter("fresh and (bound is null or cost <= bound)").isEmpty():
@@ -348,9 +349,14 @@ def od_distances(arcs: DataFrame, origins: DataFrame, destinations: DataFrame, k
     ``within_km`` keeps pairs up to that distance, ``nearest`` every origin's nearest destinations other
     than itself (ties by name); either one bounds the search of each origin, so no product arises.
     Without them a search ends at the farthest destination its origin reaches.
+
+    A search up to ``within_km`` sees the surroundings of the origins only, so it goes along the arcs as they
+    are: contracting the chains would follow every chain of the network, however far from an origin.
     """
     keys = list(keys)
-    lengths = _junctions(arcs.select(*keys, "u", "v", F.col("length").alias("cost")), keys, origins, destinations)
+    lengths = arcs.select(*keys, "u", "v", F.col("length").alias("cost"))
+    if within_km is None:
+        lengths = _junctions(lengths, keys, origins, destinations)
     seeds = arcs.select(*keys).distinct()
     start = origins.select(F.col("id").alias("src"), "node", F.col("distance").alias("cost"))
     start = start.withColumn("_all", F.explode(_collected(seeds, keys))).select("src", "node", "cost", "_all.*")
