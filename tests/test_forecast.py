@@ -183,3 +183,21 @@ def test_packed_cells_are_those_of_long_rows(spark):
     for k, r in want.items():
         for name, value in r.items():
             assert got[k][name] == (pytest.approx(value, rel=1e-9, abs=1e-9) if isinstance(value, float) else value)
+
+
+def test_rows_with_arrays_are_written_few_to_a_file(spark, monkeypatch):
+    """A reader holds 4,096 rows of a file at once, so what it holds must not grow with the zones of a file."""
+    import pyarrow.parquet as pq
+
+    from zonewise import session
+    from zonewise.operators import design, windows
+
+    panel = spark.range(700 * 16).selectExpr("concat('z', id % 700) AS zone", "date_add(date'2020-01-01', int(id div 700)) AS date", "double(id) AS rate")
+    wins = spark.createDataFrame([(0, 6, 13), (1, 7, 14)], "sample_id long, o int, t int").selectExpr("sample_id", "date_add(date'2020-01-01', o) AS origin", "date_add(date'2020-01-01', t) AS target")
+    _, support = ring(spark, 5, 0.75)
+    moved = design.packed_hops(windows.packed_looks(panel, wins, 7), support, ["level", "step"], 1)
+    held = [pq.read_metadata(f.removeprefix("file:")).num_rows for f in moved.inputFiles() if f.endswith(".parquet")]
+    assert sum(held) == 700 and max(held) <= design.PACKED_ROWS
+    assert moved.count() == 700
+    monkeypatch.setattr(session, "PART_BYTES", 1 << 15)
+    assert windows.packed_looks(panel, wins, 7).rdd.getNumPartitions() == 700 * 16 * windows.ROW_BYTES // (1 << 15) + 1

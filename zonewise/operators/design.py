@@ -15,7 +15,9 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from zonewise.functions.scalars import one_row
 from zonewise.operators import windows
-from zonewise.session import pin
+from zonewise.session import parts_of, pin
+
+PACKED_ROWS = 128  # of a written file of rows that hold an array per column: a reader holds them at once
 
 DIRECTIONS = {"f": "forward", "b": "backward"}
 
@@ -54,7 +56,7 @@ def packed_hops(rows: DataFrame, support: DataFrame, columns: Sequence[str], ste
     for k in range(1, steps + 1):
         last = [(d, c, c if k == 1 else f"{d}{k - 1}_{c}") for d in "fb" for c in columns]
         sources = sorted({src for _, _, src in last})
-        out = pin(out)
+        out = pin(out, rows_per_file=PACKED_ROWS)
         own = out.withColumns({"_w_f": F.lit(None).cast("double"), "_w_b": F.lit(None).cast("double"), "_own": F.lit(True)})
         sent = out.select(F.col(key).alias("col"), "ids", *sources).join(links, "col").withColumnRenamed("row", key).drop("col")
         both = own.unionByName(sent.withColumn("_own", F.lit(False)), allowMissingColumns=True)
@@ -62,10 +64,17 @@ def packed_hops(rows: DataFrame, support: DataFrame, columns: Sequence[str], ste
         schema = StructType([*out.schema])
         for _, _, name, _ in terms:
             schema = schema.add(name, ArrayType(DoubleType()))
-        out = both.groupBy(key).applyInArrow(_summed_arrays(out.columns, terms), schema)
+        out = both.repartition(_packed_parts(out, links, len(sources)), key).groupBy(key).applyInArrow(_summed_arrays(out.columns, terms), schema)
     return out
 
 
+def _packed_parts(rows: DataFrame, links: DataFrame, sent: int) -> int:
+    """Parts for ``rows`` and what their links carry, ``ids`` and ``sent`` arrays a link."""
+    held, met = rows.agg(F.sum(F.size("ids")).alias("ids"), F.count(F.lit(1)).alias("n")).first(), links.count()
+    arrays = sum(kind.startswith("array") for _, kind in rows.dtypes)
+    return parts_of(rows.sparkSession, 8 * (held["ids"] or 0) * (arrays + (1 + sent) * met / max(held["n"], 1)))
+
+
 def _summed_arrays(kept: Sequence[str], terms: Sequence[tuple]):
     """Arrow function of a node's own row and the rows sent to it: its columns and the weighed sums."""
 

@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from zonewise.functions.scalars import joined_reasons, one_row
+from zonewise.session import parts_of
 
 EPOCH = "1970-01-01"
+ROW_BYTES = 64  # of a zone, a day and a rate in a sort
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
 
@@ -183,7 +185,7 @@ def packed_looks(panel: DataFrame, windows: DataFrame, lookback: int, rate: str
     """The rows of :func:`lookback_arrays` as one row per zone: ``ids`` of its samples and an array per column.
 
     The columns are ``anchor``, ``y``, ``level`` (of the anchor) and ``step`` (from the report before). The calendar bounds the
-    arrays; ``panel`` has one row per zone and date, and the windows, a row per date, go to the tasks.
+    arrays; ``panel``, a written table, has one row per zone and date, and the windows, a row per date, go to the tasks.
     """
     rows = windows.select("sample_id", day_number("origin").alias("o"), day_number("target").alias("t")).orderBy("sample_id").collect()
     ids, at, to = (np.array([r[i] for r in rows], dtype="int64") for i in range(3))
@@ -206,7 +208,8 @@ def packed_looks(panel: DataFrame, windows: DataFrame, lookback: int, rate: str
 
     source = panel.select("zone", day_number("date").alias("day"), F.col(rate).cast("double").alias("rate"))
     arrays = ", ".join(f"{c} array<double>" for c in ("anchor", "y", "level", "step"))
-    return source.groupBy("zone").applyInArrow(looks, f"zone string, ids array<bigint>, {arrays}")
+    parts = parts_of(panel.sparkSession, panel.count() * ROW_BYTES)
+    return source.repartition(parts, "zone").groupBy("zone").applyInArrow(looks, f"zone string, ids array<bigint>, {arrays}")
 
 
 def unpacked(packed: DataFrame, windows: DataFrame, columns: Sequence[str]) -> DataFrame:

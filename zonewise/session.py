@@ -62,18 +62,32 @@ def clear_written(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def pin(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+PART_BYTES = 64 << 20
+
+
+def parts_of(spark: SparkSession, size: int) -> int:
+    """How many parts hold ``size`` bytes of rows at about ``PART_BYTES`` each, no fewer than there are cores.
+
+    For rows that shrink when they are shuffled or grow after it: the shuffled bytes do not tell what a task has to hold.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-int(size) // PART_BYTES))
+
+
+def pin(df: DataFrame, partition_by: tuple[str, ...] = (), rows_per_file: int | None = None) -> DataFrame:
     """Write ``df`` below the checkpoint folder and read it back.
 
     Survives lost executors, cuts the plan, and gives the optimizer the true size
     of the table, so that joins against it are broadcast only when it is under
-    ``spark.sql.autoBroadcastJoinThreshold``.
+    ``spark.sql.autoBroadcastJoinThreshold``. A reader takes 4,096 rows of a file
+    at a time, so rows that hold long arrays need few ``rows_per_file``.
     """
     spark = df.sparkSession
     path = f"{written_folder(spark)}/{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if rows_per_file:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
