@@ -201,3 +201,19 @@ def test_rows_with_arrays_are_written_few_to_a_file(spark, monkeypatch):
     assert moved.count() == 700
     monkeypatch.setattr(session, "PART_BYTES", 1 << 15)
     assert windows.packed_looks(panel, wins, 7).rdd.getNumPartitions() == 700 * 16 * windows.ROW_BYTES // (1 << 15) + 1
+
+
+def test_moments_hold_few_copies_of_their_rows():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    names = [f"c{i}" for i in range(23)]
+    found, _ = moments._task_moments(["target"], len(names))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000) % 100), *[pa.array(np.arange(10_000) * 0.1 * i) for i in range(23)]], ["target", *names])
+    tracemalloc.start()
+    got = list(found(iter([batch] * 15)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(got[0].column("n").to_pylist()) == 150_000
+    assert peak < 30e6  # 150,000 rows of 23 numbers are 27.6 MB

@@ -19,7 +19,7 @@ def _pairs(width: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(width) for j in range(i, width)]
 
 
-HELD_KEYS, HELD_ROWS = 4096, 100_000
+HELD_KEYS, HELD_ROWS = 4096, 50_000
 
 
 def co_moments(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -42,14 +42,24 @@ def _task_moments(keys: Sequence[str], width: int):
     n_keys, most_keys, most_rows = len(keys), HELD_KEYS, HELD_ROWS
 
     def summed(numbers, values):
+        """Numbers of the keys, counts, means and products; ``values`` has a row per column and is spent."""
         order = np.argsort(numbers, kind="stable")
         at, starts, n = np.unique(numbers[order], return_index=True, return_counts=True)
-        values = np.ascontiguousarray(values[order].T)
-        mean = np.add.reduceat(values, starts, axis=1) / n
-        off = values - np.repeat(mean, n, axis=1)
-        prod = np.stack([np.add.reduceat(off[i] * off[j], starts) for i, j in zip(left, right)])
+        mean = np.zeros((width, len(at)))
+        for i, column in enumerate(values):
+            column[:] = column[order]
+            mean[i] = np.add.reduceat(column, starts) / n
+            column -= np.repeat(mean[i], n)
+        prod = np.stack([np.add.reduceat(values[i] * values[j], starts) for i, j in zip(left, right)])
         return at, n, mean.T, prod.T
 
+    def stacked(pieces, count):
+        """The numbers of all batches, a row per column."""
+        out = np.empty((width, count))
+        for row, column in zip(out, zip(*pieces)):
+            np.concatenate([c.to_numpy(zero_copy_only=False) for c in column], out=row)
+        return out
+
     def numbered(parts, known):
         """Number of each row's key, counted on in ``known``."""
         codes, levels = [], []
@@ -73,11 +83,11 @@ def _task_moments(keys: Sequence[str], width: int):
         for batch in chain(batches, [None]):
             if batch is not None and batch.num_rows:
                 types = [field.type for field in batch.schema][:n_keys]
-                rows.append((batch.columns[:n_keys], np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[n_keys:]], axis=1)))
+                rows.append((batch.columns[:n_keys], batch.columns[n_keys:]))
                 count += batch.num_rows
             if count and (batch is None or count >= most_rows):
-                parts, values = zip(*rows)
-                at, more, centre, spread = summed(numbered(parts, known), np.concatenate(values))
+                parts, pieces = zip(*rows)
+                at, more, centre, spread = summed(numbered(parts, known), stacked(pieces, count))
                 rows, count = [], 0
                 new = len(known) - len(n)
                 n, mean, prod = (np.concatenate([a, np.zeros((new, *a.shape[1:]))]) for a in (n, mean, prod))
